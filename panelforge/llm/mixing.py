@@ -16,18 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import written
+
 LEVELS = ("domain", "lang", "source")
 
 
 @dataclass(frozen=True)
 class MixSpec:
-    """``share``: target tokens as a share of the available ones. ``power``: weight of a node is its tokens to this power among its siblings. ``rounds``: redistributions at a level; each fills at least one node or ends."""
+    """``share``: target tokens as a share of the available ones. ``power``: weight of a node is its tokens to this power among its siblings."""
 
     share: float = 1.0
     power: float = 0.5
     max_epochs: int = 4
     seed: int = 42
-    rounds: int = 8
 
 
 def domain_of(source: Column) -> Column:
@@ -48,16 +49,19 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def _fill(nodes: DataFrame, parent: list[str], spec: MixSpec) -> DataFrame:
-    """Split each parent's ``budget`` among its children by ``weight``, none over its ``cap``; what is cut off goes to siblings with room."""
-    by = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
-    out = nodes.withColumn("given", F.lit(0.0))
-    for _ in range(spec.rounds):
-        rest = F.col("budget") - F.sum("given").over(by)
-        room = F.when(F.col("given") < F.col("cap"), F.col("weight")).otherwise(0.0)
-        out = out.withColumn("rest", F.greatest(rest, F.lit(0.0))).withColumn("room", room).withColumn("all_room", F.sum("room").over(by))
-        more = F.when(F.col("all_room") > 0, F.col("rest") * F.col("room") / F.col("all_room")).otherwise(0.0)
-        out = out.withColumn("given", F.least(F.col("cap").cast("double"), F.col("given") + more)).drop("rest", "room", "all_room")
-    return out
+    """Split each parent's ``budget`` among its children by ``weight``, none over its ``cap``; what is cut off goes to siblings with room.
+
+    Children fill up in the order of cap / weight, so one pass finds those that are full: with all
+    before a child full, the child is full too if the rest gives it its cap. The others share what is left by weight.
+    """
+    key = LEVELS[len(parent)]
+    every = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
+    ahead = every.orderBy("ratio", key).rowsBetween(W.unboundedPreceding, -1)
+    out = nodes.withColumn("ratio", F.col("cap") / F.col("weight"))
+    out = out.withColumn("cap_before", F.coalesce(F.sum("cap").over(ahead), F.lit(0))).withColumn("room", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(ahead), F.lit(0.0)))
+    out = out.withColumn("full", F.col("cap_before") + F.col("ratio") * F.col("room") <= F.col("budget"))
+    used, open_weight = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every), F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(every)
+    return out.withColumn("given", F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("budget") - used) * F.col("weight") / open_weight))
 
 
 def budgets(stats: DataFrame, spec: MixSpec) -> DataFrame:
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """
     rows = leaves(docs).where("tokens > 0")
     stats = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    plan = budgets(stats, spec).where("budget > 0").select(*LEVELS, "budget", F.col("tokens").alias("leaf_tokens"))
+    plan = written(budgets(written(stats, "leaves"), spec).where("budget > 0").select(*LEVELS, "budget", F.col("tokens").alias("leaf_tokens")).coalesce(1), "budgets")
     epochs = F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("leaf_tokens")).cast("int"))
     taken = rows.join(F.broadcast(plan), list(LEVELS)).select("*", F.explode(epochs).alias("epoch"))
     left = F.col("budget") - F.col("epoch") * F.col("leaf_tokens")
@@ -93,7 +97,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     cut = taken.where(left < F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", left.alias("left"), order.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
     by_bucket = cut.groupBy(*LEVELS, "left", "bucket").agg(F.sum("tokens").alias("n"))
     before = (F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n")).alias("before")
-    reached = by_bucket.select(*LEVELS, "bucket", before, "n", "left").where("before < left").select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("left")).alias("whole"))
+    reached = written(by_bucket.select(*LEVELS, "bucket", before, "n", "left").where("before < left").select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("left")).alias("whole")), "ranges")
     inside = cut.join(F.broadcast(reached), [*LEVELS, "bucket"])
     all_in = inside.where("whole").select("doc_id", *LEVELS, "epoch", "tokens")
     within = W.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, lsh_forest, mixing, packing
+from panelforge.llm import decontam, lsh_forest, mixing, packing, quality
 from panelforge.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_documents(blocks, packing.crc32_of, "ids_crc32")
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spec = table(spark, sf_dir, "documents"), quality.CoTrainSpec()
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), spec))
+    return scored.withColumn("keep", F.col("score") >= spec.threshold)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -30,4 +36,4 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), lsh_forest.ForestSpec(words=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op7_packing, op9_decontamination, op10_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
