@@ -6,14 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, lsh_forest, mixing, packing, quality
+from panelforge.llm import ann, decontam, lsh_forest, mixing, packing, pii, quality, url_filter
 from panelforge.llm.common import table
 
 
+#: (action, host and path prefix)
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", ann.CollisionSpec(k=20))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.MixSpec(share=1.0, power=0.5, max_epochs=4))
 
 
+def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    spans = pii.listed(F.array_sort(F.concat("base", "extra")))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = packing.PackSpec(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     blocks = packing.write_packed(table(spark, sf_dir, "documents"), spec)
@@ -36,4 +55,4 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), lsh_forest.ForestSpec(words=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_collision_search, op3_mixing, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
