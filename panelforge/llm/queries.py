@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import ann, decontam, lsh_forest, mixing, packing, pii, quality, url_filter
+from panelforge.llm import ann, decontam, lsh_forest, maxent_lm, mixing, packing, pii, quality, secret_scan, url_filter
 from panelforge.llm.common import table
 
 
@@ -26,6 +26,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.MixSpec(share=1.0, power=0.5, max_epochs=4))
 
 
+def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    spans = pii.listed(F.array_sort(F.concat("base", "extra")))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
@@ -55,4 +67,4 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), lsh_forest.ForestSpec(words=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_collision_search, op3_mixing, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_collision_search, op3_mixing, op4_crf_secrets, op5_maxent_lm, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
