@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import mix64
+
 
 #: Fixed patterns of the known kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,8 +41,8 @@ class CrfSpec:
     positives: int = 200
     negatives: int = 150
     longest: int = 20_000
-    steps: int = 60
-    rate: float = 0.15
+    steps: int = 40
+    rate: float = 0.2
     ridge: float = 1e-4
     least: int = 8
 
@@ -57,20 +59,44 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _shape(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[^\\W\\d_]", "a", re.sub("[A-Z]", "\x01", word)).replace("\x01", "A"))))[:12]
-
-
-def type_features(word: str) -> list[int]:
-    """Hashed features of a token's own form."""
-    bare = word.strip("\"'`,;()[]{}<>")
-    n = len(bare)
-    digits, upper = sum(c.isdigit() for c in bare[:64]), sum(c.isupper() for c in bare[:64])
-    named = [
-        "s" + _shape(word[:64]), f"n{min(n, 64).bit_length()}", f"d{digits * 8 // max(1, min(n, 64))}", f"u{upper * 4 // max(1, min(n, 64))}:{min(n, 64) // 8}",
-        f"v{len(set(bare[:64])) * 2 // 5}", f"x{bool(re.fullmatch('[0-9a-f]{8,}', bare))}{bool(re.fullmatch('[A-Za-z0-9+/_=-]{12,}', bare))}", f"k{bare.lower() if n <= 10 and not digits else ''}", f"e{word[-1] if not word[-1].isalnum() else ''}{word[0] if not word[0].isalnum() else ''}",
-    ]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in named]
+#: Classes of code points below 128: 1 lower case, 2 upper case, 3 digit, 4 quote or bracket, else 5 and more; what is above counts as lower case.
+CLASS = np.arange(5, 133, dtype=np.int64)
+CLASS[[*range(97, 123)]], CLASS[[*range(65, 91)]], CLASS[[*range(48, 58)]] = 1, 2, 3
+CLASS[[ord(c) for c in "\"'`,;()[]{}<>"]] = 4
+POWERS = np.cumprod(np.full(16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def _places(mask: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each character, how many of its word's characters before it are in the mask."""
+    count = np.cumsum(mask) - mask
+    return count - np.repeat(count[begins], sizes)
+
+
+def type_features(words: list[str]) -> np.ndarray:
+    """Hashed features of tokens' own forms, a row for each (non-empty) token: shape, length, shares of digits and capitals, changes of class, alphabet, letters of a short word, outer punctuation."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    kind = np.where(chars < 128, CLASS[np.minimum(chars, 127)], 1)
+    add = lambda x: np.add.reduceat(x, begins)
+    core = kind != 4
+    n, digits, upper = add(core.astype(np.int64)), add((kind == 3).astype(np.int64)), add((kind == 2).astype(np.int64))
+    change = np.concatenate(([True], kind[1:] != kind[:-1]))
+    change[begins] = True
+    place = _places(change, begins, sizes)
+    shape = add(np.where(change & (place < 12), kind.astype(np.uint64) * POWERS[np.minimum(place, 15)], np.uint64(0)))
+    lower = np.where(kind == 2, chars + 32, chars)
+    letter = kind <= 2
+    spelled = add(np.where(letter, lower.astype(np.uint64) * POWERS[np.minimum(_places(letter, begins, sizes), 15)], np.uint64(0)))
+    hexes = add(((kind == 3) | ((chars >= 97) & (chars <= 102))).astype(np.int64))
+    coded = add(((kind <= 3) & (chars < 128) | np.isin(chars, [43, 45, 47, 61, 95])).astype(np.int64))
+    size = np.minimum(n, 63)
+    bits = np.ceil(np.log2(size + 1)).astype(np.int64)
+    alphabet = 2 * ((hexes == n) & (n >= 8)) + ((coded == n) & (n >= 12))
+    first, last = chars[begins], chars[begins + sizes - 1]
+    outer = np.where(kind[begins] > 3, first, 0) * 4096 + np.where(kind[begins + sizes - 1] > 3, last, 0)
+    named = [shape, bits, digits * 8 // np.maximum(n, 1), upper * 4 // np.maximum(n, 1) * 8 + size // 8, np.minimum(add(change.astype(np.int64)), 30), alphabet, np.where((n <= 10) & (digits == 0), spelled, np.uint64(0)), outer]
+    return np.stack([(mix64(np.asarray(x).astype(np.uint64) + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64)) % np.uint64(BUCKETS)).astype(np.int64) for k, x in enumerate(named)], 1)
 
 
 def file_bucket(text: str) -> int:
@@ -91,20 +117,17 @@ class Field:
 
     def codes(self, words: list[str]) -> np.ndarray:
         types = self.types
-        try:
-            return np.fromiter(map(types.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in types:
-                    feats = type_features(w)
-                    types[w] = len(types)
-                    self.fresh.append(self.own[:, feats].sum(1))
-            return np.fromiter(map(types.__getitem__, words), np.int64, len(words))
+        fresh = [w for w in set(words) if w not in types]
+        if fresh:
+            feats = type_features(fresh)
+            types.update(zip(fresh, range(len(types), len(types) + len(fresh)), strict=True))
+            self.fresh.append(self.own[:, feats].sum(2).transpose(1, 0, 2))
+        return np.fromiter(map(types.__getitem__, words), np.int64, len(words))
 
     def table(self) -> np.ndarray:
         """Emission of each type as seen from each offset."""
         if self.fresh:
-            self.scores = np.concatenate((self.scores, np.array(self.fresh, np.float32)))
+            self.scores = np.concatenate((self.scores, *self.fresh)).astype(np.float32)
             self.fresh = []
         return self.scores
 
@@ -178,7 +201,6 @@ def _tags(text: str) -> tuple[list[str], np.ndarray]:
 def fit(texts: list[str], spec: CrfSpec) -> Field:
     """Penalised maximum likelihood by Adam; the gradient comes from forward-backward sums over pieces of 64 tokens."""
     own, files, trans = np.zeros((len(OFFSETS), BUCKETS, 3)), np.zeros((FILES, 3)), np.zeros((3, 3))
-    own[0, :, OUTSIDE] = 0.0
     words, tags, sizes, kinds = [], [], [], []
     for text in texts:
         w, y = _tags(text)
@@ -191,7 +213,7 @@ def fit(texts: list[str], spec: CrfSpec) -> Field:
         files[:, OUTSIDE] = 50.0
         return Field(own, files, trans)
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    feats = np.array([type_features(w) for w in names])
+    feats = type_features(list(names))
     code = np.array([names[w] for w in words])
     sizes, kinds, y = np.array(sizes), np.array(kinds), np.concatenate(tags).astype(int)
     owner, place = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])
