@@ -39,7 +39,8 @@ def domain_of(source: Column) -> Column:
 
 def n_tokens(text: Column) -> Column:
     """Pieces between single spaces and line ends; 0 for null and empty texts."""
-    return F.when(F.length(text) > 0, F.length(text) - F.length(F.translate(text, " \n", "")) + 1).otherwise(F.lit(0)).cast("long")
+    bare = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    return F.when(F.length(text) > 0, F.length(text) - F.length(bare) + 1).otherwise(F.lit(0)).cast("long")
 
 
 def leaves(docs: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     Order within an epoch: md5 of "seed:epoch:doc_id", then id. Prefix sums go over 4096 ranges of that hash, so a leaf with a
     third of all rows isn't one task's work.
     """
-    rows = leaves(docs).where("tokens > 0")
+    rows = written(leaves(docs).where("tokens > 0"), "leaf-rows")
     stats = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = written(budgets(written(stats, "leaves"), spec).where("budget > 0").select(*LEVELS, "budget", F.col("tokens").alias("leaf_tokens")).coalesce(1), "budgets")
     epochs = F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("leaf_tokens")).cast("int"))
