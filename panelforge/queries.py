@@ -1,6 +1,513 @@
-"""Registered queries of the factor engine and their DuckDB equivalents."""
+"""Registered queries of the factor engine and their DuckDB equivalents.
+
+Panels come from the driver's tables (see ``sources.panels``). Values are rounded so that both engines' sums agree.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from panelforge.functions import stats
+from panelforge.operators import evaluate, labels, market, portfolio, postprocess, selection
+from panelforge.plans import dsl
+from panelforge.plans.compile import compile_formulas
+from panelforge.sources.panels import PANEL_SQL, supplier_month, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FIELDS = {"returns", "close", "amount", "volume"}
+W_TS, W_CS = "(PARTITION BY security ORDER BY ts)", "(PARTITION BY ts)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def shown(df: DataFrame, *values: str, digits: int = 8) -> DataFrame:
+    return df.select(F.col("timestamp").cast("date").alias("ts"), "security", *(F.round(F.col(v).cast("double"), digits).alias(v) for v in values))
+
+
+def frame(n: int) -> str:
+    return f"(PARTITION BY security ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def full(x: str, n: int, expr: str) -> str:
+    return f"CASE WHEN count({x}) OVER {frame(n)} = {n} THEN {expr} END"
+
+
+def pct_rank_sql(x: str, source: str) -> str:
+    """A percent rank with average ties over non-null values, as a query over ``source`` (ts, security, x)."""
+    return f"SELECT ts, security, CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY ts, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY ts, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY ts) END AS v FROM {source}"
+
+
+def formula(name: str, text: str, sql: str, ready: bool = False) -> None:
+    """A query that evaluates one formula on the supplier-month panel; ``sql`` is an expression over g, or with ``ready`` a query for (ts, security, v)."""
+    rows = sql if ready else f"SELECT ts, security, {sql} AS v FROM g"
+    query(name, f"{PANEL_SQL} SELECT ts, security, round(CAST(v AS DOUBLE), 8) AS value FROM ({rows})")(lambda spark, sf: shown(compile_formulas(supplier_month(spark, sf), {"value": text}, FIELDS), "value"))
+
+
+formula("a1_add", "Add(returns, Mul(returns, 2))", "returns + returns * 2")
+formula("a2_sub", "Sub(returns, 0.5)", "returns - 0.5")
+formula("a3_mul", "Mul(returns, returns)", "returns * returns")
+formula("a4_div", "Div(amount, volume)", "amount / CASE WHEN abs(volume) > 1e-12 THEN volume END")
+formula("a5_neg", "Neg(returns)", "-returns")
+formula("a6_greater", "Greater(returns, 0)", "CASE WHEN coalesce(returns > 0, false) THEN 1 ELSE 0 END")
+formula("a7_less", "Less(returns, 0)", "CASE WHEN coalesce(returns < 0, false) THEN 1 ELSE 0 END")
+formula("a8_ifelse", "IfElse(Less(returns, 0), Mul(returns, returns), 0)", "CASE WHEN returns < 0 THEN returns * returns ELSE 0 END")
+formula("a10_tsmean", "TsMean(returns, 3)", full("returns", 3, f"avg(returns) OVER {frame(3)}"))
+formula("a11_tsstd", "TsStd(returns, 6)", full("returns", 6, f"stddev_samp(returns) OVER {frame(6)}"))
+formula("a12_tsdelta", "TsDelta(close, 2)", f"close - lag(close, 2) OVER {W_TS}")
+formula(
+    "a13_tsrank", "TsRank(returns, 5)",
+    "SELECT ts, security, CASE WHEN len(a) = 5 THEN (len(list_filter(a, lambda v: v < returns)) + (len(list_filter(a, lambda v: v = returns)) + 1) / 2.0) / 5 END AS v "
+    f"FROM (SELECT ts, security, returns, list(returns) FILTER (returns IS NOT NULL) OVER {frame(5)} AS a FROM g)", ready=True,
+)
+formula(
+    "a14_tscorr", "TsCorr(returns, volume, 6)",
+    f"SELECT ts, security, CASE WHEN count(x) OVER {frame(6)} = 6 THEN covar_pop(x, y) OVER {frame(6)} / nullif(stddev_pop(x) OVER {frame(6)} * stddev_pop(y) OVER {frame(6)}, 0) END AS v "
+    "FROM (SELECT ts, security, CASE WHEN volume IS NOT NULL THEN returns END AS x, CASE WHEN returns IS NOT NULL THEN volume END AS y FROM g)", ready=True,
+)
+formula("a15_tsskew", "TsSkew(returns, 8)", full("returns", 8, f"skewness(returns) OVER {frame(8)}"))
+formula("a16_tskurt", "TsKurt(returns, 8)", full("returns", 8, f"kurtosis(returns) OVER {frame(8)}"))
+formula("a17_csrank", "CsRank(returns)", pct_rank_sql("returns", "g"), ready=True)
+formula("dsl_flagship", "CsRank(TsMean(returns, 3))", pct_rank_sql("m", f"(SELECT ts, security, {full('returns', 3, f'avg(returns) OVER {frame(3)}')} AS m FROM g)"), ready=True)
+
+
+@query("a_extensions", f"{PANEL_SQL} SELECT ts, security, round(lag(returns, 2) OVER {W_TS}, 8) AS delay FROM g")
+def _extensions(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(compile_formulas(supplier_month(spark, sf), {"delay": "TsDelay(returns, 2)"}, FIELDS, extended=True), "delay")
+
+
+@query(
+    "a22_batch",
+    f"""{PANEL_SQL}, m AS (SELECT ts, security, {full("returns", 3, f"avg(returns) OVER {frame(3)}")} AS m3, {full("returns", 6, f"stddev_samp(returns) OVER {frame(6)}")} AS s6 FROM g)
+    SELECT ts, security, round(m3, 8) AS mean3, round(m3 / CASE WHEN abs(s6) > 1e-12 THEN s6 END, 8) AS ratio, round(-m3, 8) AS reversed FROM m""",
+)
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Three formulas in one plan; their common parts are computed once."""
+    texts = {"mean3": "TsMean(returns, 3)", "ratio": "Div(TsMean(returns, 3), TsStd(returns, 6))", "reversed": "Neg(TsMean(returns, 3))"}
+    return shown(compile_formulas(supplier_month(spark, sf), texts, FIELDS), *texts)
+
+
+@query(
+    "a23_masks",
+    f"""{PANEL_SQL}, f AS (SELECT g.*, s_acctbal >= 0 AS xs, volume IS NOT NULL AS hist FROM g JOIN supplier ON security = s_suppkey),
+    h AS (SELECT ts, security, xs, CASE WHEN hist THEN CASE WHEN returns < 0 THEN returns * returns ELSE 0 END END AS x FROM f)
+    SELECT ts, security, round(CASE WHEN xs AND x IS NOT NULL THEN (rank() OVER (PARTITION BY ts, xs AND x IS NOT NULL ORDER BY x) + (count(*) OVER (PARTITION BY ts, xs AND x IS NOT NULL, x) - 1) / 2.0)
+        / count(*) OVER (PARTITION BY ts, xs AND x IS NOT NULL) END, 8) AS value FROM h""",
+)
+def _masks(spark: SparkSession, sf: str) -> DataFrame:
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("security"), (F.col("s_acctbal") >= 0).alias("xs"))
+    view = supplier_month(spark, sf).join(suppliers, "security").withColumn("hist", F.col("volume").isNotNull())
+    return shown(compile_formulas(view, {"value": "CsRank(IfElse(Less(returns, 0), Mul(returns, returns), 0))"}, FIELDS, hist="hist", xs="xs"), "value")
+
+
+RULED = ("CsRank(TsMean(returns, 3))", "returns.__class__", "__import__(1)", "TsMean(returns, 0)", "Add(next_return, 1)", "Add(returns, amount)", "Add(amount, returns)")
+
+
+@query("a18_validation")
+def _validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts, reasons, complexity and semantic hashes of a list of formulas (computed on the driver, as the language is)."""
+    rows = []
+    for text in RULED:
+        why = dsl.reasons_against(text, FIELDS)
+        c = dsl.measure(text) if not why else dsl.Complexity()
+        rows.append((text, not why, ";".join(why), c.nodes, c.depth, c.window, dsl.semantic_hash(text) if not why else None))
+    return spark.createDataFrame(rows, "formula string, accepted boolean, reasons string, nodes int, depth int, window int, hash string")
+
+
+# --- factor post-processing
+
+
+@query("b1_visibility", "SELECT event_id, coalesce(ts + to_hours(CAST(json_extract_string(props, '$.k') AS INTEGER)) <= TIMESTAMP '2024-01-15 00:00:00', false) AS visible FROM events")
+def _visible(spark: SparkSession, sf: str) -> DataFrame:
+    return known_events(spark, sf).select("event_id", postprocess.available(F.col("effective_at"), F.col("known_at"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("visible"))
+
+
+def known_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with the time they became known: some hours (``k``) after they happened."""
+    e = table(spark, sf, "events")
+    return e.withColumn("effective_at", F.col("ts")).withColumn("known_at", F.expr("ts + make_dt_interval(0, cast(get_json_object(props, '$.k') as int), 0, 0)"))
+
+
+KNOWN_SQL = "SELECT *, ts AS effective_at, ts + to_hours(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS known_at FROM events"
+
+
+@query("b4_winsorize", f"{PANEL_SQL}, q AS (SELECT ts, quantile_cont(returns, 0.05) AS lo, quantile_cont(returns, 0.95) AS hi FROM g GROUP BY ts) SELECT ts, security, round(CASE WHEN returns IS NOT NULL THEN least(greatest(returns, lo), hi) END, 8) AS returns FROM g JOIN q USING (ts)")
+def _winsor(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(postprocess.winsorize(supplier_month(spark, sf), "returns", 0.05, 0.95), "returns")
+
+
+@query("b5_zscore", f"{PANEL_SQL} SELECT ts, security, round((returns - avg(returns) OVER {W_CS}) / nullif(stddev_pop(returns) OVER {W_CS}, 0), 8) AS returns FROM g")
+def _zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(postprocess.zscore(supplier_month(spark, sf), "returns"), "returns")
+
+
+@query(
+    "b6_neutralize",
+    f"""{PANEL_SQL}, p AS (SELECT ts, security, CASE WHEN volume IS NOT NULL THEN returns END AS y, CASE WHEN returns IS NOT NULL THEN volume END AS x FROM g),
+    s AS (SELECT ts, avg(y) AS my, avg(x) AS mx, count(y) AS n, covar_pop(x, y) / nullif(var_pop(x), 0) AS b FROM p GROUP BY ts)
+    SELECT ts, security, round(CASE WHEN n > 2 THEN y - my - coalesce(b, 0) * (x - mx) END, 8) AS returns FROM p JOIN s USING (ts)""",
+)
+def _neutral(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(postprocess.neutralize(supplier_month(spark, sf), "returns", "volume"), "returns")
+
+
+@query("b6_neutralize_many")
+def _neutral_many(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(postprocess.neutralize_many(supplier_month(spark, sf), "returns", ["volume", "close"], ridge=0.1), "returns")
+
+
+@query(
+    "b7_daily",
+    """WITH d AS (SELECT user_id AS security, ts, value, CAST(ts AS DATE) AS day FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 840 AND 900),
+    last AS (SELECT day, max(ts) AS timestamp FROM d GROUP BY day)
+    SELECT timestamp, security, round(avg(value), 8) AS value FROM d JOIN last USING (day) GROUP BY timestamp, security""",
+)
+def _daily(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = table(spark, sf, "events").select(F.col("ts").alias("timestamp"), F.col("user_id").alias("security"), "value")
+    return postprocess.daily(ticks, "value", "close60", "mean").select("timestamp", "security", F.round("value", 8).alias("value"))
+
+
+@query(
+    "b10_ewm",
+    f"""{PANEL_SQL}, n AS (SELECT *, row_number() OVER {W_TS} AS k FROM g), r AS (
+    WITH RECURSIVE e AS (SELECT security, k, ts, returns AS m, 1.0::DOUBLE AS o, (returns IS NOT NULL)::INT AS c FROM n WHERE k = 1
+        UNION ALL SELECT n.security, n.k, n.ts, CASE WHEN n.returns IS NULL THEN m WHEN m IS NULL THEN n.returns ELSE (o * 0.6 * m + 0.4 * n.returns) / (o * 0.6 + 0.4) END,
+            CASE WHEN n.returns IS NULL THEN CASE WHEN m IS NULL THEN 1.0 ELSE o * 0.6 END ELSE 1.0 END, c + (n.returns IS NOT NULL)::INT FROM e JOIN n ON n.security = e.security AND n.k = e.k + 1) SELECT * FROM e)
+    SELECT ts, security, round(CASE WHEN c >= 4 THEN m END, 8) AS ewm FROM r""",
+)
+def _ewm(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(postprocess.ewm(supplier_month(spark, sf), "returns", 4), "ewm")
+
+
+# --- sources, point in time, quality
+
+
+@query("c4_as_of", f"SELECT event_id, user_id FROM ({KNOWN_SQL}) WHERE effective_at <= TIMESTAMP '2024-01-20' AND known_at <= TIMESTAMP '2024-01-20'")
+def _as_of(spark: SparkSession, sf: str) -> DataFrame:
+    return market.visible_as_of(known_events(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id", "user_id")
+
+
+def _revisions(policy: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = known_events(spark, sf).withColumn("effective_at", F.date_trunc("day", "ts"))
+        return market.resolve_revisions(rows, ["user_id"], policy, tie="event_id").select("user_id", F.col("effective_at").cast("date").alias("day"), "event_id")
+
+    return run
+
+
+for _policy, _order in (("first_seen", "known_at"), ("as_of", "known_at DESC")):
+    query(f"c5_{_policy}", f"SELECT user_id, CAST(ts AS DATE) AS day, event_id FROM ({KNOWN_SQL}) QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY {_order}, event_id) = 1")(_revisions(_policy))
+
+
+@query(
+    "d1_quality",
+    f"""{PANEL_SQL}, t AS (SELECT count(*) AS n, count(*) - count(returns) AS absent, count(*) FILTER (returns < -0.5) AS low, count(*) FILTER (returns > 0.5) AS high FROM g)
+    SELECT * FROM (SELECT 'missing_values' AS code, 'warning' AS severity, 'returns' AS field, absent AS n FROM t WHERE absent / n > 0.01 AND absent / n <= 0.25
+    UNION ALL SELECT 'value_below_minimum', 'error', 'returns', low FROM t WHERE low > 0 UNION ALL SELECT 'value_above_maximum', 'error', 'returns', high FROM t WHERE high > 0)""",
+)
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return market.quality_report(supplier_month(spark, sf), ["timestamp", "security"], "returns", -0.5, 0.5, warn_missing=0.01)
+
+
+@query("d4_session", "SELECT event_id FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 690 OR hour(ts) * 60 + minute(ts) BETWEEN 780 AND 900")
+def _session(spark: SparkSession, sf: str) -> DataFrame:
+    minute = stats.session_minutes(F.col("ts"))
+    return table(spark, sf, "events").where(minute.between(570, 690) | minute.between(780, 900)).select("event_id")
+
+
+# --- joins
+
+
+@query(
+    "e3_mask_lookup",
+    f"{PANEL_SQL}, m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS ts, o_custkey AS security, true AS busy FROM orders) SELECT ts, security, coalesce(busy, false) AS busy FROM g LEFT JOIN m USING (ts, security)",
+)
+def _mask(spark: SparkSession, sf: str) -> DataFrame:
+    busy = table(spark, sf, "orders").select(F.trunc("o_orderdate", "MM").alias("timestamp"), F.col("o_custkey").alias("security"), F.lit(True).alias("busy")).distinct()
+    return market.mask_lookup(supplier_month(spark, sf), busy, ["timestamp", "security"], "busy").select(F.col("timestamp").cast("date").alias("ts"), "security", "busy")
+
+
+@query(
+    "e4_as_of_join",
+    "WITH b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') SELECT a.event_id, b.value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts",
+)
+def _asof(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return market.as_of_join(clicks, bought, ["user_id"], "ts", "ts", "value").select("event_id", "value")
+
+
+@query(
+    "e7_state",
+    f"""WITH d AS (SELECT CAST(unnest(range(DATE '2024-01-05', DATE '2024-02-01', INTERVAL 5 DAY)) AS TIMESTAMP) AS date), k AS (SELECT *, CASE WHEN event_type = 'error' THEN 'INACTIVE' ELSE 'ACTIVE' END AS status FROM ({KNOWN_SQL}))
+    SELECT user_id, CAST(date AS DATE) AS date, max_by(status, (effective_at, known_at, status)) AS status FROM k JOIN d ON effective_at <= date AND known_at <= date GROUP BY 1, 2""",
+)
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    events = known_events(spark, sf).withColumn("status", F.when(F.col("event_type") == "error", "INACTIVE").otherwise("ACTIVE"))
+    dates = spark.sql("SELECT explode(transform(sequence(date'2024-01-05', date'2024-01-31', interval 5 days), d -> cast(d as timestamp_ntz))) AS date")
+    return market.state_at(events, F.broadcast(dates), "user_id").select("user_id", F.col("date").cast("date").alias("date"), "status")
+
+
+@query(
+    "e14_ancestors",
+    """WITH RECURSIVE edges AS (SELECT CAST(p_partkey AS BIGINT) AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent FROM part WHERE p_partkey >= 3),
+    up AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT up.node, e.parent FROM up JOIN edges e ON e.child = up.ancestor) SELECT node, ancestor FROM up""",
+)
+def _lineage(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "part").where("p_partkey >= 3").select(F.col("p_partkey").cast("long").alias("child"), F.floor(F.col("p_partkey") / 3).cast("long").alias("parent"))
+    return market.ancestors(edges)
+
+
+@query("e17_active", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _active(spark: SparkSession, sf: str) -> DataFrame:
+    revoked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").select("o_orderkey").join(revoked, "o_orderkey", "left_anti")
+
+
+# --- aggregations
+
+
+@query(
+    "f1_bars",
+    "SELECT CAST(ts AS DATE) AS day, user_id, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, round(sum(value), 6) AS volume, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def _bars(spark: SparkSession, sf: str) -> DataFrame:
+    b = market.daily_bars(table(spark, sf, "events"), "value", "value", "user_id")
+    return b.withColumn("volume", F.round("volume", 6)).withColumn("mean", F.round("mean", 6))
+
+
+LABELED_SQL = f"{PANEL_SQL}, l AS (SELECT ts, security, returns AS s, CASE WHEN lead(close, 1) OVER {W_TS} > 0 AND lead(close, 2) OVER {W_TS} > 0 THEN lead(close, 2) OVER {W_TS} / lead(close, 1) OVER {W_TS} - 1 END AS y FROM g)"
+RANKED_SQL = f"""{LABELED_SQL}, v AS (SELECT *, s IS NOT NULL AND y IS NOT NULL AS ok FROM l),
+    k AS (SELECT *, rank() OVER (PARTITION BY ts, ok ORDER BY s) + (count(*) OVER (PARTITION BY ts, ok, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY ts, ok ORDER BY y) + (count(*) OVER (PARTITION BY ts, ok, y) - 1) / 2.0 AS ry FROM v)"""
+PER_DATE_SQL = f"""{RANKED_SQL}, d AS (SELECT ts, count(*) FILTER (ok) AS n, count(*) FILTER (ok) / nullif(count(s), 0) AS coverage, covar_pop(s, y) FILTER (ok) / nullif(stddev_pop(s) FILTER (ok) * stddev_pop(y) FILTER (ok), 0) AS ic,
+    covar_pop(rs, ry) FILTER (ok) / nullif(stddev_pop(rs) FILTER (ok) * stddev_pop(ry) FILTER (ok), 0) AS rank_ic, stddev_pop(s) FILTER (ok) AS dispersion FROM k GROUP BY ts)"""
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return supplier_month(spark, sf).select("timestamp", "security", "returns", labels.return_label(F.col("close"), 1, 1).alias("label"))
+
+
+@query("f2_per_date", f"{PER_DATE_SQL} SELECT ts, n, round(coverage, 8) AS coverage, round(ic, 8) AS ic, round(rank_ic, 8) AS rank_ic, round(dispersion, 8) AS dispersion FROM d")
+def _per_date(spark: SparkSession, sf: str) -> DataFrame:
+    d = evaluate.per_date(labelled(spark, sf), "returns", "label")
+    return d.select(F.col("timestamp").cast("date").alias("ts"), "n", *(F.round(c, 8).alias(c) for c in ("coverage", "ic", "rank_ic", "dispersion")))
+
+
+@query("f14_tie_rate", f"{RANKED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY ts, ok, s) AS same FROM v) SELECT ts, round(CAST(sum(same - 1) FILTER (ok) AS DOUBLE) / nullif(count(*) FILTER (ok) * (count(*) FILTER (ok) - 1), 0), 8) AS tie_rate FROM c GROUP BY ts")
+def _ties(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.per_date(labelled(spark, sf), "returns", "label").select(F.col("timestamp").cast("date").alias("ts"), F.round("tie_rate", 8).alias("tie_rate"))
+
+
+@query(
+    "f4_buckets",
+    f"{LABELED_SQL}, b AS (SELECT ts, y, least(greatest(ceil(row_number() OVER (PARTITION BY ts ORDER BY s, security) / count(*) OVER (PARTITION BY ts) * 5), 1), 5)::INT AS bucket FROM l WHERE s IS NOT NULL AND y IS NOT NULL) SELECT ts, bucket, round(avg(y), 8) AS mean_label, count(*) AS n FROM b GROUP BY 1, 2",
+)
+def _buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bucket_returns(labelled(spark, sf), "returns", "label", 5).select(F.col("timestamp").cast("date").alias("ts"), "bucket", F.round("mean_label", 8).alias("mean_label"), "n")
+
+
+@query(
+    "f6_summary",
+    f"""{PER_DATE_SQL}, a AS (SELECT avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS std_rank_ic, avg(rank_ic) / stddev_samp(rank_ic) AS rank_ic_ir, avg((rank_ic > 0)::INT) AS positive_ratio, avg(coverage) AS mean_coverage, count(rank_ic)::DOUBLE AS sample_count FROM d)
+    SELECT metric, round(value, 7) AS value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value)""",
+)
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summary(evaluate.per_date(labelled(spark, sf), "returns", "label")).select("metric", F.round("value", 7).alias("value"))
+
+
+@query(
+    "f7_turnover",
+    f"{PANEL_SQL}, p AS ({pct_rank_sql('returns', 'g')}), q AS (SELECT ts, abs(v - lag(v) OVER {W_TS}) AS d FROM p) SELECT ts, round(CASE WHEN count(d) >= 2 THEN avg(d) END, 8) AS turnover FROM q GROUP BY ts",
+)
+def _turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.rank_turnover(supplier_month(spark, sf), "returns").select(F.col("timestamp").cast("date").alias("ts"), F.round("turnover", 8).alias("turnover"))
+
+
+def _pair_sql(a: str, b: str) -> str:
+    return f"SELECT ts, '{a}' AS \"left\", '{b}' AS \"right\", round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 7) AS corr FROM (SELECT ts, CASE WHEN {b} IS NOT NULL THEN {a} END AS x, CASE WHEN {a} IS NOT NULL THEN {b} END AS y FROM g) GROUP BY ts"
+
+
+@query("f13_pairs", f"{PANEL_SQL} {_pair_sql('returns', 'volume')} UNION ALL {_pair_sql('returns', 'close')} UNION ALL {_pair_sql('volume', 'close')}")
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    made = evaluate.pair_correlations(supplier_month(spark, sf), ["returns", "volume", "close"])
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "left", "right", F.round("corr", 7).alias("corr"))
+
+
+@query("f29_histogram", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def _histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("f30_next_attempt", "SELECT l_orderkey, coalesce(max(l_linenumber), 0) + 1 AS next FROM lineitem GROUP BY 1")
+def _next(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).alias("next"))
+
+
+@query("f31_latest", "SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
+def _latest(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+
+
+# --- labels and splits
+
+
+@query("i1_return_label", f"{LABELED_SQL} SELECT ts, security, round(y, 8) AS label FROM l")
+def _label(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(labelled(spark, sf), "label")
+
+
+@query("i2_excess", f"{LABELED_SQL} SELECT ts, security, round(y - avg(y) OVER {W_CS}, 8) AS excess FROM l")
+def _excess(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(labelled(spark, sf).withColumn("excess", F.col("label") - F.avg("label").over(W.partitionBy("timestamp"))), "excess")
+
+
+@query("i3_direction", f"{LABELED_SQL} SELECT ts, security, CASE WHEN y IS NOT NULL THEN (y > 0)::INT::DOUBLE END AS direction FROM l")
+def _direction(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(labelled(spark, sf).withColumn("direction", labels.direction(F.col("label"))), "direction")
+
+
+AHEAD = "(PARTITION BY security ORDER BY ts ROWS BETWEEN {} FOLLOWING AND {} FOLLOWING)"
+
+
+@query("i4_future_volatility", f"{PANEL_SQL}, r AS (SELECT ts, security, ln(1 + returns) AS x FROM g) SELECT ts, security, round(CASE WHEN count(x) OVER {AHEAD.format(2, 4)} = 3 THEN stddev_pop(x) OVER {AHEAD.format(2, 4)} END, 8) AS vol FROM r")
+def _future_vol(spark: SparkSession, sf: str) -> DataFrame:
+    rows = supplier_month(spark, sf).withColumn("x", F.log(1 + F.col("returns")))
+    return shown(rows.withColumn("vol", labels.future_volatility("x", 3)), "vol")
+
+
+@query("f16_compounded", f"{PANEL_SQL} SELECT ts, security, round(CASE WHEN count(returns) OVER {AHEAD.format(1, 3)} = 3 THEN product(1 + returns) OVER {AHEAD.format(1, 3)} - 1 END, 8) AS compounded FROM g")
+def _compound(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(supplier_month(spark, sf).withColumn("compounded", labels.compounded("returns", 3)), "compounded")
+
+
+@query(
+    "i8_walk_forward",
+    """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS signal FROM lineitem), w AS (SELECT signal, lead(signal, 2) OVER (ORDER BY signal) AS label_end FROM m),
+    f(fold_id, a, b, c, d) AS (VALUES (1, DATE '1995-01-01', DATE '1997-12-01', DATE '1998-02-01', DATE '1998-12-01'), (2, DATE '1995-01-01', DATE '1998-12-01', DATE '1999-02-01', DATE '1999-12-01'))
+    SELECT * FROM (SELECT fold_id, signal, CASE WHEN signal BETWEEN a AND b AND label_end > b THEN 'purged' WHEN signal BETWEEN a AND b THEN 'train' WHEN signal BETWEEN c AND d AND label_end <= d THEN 'validation' WHEN signal BETWEEN c AND d THEN 'excluded' END AS role FROM w JOIN f ON signal BETWEEN a AND d) WHERE role IS NOT NULL""",
+)
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    months = table(spark, sf, "lineitem").select(F.trunc("l_shipdate", "MM").alias("signal")).distinct()
+    windows = months.withColumn("label_end", F.lead("signal", 2).over(W.orderBy("signal")))  # one row for each session
+    folds = spark.sql("SELECT * FROM VALUES (1, date'1995-01-01', date'1997-12-01', date'1998-02-01', date'1998-12-01'), (2, date'1995-01-01', date'1998-12-01', date'1999-02-01', date'1999-12-01') AS t(fold_id, train_start, train_end, validation_start, validation_end)")
+    return labels.walk_forward(windows, folds)
+
+
+# --- portfolios and costs
+
+
+@query(
+    "h1_top_quantile",
+    f"{PANEL_SQL}, r AS (SELECT ts, security, row_number() OVER (PARTITION BY ts ORDER BY returns, security) AS rn, count(*) OVER (PARTITION BY ts) AS n FROM g WHERE returns IS NOT NULL), k AS (SELECT *, greatest(1, floor(n * 0.2)) AS k FROM r) SELECT ts, security, round(CASE WHEN rn > n - k THEN 0.5 / k WHEN rn <= k THEN -0.5 / k ELSE 0 END, 8) AS weight FROM k",
+)
+def _top(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(portfolio.top_quantile(supplier_month(spark, sf), "returns", 0.2), "weight")
+
+
+RANK_WEIGHT_SQL = f"""{PANEL_SQL}, r AS (SELECT ts, security, row_number() OVER (PARTITION BY ts ORDER BY returns, security) / count(*) OVER (PARTITION BY ts) - 0.5 AS c FROM g WHERE returns IS NOT NULL),
+    wts AS (SELECT ts, security, CASE WHEN c > 0 THEN c / nullif(sum(greatest(c, 0)) OVER (PARTITION BY ts), 0) / 2 WHEN c < 0 THEN c / nullif(sum(greatest(-c, 0)) OVER (PARTITION BY ts), 0) / 2 ELSE 0 END AS weight FROM r)"""
+
+
+@query("h2_rank_weights", f"{RANK_WEIGHT_SQL} SELECT ts, security, round(weight, 8) AS weight FROM wts")
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(portfolio.rank_weights(supplier_month(spark, sf), "returns"), "weight")
+
+
+@query("h3_capped")
+def _capped(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(portfolio.capped_simplex(supplier_month(spark, sf).where("returns is not null"), "returns", cap=0.25), "weight")
+
+
+@query("h7_diagnostics", f"{RANK_WEIGHT_SQL}, t AS (SELECT *, abs(weight - coalesce(lag(weight) OVER {W_TS}, 0)) AS d FROM wts) SELECT ts, round(sum(d) / 2, 8) AS turnover, round(sum(abs(weight)), 8) AS gross, round(sum(weight), 8) + 0.0 AS net FROM t GROUP BY ts")
+def _diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    made = portfolio.one_way_turnover(portfolio.rank_weights(supplier_month(spark, sf), "returns"))
+    return made.select(F.col("timestamp").cast("date").alias("ts"), F.round("turnover", 8).alias("turnover"), F.round("gross", 8).alias("gross"), (F.round("net", 8) + 0.0).alias("net"))
+
+
+@query(
+    "j4_costs",
+    """SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice = 0 THEN 0 ELSE greatest(l_extendedprice * 3.0 / 10000, 5.0) + l_extendedprice * 3.0 / 10000 + CASE WHEN l_returnflag = 'R' THEN l_extendedprice * 10.0 / 10000 ELSE 0 END
+    + 0.1 * pow(l_quantity / 100, 0.5) * l_discount * l_extendedprice END, 6) AS cost FROM lineitem""",
+)
+def _costs(spark: SparkSession, sf: str) -> DataFrame:
+    cost = portfolio.trade_cost(F.col("l_extendedprice"), F.col("l_returnflag") == "R", F.col("l_quantity") / 100, F.col("l_discount"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 6).alias("cost"))
+
+
+def _navs(spark: SparkSession, sf: str) -> DataFrame:
+    panel = supplier_month(spark, sf)
+    weights = portfolio.top_quantile(panel, "returns", 0.2)
+    rows = panel.join(weights, ["timestamp", "security"], "left").select(F.explode(F.expr("array(1L, 2L)")).alias("portfolio_id"), "timestamp", "security", "weight", "close", "amount")
+    side = F.when(F.col("portfolio_id") == 2, -1.0).otherwise(1.0)
+    return portfolio.backtest(rows.select("portfolio_id", "timestamp", "security", (F.coalesce("weight", F.lit(0.0)) * side).alias("weight"), F.col("close").alias("price"), "amount"))
+
+
+QUERIES["j1_backtest"] = _navs
+QUERIES["f19_performance"] = lambda spark, sf: portfolio.performance(_navs(spark, sf))
+
+
+# --- multiple testing and selection
+
+
+def _supplier_series(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.newey_west(supplier_month(spark, sf), "returns", "security", "timestamp", 3)
+
+
+HAC_SQL = f"""{PANEL_SQL}, x AS (SELECT ts, security, returns - avg(returns) OVER (PARTITION BY security) AS x, returns FROM g WHERE returns IS NOT NULL),
+    y AS (SELECT *, x * x AS g0, x * lag(x, 1) OVER {W_TS} AS g1, x * lag(x, 2) OVER {W_TS} AS g2, x * lag(x, 3) OVER {W_TS} AS g3 FROM x),
+    s AS (SELECT security, count(*) AS n, avg(returns) AS mean, (sum(g0) + 1.5 * coalesce(sum(g1), 0) + coalesce(sum(g2), 0) + 0.5 * coalesce(sum(g3), 0)) / count(*) AS lrv FROM y GROUP BY security)"""
+
+
+@query("f24_newey_west", f"{HAC_SQL} SELECT security, n, round(mean, 8) AS mean, round(lrv, 8) AS lrv, round(CASE WHEN lrv > 1e-18 THEN mean / sqrt(lrv / n) END, 6) AS z FROM s")
+def _hac(spark: SparkSession, sf: str) -> DataFrame:
+    return _supplier_series(spark, sf).select("security", "n", F.round("mean", 8).alias("mean"), F.round("lrv", 8).alias("lrv"), F.round("z", 6).alias("z"))
+
+
+QUERIES["f24_p_values"] = lambda spark, sf: _supplier_series(spark, sf).withColumn("p", selection.upper_p(F.col("z")))
+QUERIES["f25_bootstrap"] = lambda spark, sf: selection.block_bootstrap(supplier_month(spark, sf), "returns", "security", "timestamp", 5, 500, 42)
+
+
+@query(
+    "k1_benjamini_hochberg",
+    "WITH p AS (SELECT p_partkey AS name, p_brand AS family, (p_retailprice - floor(p_retailprice)) AS p FROM part), r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, name)) AS raw FROM p) SELECT name, family, round(min(raw) OVER (PARTITION BY family ORDER BY p, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS q FROM r",
+)
+def _bh(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("family"), (F.col("p_retailprice") - F.floor("p_retailprice")).alias("p"))
+    return selection.benjamini_hochberg(p, "p", "name", "family").select("name", "family", F.round("q", 8).alias("q"))
+
+
+@query(
+    "k4_frontier",
+    "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_suppkey != a.s_suppkey AND b.s_acctbal - a.s_acctbal >= 0 AND a.s_nationkey - b.s_nationkey >= 0 AND (b.s_acctbal - a.s_acctbal > 0 OR a.s_nationkey - b.s_nationkey > 0))",
+)
+def _frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.frontier(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], ["s_nationkey"])
+
+
+@query("k8_gates", "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT o_totalprice < 200000 THEN 'too_large' END, CASE WHEN NOT o_orderstatus = 'F' THEN 'not_final' END], lambda x: x IS NOT NULL), ',') AS codes FROM orders")
+def _gates(spark: SparkSession, sf: str) -> DataFrame:
+    codes: Column = selection.failed_gates({"too_large": F.col("o_totalprice") < 200000, "not_final": F.col("o_orderstatus") == "F"})
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(codes, ",").alias("codes"))
+
+
+@query("l_top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def _top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20)
+
+
+@query("m_scalars", "SELECT s_suppkey, upper(trim(s_name)) AS name, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, round(sqrt(abs(s_acctbal)), 8) AS root FROM supplier")
+def _scalars(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select("s_suppkey", F.upper(F.trim("s_name")).alias("name"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.round(F.sqrt(F.abs("s_acctbal")), 8).alias("root"))
