@@ -40,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's place in the packed file, its number of ids and their crc32, read back from the file."""
-    spec = packing.PackSpec(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    spec = packing.PackSpec(public_tokenizers.path("word_bpe_49k.json"), end_id=2, pieces=True)
     return packing.read_documents(packing.write_packed(docs, spec), packing.crc32_of, "ids_crc32")
 
 

@@ -9,7 +9,10 @@ be found and unpacked by numpy without reading others. Documents don't cross blo
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,16 +23,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import written
+from panelforge.llm.common import mix64, written
 
-#: Words whose ids a Python worker remembers.
-MEMO = 300_000
+#: Units whose ids a Python worker remembers.
+MEMO = 1_000_000
+WORD = re.compile("[^ \t-\r]+")
+#: Classes of code points below 256: 0 white space, 1 Latin letter, 2 digit, 3 other printable ASCII, 4 anything else (the apostrophe too).
+CLASS = np.full(257, 4, np.uint8)
+CLASS[33:127], CLASS[39], CLASS[48:58], CLASS[[9, 10, 11, 12, 13, 32]] = 3, 4, 2, 0
+CLASS[[*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]] = 1
+LOWER = np.arange(257, dtype=np.uint64)
+LOWER[[*range(65, 91), *range(192, 215), *range(216, 223)]] += np.uint64(32)
+BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class PackSpec:
+    """``pieces``: the tokenizer ignores case and encodes runs of letters, single digits and runs of other characters apart, so a plain word's pieces can be encoded once each."""
+
     tokenizer: str
     end_id: int = 2
+    pieces: bool = False
     block_ids: int = 1 << 18
 
 
@@ -54,40 +68,109 @@ def unpack_bits(data: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return flat @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
-class WordEncoder:
-    """Ids of whole texts by way of their words.
+class UnitEncoder:
+    """Ids of whole texts by way of units that the tokenizer encodes apart, so that each distinct unit is encoded once while it is remembered.
 
-    The tokenizer must not join what white space separates (it drops white space and encodes the
-    pieces between independently), so a text's ids are its words' ids in turn, and each distinct
-    word needs to be encoded once while it is remembered.
+    Units are words - the tokenizer drops white space and never joins what it separates - or, with ``pieces``, a plain
+    text's runs of letters, single digits and runs of other characters. A unit is known by the 64-bit polynomial hash of
+    its lower-case characters, found for all units of a batch by running sums.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), pieces
         self.size = self.tokenizer.get_vocab_size()
-        self.memo: dict[bytes, list[int]] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[list[int]]:
-        split = [t.split() if t else [] for t in texts]
-        memo = self.memo
-        fresh = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memo[w] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in map(memo.__getitem__, words):
-                ids += w
-            out.append(ids)
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = array("I"), []
+        for at in range(0, len(units), 10_000):
+            for e in self.tokenizer.encode_batch_fast(units[at : at + 10_000], add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                counts.append(len(ids))
+        return np.frombuffer(flat, np.uint32) if len(flat) else np.empty(0, np.uint32), np.array(counts, np.int64)
+
+    def _places(self, keys: np.ndarray, at: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        """Where each distinct key is remembered; unknown ones are encoded first."""
+        if len(self.keys) > MEMO:
+            self.forget()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return place
+        ids, counts = self._ids([text[s:e] for s, e in zip(at[new].tolist(), ends[new].tolist(), strict=True)])
+        firsts = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate((self.flat, ids))
+        to = np.searchsorted(self.keys, keys[new])
+        self.keys, self.first, self.count = (np.insert(a, to, b) for a, b in ((self.keys, keys[new]), (self.first, firsts), (self.count, counts)))
+        return np.searchsorted(self.keys, keys)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = [t or "" for t in texts]
+        text = "\n".join(texts) + "\n"
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        small = np.minimum(chars, 256)
+        kind = CLASS[small]
+        doc_ends = np.cumsum([len(t) + 1 for t in texts])
+        if self.pieces:
+            marks = np.flatnonzero((kind == 4) | ((chars == 60) & np.append(chars[1:] == 124, False)))
+            odd = np.unique(np.searchsorted(doc_ends, marks, side="right"))
+            before = np.concatenate(([0], kind[:-1]))
+            after = np.append(kind[1:], 0)
+            starts = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+            ends = np.flatnonzero((kind != 0) & ((kind != after) | (kind == 2))) + 1
+        else:
+            odd = np.arange(len(texts))
+            starts = ends = np.empty(0, np.int64)
+        owner = np.searchsorted(doc_ends, starts, side="right")
+        if len(odd):
+            plain = ~np.isin(owner, odd)
+            starts, ends, owner = starts[plain], ends[plain], owner[plain]
+        n = len(chars)
+        if len(self.power) < n:
+            self.power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, BASE, np.uint64))), dtype=np.uint64)
+            self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, pow(BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((LOWER[small] + np.uint64(1)) * self.power[:n], dtype=np.uint64)))
+        keys = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        place = self._places(distinct, starts[at], ends[at], text)[back]
+        first, count = self.first[place], self.count[place]
+        ids = self.flat[np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+        per_doc = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        out = np.split(ids, np.cumsum(per_doc)[:-1])
+        for d in odd.tolist():
+            words = WORD.findall(texts[d])
+            got = {w: i for w, i in zip(dict.fromkeys(words), self._each(list(dict.fromkeys(words))), strict=True)}
+            out[d] = np.concatenate([got[w] for w in words]) if words else np.empty(0, np.uint32)
         return out
 
+    def _each(self, units: list[str]) -> list[np.ndarray]:
+        ids, counts = self._ids(units)
+        return np.split(ids, np.cumsum(counts)[:-1]) if units else []
+
+
+_encoders: dict[tuple[str, bool], UnitEncoder] = {}
+
+
+def encoder_of(spec: PackSpec) -> UnitEncoder:
+    """The Python worker's encoder: tasks that follow each other in a worker share what it remembers."""
+    key = (spec.tokenizer, spec.pieces)
+    if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders[key] = UnitEncoder(*key)
+    return _encoders[key]
+
 
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, packed binary, doc_ids array<long>, lengths array<long>"
 
@@ -99,18 +182,17 @@ def write_packed(docs: DataFrame, spec: PackSpec, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard = WordEncoder(spec.tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(spec), TaskContext.get().partitionId()
         bits = bits_for(max(encoder.size, spec.end_id + 1))
         block = first = held = 0
+        end = np.array([spec.end_id], np.uint32)
         ids: list[np.ndarray] = []
         names: list[int | None] = []
+        lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            row = {"shard": [shard], "block": [block], "first": [first], "n_ids": [len(flat)], "bits": [bits], "packed": [pack_bits(flat, bits)], "doc_ids": [names], "lengths": [[len(x) for x in ids]]}
+            row = {"shard": [shard], "block": [block], "first": [first], "n_ids": [len(flat)], "bits": [bits], "packed": [pack_bits(flat, bits)], "doc_ids": [names], "lengths": [lengths]}
             kinds = {"shard": pa.int32(), "block": pa.int32(), "first": pa.int64(), "n_ids": pa.int64(), "bits": pa.int32(), "packed": pa.binary(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64())}
             return pa.RecordBatch.from_arrays([pa.array(row[c], t) for c, t in kinds.items()], list(kinds))
 
@@ -118,17 +200,17 @@ def write_packed(docs: DataFrame, spec: PackSpec, id_col: str = "doc_id", text_c
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for name, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    got.append(spec.end_id)
-                    ids.append(np.array(got, np.uint32))
+                    ids += (got, end)
+                    lengths.append(len(got) + 1)
                     names.append(name)
-                    held += len(got)
+                    held += len(got) + 1
                     if held >= spec.block_ids:
                         yield flush()
-                        block, first, held, ids, names = block + 1, first + held, 0, [], []
+                        block, first, held, ids, names, lengths = block + 1, first + held, 0, [], [], []
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, BLOCKS), "packed")
 

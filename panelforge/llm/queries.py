@@ -46,7 +46,7 @@ def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = packing.PackSpec(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    spec = packing.PackSpec(public_tokenizers.path("word_bpe_49k.json"), end_id=2, pieces=True)
     blocks = packing.write_packed(table(spark, sf_dir, "documents"), spec)
     return packing.read_documents(blocks, packing.crc32_of, "ids_crc32")
 
