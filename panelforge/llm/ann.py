@@ -95,21 +95,27 @@ class Block:
         self.sorted = np.frombuffer(row["projected"], np.float32).reshape(-1, n)
         self.spread = np.frombuffer(row["spread"], np.float64)
 
-    def collisions(self, centre: np.ndarray, spec: CollisionSpec) -> np.ndarray:
-        """How often each vector lies in a window around ``centre``, over all projections and rounds."""
-        n = len(self.ids)
-        total, inside = np.zeros(n, np.uint16), np.empty(n, np.uint8)
+    def collisions(self, centres: np.ndarray, spec: CollisionSpec) -> np.ndarray:
+        """For some queries at once, how often each vector lies in a window around their centres, over all projections and rounds: a row for each query.
+
+        Windows are runs of a sorted array, so their number over a place is a running sum of openings and closings.
+        """
+        n, q = len(self.ids), len(centres)
+        total = np.zeros((n, q), np.uint16)
         half = np.array(spec.widths)
-        for values, place, c, sd in zip(self.sorted, self.places, centre, self.spread, strict=True):
-            inside[:] = 0
-            for lo, hi in zip(np.searchsorted(values, c - half * sd), np.searchsorted(values, c + half * sd, side="right"), strict=True):
-                inside[lo:hi] += 1
-            total += inside[place]
-        return total
-
-    def nearest(self, query_id: int, q: np.ndarray, centre: np.ndarray, spec: CollisionSpec) -> tuple[np.ndarray, np.ndarray]:
-        """The best of the verified vectors, other than the query's own: ids and inner products."""
-        count = self.collisions(centre, spec)
+        column = np.repeat(np.arange(q), len(half))
+        edges = np.empty((n + 1, q), np.int8)
+        for i, (values, place, sd) in enumerate(zip(self.sorted, self.places, self.spread, strict=True)):
+            c = centres[:, i, None]
+            edges[:] = 0
+            np.add.at(edges, (np.searchsorted(values, (c - half * sd).astype(np.float32).ravel()), column), 1)
+            np.add.at(edges, (np.searchsorted(values, (c + half * sd).astype(np.float32).ravel(), side="right"), column), -1)
+            np.cumsum(edges, axis=0, dtype=np.int8, out=edges)
+            total += edges[place].view(np.uint8)
+        return np.ascontiguousarray(total.T)
+
+    def nearest(self, query_id: int, q: np.ndarray, count: np.ndarray, spec: CollisionSpec) -> tuple[np.ndarray, np.ndarray]:
+        """The best of the vectors whose collisions reach the threshold, other than the query's own: ids and inner products."""
         due = max(spec.least, int(spec.share * len(count)))
         if due < len(count):
             passing = np.cumsum(np.bincount(count)[::-1])
@@ -119,6 +125,9 @@ class Block:
             found = np.arange(len(count))
         found = found[self.ids[found] != query_id]
         score = (self.vectors[found] * q).sum(1)
+        if len(score) > 4 * spec.k:  # ties at the edge stay
+            best = np.flatnonzero(score >= np.partition(score, len(score) - spec.k)[len(score) - spec.k])
+            found, score = found[best], score[best]
         order = np.lexsort((self.ids[found], -score))[: spec.k]
         return self.ids[found][order], score[order]
 
@@ -132,7 +141,11 @@ def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, longest: flo
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, dim)
-                got = [block.nearest(i, q, c, spec) for i, q, c in zip(ids.tolist(), queries, centres, strict=True)]
+                got = []
+                for at in range(0, len(ids), 64):
+                    some = slice(at, at + 64)
+                    counts = block.collisions(centres[some], spec)
+                    got += [block.nearest(i, q, c, spec) for i, q, c in zip(ids[some].tolist(), queries[some], counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x, _ in got])), pa.array(np.concatenate([x for x, _ in got])), pa.array(np.concatenate([s for _, s in got]))], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, "query_id long, vec_id long, score double")
