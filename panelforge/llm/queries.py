@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import ann, decontam, lsh_forest, maxent_lm, mixing, packing, pii, quality, secret_scan, url_filter
 from panelforge.llm.common import table
+from panelforge.llm.oracles import ORACLES
 
 
 #: (action, host and path prefix)
@@ -68,4 +69,5 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_collision_search, op3_mixing, op4_crf_secrets, op5_maxent_lm, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
