@@ -41,9 +41,9 @@ class CrfSpec:
     positives: int = 200
     negatives: int = 150
     longest: int = 20_000
-    steps: int = 40
-    rate: float = 0.2
-    ridge: float = 1e-4
+    steps: int = 60
+    rate: float = 0.1
+    ridge: float = 0.05
     least: int = 8
 
 
@@ -263,7 +263,7 @@ def fit(texts: list[str], spec: CrfSpec) -> Field:
         np.add.at(g_trans, (np.zeros(n_seq, int), y[place == 0]), 1)
         np.add.at(g_trans, (y[place == np.repeat(sizes, sizes) - 1], np.zeros(n_seq, int)), 1)
         for p, g, a, b in zip(params, (g_own, g_files, g_trans), m1, m2, strict=True):
-            g = g / len(y) - spec.ridge * p
+            g = g - spec.ridge * p
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p += spec.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
