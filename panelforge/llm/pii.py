@@ -1,7 +1,7 @@
 """Personal data: patterns of known kinds, and identifiers found by bootstrapped contexts.
 
 Everything here is DataFrame and SQL functions. Known kinds (e-mail, IP, card and phone numbers)
-are seeds. Each identifier-like token (one with a run of four digits) is an instance; the word before it is
+are seeds. Seeds and identifier-like tokens (with a run of four digits) are instances; the word before one is
 its lexical pattern. Over the graph of patterns and instances, a pattern's confidence is the smoothed mean of its
 instances' scores and an instance's score the noisy-or of its patterns; seeds stay at 1. After
 some rounds, unseen instances at patterns of high confidence and enough different instances are spans of the kind ``context``.
@@ -81,11 +81,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Adds ``seen``: identifier-like tokens with the word before and whether a span of a known kind touches them."""
+    """Adds ``seen``: the seeds (spans of the known kinds) and identifier-like tokens that touch none of them, each with the word before it."""
     found = F.when(F.col("text").rlike("[0-9]{4}"), located("text", "context", IDENTIFIER, len(KINDS))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    word = lambda x: F.lower(F.regexp_extract(x["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
     known = lambda x: F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    return docs.withColumn("seen", F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("instance"), word(x).alias("pattern"), known(x).alias("seed"))))
+    word = lambda x: F.lower(F.regexp_extract(x["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+    shown = lambda spans, seed: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("instance"), word(x).alias("pattern"), F.lit(seed).alias("seed")))
+    return docs.withColumn("seen", F.concat(shown(F.col("base"), True), shown(F.filter(found, lambda x: ~known(x)), False)))
 
 
 def confident_patterns(seen: DataFrame, spec: BootstrapSpec) -> DataFrame:
