@@ -86,15 +86,16 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str | None]], spec: IndexSpec):
         memo, terms, lengths, owners = WordHashes(), [], [], []
-        self.ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
+        self.ids = list(dict.fromkeys(i for i, _ in items))
+        places = {i: k for k, i in enumerate(self.ids)}
+        for i, text in items:
             tokens = words_of(text.encode() if text else None, memo)
             n = min(spec.window, len(tokens))
             for s in range(len(tokens) - n + 1 if n else 0):
                 window = tokens[s : s + n]
                 terms.append(np.concatenate((window, np.repeat(window[-1:], spec.window - n))))
                 lengths.append(n)
-                owners.append(k)
+                owners.append(places[i])
         self.terms = np.array(terms, np.uint64).reshape(-1, spec.window)
         self.lengths, self.owners = np.array(lengths, np.int64), np.array(owners, np.int64)
         self.vocabulary, codes = np.unique(self.terms, return_inverse=True)
@@ -245,7 +246,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, spec: IndexSpec = IndexSpec
 
     A document word is hit when it lies in an occurrence of a window of any item; an item of fewer
     words than a window is one window. Null, empty and word-free texts have no words and no hits; null items and
-    items without words occur nowhere; repeated rows and items are judged alike, each row by itself.
+    items without words occur nowhere. Repeated rows are judged alike, each by itself; item rows of one id are one item.
     """
     index = written(build_index(docs, spec, id_col, text_col), "index")
     found = search(index, items, spec)
