@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("security").orderBy("timestamp")
+
+def _by() -> WindowSpec:
+    return W.partitionBy("security").orderBy("timestamp")
 
 
 def return_label(price: Column, lag: int, horizon: int, tradable: Column | None = None) -> Column:
     """P[exit] / P[entry] - 1 with entry ``lag`` sessions after the signal and exit ``horizon`` later; null unless both prices are positive and both ends tradable."""
-    entry, leave = F.lead(price, lag).over(BY), F.lead(price, lag + horizon).over(BY)
+    entry, leave = F.lead(price, lag).over(_by()), F.lead(price, lag + horizon).over(_by())
     ok = (entry > 0) & (leave > 0)
     if tradable is not None:
-        ok &= F.coalesce(F.lead(tradable, lag).over(BY) & F.lead(tradable, lag + horizon).over(BY), F.lit(False))
+        ok &= F.coalesce(F.lead(tradable, lag).over(_by()) & F.lead(tradable, lag + horizon).over(_by()), F.lit(False))
     return F.when(ok, leave / entry - 1)
 
 
@@ -24,14 +26,14 @@ def direction(label: Column, threshold: float = 0.0) -> Column:
 
 def future_volatility(log_return: str, horizon: int, annual: float | None = None) -> Column:
     """Population deviation of the log returns of the next ``horizon`` sessions, all of them present."""
-    ahead = BY.rowsBetween(2, horizon + 1)
+    ahead = _by().rowsBetween(2, horizon + 1)
     made = F.when(F.count(log_return).over(ahead) == horizon, F.stddev_pop(log_return).over(ahead))
     return made * F.sqrt(F.lit(annual)) if annual else made
 
 
 def compounded(returns: str, horizon: int) -> Column:
     """Product of 1 + r over the next ``horizon`` sessions, minus one; a missing return makes it null."""
-    ahead = BY.rowsBetween(1, horizon)
+    ahead = _by().rowsBetween(1, horizon)
     return F.when(F.count(returns).over(ahead) == horizon, F.product(1 + F.col(returns)).over(ahead) - 1)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import evaluate, labels, market, portfolio, postprocess, selection
+from panelforge.operators import evaluate, labels, market, portfolio, postprocess, records, selection
 from panelforge.plans import dsl
 from panelforge.plans.compile import compile_formulas
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
@@ -511,3 +511,94 @@ def _top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query("m_scalars", "SELECT s_suppkey, upper(trim(s_name)) AS name, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, round(sqrt(abs(s_acctbal)), 8) AS root FROM supplier")
 def _scalars(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", F.upper(F.trim("s_name")).alias("name"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.round(F.sqrt(F.abs("s_acctbal")), 8).alias("root"))
+
+
+# --- records and checks
+
+
+@query("d1f_envelope", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity * 2000 < greatest(l_quantity * 100, l_extendedprice, l_extendedprice * (1 - l_discount)) OR l_quantity * 100 > least(l_extendedprice, l_extendedprice * (1 - l_discount))")
+def _envelope(spark: SparkSession, sf: str) -> DataFrame:
+    q, x = F.col("l_quantity"), F.col("l_extendedprice")
+    bars = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (q * 2000).alias("high"), (q * 100).alias("low"), x.alias("open"), (x * (1 - F.col("l_discount"))).alias("close"))
+    return records.envelope_breaks(bars).select("l_orderkey", "l_linenumber")
+
+
+@query("d1g_steps", f"{PANEL_SQL}, b AS (SELECT ts, security, close, lag(close) OVER {W_TS} AS p FROM g) SELECT ts, security, round(close, 8) AS close FROM b WHERE p > 0 AND close > 0 AND greatest(close / p, p / close) > 1.5")
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(records.steps_over(supplier_month(spark, sf), "close", 1.5), "close")
+
+
+@query(
+    "e5_as_of_fallback",
+    f"""{PANEL_SQL}, m AS (SELECT ts AS since, security, volume > 100 AS eligible FROM g0 WHERE volume IS NOT NULL AND ts >= DATE '1997-01-01'), a AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+    SELECT g.ts, g.security, CASE WHEN g.ts < (SELECT min(since) FROM m) THEN s_suppkey IS NOT NULL ELSE coalesce(m.eligible, false) AND s_suppkey IS NOT NULL END AS eligible
+    FROM g ASOF LEFT JOIN m ON g.security = m.security AND g.ts >= m.since LEFT JOIN a ON g.security = s_suppkey""",
+)
+def _fallback(spark: SparkSession, sf: str) -> DataFrame:
+    g = supplier_month(spark, sf).select("timestamp", "security", "volume")
+    mask = g.where("volume is not null and timestamp >= date'1997-01-01'").select("timestamp", "security", (F.col("volume") > 100).alias("eligible"))
+    allowed = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("security"))
+    made = records.as_of_with_fallback(g.select("timestamp", "security"), mask, allowed)
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "security", "eligible")
+
+
+@query("e16_dangling", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def _dangling(spark: SparkSession, sf: str) -> DataFrame:
+    return records.dangling(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(
+    "f20_drawdown",
+    f"""{PANEL_SQL}, u AS (SELECT security, ts, close < max(close) OVER {W_TS} AS under FROM g WHERE close IS NOT NULL), r AS (SELECT *, sum((NOT under)::INT) OVER {W_TS} AS run FROM u),
+    n AS (SELECT security, run, sum(under::INT) AS n FROM r GROUP BY 1, 2) SELECT security, max(n)::BIGINT AS sessions FROM n GROUP BY 1""",
+)
+def _drawdown(spark: SparkSession, sf: str) -> DataFrame:
+    return records.longest_drawdown(supplier_month(spark, sf).where("close is not null").select("timestamp", "security", "close"), "close", "security")
+
+
+@query("i14_markers", "SELECT s_suppkey, s_nationkey % 2 = 0 AS suspended FROM supplier")
+def _markers(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.element_at(F.array(F.lit(" suspended "), F.lit("n"), F.lit("停牌"), F.lit("false")), F.col("s_nationkey") % 4 + 1)
+    return table(spark, sf, "supplier").select("s_suppkey", records.suspended(words).alias("suspended"))
+
+
+@query(
+    "k3_campaign",
+    """WITH a AS (SELECT l_suppkey % 5 AS family, l_partkey AS candidate, l_linenumber AS attempt, l_orderkey AS attempt_id, CASE WHEN l_returnflag != 'R' THEN l_discount + l_quantity / 1000 END AS p FROM lineitem),
+    l AS (SELECT family, candidate, arg_max(attempt, (attempt, attempt_id)) AS attempt, coalesce(arg_max({'p': p}, (attempt, attempt_id)).p, 1.0) AS p FROM a GROUP BY 1, 2),
+    r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, candidate)) AS raw FROM l)
+    SELECT family, candidate, attempt, round(p, 8) AS p, round(min(raw) OVER (PARTITION BY family ORDER BY p, candidate ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS q FROM r""",
+)
+def _campaign(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.when(F.col("l_returnflag") != "R", F.col("l_discount") + F.col("l_quantity") / 1000)
+    attempts = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("family"), F.col("l_partkey").alias("candidate"), F.col("l_linenumber").alias("attempt"), F.col("l_orderkey").alias("attempt_id"), p.alias("p"))
+    return records.campaign_tests(attempts, "family", "candidate").select("family", "candidate", "attempt", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"))
+
+
+@query(
+    "k7_patience",
+    """WITH b AS (SELECT o_custkey AS campaign, o_orderkey AS round, o_totalprice AS v, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+    SELECT campaign, round, NOT bool_or(coalesce(v > best, true)) OVER (PARTITION BY campaign ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AND k >= 3 AS stop FROM b""",
+)
+def _patience(spark: SparkSession, sf: str) -> DataFrame:
+    rounds = table(spark, sf, "orders").select(F.col("o_custkey").alias("campaign"), F.col("o_orderkey").alias("round"), "o_totalprice")
+    return records.stalled(rounds, "o_totalprice", 3).select("campaign", "round", "stop")
+
+
+@query(
+    "k14_transitions",
+    "WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM s WHERE prev IS NOT NULL AND NOT (prev, o_orderstatus) IN (('O', 'F'), ('O', 'P'), ('P', 'F'))",
+)
+def _transitions(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return records.bad_transitions(events, [("O", "F"), ("O", "P"), ("P", "F")], "o_custkey", "o_orderkey", "o_orderstatus").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query(
+    "k15_ledger",
+    "WITH h AS (SELECT user_id, event_id, event_type AS hash, CASE WHEN event_id % 10 = 3 THEN 'click' ELSE lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) END AS previous, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS due FROM events) SELECT user_id, event_id FROM h WHERE previous IS DISTINCT FROM due",
+)
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("hash"), F.when(F.col("event_id") % 10 == 3, "click").otherwise(before).alias("previous"))
+    return records.broken_chain(rows, "user_id", "event_id", "hash", "previous").select("user_id", "event_id")
