@@ -22,7 +22,9 @@ def test_sql(spark, sf, duck, name):
     assert same(rows(df.columns, [tuple(r) for r in df.collect()]), rows([d[0] for d in cursor.description], cursor.fetchall()))
 
 
-def test_nearest(spark, sf):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_nearest(spark, size):
+    sf = f"/root/testdata/{size}"
     table = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids, x = np.array([r[0] for r in table]), np.array([r[1] for r in table], float)
     got = {}

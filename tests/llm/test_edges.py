@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import zlib
+
 import brute
 import numpy as np
 import pytest
@@ -131,17 +133,12 @@ def test_language_model(case):
         assert all(np.isfinite([r.score, r.base_score]).all() for r in got)
 
 
-def test_probabilities_add_up(make_docs):
-    """Over the head's words, the unknown ones and the end, the model's next-word probabilities have a sum of at most one and near it."""
-    rows = [(i, "the cat sat on the mat and the dog ran") for i in range(50)]
-    words = ["the", "cat", "sat", "on", "mat", "and", "dog", "ran"]
-    probes = [(1000 + k, w) for k, w in enumerate(words)] + [(2000, "")]
-    held = [(i, t) for i, t in probes]
-    import zlib
-
-    ids = [i for i in range(3000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(held)]
-    got = {r.doc_id: r.score for r in maxent_lm.train_and_score(make_docs(rows + [(i, t) for i, (_, t) in zip(ids, held, strict=True)])).collect() if r.doc_id in ids}
-    assert all(s < 0 for s in got.values())
+def test_likely_words_score_higher(make_docs):
+    """Of held-out texts, one made of the training texts' words in their order scores higher than one of unknown words of equal number."""
+    ids = [i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, "the cat sat on the mat and the dog ran") for i in range(50)] + [(ids[0], "the cat sat"), (ids[1], "qq ww ee")]
+    got = {r.doc_id: r.score for r in maxent_lm.train_and_score(make_docs(rows)).collect()}
+    assert got[ids[1]] < got[ids[0]] < 0
 
 
 @pytest.mark.parametrize("labels", [[], [(5, 1), (7, 0)], [(5, None), (None, 1), (5, 3)]])
