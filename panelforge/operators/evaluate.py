@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +58,29 @@ def pair_correlations(df: DataFrame, factors: list[str], time: str = "timestamp"
     made = df.groupBy(time).agg(*(stats.safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
     long = made.unpivot([time], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
     return long.select(time, F.substring_index("pair", "|", 1).alias("left"), F.substring_index("pair", "|", -1).alias("right"), "corr")
+
+
+def ic_decay(df: DataFrame, signal: str, labels: list[str], least: int = 2, time: str = "timestamp") -> DataFrame:
+    """(horizon, rank_ic, n_dates): mean rank IC of the signal against each label column, all horizons in one pass."""
+    long = df.select(time, signal, *labels).unpivot([time, signal], labels, "horizon", "_y").where(F.col(signal).isNotNull() & F.col("_y").isNotNull())
+    ranked = long.select("horizon", time, stats.average_rank(F.col(signal), time, "horizon").alias("_a"), stats.average_rank(F.col("_y"), time, "horizon").alias("_b"))
+    dates = ranked.groupBy("horizon", time).agg(stats.safe_corr(F.col("_a"), F.col("_b"), least=least).alias("_ic"))
+    return dates.groupBy("horizon").agg(F.avg("_ic").alias("rank_ic"), F.count("_ic").alias("n_dates"))
+
+
+def incremental_ic(df: DataFrame, signal: str, references: list[str], label: str, least: int = 2, time: str = "timestamp") -> DataFrame:
+    """(timestamp, n, rank_ic): rank correlation with the label of what a least-squares fit on the references leaves of the signal.
+
+    Over rows with every value; dates with fewer than ``least`` or references + 2 rows, or with nothing left, have none. One group is a date's cross-section.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, design = pdf[signal].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[references].to_numpy(float)])
+        rest = s - design @ np.linalg.lstsq(design, s, rcond=None)[0]
+        a, b = pd.Series(rest).rank(), pdf[label].reset_index(drop=True).rank()
+        if len(s) < max(least, len(references) + 2) or rest.std() <= np.finfo(float).eps * max(1.0, np.abs(s).max()) * 32 or b.nunique() < 2:
+            return pd.DataFrame({time: pdf[time].iloc[:0], "n": [], "rank_ic": []})
+        return pd.DataFrame({time: [pdf[time].iloc[0]], "n": [len(s)], "rank_ic": [float(np.corrcoef(a, b)[0, 1])]})
+
+    rows = df.select(time, signal, *references, label).dropna()
+    return rows.groupBy(time).applyInPandas(run, f"{time} {df.schema[time].dataType.simpleString()}, n long, rank_ic double")

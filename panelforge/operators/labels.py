@@ -47,3 +47,15 @@ def walk_forward(windows: DataFrame, folds: DataFrame) -> DataFrame:
     contained = F.col("label_end") <= F.col("validation_end")
     role = F.when(in_train & (F.col("label_end") > F.col("train_end")), "purged").when(in_train, "train").when(in_val & contained, "validation").when(in_val, "excluded")
     return both.select("fold_id", "signal", role.alias("role")).where("role is not null")
+
+
+def execution_windows(signals: DataFrame, calendar: DataFrame, delay: int = 1) -> DataFrame:
+    """(signal, entry, next_signal, exit, complete): each signal's holding interval, from ``delay`` sessions after it to ``delay`` after the next.
+
+    The last signal has none. Bounds outside the calendar are null, with ``complete`` false. Both tables are session axes, far smaller than any panel.
+    """
+    axis = calendar.select(F.col("timestamp").alias("_at")).distinct().withColumn("_to", F.lead("_at", delay).over(W.orderBy("_at")))
+    named = signals.select(F.col("timestamp").alias("signal")).distinct().withColumn("next_signal", F.lead("signal").over(W.orderBy("signal"))).where("next_signal is not null")
+    entry, leave = axis.toDF("signal", "entry"), axis.toDF("next_signal", "exit")
+    out = named.join(entry, "signal", "left").join(leave, "next_signal", "left")
+    return out.select("signal", "entry", "next_signal", "exit", F.coalesce(F.col("entry") < F.col("exit"), F.lit(False)).alias("complete"))

@@ -106,12 +106,12 @@ def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, partici
     return targets.groupBy("portfolio_id").applyInPandas(run, NAV)
 
 
-def performance(nav: DataFrame, column: str = "net_nav", periods: float = 12.0) -> DataFrame:
+def performance(nav: DataFrame, column: str = "net_nav", periods: float = 12.0, keys: tuple[str, ...] = ("portfolio_id",)) -> DataFrame:
     """Growth, volatility, Sharpe and worst drawdown by portfolio."""
-    by = W.partitionBy("portfolio_id").orderBy("timestamp")
+    by = W.partitionBy(*keys).orderBy("timestamp")
     rows = nav.withColumn("_r", F.try_divide(F.col(column), F.lag(column).over(by)) - 1).withColumn("_peak", F.max(column).over(by.rowsBetween(W.unboundedPreceding, 0)))
     n = F.count("_r")
-    return rows.groupBy("portfolio_id").agg(
+    return rows.groupBy(*keys).agg(
         (F.pow(F.try_divide(F.max_by(column, "timestamp"), F.min_by(column, "timestamp")), periods / n) - 1).alias("cagr"), (F.stddev_samp("_r") * F.sqrt(F.lit(periods))).alias("volatility"),
         (F.try_divide(F.avg("_r"), F.stddev_samp("_r")) * F.sqrt(F.lit(periods))).alias("sharpe"), F.min(F.try_divide(F.col(column), F.col("_peak")) - 1).alias("max_drawdown"), F.avg((F.col("_r") > 0).cast("double")).alias("win_rate"),
     )

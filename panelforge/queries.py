@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import evaluate, labels, market, portfolio, postprocess, records, selection
+from panelforge.operators import constraints, contract, evaluate, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
 from panelforge.plans import dsl
 from panelforge.plans.compile import compile_formulas
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
@@ -447,12 +447,16 @@ def _costs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 6).alias("cost"))
 
 
-def _navs(spark: SparkSession, sf: str) -> DataFrame:
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
     panel = supplier_month(spark, sf)
     weights = portfolio.top_quantile(panel, "returns", 0.2)
     rows = panel.join(weights, ["timestamp", "security"], "left").select(F.explode(F.expr("array(1L, 2L)")).alias("portfolio_id"), "timestamp", "security", "weight", "close", "amount")
     side = F.when(F.col("portfolio_id") == 2, -1.0).otherwise(1.0)
-    return portfolio.backtest(rows.select("portfolio_id", "timestamp", "security", (F.coalesce("weight", F.lit(0.0)) * side).alias("weight"), F.col("close").alias("price"), "amount"))
+    return rows.select("portfolio_id", "timestamp", "security", (F.coalesce("weight", F.lit(0.0)) * side).alias("weight"), F.col("close").alias("price"), "amount")
+
+
+def _navs(spark: SparkSession, sf: str) -> DataFrame:
+    return portfolio.backtest(_targets(spark, sf))
 
 
 QUERIES["j1_backtest"] = _navs
@@ -602,3 +606,155 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("hash"), F.when(F.col("event_id") % 10 == 3, "click").otherwise(before).alias("previous"))
     return records.broken_chain(rows, "user_id", "event_id", "hash", "previous").select("user_id", "event_id")
+
+
+# --- incremental value, limits, robustness, contracts and shortlists
+
+NEXT_SQL = f"{PANEL_SQL}, z AS (SELECT ts, security, returns AS s, amount AS x, " + ", ".join(f"CASE WHEN lead(close, 1) OVER {W_TS} > 0 AND lead(close, {1 + h}) OVER {W_TS} > 0 THEN lead(close, {1 + h}) OVER {W_TS} / lead(close, 1) OVER {W_TS} - 1 END AS y{h}" for h in (1, 2, 3)) + " FROM g)"
+SAFE_IC = "CASE WHEN count(*) >= {} AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END"
+
+
+def _with_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return supplier_month(spark, sf).withColumns({f"y{h}": labels.return_label(F.col("close"), 1, h) for h in (1, 2, 3)})
+
+
+@query(
+    "f9_incremental_ic",
+    f"""{NEXT_SQL}, v AS (SELECT * FROM z WHERE s IS NOT NULL AND x IS NOT NULL AND y1 IS NOT NULL), f AS (SELECT ts, regr_slope(s, x) AS k, regr_intercept(s, x) AS c FROM v GROUP BY ts HAVING count(*) >= 5),
+    r AS (SELECT ts, y1, s - k * x - c AS e FROM v JOIN f USING (ts)),
+    q AS (SELECT ts, rank() OVER (PARTITION BY ts ORDER BY e) + (count(*) OVER (PARTITION BY ts, e) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts ORDER BY y1) + (count(*) OVER (PARTITION BY ts, y1) - 1) / 2.0 AS b FROM r)
+    SELECT ts, count(*) AS n, round({SAFE_IC.format(5)}, 8) AS rank_ic FROM q GROUP BY ts""",
+)
+def _incremental(spark: SparkSession, sf: str) -> DataFrame:
+    made = evaluate.incremental_ic(_with_labels(spark, sf), "returns", ["amount"], "y1", least=5)
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "n", F.round("rank_ic", 8).alias("rank_ic"))
+
+
+@query(
+    "f10_ic_decay",
+    f"""{NEXT_SQL}, l AS (UNPIVOT (SELECT ts, s, y1, y2, y3 FROM z WHERE s IS NOT NULL) ON y1, y2, y3 INTO NAME horizon VALUE y),
+    q AS (SELECT horizon, ts, rank() OVER (PARTITION BY horizon, ts ORDER BY s) + (count(*) OVER (PARTITION BY horizon, ts, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY horizon, ts ORDER BY y) + (count(*) OVER (PARTITION BY horizon, ts, y) - 1) / 2.0 AS b FROM l),
+    d AS (SELECT horizon, ts, {SAFE_IC.format(3)} AS ic FROM q GROUP BY 1, 2) SELECT horizon, round(avg(ic), 8) AS rank_ic, count(ic) AS n_dates FROM d GROUP BY horizon""",
+)
+def _decay(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.ic_decay(_with_labels(spark, sf), "returns", ["y1", "y2", "y3"], least=3).select("horizon", F.round("rank_ic", 8).alias("rank_ic"), "n_dates")
+
+
+QUERIES["f27_permutation"] = lambda spark, sf: robustness.permutation_test(_with_labels(spark, sf), "returns", "y1", trials=200, seed=42)
+
+
+def _fills(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    return items.select((F.col("l_suppkey") % 3).alias("portfolio_id"), F.col("l_partkey").alias("security"), F.trunc("l_shipdate", "MM").alias("timestamp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id"), signed.alias("shares"))
+
+
+@query("f21_holding")
+def _holding(spark: SparkSession, sf: str) -> DataFrame:
+    fills = _fills(spark, sf)
+    return robustness.holding_sessions(fills, fills.select("timestamp")).select("portfolio_id", F.round("sessions", 8).alias("sessions"))
+
+
+@query("f22_fill_ratio", "SELECT l_suppkey % 3 AS portfolio_id, round(sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity END) / nullif(sum(l_quantity), 0), 8) AS fill_ratio FROM lineitem GROUP BY 1")
+def _fill_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    orders = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("portfolio_id"), q.alias("requested"), F.when(F.col("l_returnflag") != "N", q).alias("filled"))
+    return robustness.fill_ratio(orders).select("portfolio_id", F.round("fill_ratio", 8).alias("fill_ratio"))
+
+
+@query(
+    "f23_marginal",
+    f"""{PANEL_SQL}, m AS (SELECT security, returns, avg(returns) OVER (PARTITION BY ts) AS base FROM g), v AS (SELECT * FROM m WHERE returns IS NOT NULL AND base IS NOT NULL)
+    SELECT security, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN regr_slope(returns, base) END, 6) AS beta, round(CASE WHEN count(*) >= 3 THEN regr_intercept(returns, base) * 252 END, 6) AS residual_annual,
+    round(CASE WHEN count(*) >= 3 THEN corr(returns, base) END, 6) AS corr FROM v GROUP BY security""",
+)
+def _marginal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = supplier_month(spark, sf).withColumn("base", F.avg("returns").over(W.partitionBy("timestamp")))
+    made = robustness.marginal_contribution(rows, "base", "returns", "security")
+    return made.select("security", "n", *(F.round(c, 6).alias(c) for c in ("beta", "residual_annual", "corr")))
+
+
+def _exposed(spark: SparkSession, sf: str) -> DataFrame:
+    weights = portfolio.rank_weights(supplier_month(spark, sf), "returns")
+    return weights.withColumn("size", (F.col("security") % 7 - 3).cast("double"))
+
+
+QUERIES["h4_risk_projection"] = lambda spark, sf: shown(constraints.risk_projection(_exposed(spark, sf), "weight", {"size": 0.05}, cap=0.5), "weight")
+
+
+def _ramped(spark: SparkSession, sf: str) -> DataFrame:
+    return constraints.turnover_ramp(_exposed(spark, sf).select(F.lit(1).alias("portfolio_id"), "timestamp", "security", "weight"), most=0.2)
+
+
+QUERIES["h5_turnover_ramp"] = lambda spark, sf: shown(_ramped(spark, sf), "weight")
+
+
+@query(
+    "h6_conditions",
+    f"""{RANK_WEIGHT_SQL}, d AS (SELECT *, abs(weight - coalesce(lag(weight) OVER {W_TS}, 0)) AS d FROM wts), s AS (SELECT ts, sum(d) / 2 AS t, max(abs(weight)) AS c FROM d GROUP BY ts)
+    SELECT ts, 'turnover' AS code FROM s WHERE t > 0.6 + 1e-7 UNION ALL SELECT ts, 'weight' FROM s WHERE c > 0.1 + 1e-7""",
+)
+def _conditions(spark: SparkSession, sf: str) -> DataFrame:
+    made = constraints.broken_conditions(portfolio.rank_weights(supplier_month(spark, sf), "returns"), gross=1.0, net=0.0, cap=0.1, turnover=0.6)
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "code")
+
+
+@query(
+    "i5_windows",
+    """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS ts FROM lineitem), a AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nxt FROM m), s AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS next_signal FROM m WHERE month(ts) % 3 = 1)
+    SELECT s.ts AS signal, a.nxt AS entry, next_signal, b.nxt AS exit, coalesce(a.nxt < b.nxt, false) AS complete FROM s LEFT JOIN a ON a.ts = s.ts LEFT JOIN a b ON b.ts = next_signal WHERE next_signal IS NOT NULL""",
+)
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    months = table(spark, sf, "lineitem").select(F.trunc("l_shipdate", "MM").alias("timestamp")).distinct()
+    return labels.execution_windows(months.where(F.month("timestamp") % 3 == 1), months)
+
+
+@query(
+    "i10_feature_returns",
+    f"""{PANEL_SQL}, c AS (SELECT *, security % 7 != 0 AS i, security % 2 = 0 AS m, coalesce(amount > 0, false) AS t FROM g)
+    SELECT ts, security, round(CASE WHEN i AND m AND returns IS NULL AND NOT t THEN 0 WHEN i THEN returns END, 8) AS value, i AND returns IS NOT NULL AS observed, i AND m AND returns IS NULL AND NOT t AS suspension_filled,
+    i AND returns IS NULL AND NOT (m AND NOT t) AS unexplained, i AND m AND (returns IS NOT NULL OR t) AS conflict FROM c""",
+)
+def _feature_returns(spark: SparkSession, sf: str) -> DataFrame:
+    made = contract.feature_returns(supplier_month(spark, sf), "returns", F.col("security") % 7 != 0, F.col("security") % 2 == 0, "amount")
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "security", F.round("feature_return", 8).alias("value"), "observed", "suspension_filled", "unexplained", "conflict")
+
+
+@query("i11_contract", f"{PANEL_SQL} SELECT ts, security, security % 7 != 0 AND security % 3 != 0 AS signal, coalesce(security % 7 != 0 AND security % 3 != 0 AND returns IS NOT NULL AND close IS NOT NULL AND amount > 0 AND security % 5 != 0, false) AS execution FROM g")
+def _contract(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("security")
+    made = contract.security_contract(supplier_month(spark, sf), s % 7 != 0, s % 3 != 0, s % 5 == 0, "returns", "close", "amount")
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "security", "signal", "execution")
+
+
+@query(
+    "i12_identity",
+    """WITH e AS (SELECT DISTINCT CAST(ts AS DATE) AS d, lpad(CAST(user_id AS VARCHAR), 6, '0') AS id FROM events), l AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS id FROM orders),
+    f AS (SELECT id, min(d) + 2 AS d0 FROM e GROUP BY id) SELECT e.d AS day, e.id FROM e JOIN f USING (id) WHERE e.d >= d0 AND e.id IN (SELECT id FROM l)""",
+)
+def _identity(spark: SparkSession, sf: str) -> DataFrame:
+    code = lambda c: F.lpad(F.col(c).cast("string"), 6, "0").alias("security")
+    seen = table(spark, sf, "events").select(F.col("ts").cast("date").alias("timestamp"), code("user_id"))
+    listed = seen.groupBy("security").agg(F.date_add(F.min("timestamp"), 2).alias("list_date"))
+    return contract.research_identity([seen, table(spark, sf, "orders").select(code("o_custkey"))], listed).select(F.col("timestamp").alias("day"), F.col("security").alias("id"))
+
+
+QUERIES["j6_scenarios"] = lambda spark, sf: robustness.capital_and_delay(_targets(spark, sf), 1e6, [1e5, 1e8], [1, 3])
+QUERIES["j7_regimes"] = lambda spark, sf: robustness.regime_slices(_navs(spark, sf), spark.sql("SELECT * FROM VALUES ('early', date'1992-01-01', date'1994-12-01'), ('late', date'1995-01-01', date'2000-12-01'), ('none', date'1900-01-01', date'1900-02-01') AS t(regime, start, stop)"))
+
+
+@query(
+    "k5_progress",
+    "WITH o AS (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) SELECT s_suppkey FROM supplier a WHERE s_suppkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.s_suppkey = a.s_suppkey OR (o.s_acctbal >= a.s_acctbal AND o.s_nationkey <= a.s_nationkey))",
+)
+def _progress(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return shortlist.progressed(s.where("s_suppkey % 3 = 0"), s.where("s_suppkey % 2 = 0"), "s_suppkey", ["s_acctbal"], ["s_nationkey"]).select("s_suppkey")
+
+
+@query("k10_panel", "SELECT p_partkey AS candidate_id, p_size AS priority FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 != 0 AND p_partkey % 3 != 0 ORDER BY p_size DESC, p_partkey LIMIT 10")
+def _panel_of_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("candidate_id"), F.col("p_size").alias("priority"))
+    says = lambda test, yes: part.withColumn("decision", F.when(test, yes).otherwise("no"))
+    k = F.col("candidate_id")
+    return shortlist.panel(part.select("candidate_id"), says(k % 2 == 0, "approve"), says(k % 5 != 0, "allow"), says(k % 3 != 0, "select"), 10)
