@@ -6,6 +6,8 @@ first ``min_depth`` columns form a region. In a small region all rows are candid
 other; in a larger one the depth adapts: rows are sorted by further columns, so the nearest
 rows are those with the longest common prefix, and these become candidates. Candidates are
 confirmed on the full shingle sets, and the confirmed links are closed to components.
+Larger regions that still hold several components get an exact pass: a prefix-filter join of
+their rows' rarest shingles gives every pair that can be similar enough and isn't in one component yet.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from panelforge.llm.components import connected_components
 
 @dataclass(frozen=True)
 class ForestSpec:
-    """``percent``: link when 100 * intersection >= percent * union. ``region``: largest region whose rows are all compared. ``neighbours``: next rows compared in larger ones."""
+    """``percent``: link when 100 * intersection >= percent * union. ``region``: largest region whose rows are all compared. ``neighbours``: next rows compared in larger ones before the exact pass."""
 
     words: int = 5
     percent: int = 80
@@ -117,22 +119,26 @@ def forest_rows(reps: DataFrame, spec: ForestSpec) -> DataFrame:
     return reps.select("id", "n", "sig").mapInArrow(run, "region long, tail long, id long, n long")
 
 
-def candidate_pairs(rows: DataFrame, spec: ForestSpec) -> DataFrame:
-    """(a, b), a < b, once each: rows near each other in some tree whose sizes permit a link."""
+def near_rows(rows: DataFrame, spec: ForestSpec) -> DataFrame:
+    """(region, id, crowded, others): for each row of a shared region the rows near it whose sizes permit a link; ``crowded`` where the region is too large to compare all."""
     by = W.partitionBy("region").orderBy("tail", "id")
     reach = spec.region - 1
     near = [F.lead(F.struct("id", "n"), i).over(by) for i in range(1, reach + 1)]
     seen = rows.withColumn("size", F.count("*").over(W.partitionBy("region"))).where("size > 1")
-    seen = seen.select("id", "n", "size", F.array(*near).alias("near"))
-    wide = F.when(F.col("size") <= spec.region, F.lit(reach)).otherwise(F.lit(min(spec.neighbours, reach)))
+    seen = seen.select("region", "id", "n", (F.col("size") > spec.region).alias("crowded"), F.array(*near).alias("near"))
+    wide = F.when(F.col("crowded"), F.lit(min(spec.neighbours, reach))).otherwise(F.lit(reach))
     fits = lambda x: (x.isNotNull()) & (x["id"] != F.col("id")) & (100 * F.least(x["n"], F.col("n")) >= spec.percent * F.greatest(x["n"], F.col("n")))
-    pairs = seen.select("id", F.explode(F.filter(F.slice("near", F.lit(1), wide), fits)).alias("other"))
-    return pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    return seen.select("region", "id", "crowded", F.transform(F.filter(F.slice("near", F.lit(1), wide), fits), lambda x: x["id"]).alias("others"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of ``pairs`` (a written table) whose full shingle sets are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
+def candidate_pairs(near: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each, of the rows of ``near_rows``."""
+    pairs = near.select("id", F.explode("others").alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def shingle_sets(ids: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the documents of ``ids`` (a written table), written."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -141,7 +147,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    full = written(texts.join(bounded_broadcast(ids), "id").mapInArrow(sets, "id long, shingles binary"), "candidate-sets")
+    return written(texts.join(bounded_broadcast(ids), "id").mapInArrow(sets, "id long, shingles binary"), "candidate-sets")
+
+
+def similar_pairs(pairs: DataFrame, full: DataFrame, spec: ForestSpec) -> DataFrame:
+    """Those of ``pairs`` whose sets in ``full`` are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,20 +169,97 @@ def confirm(pairs: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str = "
     return pairs.join(one, "b").join(two, "a").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
 
 
+def confirm(pairs: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``pairs`` (a written table) whose full shingle sets are similar enough."""
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    return similar_pairs(pairs, shingle_sets(ids, docs, spec, id_col, text_col), spec)
+
+
+#: Hash buckets of shingle counts. Counts only choose the order of shingles, which is right in any order and fast with rare ones first.
+COUNT_BITS = 20
+
+
+def rarest_shingles(full: DataFrame, spec: ForestSpec) -> DataFrame:
+    """(token, id, n, most): the first shingles of each set of ``full`` (id, shingles), rare ones first, and the largest other set that can be linked if this is the first common one.
+
+    With k shingles before it a set of n has n - k in common at most, and a link with a set of m needs percent * (n + m) / (100 + percent).
+    Shingles by which no size can be linked are left out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> np.uint64(64 - COUNT_BITS)
+            bucket, n = np.unique(seen.astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    counted = full.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    held = np.zeros(1 << COUNT_BITS, np.int64)
+    held[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    counts = full.sparkSession.sparkContext.broadcast(held)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                n = len(x)
+                x = x[np.lexsort((x, counts.value[x >> np.uint64(64 - COUNT_BITS)]))]
+                most = (100 + spec.percent) * (n - np.arange(n)) // spec.percent - n
+                k = int((100 * most >= spec.percent * n).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x[:k])), pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(most[:k])], ["token", "id", "n", "most"])
+
+    return full.select("id", "shingles").mapInArrow(first, "token long, id long, n long, most long")
+
+
+def crowded_pairs(crowd: DataFrame, full: DataFrame, spec: ForestSpec, salted_from: int = 2000) -> DataFrame:
+    """(a, b), once each: all pairs of different components in ``crowd`` (id, component) that can be linked, by exact bounds on ``full`` (id, shingles).
+
+    The smaller set meets the larger one at their first common shingle. Shingles of one component only are left out, and a
+    shingle of many sets is dealt over several tasks.
+    """
+    rows = written(rarest_shingles(full, spec).join(bounded_broadcast(crowd), "id"), "rare-shingles")
+    of_token = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("most") >= F.col("n")).alias("met"))
+    shared = written(of_token.where("met and low < high").select("token", F.ceil(F.col("rows") / salted_from).cast("int").alias("salts")), "shared-shingles")
+    rows = rows.join(bounded_broadcast(shared), "token")
+    small = rows.where("most >= n").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("component").alias("cx"))
+    large = rows.select("token", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("component").alias("cy"))
+    met = small.join(large, ["token", "salt"]).where(f"cx != cy and (nx < ny or nx = ny and x < y) and ny <= mx and nx <= my and 100 * nx >= {spec.percent} * ny")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def join_crowded(near: DataFrame, parts: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str, text_col: str) -> DataFrame:
+    """``parts`` (id, component) after the exact pass over the crowded regions of ``near`` that hold several components."""
+    rows = near.where("crowded").select("region", "id").join(bounded_broadcast(parts), "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    rows = written(rows, "crowded")
+    mixed = written(rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region"), "crowded-regions")
+    crowd = written(rows.join(bounded_broadcast(mixed), "region").select("id", "component").distinct(), "crowd")
+    if not crowd.limit(1).count():
+        return parts
+    full = shingle_sets(written(crowd.select("id"), "crowd-ids"), docs, spec, id_col, text_col)
+    pairs = written(crowded_pairs(crowd, full, spec), "crowded-pairs")
+    links = written(similar_pairs(pairs, full, spec), "crowded-links")
+    of = bounded_broadcast(crowd)
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    joined = written(connected_components(ends, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("least")), "joined-components")
+    every = parts.union(crowd.select("id", "component")).distinct()
+    return every.join(bounded_broadcast(joined), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, spec: ForestSpec = ForestSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Equal sets are one representative (their smallest id) before the forest, so groups of copies
-    cost no pairs. A null or empty text has no shingles and stays alone. A null id takes no part:
+    cost no pairs. Rows of regions too large to compare whole are joined exactly. A null or empty text has no shingles and stays alone. A null id takes no part:
     component_id null, kept false. Repeated rows are rows with equal texts; an empty table gives none.
     Columns other than the id and the text are not looked at.
     """
     sigs = written(signatures(docs, spec, id_col, text_col), "signatures")
     sets = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
     reps = written(sets.select("set_key", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "representatives")
-    pairs = written(candidate_pairs(forest_rows(reps.where(F.col("n") >= spec.least_linked()), spec), spec), "candidates")
+    near = written(near_rows(forest_rows(reps.where(F.col("n") >= spec.least_linked()), spec), spec), "near")
+    pairs = written(candidate_pairs(near), "candidates")
     links = confirm(pairs, docs, spec, id_col, text_col)
-    parts = connected_components(links).select(F.col("id").alias("rep"), "component")
+    parts = written(connected_components(links), "components")
+    parts = join_crowded(near, parts, docs, spec, id_col, text_col).select(F.col("id").alias("rep"), "component")
     found = reps.select("set_key", F.col("id").alias("rep")).join(parts, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("root"))
     out = sigs.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

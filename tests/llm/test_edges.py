@@ -35,6 +35,33 @@ def test_near_duplicates_of_a_large_group(make_docs):
     assert got == {i: c for i, (_, c) in brute.components(rows, 3, 85).items()}
 
 
+def test_near_duplicates_among_template_documents(make_docs):
+    """Pairs just over the threshold among documents that share a long template, just under it."""
+    words, rows = [f"t{i}" for i in range(267)], []
+    for k in range(150):
+        own = [f"d{k}x{i}" for i in range(35)]
+        rows.append((2 * k, " ".join(words + own)))
+        if k < 60:
+            rows.append((2 * k + 1, " ".join(words + own[:12] + [f"e{k}x{i}" for i in range(23)])))
+    want = {i: c for i, (_, c) in brute.components(rows, 3, 85).items()}
+    assert sum(i != c for i, c in want.items()) == 60
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(make_docs(rows), lsh_forest.ForestSpec(words=3, percent=85)).collect()}
+    assert got == want
+
+
+def test_crowded_pairs_deal_a_common_shingle(spark):
+    """All pairs over the threshold come out, also where a shingle is dealt over many tasks."""
+    rng = np.random.default_rng(5)
+    sets = {k: np.unique(rng.choice(60, rng.integers(30, 45), replace=False).astype(np.uint64) << np.uint64(50)) for k in range(80)}
+    full = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "id long, shingles binary")
+    crowd = spark.createDataFrame([(k, k) for k in sets], "id long, component long")
+    spec = lsh_forest.ForestSpec(percent=60)
+    got = [(r.a, r.b) for r in lsh_forest.similar_pairs(lsh_forest.crowded_pairs(crowd, full, spec, 3), full, spec).collect()]
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    want = [(a, b) for (a, b), n in both.items() if 100 * n >= 60 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500), (7, 3), (3, 7), (None, 4), (900, 7)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
