@@ -5,7 +5,9 @@ around its own projection in every array; virtual rehashing widens the windows b
 round after round, and a vector collects a collision for each window it lies in. Vectors whose
 collisions exceed a threshold - chosen from the histogram of counts so that at least a share of the block passes -
 are verified by their exact inner products. Projections are orthogonal, so their windows don't repeat each other.
-Inner products become distances by the usual extra coordinate, which lifts all vectors to one length.
+Inner products become distances by the usual extra coordinate, which lifts the vectors of a band of similar lengths to the largest one.
+A window missed is a least difference in one direction, so a count of collisions bounds the inner product from above: the threshold
+is lowered until no vector left out can be among the nearest. Results are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from panelforge.llm.common import written
 
 @dataclass(frozen=True)
 class CollisionSpec:
-    """``share``: least part of a block that is verified, ``least`` in numbers. ``widths``: half-widths of the windows of all rounds, in standard deviations of a projection. ``query_block``: queries brought to every block at once."""
+    """``share``: least part of a block that is verified, ``least`` in numbers. ``widths``: half-widths of the windows of all rounds, in standard deviations of a projection. ``query_block``: queries brought to every block at once. ``band``: a block's vectors are grouped so that lengths differ by this factor at most, or ``band_rows`` are reached."""
 
     k: int = 20
     projections: int = 128
@@ -35,10 +37,12 @@ class CollisionSpec:
     least: int = 400
     block: int = 16384
     query_block: int = 4096
+    band: float = 0.9
+    band_rows: int = 1024
     seed: int = 7
 
 
-INDEX = "block long, ids binary, vectors binary, places binary, projected binary, spread binary"
+INDEX = "block long, ids binary, vectors binary, places binary, projected binary, spread binary, top double"
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -54,22 +58,33 @@ def _basis(dim: int, spec: CollisionSpec) -> np.ndarray:
     return np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0][:, : min(dim + 1, spec.projections)]
 
 
-def build_index(vectors: DataFrame, dim: int, longest: float, spec: CollisionSpec) -> DataFrame:
-    """Blocks of ``vectors`` (id, v): ids, vectors, and for each projection the places of the sorted array and its values."""
+def build_index(vectors: DataFrame, dim: int, spec: CollisionSpec) -> DataFrame:
+    """Blocks of ``vectors`` (id, v) by bands of length, the longest first: ids, vectors, for each projection the places of the sorted array and its values, and the largest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, held, count, made = _basis(dim, spec), [], 0, 0
         first = TaskContext.get().partitionId() << 32
 
-        def pack() -> pa.RecordBatch:
+        def pack() -> Iterator[pa.RecordBatch]:
+            nonlocal made
             ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
-            lifted = np.column_stack((x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))))
+            length = np.sqrt((x * x).sum(1))
+            down = np.argsort(-length, kind="stable")
+            ids, x, length = ids[down], x[down], length[down]
+            at = 0
+            while at < len(ids):
+                end = min(len(ids), max(at + spec.band_rows, int(np.searchsorted(-length, -spec.band * length[at], side="right"))))
+                yield one(ids[at:end], x[at:end], float(length[at]) * (1 + 1e-12))
+                at, made = end, made + 1
+
+        def one(ids: np.ndarray, x: np.ndarray, top: float) -> pa.RecordBatch:
+            lifted = np.column_stack((x, np.sqrt(np.maximum(top**2 - (x * x).sum(1), 0))))
             h = (lifted @ basis).T.astype(np.float32)
             order = np.argsort(h, axis=1, kind="stable")
             place = np.empty(order.shape, np.int32)
             np.put_along_axis(place, order, np.arange(h.shape[1], dtype=np.int32)[None, :], 1)
             cells = [ids.tobytes(), x.tobytes(), place.tobytes(), np.take_along_axis(h, order, 1).tobytes(), h.std(1).astype(np.float64).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([first + made]), *(pa.array([c], pa.binary()) for c in cells)], [c.split()[0] for c in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), *(pa.array([c], pa.binary()) for c in cells), pa.array([top])], [c.split()[0] for c in INDEX.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, spec.block):
@@ -78,10 +93,10 @@ def build_index(vectors: DataFrame, dim: int, longest: float, spec: CollisionSpe
                     held.append((part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)))
                     count += part.num_rows
                 if count >= spec.block:
-                    yield pack()
-                    held, count, made = [], 0, made + 1
+                    yield from pack()
+                    held, count = [], 0
         if held:
-            yield pack()
+            yield from pack()
 
     return vectors.mapInArrow(run, INDEX)
 
@@ -94,6 +109,17 @@ class Block:
         self.places = np.frombuffer(row["places"], np.int32).reshape(-1, n)
         self.sorted = np.frombuffer(row["projected"], np.float32).reshape(-1, n)
         self.spread = np.frombuffer(row["spread"], np.float64)
+        self.top = row["top"]
+
+    def ceilings(self, spec: CollisionSpec) -> np.ndarray:
+        """For each count of collisions, the largest inner product that a vector with this count can have with a query of length 1.
+
+        A vector outside a window of half-width w differs by more than w in that direction; the sum of the least steps from
+        window to window, as many as were missed, is a lower bound of its squared distance.
+        """
+        wide = np.maximum(np.array([0.0, *sorted(spec.widths)])[None, :] * self.spread[:, None] - 1e-6 * self.top, 0)
+        least = np.concatenate(([0.0], np.cumsum(np.sort(np.diff(wide**2, axis=1).ravel()))))[::-1]
+        return (self.top - least / (2 * self.top)) + 1e-9 * self.top
 
     def collisions(self, centres: np.ndarray, spec: CollisionSpec) -> np.ndarray:
         """For some queries at once, how often each vector lies in a window around their centres, over all projections and rounds: a row for each query.
@@ -114,39 +140,68 @@ class Block:
             total += edges[place].view(np.uint8)
         return np.ascontiguousarray(total.T)
 
-    def nearest(self, query_id: int, q: np.ndarray, count: np.ndarray, spec: CollisionSpec) -> tuple[np.ndarray, np.ndarray]:
-        """The best of the vectors whose collisions reach the threshold, other than the query's own: ids and inner products."""
-        due = max(spec.least, int(spec.share * len(count)))
-        if due < len(count):
-            passing = np.cumsum(np.bincount(count)[::-1])
-            threshold = len(passing) - 1 - int(np.searchsorted(passing, due))
-            found = np.flatnonzero(count >= threshold)
-        else:
-            found = np.arange(len(count))
-        found = found[self.ids[found] != query_id]
-        score = (self.vectors[found] * q).sum(1)
-        if len(score) > 4 * spec.k:  # ties at the edge stay
-            best = np.flatnonzero(score >= np.partition(score, len(score) - spec.k)[len(score) - spec.k])
-            found, score = found[best], score[best]
-        order = np.lexsort((self.ids[found], -score))[: spec.k]
-        return self.ids[found][order], score[order]
-
-
-def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, longest: float, spec: CollisionSpec) -> DataFrame:
+    def nearest(self, queries: np.ndarray, lengths: np.ndarray, directions: np.ndarray, best: Best, spec: CollisionSpec) -> None:
+        """Bring to ``best`` all vectors of the block that are among the nearest of a query; ``directions``: queries of length 1 in the projections' basis."""
+        ceilings = self.ceilings(spec)
+        live = np.flatnonzero(lengths * self.top * (1 + 1e-9) >= best.limits)
+        for at in range(0, len(live), 64):
+            some = live[at : at + 64]
+            counts, thresholds, rest = self.collisions(directions[some] * self.top, spec), [], []
+            for j, (i, count) in enumerate(zip(some.tolist(), counts, strict=True)):
+                threshold, due = 0, max(spec.least, int(spec.share * len(count)))
+                if due < len(count):
+                    passing = np.cumsum(np.bincount(count)[::-1])
+                    threshold = len(passing) - 1 - int(np.searchsorted(passing, due))
+                self.verify(i, np.flatnonzero(count >= threshold), queries, best)
+                thresholds.append(threshold)
+                if int(np.searchsorted(ceilings, best.limits[i] / lengths[i])) < threshold:
+                    rest.append(j)
+            if rest:
+                # the product of all rows is faster than picking rows, and its rounding is allowed for
+                products = queries[some[rest]] @ self.vectors.T
+                for j, product in zip(rest, products, strict=True):
+                    i = int(some[j])
+                    found = np.flatnonzero(product >= best.limits[i] - 1e-9 * self.top * lengths[i])
+                    lower = counts[j][found]
+                    reached = int(np.searchsorted(ceilings, best.limits[i] / lengths[i]))
+                    self.verify(i, found[(lower < thresholds[j]) & (lower >= reached)], queries, best)
+
+    def verify(self, i: int, found: np.ndarray, queries: np.ndarray, best: Best) -> None:
+        found = found[self.ids[found] != best.own[i]]
+        if len(found):
+            best.add(i, self.ids[found], (self.vectors[found] * queries[i]).sum(1))
+
+
+class Best:
+    """The ``k`` best vectors of each query so far, ties by the smaller id; ``limits``: the scores below which nothing enters."""
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k = own, k
+        self.ids, self.scores = [np.empty(0, np.int64)] * len(own), [np.empty(0)] * len(own)
+        self.limits = np.full(len(own), -np.inf)
+
+    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate((self.ids[i], ids)), np.concatenate((self.scores[i], scores))
+        if len(scores) > 4 * self.k:  # ties at the edge stay
+            at = np.flatnonzero(scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+            ids, scores = ids[at], scores[at]
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[i], self.scores[i] = ids[order], scores[order]
+        if len(order) == self.k:
+            self.limits[i] = self.scores[i][-1]
+
+
+def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, spec: CollisionSpec) -> DataFrame:
     dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lifted = np.column_stack((queries / np.linalg.norm(queries, axis=1)[:, None] * longest, np.zeros(len(queries))))
-        centres = lifted @ _basis(dim, spec)
+        lengths = np.linalg.norm(queries, axis=1)
+        directions = np.column_stack((queries / lengths[:, None], np.zeros(len(queries)))) @ _basis(dim, spec)
+        best = Best(ids, spec.k)
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, dim)
-                got = []
-                for at in range(0, len(ids), 64):
-                    some = slice(at, at + 64)
-                    counts = block.collisions(centres[some], spec)
-                    got += [block.nearest(i, q, c, spec) for i, q, c in zip(ids[some].tolist(), queries[some], counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x, _ in got])), pa.array(np.concatenate([x for x, _ in got])), pa.array(np.concatenate([s for _, s in got]))], ["query_id", "vec_id", "score"])
+                Block(row, dim).nearest(queries, lengths, directions, best, spec)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in best.ids])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -165,8 +220,7 @@ def search(vectors: DataFrame, is_query: str, spec: CollisionSpec = CollisionSpe
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = first["dim"]
     rows = written(rows.where(F.size("v") == dim), "vectors")
-    longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] * (1 + 1e-12)
-    index = written(build_index(rows, dim, longest, spec), "collision-index")
+    index = written(build_index(rows, dim, spec), "collision-index")
     asked = rows.where(is_query)
     parts = max(1, -(-asked.count() // spec.query_block))
     found = []
@@ -176,7 +230,7 @@ def search(vectors: DataFrame, is_query: str, spec: CollisionSpec = CollisionSpe
         if got.num_rows:
             ids = got.column("id").to_numpy()
             matrix = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(-1, dim)
-            found.append(_search(index, ids, matrix, longest, spec))
+            found.append(_search(index, ids, matrix, spec))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

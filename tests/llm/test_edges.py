@@ -205,3 +205,19 @@ def test_vectors(spark):
     assert ties[0] == 40 and ties[1:] == sorted(ties[1:])
     assert ann.search(df.limit(0), "id % 20 = 0").count() == 0
     assert ann.search(df.where("vec_id = 0"), "id % 20 = 0").count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.1, 0.3])
+def test_nearest_in_a_full_block(spark, spread):
+    """All 20 nearest of 16,384 vectors at the production share, with equal and unequal lengths."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(16_384, 32))
+    x *= (np.exp(spread * rng.normal(size=len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.search(df, "id % 1024 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 16_384, 1024):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert got[q] == set(np.argsort(-score)[:20].tolist())
