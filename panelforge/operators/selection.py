@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import stats
 
+#: Drawn values that a bootstrap holds at once.
+BATCH_CELLS = 1 << 18
+
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
     """Adds q: null p-values count as 1. A family is one table of candidates, so its windows are small."""
@@ -45,8 +48,17 @@ def upper_p(z: Column) -> Column:
     return tail(z)
 
 
-def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int, seed: int) -> DataFrame:
-    """(series, p): circular block bootstrap of the mean under no effect; each series draws from its own seeded stream, so partitions don't matter."""
+def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int | None, seed: int) -> DataFrame:
+    """(series, p): circular block bootstrap of the mean under no effect; each series draws from its own seeded stream, so partitions don't matter.
+
+    A family needs max(2000, 20 for each series) trials, for the least p to survive the correction over all series: fewer are refused, None takes that number.
+    """
+    rows = df.select(series, time, value)
+    least = max(2000, 20 * rows.select(series).distinct().count())
+    if trials is None:
+        trials = least
+    if trials < least:
+        raise ValueError(f"block bootstrap of this family needs {least} trials, not {trials}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(time)[value].dropna().to_numpy(float)
@@ -55,13 +67,17 @@ def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: in
         n = len(x)
         if n < 2:
             return pd.DataFrame({series: [name], "p": [1.0]})
-        starts = rng.integers(0, n, (trials, -(-n // block)))
-        places = (starts[:, :, None] + np.arange(block)) % n
-        means = (x - x.mean())[places.reshape(trials, -1)[:, :n]].mean(1)
-        return pd.DataFrame({series: [name], "p": [(1 + int((means >= x.mean()).sum())) / (trials + 1)]})
+        mean, hits = x.mean(), 0
+        around, batch = np.resize(x - mean, n + block), max(1, BATCH_CELLS // n)
+        for at in range(0, trials, batch):
+            starts = rng.integers(0, n, (min(batch, trials - at), -(-n // block)))
+            places = (starts[:, :, None] + np.arange(block)).reshape(len(starts), -1)[:, :n]
+            hits += int((around[places].mean(1) >= mean).sum())
+        return pd.DataFrame({series: [name], "p": [(1 + hits) / (trials + 1)]})
 
     kind = df.schema[series].dataType.simpleString()
-    return df.select(series, time, value).groupBy(series).applyInPandas(run, f"{series} {kind}, p double")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: rows are few, but the work isn't
+    return rows.repartition(parts, series).groupBy(series).applyInPandas(run, f"{series} {kind}, p double")
 
 
 def frontier(df: DataFrame, name: str, maximise: list[str], minimise: list[str], epsilon: float = 0.0) -> DataFrame:

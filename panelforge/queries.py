@@ -481,7 +481,7 @@ def _hac(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["f24_p_values"] = lambda spark, sf: _supplier_series(spark, sf).withColumn("p", selection.upper_p(F.col("z")))
-QUERIES["f25_bootstrap"] = lambda spark, sf: selection.block_bootstrap(supplier_month(spark, sf), "returns", "security", "timestamp", 5, 500, 42)
+QUERIES["f25_bootstrap"] = lambda spark, sf: selection.block_bootstrap(supplier_month(spark, sf), "returns", "security", "timestamp", 5, None, 42)
 
 
 @query(

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelforge.operators import constraints, robustness, shortlist
+from panelforge.operators import constraints, robustness, selection, shortlist
 
 
 def test_projection_is_the_nearest_feasible_point():
@@ -48,3 +48,17 @@ def test_objectives_take_turns(spark):
     pairs = spark.createDataFrame([(1, "a", "b", 0.9), (1, "a", "c", 0.1), (1, "a", "d", -0.2), (1, "c", "d", 0.3)], "campaign int, left string, right string, corr double")
     got = {r["id"]: (r["place"], r["reason"]) for r in shortlist.diverse(frontier, pairs, "campaign", "id", ["gain"], ["cost"], 3, 0.5).collect()}
     assert got == {"a": (1, "selected"), "d": (2, "selected"), "b": (None, "correlation"), "c": (3, "selected")}
+
+
+def test_bootstrap_has_trials_for_its_family(spark, monkeypatch):
+    """One real series among 120 survives the correction, and too few trials are refused; batches don't change what is drawn."""
+    rng = np.random.default_rng(8)
+    rows = [(s, t, float(rng.normal() + (3 if s == 7 else 0))) for s in range(120) for t in range(40)]
+    df = spark.createDataFrame(rows, "security int, timestamp int, x double")
+    got = {r["security"]: r["p"] for r in selection.block_bootstrap(df, "x", "security", "timestamp", 5, None, 1).collect()}
+    assert got[7] == 1 / 2401 and got[7] * len(got) < 0.06
+    monkeypatch.setattr(selection, "BATCH_CELLS", 1000)
+    assert got == {r["security"]: r["p"] for r in selection.block_bootstrap(df, "x", "security", "timestamp", 5, 2400, 1).collect()}
+    for few in (500, 2399):
+        with pytest.raises(ValueError):
+            selection.block_bootstrap(df, "x", "security", "timestamp", 5, few, 1)
