@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontam, lsh_forest, mixing, packing, quality
-from panelforge.llm.common import shared_folder, table, without_ids, written
+from panelforge.llm.common import bounded_broadcast, shared_folder, table, with_places, without_ids, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document, the smallest id, of each group of near copies: five-word shingles, similarity of 0.8 or more. Of rows with one id and text one stays; a null id takes no part."""
     found = lsh_forest.near_duplicates(docs, lsh_forest.ForestSpec(words=5, percent=80))
-    return without_ids(docs, written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "copies"))
+    copies = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not repeated.limit(1).count():
+        return without_ids(docs, copies)
+    placed = with_places(docs, "_file", "_row")
+    rows = written(placed.join(bounded_broadcast(repeated), "doc_id").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "_file", "_row"), "repeated-rows")
+    first = rows.groupBy("doc_id", "text").agg(F.min(F.struct("_file", "_row")).alias("at")).select("at.*")
+    again = written(rows.select("_file", "_row").join(first, ["_file", "_row"], "left_anti"), "rows-again")
+    return without_ids(placed.join(bounded_broadcast(again), ["_file", "_row"], "left_anti").select(*docs.columns), copies)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +38,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once for each epoch in which the mix takes them."""
-    times = written(mixing.mix(docs, mixing.MixSpec()).groupBy("doc_id").agg(F.max("epoch").alias("_last"), F.count("*").alias("_n")), "mix")
-    most = 2_000_000
-    times = F.broadcast(times) if times.count() <= most else times
-    again = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"))
+    """Rows once for each epoch in which the mix takes them, also those with a null or repeated id."""
+    placed = with_places(docs, "_file", "_row")
+    times = written(mixing.mix(placed, mixing.MixSpec(), ("_file", "_row")).groupBy("_file", "_row").agg(F.count("*").alias("_n")), "mix")
+    again = placed.join(bounded_broadcast(times, 1_000_000), ["_file", "_row"])
     return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
 
 

@@ -55,6 +55,11 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(bounded_broadcast(other), docs[key] == F.col("_drop_key"), "left_anti")
 
 
+def with_places(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs``, read from Parquet, with each row's place under two ``names``: a hash of its file's path and its number there. Any later read gives the same."""
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once while it is remembered."""
 

@@ -43,10 +43,10 @@ def n_tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.length(text) - F.length(bare) + 1).otherwise(F.lit(0)).cast("long")
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens) of each document."""
+def leaves(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens) of each document, and the columns ``keep``."""
     source, lang = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(F.col("text").cast("string")).alias("tokens"), *keep)
 
 
 def _fill(nodes: DataFrame, parent: list[str], spec: MixSpec) -> DataFrame:
@@ -79,28 +79,28 @@ def budgets(stats: DataFrame, spec: MixSpec) -> DataFrame:
     return level.select(*LEVELS, "tokens", F.floor(F.col("budget") + 0.5).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """(doc_id, domain, lang, source, epoch, tokens): one row for each time a document is taken.
+def mix(docs: DataFrame, spec: MixSpec = MixSpec(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, epoch, tokens), and the columns ``keep`` of ``docs``: one row for each time a document is taken.
 
     The document that reaches its leaf's budget is taken whole and ends the prefix. Null languages and sources are a leaf of
     their own (empty names); documents without tokens, and empty tables, give nothing. Repeated rows count as often as they stand.
-    Order within an epoch: md5 of "seed:epoch:doc_id", then id. Prefix sums go over 4096 ranges of that hash, so a leaf with a
+    Order within an epoch: md5 of "seed:epoch:doc_id", then id, then ``keep``. Prefix sums go over 4096 ranges of that hash, so a leaf with a
     third of all rows isn't one task's work.
     """
-    rows = written(leaves(docs).where("tokens > 0"), "leaf-rows")
+    rows = written(leaves(docs, keep).where("tokens > 0"), "leaf-rows")
     stats = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = written(budgets(written(stats, "leaves"), spec).where("budget > 0").select(*LEVELS, "budget", F.col("tokens").alias("leaf_tokens")).coalesce(1), "budgets")
     epochs = F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("leaf_tokens")).cast("int"))
     taken = rows.join(F.broadcast(plan), list(LEVELS)).select("*", F.explode(epochs).alias("epoch"))
     left = F.col("budget") - F.col("epoch") * F.col("leaf_tokens")
     order = F.md5(F.concat_ws(":", F.lit(spec.seed), "epoch", "doc_id").cast("binary"))
-    full = taken.where(left >= F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens")
-    cut = taken.where(left < F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", left.alias("left"), order.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    full = taken.where(left >= F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", *keep)
+    cut = taken.where(left < F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", *keep, left.alias("left"), order.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
     by_bucket = cut.groupBy(*LEVELS, "left", "bucket").agg(F.sum("tokens").alias("n"))
     before = (F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n")).alias("before")
     reached = written(by_bucket.select(*LEVELS, "bucket", before, "n", "left").where("before < left").select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("left")).alias("whole")), "ranges")
     inside = cut.join(F.broadcast(reached), [*LEVELS, "bucket"])
-    all_in = inside.where("whole").select("doc_id", *LEVELS, "epoch", "tokens")
-    within = W.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    all_in = inside.where("whole").select("doc_id", *LEVELS, "epoch", "tokens", *keep)
+    within = W.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id", *keep).rowsBetween(W.unboundedPreceding, -1)
     some = inside.where("not whole").withColumn("ahead", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    return full.unionByName(all_in).unionByName(some.where("ahead < left").select("doc_id", *LEVELS, "epoch", "tokens"))
+    return full.unionByName(all_in).unionByName(some.where("ahead < left").select("doc_id", *LEVELS, "epoch", "tokens", *keep))

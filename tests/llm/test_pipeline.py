@@ -59,3 +59,16 @@ def test_mixing(duck, kept):
 def test_packing(kept):
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in kept[5].collect())
     assert got == brute.packed(pairs(kept[4]), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def test_rows_with_a_null_or_repeated_id(spark, make_docs, tmp_path):
+    """Each row comes out of the mix as often as it was taken; near-dedup leaves one of several rows with one id and text."""
+    import corpus_pipeline
+
+    rows = [(None, "a null id here"), (None, "another null id"), (5, "one two three"), (5, "one two three"), (5, "quite other words"), (6, "six of one")]
+    make_docs(rows).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    assert sorted(mixed, key=repr) == sorted(rows, key=repr)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
+    assert sorted(left, key=repr) == sorted([*rows[:3], *rows[4:]], key=repr)
