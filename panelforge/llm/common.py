@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one long column that may be broadcast (16 MB); beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+#: Rows of one key from which a join treats it apart.
+HOT_ROWS = 100_000
 #: Words whose hash a Python worker remembers.
 MEMO_WORDS = 400_000
 
@@ -49,6 +51,22 @@ def bounded_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if small.count() <= most else small
 
 
+def join_one(many: DataFrame, one: DataFrame, key: str, left: bool = False) -> DataFrame:
+    """``many`` (cheap to read twice) with the columns of ``one``, a written table of one row for each key; ``left`` keeps rows without one.
+
+    Beyond the broadcast bound rows are shuffled by the key, but for the rows of hot keys: there are at most rows / HOT_ROWS such
+    keys, so their part of ``one`` is broadcast. Null keys are not shuffled either.
+    """
+    how = "left" if left else "inner"
+    if one.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one), key, how)
+    known = many.where(F.col(key).isNotNull())
+    hot = written(known.groupBy(key).count().where(F.col("count") >= HOT_ROWS).select(key), "hot-keys")
+    rest = known.join(F.broadcast(hot), key, "left_anti").join(one, key, how)
+    out = rest.unionByName(known.join(F.broadcast(hot), key).join(F.broadcast(one.join(F.broadcast(hot), key)), key, how))
+    return out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True) if left else out
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids`` (a written table of distinct keys); a null key stays."""
     other = ids.select(F.col(ids.columns[0]).alias("_drop_key"))

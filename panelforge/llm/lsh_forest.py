@@ -18,11 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHashes, bounded_broadcast, mix64, signed, written
+from panelforge.llm.common import WordHashes, bounded_broadcast, join_one, mix64, signed, written
 from panelforge.llm.components import connected_components
 
 
@@ -119,22 +120,59 @@ def forest_rows(reps: DataFrame, spec: ForestSpec) -> DataFrame:
     return reps.select("id", "n", "sig").mapInArrow(run, "region long, tail long, id long, n long")
 
 
+NEAR = "kind int, region long, a long, b long, part int, place int"
+PAIR, CROWDED, EDGE = 0, 1, 2
+
+
 def near_rows(rows: DataFrame, spec: ForestSpec) -> DataFrame:
-    """(region, id, crowded, others): for each row of a shared region the rows near it whose sizes permit a link; ``crowded`` where the region is too large to compare all."""
-    by = W.partitionBy("region").orderBy("tail", "id")
-    reach = spec.region - 1
-    near = [F.lead(F.struct("id", "n"), i).over(by) for i in range(1, reach + 1)]
-    seen = rows.withColumn("size", F.count("*").over(W.partitionBy("region"))).where("size > 1")
-    seen = seen.select("region", "id", "n", (F.col("size") > spec.region).alias("crowded"), F.array(*near).alias("near"))
-    wide = F.when(F.col("crowded"), F.lit(min(spec.neighbours, reach))).otherwise(F.lit(reach))
-    fits = lambda x: (x.isNotNull()) & (x["id"] != F.col("id")) & (100 * F.least(x["n"], F.col("n")) >= spec.percent * F.greatest(x["n"], F.col("n")))
-    return seen.select("region", "id", "crowded", F.transform(F.filter(F.slice("near", F.lit(1), wide), fits), lambda x: x["id"]).alias("others"))
+    """What the sorted forest gives, in one table: candidate pairs (kind PAIR: a, b), rows of regions too large to compare whole (CROWDED: region, a),
+    and the two first and last rows of each range (EDGE: region, a, part, place).
+
+    The forest is sorted by region and tail in ranges, so that a region of many rows is spread over tasks. A region that
+    reaches over the edge of a range counts as too large.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        region, ids, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 2, 3))
+
+        def rows_of(kind: int, region, a, b=None, place=None) -> pa.RecordBatch:
+            m = len(a)
+            cells = (np.full(m, kind, np.int32), region, a, a if b is None else b, np.full(m, part, np.int32), np.zeros(m, np.int32) if place is None else place)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], [c.split()[0] for c in NEAR.split(", ")])
+
+        total = len(ids)
+        heads = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+        sizes = np.diff(np.append(heads, total))
+        crowded = sizes > spec.region
+        crowded[[0, -1]] = True
+        of_row = np.repeat(crowded, sizes)
+        for step in range(1, spec.region):
+            ok = region[step:] == region[:-step]
+            if step > spec.neighbours:
+                ok &= np.repeat(sizes <= spec.region, sizes)[step:]
+            ok &= (100 * np.minimum(n[step:], n[:-step]) >= spec.percent * np.maximum(n[step:], n[:-step])) & (ids[step:] != ids[:-step])
+            at = np.flatnonzero(ok)
+            if len(at):
+                yield rows_of(PAIR, region[at], np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step]))
+        at = np.flatnonzero(of_row)
+        yield rows_of(CROWDED, region[at], ids[at])
+        at = np.unique(np.concatenate((np.arange(min(2, total)), np.arange(max(0, total - 2), total))))
+        yield rows_of(EDGE, region[at], ids[at], place=at.astype(np.int32))
+
+    ordered = rows.repartitionByRange("region", "tail", "id").sortWithinPartitions("region", "tail", "id")
+    return ordered.mapInArrow(run, NEAR)
 
 
 def candidate_pairs(near: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each, of the rows of ``near_rows``."""
-    pairs = near.select("id", F.explode("others").alias("other"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    """(a, b), a < b, once each: the pairs of ``near`` (written), and those of the last rows of a range and the first ones of the next (two each, so few that one task orders them)."""
+    by = W.orderBy("part", "place")
+    edges = near.where(F.col("kind") == EDGE).withColumn("after", F.array(*(F.lead(F.struct("region", "a"), i).over(by) for i in (1, 2, 3))))
+    over = edges.select("region", "a", F.explode("after").alias("x")).where("x.region = region and x.a != a").select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b"))
+    return near.where(F.col("kind") == PAIR).select("a", "b").union(over).distinct()
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str, text_col: str) -> DataFrame:
@@ -228,10 +266,10 @@ def crowded_pairs(crowd: DataFrame, full: DataFrame, spec: ForestSpec, salted_fr
 
 def join_crowded(near: DataFrame, parts: DataFrame, docs: DataFrame, spec: ForestSpec, id_col: str, text_col: str) -> DataFrame:
     """``parts`` (id, component) after the exact pass over the crowded regions of ``near`` that hold several components."""
-    rows = near.where("crowded").select("region", "id").join(bounded_broadcast(parts), "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    rows = join_one(near.where(F.col("kind") == CROWDED).select("region", F.col("a").alias("id")), parts, "id", left=True).select("region", "id", F.coalesce("component", "id").alias("component"))
     rows = written(rows, "crowded")
     mixed = written(rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region"), "crowded-regions")
-    crowd = written(rows.join(bounded_broadcast(mixed), "region").select("id", "component").distinct(), "crowd")
+    crowd = written(join_one(rows, mixed, "region").select("id", "component").distinct(), "crowd")
     if not crowd.limit(1).count():
         return parts
     full = shingle_sets(written(crowd.select("id"), "crowd-ids"), docs, spec, id_col, text_col)
@@ -240,16 +278,16 @@ def join_crowded(near: DataFrame, parts: DataFrame, docs: DataFrame, spec: Fores
     of = bounded_broadcast(crowd)
     ends = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     joined = written(connected_components(ends, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("least")), "joined-components")
-    every = parts.union(crowd.select("id", "component")).distinct()
-    return every.join(bounded_broadcast(joined), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    every = written(parts.union(crowd.select("id", "component")).distinct(), "parts")
+    return join_one(every, joined, "component", left=True).select("id", F.coalesce("least", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, spec: ForestSpec = ForestSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Equal sets are one representative (their smallest id) before the forest, so groups of copies
-    cost no pairs. Rows of regions too large to compare whole are joined exactly. A null or empty text has no shingles and stays alone. A null id takes no part:
-    component_id null, kept false. Repeated rows are rows with equal texts; an empty table gives none.
+    cost no pairs. Rows of regions too large to compare whole are joined exactly. A null or empty text has no shingles and stays alone; a text of any length
+    is read whole (its set is held by one task). Ties of similarity at the threshold are links. A null id takes no part: component_id null, kept false. Repeated rows are rows with equal texts; an empty table gives none.
     Columns other than the id and the text are not looked at.
     """
     sigs = written(signatures(docs, spec, id_col, text_col), "signatures")
@@ -260,7 +298,8 @@ def near_duplicates(docs: DataFrame, spec: ForestSpec = ForestSpec(), id_col: st
     links = confirm(pairs, docs, spec, id_col, text_col)
     parts = written(connected_components(links), "components")
     parts = join_crowded(near, parts, docs, spec, id_col, text_col).select(F.col("id").alias("rep"), "component")
-    found = reps.select("set_key", F.col("id").alias("rep")).join(parts, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("root"))
-    out = sigs.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    found = join_one(reps.select("set_key", F.col("id").alias("rep")), written(parts, "roots"), "rep", left=True).select("set_key", F.coalesce("component", "rep").alias("root"))
+    moved = written(found.select("set_key", "root"), "set-roots")
+    out = join_one(sigs.select("doc_id", "n_shingles", "set_key"), moved, "set_key", left=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
