@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mix64, written
+from panelforge.llm.common import bounded_broadcast, mix64, written
 
 #: Units whose ids a Python worker remembers.
 MEMO = 1_000_000
@@ -72,8 +72,9 @@ class UnitEncoder:
     """Ids of whole texts by way of units that the tokenizer encodes apart, so that each distinct unit is encoded once while it is remembered.
 
     Units are words - the tokenizer drops white space and never joins what it separates - or, with ``pieces``, a plain
-    text's runs of letters, single digits and runs of other characters. A unit is known by the 64-bit polynomial hash of
-    its lower-case characters, found for all units of a batch by running sums.
+    text's runs of letters, single digits and runs of other characters. A unit is found by the 64-bit polynomial hash of
+    its lower-case characters, which running sums give for all units of a batch, and then compared with the remembered unit's
+    characters; one that differs is encoded by itself.
     """
 
     def __init__(self, path: str, pieces: bool = False):
@@ -87,6 +88,7 @@ class UnitEncoder:
     def forget(self) -> None:
         self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
+        self.chars, self.char_at, self.char_n = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = array("I"), []
@@ -97,7 +99,7 @@ class UnitEncoder:
                 counts.append(len(ids))
         return np.frombuffer(flat, np.uint32) if len(flat) else np.empty(0, np.uint32), np.array(counts, np.int64)
 
-    def _places(self, keys: np.ndarray, at: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+    def _places(self, keys: np.ndarray, at: np.ndarray, ends: np.ndarray, text: str, lower: np.ndarray) -> np.ndarray:
         """Where each distinct key is remembered; unknown ones are encoded first."""
         if len(self.keys) > MEMO:
             self.forget()
@@ -111,8 +113,12 @@ class UnitEncoder:
         ids, counts = self._ids([text[s:e] for s, e in zip(at[new].tolist(), ends[new].tolist(), strict=True)])
         firsts = len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate((self.flat, ids))
+        sizes = ends[new] - at[new]
+        began = len(self.chars) + np.cumsum(sizes) - sizes
+        self.chars = np.concatenate((self.chars, lower[_runs(at[new], sizes)]))
         to = np.searchsorted(self.keys, keys[new])
-        self.keys, self.first, self.count = (np.insert(a, to, b) for a, b in ((self.keys, keys[new]), (self.first, firsts), (self.count, counts)))
+        every = ((self.keys, keys[new]), (self.first, firsts), (self.count, counts), (self.char_at, began), (self.char_n, sizes))
+        self.keys, self.first, self.count, self.char_at, self.char_n = (np.insert(a, to, b) for a, b in every)
         return np.searchsorted(self.keys, keys)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -141,12 +147,19 @@ class UnitEncoder:
         if len(self.power) < n:
             self.power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, BASE, np.uint64))), dtype=np.uint64)
             self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, pow(BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((LOWER[small] + np.uint64(1)) * self.power[:n], dtype=np.uint64)))
+        low = LOWER[small]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((low + np.uint64(1)) * self.power[:n], dtype=np.uint64)))
+        low = low.astype(np.uint8)  # units of plain texts have no code points beyond 255
         keys = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        place = self._places(distinct, starts[at], ends[at], text)[back]
+        place = self._places(distinct, starts[at], ends[at], text, low)[back]
         first, count = self.first[place], self.count[place]
-        ids = self.flat[np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+        flat, other = self.flat, self._others(place, starts, ends, low)
+        if len(other):
+            own, n_own = self._ids([text[s:e] for s, e in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            first[other], count[other] = len(flat) + np.cumsum(n_own) - n_own, n_own
+            flat = np.concatenate((flat, own))
+        ids = flat[_runs(first, count)]
         per_doc = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         out = np.split(ids, np.cumsum(per_doc)[:-1])
         for d in odd.tolist():
@@ -155,11 +168,26 @@ class UnitEncoder:
             out[d] = np.concatenate([got[w] for w in words]) if words else np.empty(0, np.uint32)
         return out
 
+    def _others(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The units whose characters aren't those of the remembered unit at ``place``."""
+        sizes = ends - starts
+        differ = self.char_n[place] != sizes
+        same = np.flatnonzero(~differ)
+        wrong = np.flatnonzero(self.chars[_runs(self.char_at[place[same]], sizes[same])] != lower[_runs(starts[same], sizes[same])])
+        if len(wrong):
+            differ[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+        return np.flatnonzero(differ)
+
     def _each(self, units: list[str]) -> list[np.ndarray]:
         ids, counts = self._ids(units)
         return np.split(ids, np.cumsum(counts)[:-1]) if units else []
 
 
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``count`` places, one run after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
 
 
@@ -176,9 +204,10 @@ BLOCKS = "shard int, block int, first long, n_ids long, bits int, packed binary,
 
 
 def write_packed(docs: DataFrame, spec: PackSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode ``docs`` and write them as packed blocks, in ascending order of id (equal ids by text); gives the written table.
+    """Encode ``docs`` and write them as packed blocks, in ascending order of id (equal ids by a hash of the text, then the text); gives the written table.
 
-    Null texts are empty and still get the end id; null ids come first. An empty table makes an empty file.
+    Null texts are empty and still get the end id; null ids come first. An empty table makes an empty file. A text of any length is encoded
+    whole and stands in one block, which it may exceed. Repeated rows are written as often as they stand. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +240,9 @@ def write_packed(docs: DataFrame, spec: PackSpec, id_col: str = "doc_id", text_c
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, BLOCKS), "packed")
+    # ranges are found from ids and hashes, so that no texts are sampled to the driver
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return written(ordered.select("doc_id", "text").mapInArrow(run, BLOCKS), "packed")
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
@@ -234,7 +264,7 @@ def read_documents(blocks: DataFrame, use: Callable[[np.ndarray], int], name: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), row["shard"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths + row["first"]), pa.array(lengths), pa.array(values, pa.int64())], ["shard", "doc_id", "within", "n_tokens", name])
 
     docs = blocks.mapInArrow(run, f"shard int, doc_id long, within long, n_tokens long, {name} long")
-    return docs.join(F.broadcast(shard_starts(blocks)), "shard").select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", name)
+    return docs.join(bounded_broadcast(written(shard_starts(blocks), "shards")), "shard").select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", name)
 
 
 def crc32_of(ids: np.ndarray) -> int:
@@ -244,8 +274,7 @@ def crc32_of(ids: np.ndarray) -> int:
 
 def read_range(blocks: DataFrame, start: int, count: int) -> np.ndarray:
     """``count`` ids from global place ``start``, from the blocks that hold them only."""
-    where = blocks.select("shard", "block", "first", "n_ids", "bits").join(F.broadcast(shard_starts(blocks)), "shard").withColumn("at", F.col("shard_start") + F.col("first"))
-    need = where.where((F.col("at") < start + count) & (F.col("at") + F.col("n_ids") > start)).select("shard", "block", "at")
-    rows = blocks.select("shard", "block", "n_ids", "bits", "packed").join(F.broadcast(need), ["shard", "block"]).orderBy("at").collect()
+    where = blocks.join(bounded_broadcast(written(shard_starts(blocks), "shards")), "shard").withColumn("at", F.col("shard_start") + F.col("first"))
+    rows = where.where((F.col("at") < start + count) & (F.col("at") + F.col("n_ids") > start)).select("n_ids", "bits", "packed", "at").orderBy("at").collect()
     parts = [unpack_bits(r.packed, r.bits, max(0, start - r["at"]), min(r.n_ids, start + count - r["at"]) - max(0, start - r["at"])) for r in rows]
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
