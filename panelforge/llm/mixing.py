@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import written
+from panelforge.llm.common import bounded_broadcast, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -32,9 +32,9 @@ class MixSpec:
 
 
 def domain_of(source: Column) -> Column:
-    """Sources are grouped to five domains by their number; others by their name's first letter."""
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
-    return F.when(number != "", F.concat(F.lit("d"), (F.expr("0").cast("long") + number.cast("long")) % 5)).otherwise(F.substring(F.coalesce(source, F.lit("")), 1, 1))
+    """Sources that end in a number are grouped to five domains by it (its last digit tells it modulo 5); others by their name's first letter."""
+    digit = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9])$", 1)
+    return F.when(digit != "", F.concat(F.lit("d"), digit.cast("int") % 5)).otherwise(F.substring(F.coalesce(source, F.lit("")), 1, 1))
 
 
 def n_tokens(text: Column) -> Column:
@@ -74,7 +74,7 @@ def budgets(stats: DataFrame, spec: MixSpec) -> DataFrame:
         keys, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
         nodes = stats.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).withColumn("cap", cap).withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(spec.power)))
         above = level.select(*parent, "budget")
-        nodes = nodes.join(F.broadcast(above), parent) if parent else nodes.join(F.broadcast(above))
+        nodes = nodes.join(above, parent) if parent else nodes.crossJoin(above)  # ``above`` is one row at the root
         level = _fill(nodes, parent, spec).select(*keys, "tokens", F.col("given").alias("budget"))
     return level.select(*LEVELS, "tokens", F.floor(F.col("budget") + 0.5).cast("long").alias("budget"))
 
@@ -84,23 +84,34 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), keep: tuple[str, ...] = ())
 
     The document that reaches its leaf's budget is taken whole and ends the prefix. Null languages and sources are a leaf of
     their own (empty names); documents without tokens, and empty tables, give nothing. Repeated rows count as often as they stand.
-    Order within an epoch: md5 of "seed:epoch:doc_id", then id, then ``keep``. Prefix sums go over 4096 ranges of that hash, so a leaf with a
-    third of all rows isn't one task's work.
+    Order within an epoch: md5 of "seed:epoch:doc_id", then id, then ``keep``. The budget's end is found by sums over 256 ranges of that hash, then over
+    256 parts of the range it falls in, and only the rows of that part are put in order, so a leaf with a third of all rows isn't one task's work.
     """
     rows = written(leaves(docs, keep).where("tokens > 0"), "leaf-rows")
     stats = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = written(budgets(written(stats, "leaves"), spec).where("budget > 0").select(*LEVELS, "budget", F.col("tokens").alias("leaf_tokens")).coalesce(1), "budgets")
     epochs = F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("leaf_tokens")).cast("int"))
-    taken = rows.join(F.broadcast(plan), list(LEVELS)).select("*", F.explode(epochs).alias("epoch"))
+    taken = rows.join(bounded_broadcast(plan), list(LEVELS)).select("*", F.explode(epochs).alias("epoch"))
     left = F.col("budget") - F.col("epoch") * F.col("leaf_tokens")
     order = F.md5(F.concat_ws(":", F.lit(spec.seed), "epoch", "doc_id").cast("binary"))
-    full = taken.where(left >= F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", *keep)
-    cut = taken.where(left < F.col("leaf_tokens")).select("doc_id", *LEVELS, "epoch", "tokens", *keep, left.alias("left"), order.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
-    by_bucket = cut.groupBy(*LEVELS, "left", "bucket").agg(F.sum("tokens").alias("n"))
-    before = (F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n")).alias("before")
-    reached = written(by_bucket.select(*LEVELS, "bucket", before, "n", "left").where("before < left").select(*LEVELS, "bucket", "before", (F.col("before") + F.col("n") <= F.col("left")).alias("whole")), "ranges")
-    inside = cut.join(F.broadcast(reached), [*LEVELS, "bucket"])
-    all_in = inside.where("whole").select("doc_id", *LEVELS, "epoch", "tokens", *keep)
-    within = W.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id", *keep).rowsBetween(W.unboundedPreceding, -1)
-    some = inside.where("not whole").withColumn("ahead", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    return full.unionByName(all_in).unionByName(some.where("ahead < left").select("doc_id", *LEVELS, "epoch", "tokens", *keep))
+    out = ["doc_id", *LEVELS, "epoch", "tokens", *keep]
+    full = taken.where(left >= F.col("leaf_tokens")).select(*out)
+    cut = taken.where(left < F.col("leaf_tokens")).select(*out, left.alias("left"), order.alias("h"))
+    before, inside = _edge(cut, 1)
+    edge = written(inside, "edges")
+    within, last = _edge(edge, 3)
+    ahead = W.partitionBy(*LEVELS).orderBy("h", "doc_id", *keep).rowsBetween(W.unboundedPreceding, -1)
+    some = last.withColumn("ahead", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))).where("ahead < left")
+    return full.unionByName(before.select(*out)).unionByName(within.select(*out)).unionByName(some.select(*out))
+
+
+def _edge(rows: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``left`` tokens to go in their leaf, cut by the two digits of ``h`` from ``at`` on: those of the ranges that are taken whole, and
+    those of the range in which ``left`` is reached, with what is left there."""
+    part = rows.withColumn("part", F.substring("h", at, 2))
+    sums = part.groupBy(*LEVELS, "left", "part").agg(F.sum("tokens").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("part")) - F.col("n")
+    ends = sums.withColumn("before", before).where((F.col("before") < F.col("left")) & (F.col("before") + F.col("n") >= F.col("left")))
+    ends = written(ends.select(*LEVELS, F.col("part").alias("end"), (F.col("left") - F.col("before")).alias("rest")).coalesce(1), "range-ends")
+    met = part.join(bounded_broadcast(ends), list(LEVELS))
+    return met.where("part < end"), met.where("part = end").drop("left", "part", "end").withColumnRenamed("rest", "left")
