@@ -8,17 +8,35 @@ _CASES = """CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND st
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END"""
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_QUERY = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&+', '&', 'g'), '^&|&$', '', 'g')"
+
+
+def _alias(url: str) -> str:
+    """SQL of a URL's canonical form."""
+    bare = f"regexp_replace(regexp_replace({url}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')"
+    host = f"regexp_replace({_LOWER.format(f"regexp_extract({bare}, '^[^/?]*')")}, '^(?:www|m)\\.', '')"
+    path = f"regexp_replace(regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/index\\.html?$', '/'), '(?:\\.html?|/)$', '')"
+    query = rf"regexp_replace(regexp_replace(regexp_replace(regexp_extract({bare}, '\?(.*)$', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&+', '&', 'g'), '^&|&$', '', 'g')"
+    return f"concat({host}, {path}, CASE WHEN {query} != '' THEN concat('?', {query}) ELSE '' END)"
+
+
+_TAGS = r"""list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))"""
 
 OP1 = rf"""
 WITH RECURSIVE r AS (SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
-    regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM r),
-k AS (SELECT page_id, html, host, path, {_CASES} AS rule, CASE WHEN strpos(url, '://') > 0 THEN concat(regexp_replace({_LOWER.format("regexp_extract(bare, '^[^/?]*')")}, '^(?:www|m)\.', ''),
-    regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '(?:\.html?|/)$', ''), CASE WHEN {_QUERY} != '' THEN concat('?', {_QUERY}) ELSE '' END) END AS key FROM p),
-d AS (SELECT key, bool_or(rule = 'example.com/en/7') AS allowed FROM k WHERE rule IS NOT NULL AND key IS NOT NULL GROUP BY key)
+p AS (SELECT page_id, html, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+k AS (SELECT page_id, html, host, path, {_CASES} AS rule, CASE WHEN strpos(url, '://') > 0 THEN {_alias("url")} END AS key FROM p),
+t AS (SELECT key, host, unnest({_TAGS}) AS t FROM k WHERE key IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+u AS (SELECT key, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN concat('http:', t) WHEN starts_with(t, '/') THEN concat('http://', host, t) END AS target FROM t),
+e AS (SELECT DISTINCT key AS a, {_alias("target")} AS b FROM u WHERE target IS NOT NULL),
+ends_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS key, a AS alias FROM ends_ UNION SELECT reach.key, ends_.b FROM reach JOIN ends_ ON reach.alias = ends_.a),
+aliases AS (SELECT key, alias FROM reach UNION SELECT key, key FROM k WHERE key IS NOT NULL),
+said AS (SELECT key AS alias, bool_or(rule = 'example.com/en/7') AS allowed FROM k WHERE rule IS NOT NULL AND key IS NOT NULL GROUP BY key),
+d AS (SELECT key, bool_or(allowed) AS allowed FROM aliases JOIN said USING (alias) GROUP BY key)
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' ELSE 'allow' END AS verdict FROM k LEFT JOIN d USING (key)
-"""  # pages of these tables have no canonical links or refreshes, so aliases are those of equal keys
+"""
 
 
 def _level(name: str, above: str, keys: list[str]) -> str:
@@ -36,7 +54,7 @@ def _level(name: str, above: str, keys: list[str]) -> str:
 OP3 = f"""
 WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CASE WHEN length(text) > 0 THEN length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 ELSE 0 END AS tokens FROM documents),
-rows_ AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9]+)$', 1) != '' THEN concat('d', CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 5) ELSE substr(source, 1, 1) END AS domain, lang, source, tokens FROM docs WHERE tokens > 0),
+rows_ AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9])$', 1) != '' THEN concat('d', CAST(regexp_extract(source, '([0-9])$', 1) AS BIGINT) % 5) ELSE substr(source, 1, 1) END AS domain, lang, source, tokens FROM docs WHERE tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM rows_ GROUP BY ALL),
 total AS (SELECT sum(tokens)::DOUBLE AS budget FROM leaves),
 {_level("l1", "total", ["domain"])},
