@@ -29,12 +29,13 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """``window``: words of a test window. ``segment_words``: a segment is closed at so many. ``gap``: free positions after a document, also the largest proximity. ``block_items``: test items searched at once."""
+    """``window``: words of a test window. ``segment_words``: a segment is closed at so many. ``gap``: free positions after a document. ``slop``: how far from its rarest word a window's other words may stand in a proximity match. ``block_chars``: characters of test items searched at once."""
 
     window: int = 10
     segment_words: int = 1 << 20
     gap: int = 64
-    block_items: int = 4096
+    slop: int = 20
+    block_chars: int = 1 << 21
 
 
 SEGMENT = "segment long, doc_ids binary, starts binary, sizes binary, terms binary, counts binary, deltas binary"
@@ -157,49 +158,65 @@ class Segment:
             at = end
         return np.concatenate(found_w), np.concatenate(found_p)
 
-    def near(self, w: Windows, slop: int, rarest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position) where a window's rarest term stands and its next rarer ones (``rarest`` in all) are within ``slop`` positions, in any order."""
+    def near(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position) where a window's rarest term stands and all its other terms are within ``slop`` positions, in any order."""
         if not len(w.terms) or not len(self.terms):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         ranks = _lookup(self.terms, w.vocabulary)[w.codes]
-        counts = np.where((ranks >= 0) & (np.arange(ranks.shape[1]) < w.lengths[:, None]), self.counts[ranks], 0)
         live = np.flatnonzero((ranks >= 0).all(1))
-        hits_w, hits_p = [], []
-        for i in live:
-            distinct = sorted({int(r): int(c) for r, c in zip(ranks[i, : w.lengths[i]], counts[i], strict=False)}.items(), key=lambda x: x[1])[:rarest]
-            at = self.postings[self.firsts[distinct[0][0]] : self.firsts[distinct[0][0] + 1]]
-            for rank, _ in distinct[1:]:
-                own = self.postings[self.firsts[rank] : self.firsts[rank + 1]]
-                nearest = np.searchsorted(own, at - slop)
-                at = at[(nearest < len(own)) & (own[np.minimum(nearest, len(own) - 1)] <= at + slop)]
-            hits_w.append(np.full(len(at), i))
-            hits_p.append(at)
-        return (np.concatenate(hits_w), np.concatenate(hits_p)) if hits_w else (live, live)
+        if not len(live):
+            return live, live
+        ranks = ranks[live]
+        ranks = np.take_along_axis(ranks, np.argsort(self.counts[ranks], axis=1, kind="stable"), 1)
+        need = self.counts[ranks[:, 0]]
+        found_w, found_p, at = [], [], 0
+        ends = np.cumsum(need)
+        while at < len(live):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000)))
+            who = np.repeat(np.arange(at, end), need[at:end])
+            within = np.arange(len(who)) - np.repeat(np.cumsum(need[at:end]) - need[at:end], need[at:end])
+            place = self.postings[self.firsts[ranks[who, 0]] + within]
+            for k in range(1, ranks.shape[1]):
+                rank = ranks[who, k] << 32
+                first = np.searchsorted(self.keys, rank | np.maximum(place - slop, 0))
+                ok = (ranks[who, k] == ranks[who, 0]) | (self.keys[np.minimum(first, len(self.keys) - 1)] <= (rank | (place + slop))) & (first < len(self.keys))
+                who, place = who[ok], place[ok]
+                if not len(who):
+                    break
+            found_w.append(live[who])
+            found_p.append(place)
+            at = end
+        return np.concatenate(found_w), np.concatenate(found_p)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
-HITS = "segment long, place int, doc_id long, n_words long, items array<long>, firsts array<long>, lasts array<long>"
+HITS = "segment long, place int, doc_id long, n_words long, items array<long>, firsts array<long>, lasts array<long>, near array<long>"
+
+
+def _owners(n: int, doc: np.ndarray, owner: np.ndarray, ids: list) -> list[list]:
+    """For each of ``n`` documents the distinct items that occur in it."""
+    out = [[] for _ in range(n)]
+    for d, k in np.unique(np.stack((doc, owner), 1), axis=0).tolist():
+        out[d].append(ids[k])
+    return out
 
 
-def search_block(index: DataFrame, windows: Windows, slop: int | None = None) -> DataFrame:
-    """For every document: the items with an occurring window and the merged hit intervals (word offsets, ends exclusive)."""
+def search_block(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
+    """For every document: the items with an occurring window, the merged hit intervals (word offsets, ends exclusive), and the items with a window whose words all stand within ``slop`` positions of its rarest one."""
     w = windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Segment(row)
-                win, pos = s.phrases(w) if slop is None else s.near(w, slop)
                 n = len(s.doc_ids)
-                items, firsts, lasts = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+                win, pos = s.phrases(w)
+                doc = s.doc_of(pos)
+                items, firsts, lasts = _owners(n, doc, w.owners[win], w.ids), [[] for _ in range(n)], [[] for _ in range(n)]
                 if len(win):
-                    doc = s.doc_of(pos)
-                    pairs = np.unique(np.stack((doc, w.owners[win]), 1), axis=0)
-                    for d, k in pairs.tolist():
-                        items[d].append(w.ids[k])
-                    a, b = pos - s.starts[doc], pos - s.starts[doc] + (w.lengths[win] if slop is None else 1)
+                    a, b = pos - s.starts[doc], pos - s.starts[doc] + w.lengths[win]
                     order = np.lexsort((b, a, doc))
                     doc, a, b = doc[order], a[order], b[order]
                     reach = np.maximum.accumulate(b + doc * (1 << 40))  # documents are far apart, so no interval reaches the next one
@@ -209,46 +226,55 @@ def search_block(index: DataFrame, windows: Windows, slop: int | None = None) ->
                     for d, x, y in zip(doc[head].tolist(), a[head].tolist(), (reach[tail] - doc[head] * (1 << 40)).tolist(), strict=True):
                         firsts[d].append(x)
                         lasts[d].append(y)
+                win, pos = s.near(w, slop)
+                near = _owners(n, s.doc_of(pos), w.owners[win], w.ids)
                 ids = pa.array(s.doc_ids, mask=s.doc_ids == np.iinfo(np.int64).min)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s.number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(s.sizes), pa.array(items, longs), pa.array(firsts, longs), pa.array(lasts, longs)], [c.split()[0] for c in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s.number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(s.sizes), *(pa.array(x, longs) for x in (items, firsts, lasts, near))], [c.split()[0] for c in HITS.split(", ")])
 
     return index.mapInArrow(run, HITS)
 
 
 def _blocks(items: DataFrame, spec: IndexSpec, id_col: str, text_col: str) -> Iterator[list]:
-    """The test items, at most about ``block_items`` at once."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    n = rows.count()
-    parts = -(-n // spec.block_items)
+    """The distinct test items, in blocks of about ``block_chars`` characters (or one longer item)."""
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    rows = written(rows, "items")
+    parts = -(-rows.agg(F.coalesce(F.sum(F.length("t") + 1), F.lit(0))).first()[0] // spec.block_chars)
     for k in range(parts):
         mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
         yield [(r.i, r.t) for r in mine.collect()]
 
 
-def search(index: DataFrame, items: DataFrame, spec: IndexSpec = IndexSpec(), id_col: str = "item_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
-    """(segment, place, doc_id, n_words, items, firsts, lasts) for every indexed document: exact phrase matches of the items' windows, or with ``slop`` proximity matches. Items are searched in blocks; a document's hits from all blocks are merged."""
-    blocks = [search_block(index, Windows(rows, spec), slop) for rows in _blocks(items, spec, id_col, text_col)]
-    if not blocks:
-        return search_block(index, Windows([], spec), slop)
-    if len(blocks) == 1:
-        return blocks[0]
-    every = reduce(DataFrame.union, blocks)
+def search(index: DataFrame, items: DataFrame, spec: IndexSpec = IndexSpec(), id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(segment, place, doc_id, n_words, items, firsts, lasts, near) for every document of a written index: exact phrase matches of the items' windows and proximity
+    matches. Items are searched in blocks, whose hits are written before the next block is brought; a document's hits from all blocks are merged."""
+    if spec.slop > spec.gap:
+        raise ValueError("slop must not be larger than gap, or matches would reach into the next document")
+    hits, waiting = [], None
+    for rows in _blocks(items, spec, id_col, text_col):
+        if waiting is not None:
+            hits.append(written(waiting.where("size(items) > 0 or size(near) > 0"), "hits"))
+        waiting = search_block(index, Windows(rows, spec), spec.slop)
+    if not hits:
+        return waiting if waiting is not None else search_block(index, Windows([], spec), spec.slop)
+    every = reduce(DataFrame.union, hits, waiting)  # the last block gives a row for every document
     key = ["segment", "place", "doc_id", "n_words"]
-    merged = every.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("firsts", "lasts")))).alias("spans"))
+    gathered = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near")]
+    merged = every.groupBy(*key).agg(*gathered, F.array_sort(F.flatten(F.collect_list(F.arrays_zip("firsts", "lasts")))).alias("spans"))
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["lasts"] >= x["firsts"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["firsts"].alias("firsts"), F.greatest(F.element_at(acc, -1)["lasts"], x["lasts"]).alias("lasts"))))).otherwise(F.concat(acc, F.array(x)))
     spans = F.aggregate("spans", F.slice("spans", 1, 0), step)
-    return merged.select(*key, "items", spans.alias("s")).select(*key, "items", F.col("s.firsts").alias("firsts"), F.col("s.lasts").alias("lasts"))
+    return merged.select(*key, "items", spans.alias("s"), "near").select(*key, "items", F.col("s.firsts").alias("firsts"), F.col("s.lasts").alias("lasts"), "near")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, spec: IndexSpec = IndexSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated, firsts, lasts) for every document.
+    """(doc_id, n_words, n_hit, items, contaminated, firsts, lasts, near) for every document.
 
     A document word is hit when it lies in an occurrence of a window of any item; an item of fewer
-    words than a window is one window. Null, empty and word-free texts have no words and no hits; null items and
-    items without words occur nowhere. Repeated rows are judged alike, each by itself; item rows of one id are one item.
+    words than a window is one window. ``near`` are the items with a window whose words all stand near its rarest one (proximity matches, which
+    don't contaminate). Null, empty and word-free texts have no words and no hits; null items and items without words occur nowhere. Texts of
+    any length are indexed whole. Repeated rows are judged alike, each by itself; item rows of one id are one item. Other columns are not looked at.
     """
     index = written(build_index(docs, spec, id_col, text_col), "index")
     found = search(index, items, spec)
     hit = F.aggregate(F.zip_with("firsts", "lasts", lambda a, b: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", (F.size("items") > 0).alias("contaminated"), "firsts", "lasts")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", (F.size("items") > 0).alias("contaminated"), "firsts", "lasts", "near")

@@ -3,6 +3,7 @@
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 
@@ -80,15 +81,33 @@ def test_decontamination(spark, case, items):
 def test_decontamination_in_blocks(spark, make_docs):
     rows = [(i, " ".join(f"w{(i * 3 + j) % 50}" for j in range(40))) for i in range(30)]
     items = [(k, " ".join(f"w{(k + j) % 50}" for j in range(12))) for k in range(20)]
-    spec = decontam.IndexSpec(block_items=3, segment_words=100)
+    spec = decontam.IndexSpec(block_chars=120, segment_words=100)
     found = decontam.decontaminate(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"), spec)
     assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in found.collect()) == sorted(brute.leaks(rows, items))
 
 
 def test_proximity(spark, make_docs):
+    import random
+
     docs = make_docs([(1, "alpha x y beta z gamma"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "gamma beta alpha")])
-    found = decontam.search(decontam.build_index(docs), spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string"), slop=6)
-    assert sorted(r.doc_id for r in found.collect() if r["items"]) == [1, 3]
+    found = decontam.decontaminate(docs, spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string"), decontam.IndexSpec(slop=6))
+    assert sorted(r.doc_id for r in found.collect() if r["near"]) == [1, 3]
+    with pytest.raises(ValueError):
+        decontam.search(docs, docs, decontam.IndexSpec(slop=65))
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    items = [(k, " ".join(rng.sample("abcdefghijklmnopqrst", 6))) for k in range(12)]
+    spec = decontam.IndexSpec(window=4, slop=3)
+    got = {r.doc_id: sorted(r["near"]) for r in decontam.decontaminate(make_docs(texts).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), spec).collect()}
+    counts = {w: sum(t.split().count(w) for _, t in texts) for w in "abcdefghijklmnopqrst"}
+    windows = [(i, item.split()[s : s + 4]) for i, item in items for s in range(3)]
+
+    def matches(words, window):
+        rarest = min(window, key=counts.get)
+        return any(x == rarest and set(window) <= set(words[max(0, p - 3) : p + 4]) for p, x in enumerate(words))
+
+    assert got == {k: sorted({i for i, window in windows if matches(t.split(), window)}) for k, t in texts}
+    assert sum(map(len, got.values())) > 5
 
 
 def test_packing(case, tmp_path):
@@ -109,6 +128,19 @@ def test_packing(case, tmp_path):
             assert packing.read_range(blocks, 37, 500).tolist() == flat[37:537]
 
 
+def test_units_of_one_hash(make_docs):
+    """Two words that any polynomial hash modulo 2^64 takes for one (Thue-Morse order and its complement) get their own ids."""
+    import public_tokenizers
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, word + " " + word.translate({97: 98, 98: 97}))]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.read_documents(packing.write_packed(make_docs(rows).coalesce(1), packing.PackSpec(path, 2, pieces=True)), packing.crc32_of, "ids_crc32")
+    assert sorted(map(tuple, got.collect())) == brute.packed(rows, path, 2)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 31])
 def test_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint32)
@@ -128,6 +160,30 @@ def test_mixing(case):
             assert plan[leaf] <= sum(own) < plan[leaf] + max(own)
 
 
+def test_mixing_of_a_large_leaf_is_a_prefix(spark):
+    """Rows are taken in the order of the hash until the budget is reached, also by sums over ranges; long numbers in a source are read."""
+    import hashlib
+
+    rows = [(i, "w " * (1 + i % 5) + "x", "en", "src_20260101000000000000000001") for i in range(3000)] + [(9000 + i, "a b", "en", "other") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {}
+    for r in mixing.mix(docs, mixing.MixSpec(share=0.7)).collect():
+        assert r.domain == ("d1" if r.doc_id < 9000 else "o")
+        got.setdefault((r.source, r.epoch), []).append((hashlib.md5(f"42:{r.epoch}:{r.doc_id}".encode()).hexdigest(), r.doc_id, r.tokens))
+    stats = mixing.leaves(docs).groupBy(*mixing.LEVELS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens")
+    plan = {r.source: r for r in mixing.budgets(stats, mixing.MixSpec(share=0.7)).collect()}
+    for source, p in plan.items():
+        own = [(i, t.count(" ") + 1) for i, t, _, s in rows if s == source]
+        for epoch in range(-(-p.budget // p.tokens)):
+            order, left, want = sorted((hashlib.md5(f"42:{epoch}:{i}".encode()).hexdigest(), i, n) for i, n in own), p.budget - epoch * p.tokens, []
+            for row in order:
+                if left <= 0:
+                    break
+                want.append(row)
+                left -= row[2]
+            assert sorted(got[source, epoch]) == want
+
+
 def test_mixing_gives_shortages_to_siblings(spark):
     """A child that can't fill its budget leaves the rest to its sibling, not to another domain."""
     stats = spark.createDataFrame([("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("b", "en", "s3", 1010)], "domain string, lang string, source string, tokens long")
@@ -150,6 +206,32 @@ def test_contexts_find_unseen_identifiers(make_docs):
     assert all(got[500 + k] == [("context", 16, 27)] for k in range(3))
 
 
+@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "1 " * 20_000, "1." * 20_000, "+1" + "(" * 300_000, "x@y" + ".a" * 50_000, "w" + " " * 300_000 + "1234567", "+49 170 1234567 " * 3000, "a@b.c_d@e.f.g " * 1000])
+def test_spans_of_long_runs(make_docs, text):
+    """Runs that patterns with backtracking or one list for all matches would not get through, and the personal data that they hold."""
+    got = pii.find(make_docs([(1, text), (2, text[:4000])])).collect()
+    want = sorted((s, e, k) for s, _, k, e in brute.personal(text[:4000]))
+    assert [sorted((x.s, x.e, x.kind) for x in r.base) for r in got if r.doc_id == 2] == [want]
+
+
+def test_patterns_equal_the_plain_ones(make_docs):
+    """Matching without backtracking finds the same spans on random strings of the patterns' characters."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("a1.@-_+ ()59\n,x") for _ in range(rng.randint(0, 60)))) for k in range(2000)]
+    for r in pii.find(make_docs(rows)).collect():
+        assert sorted((x.s, x.e, x.kind) for x in r.base) == sorted((s, e, k) for s, _, k, e in brute.personal(rows[r.doc_id][1]))
+
+
+def test_patterns_of_any_length(make_docs):
+    """The word before counts whole: two long words that differ at their ends only are two patterns; a match right before gives its kind."""
+    word = "k" * 200
+    rows = [(k, f"{word}A +49 170 12345{k:03d} and {word}B 9999{k:03d}") for k in range(30)] + [(99, f"{word}a 0170-99991"), (98, f"{word}b 0170-99992")]
+    got = {r.doc_id: [x.m for x in r.extra] for r in pii.find(make_docs(rows)).collect()}
+    assert got[99] == ["0170-99991"] and got[98] == []
+
+
 def test_language_model(case):
     rows, docs = case
     got = maxent_lm.train_and_score(docs).collect()
@@ -194,6 +276,47 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_rule_ties(spark):
+    """Of equally long rules the allowing one decides, whether rules are tested in turn or joined."""
+    page = spark.createDataFrame([(1, "http://a.com/bxyz", None), (2, "http://" + "x." * 5000 + "a.com/bx", None)], "page_id long, url string, html string")
+    rules = [("allow", "com/bxyz"), ("block", "a.com/bx")]
+    for more in (0, 100):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(page, rules + [("block", f"host{k}.com/p") for k in range(more)]).collect()}
+        assert got == {1: ("com/bxyz", "allow"), 2: ("a.com/bx", "block")}
+
+
+def test_chains_of_aliases_equal_sql(spark):
+    """Verdicts that go along chains of links, by components and by the recursive query."""
+    from panelforge.llm import queries
+    from panelforge.llm.oracles import OP1
+
+    link = lambda to: f'<html><LINK rel="canonical" href="{to}"></html>'
+    pages = [(k, f"https://chain.net/{k}?utm_source=x", link(f"http://www.chain.net/{k + 1}")) for k in range(30)]
+    pages += [(30, "http://chain.net/30", '<meta http-equiv=refresh content="0; url=/31">'), (31, "http://chain.net/31/", link("http://far.com/en/1"))]
+    pages += [(40, "http://one.io/a", link("http://far.com/en/2")), (41, "http://one.io/a#x", link("//shop.example.com/en/7x")), (42, "http://alone.io/", None), (43, None, "x"), (44, "ftp:/x", None), (45, "http://shop.example.com/en/7x", None)]
+    pages += [(50, "http://far.com/en/1", None), (51, "http://far.com/en/2", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.verdict) for r in url_filter.judge(df, queries.URL_RULES).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert got == sorted(con.execute(f"SELECT page_id, verdict FROM ({OP1})").fetchall())
+    verdicts = dict(got)
+    assert verdicts[0] == verdicts[31] == "block" and verdicts[40] == "allow" and verdicts[42] == "allow"
+
+
+def test_join_one_splits_hot_and_null_keys(spark, monkeypatch):
+    from panelforge.llm import common
+
+    many = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(400)] + [(99, k) for k in range(60)], "key long, n long")
+    one = common.written(spark.createDataFrame([(k, k * 10) for k in range(5)], "key long, v long"), "one")
+    want = {left: sorted(map(tuple, many.join(one, "key", "left" if left else "inner").collect()), key=repr) for left in (True, False)}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    for left in (True, False):
+        assert sorted(map(tuple, common.join_one(many, one, "key", left).collect()), key=repr) == want[left]
+
+
 def test_vectors(spark):
     good = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
     odd = [(100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, None, 2.0]), (160, [float("nan"), 1.0, 1.0]), (180, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (40, [9.0, 9.0, 9.0])]
