@@ -1,10 +1,10 @@
 """Quality scores by co-training.
 
-Two logistic classifiers see different views of a document: its text (a hashed byte-pair profile
-and how often a word follows itself) and its page metadata (language, source, length, line layout).
-Each round, every view hands its most confident unlabelled documents, with the label it gives
-them, to the other one. The views are then calibrated on labelled documents kept apart, and their
-calibrated log-odds are combined.
+Two logistic classifiers see different views of a document: its text (a hashed byte-pair profile, repeats, lines and
+word forms) and its page metadata (language, source, length). In each round every view labels all unlabelled documents it
+is confident of, and the other view learns from them: tasks add up gradients over the whole pool, Spark adds up tasks, and
+the driver, which holds the labelled rows (a bounded number), makes a step. The views are then calibrated on labelled documents kept
+apart, and their calibrated log-odds are combined.
 """
 
 from __future__ import annotations
@@ -19,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_broadcast, written
+from panelforge.llm.common import bounded_broadcast, without_ids, written
 
-PAIR_BUCKETS, LANGS, SOURCES = 256, 8, 16
+PAIR_BUCKETS, FORMS, LANGS, SOURCES = 256, 9, 8, 16
+WIDTHS = (1 + PAIR_BUCKETS + FORMS, 4 + LANGS + SOURCES)
 
 
 @dataclass(frozen=True)
 class CoTrainSpec:
-    """``labelled`` and ``unlabelled`` bound the rows that classifiers are fitted on (by a hash of the id); scoring covers every document."""
+    """``labelled`` bounds the labelled rows that are fitted on (by a hash of the id); the unlabelled pool is every document without a label. ``confidence``:
+    from which a view's label is handed over. ``pseudo``: weight of all handed labels against all given ones, at most. ``steps``: passes over the pool in a round."""
 
     labelled: int = 8000
-    unlabelled: int = 4000
-    rounds: int = 3
-    exchanged: int = 300
+    rounds: int = 2
+    steps: int = 2
     confidence: float = 0.97
+    pseudo: float = 0.5
     threshold: float = 0.3
 
 
@@ -40,8 +42,8 @@ def _bucket(value: str | None, n: int) -> int:
     return zlib.crc32((value or "").encode()) % n
 
 
-def features(texts: list[bytes | None], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The two views of some documents: rows of the text view and of the metadata view. Null texts count as empty."""
+def features(texts: list[bytes | None], langs: list[str | None], sources: list[str | None], lengths: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of some documents: bytes of the text view's pairs followed by its forms (float32), and float32 rows of the metadata view. Null texts count as empty, null lengths as 0."""
     n = len(texts)
     texts = [t or b"" for t in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -52,33 +54,52 @@ def features(texts: list[bytes | None], langs: list[str | None], sources: list[s
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
         same = owner[:-1] == owner[1:]
         pairs = np.bincount((owner[:-1] * PAIR_BUCKETS + code)[same], minlength=n * PAIR_BUCKETS)
-    pairs = np.sqrt(pairs.reshape(n, PAIR_BUCKETS) / np.maximum(sizes, 1)[:, None])
+    pairs = np.rint(np.sqrt(pairs.reshape(n, PAIR_BUCKETS) / np.maximum(sizes, 1)[:, None]) * 255).astype(np.uint8)
     words = [t.split() for t in texts]
     again = np.array([sum(map(eq, w, w[1:])) / max(1, len(w) - 1) for w in words])
-    text_view = np.column_stack((np.ones(n), pairs, again))
     lines = [t.split(b"\n") for t in texts]
     n_lines, n_words = np.array([len(x) for x in lines]), np.array([len(w) for w in words])
     distinct = np.array([len(set(x)) / max(1, len(x)) for x in lines])
     variety = np.array([len(set(w)) / max(1, len(w)) for w in words])
     longest = np.array([max(map(len, w), default=0) for w in words])
     short = np.array([sum(len(x) < 2 for x in w) / max(1, len(w)) for w in words])
-    meta = [np.ones(n), np.log1p(sizes) / 10, np.log1p(n_words) / 10, np.log1p(sizes / n_lines) / 10, distinct, variety, variety * np.log1p(n_words) / 10, np.log1p(longest) / 5, short, sizes / np.maximum(n_words, 1) / 10]
+    forms = (again, np.log1p(n_words) / 10, np.log1p(sizes / n_lines) / 10, distinct, variety, variety * np.log1p(n_words) / 10, np.log1p(longest) / 5, short, sizes / np.maximum(n_words, 1) / 10)
+    size = np.log1p(np.array([max(0, x or 0) for x in lengths], float)) / 10
     place = np.zeros((n, LANGS + SOURCES))
     place[np.arange(n), [_bucket(x, LANGS) for x in langs]] = 0.3
     place[np.arange(n), [LANGS + _bucket(x, SOURCES) for x in sources]] = 0.3
-    return text_view, np.column_stack((*meta, place))
+    text = np.concatenate((pairs, np.column_stack(forms).astype(np.float32).view(np.uint8).reshape(n, -1)), 1)
+    return text, np.column_stack((np.ones(n), size, size**2, size < 0.3, place)).astype(np.float32)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton steps (the first column, the intercept, is hardly penalised)."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-3
+def text_matrix(packed: np.ndarray) -> np.ndarray:
+    """Rows of the text view, with the intercept first."""
+    forms = np.ascontiguousarray(packed[:, PAIR_BUCKETS:]).view(np.float32)
+    return np.concatenate((np.ones((len(packed), 1), np.float32), packed[:, :PAIR_BUCKETS].astype(np.float32) / 255, forms), 1)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _penalty(width: int, ridge: float) -> np.ndarray:
+    """The first column, the intercept, is hardly penalised."""
+    out = np.full(width, ridge)
+    out[0] = 1e-3
+    return out
+
+
+def _slope_and_bend(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = sigmoid(x @ w)
+    return x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Ridge-penalised logistic regression by Newton steps."""
+    w, penalty = np.zeros(x.shape[1]), _penalty(x.shape[1], ridge)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + penalty * w
-        bend = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(bend, slope)
+        slope, bend = _slope_and_bend(x, y, w)
+        step = np.linalg.solve(bend + np.diag(penalty), slope + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -87,110 +108,148 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class CoTrained:
-    """Weights of both views, their calibrations (slope, offset) and the weights that combine them."""
+    """Weights of both views, their calibrations (slope, offset), the weights that combine them, and how many labels each view was handed in each round."""
 
     views: list[np.ndarray]
     calibration: list[np.ndarray]
     combine: np.ndarray
+    handed: list[tuple[int, int]]
 
     def scores(self, both: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        odds = [np.clip(x @ w, -30, 30) * c[1] + c[0] for x, w, c in zip(both, self.views, self.calibration, strict=True)]
+        """Combined and both views' probabilities for the rows of ``features``."""
+        odds = [np.clip(x @ w, -30, 30) * c[1] + c[0] for x, w, c in zip((text_matrix(both[0]), both[1]), self.views, self.calibration, strict=True)]
         total = self.combine[0] + self.combine[1] * odds[0] + self.combine[2] * odds[1]
-        return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (total, *odds))  # type: ignore[return-value]
+        return tuple(sigmoid(z) for z in (total, *odds))  # type: ignore[return-value]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    length = F.length(F.col("text").cast("string")).cast("long")
+    length = F.coalesce(F.col("n_chars").cast("long"), length) if "n_chars" in docs.columns else length
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), length.alias("length"))
+
+
+def views(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, m) for every document: the packed rows of both views, a few hundred bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                t, m = features(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in t]), pa.array([r.tobytes() for r in m])], ["doc_id", "t", "m"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, t binary, m binary")
+
+
+def _unpacked(t: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(t), np.uint8).reshape(len(t), -1), np.frombuffer(b"".join(m), np.float32).reshape(len(m), -1)
+
+
+def handed_over(x: list[np.ndarray], teachers: list[np.ndarray], confidence: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view as a pupil: which rows the other view is confident of, and the labels it gives them."""
+    out = []
+    for pupil in (0, 1):
+        p = sigmoid(x[1 - pupil] @ teachers[1 - pupil])
+        pick = np.flatnonzero((p >= confidence) | (p <= 1 - confidence))
+        out.append((pick, (p[pick] > 0.5).astype(float)))
+    return out
 
 
-def co_train(both: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], spec: CoTrainSpec) -> CoTrained:
-    """Fit on labelled rows (every fourth is kept for calibration) and a pool of unlabelled ones."""
+def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.ndarray], confidence: float) -> list[tuple[int, np.ndarray]]:
+    """For each view, the number of labels it is handed over the whole pool, and the sum of their gradients."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(1 + w) for w in WIDTHS]
+        for batch in batches:
+            if batch.num_rows:
+                t, m = _unpacked(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                x = [text_matrix(t), m]
+                for k, (pick, y) in enumerate(handed_over(x, teachers, confidence)):
+                    own = x[k][pick]
+                    sums[k][0] += len(pick)
+                    sums[k][1:] += own.T @ (sigmoid(own @ pupils[k]) - y)
+        for k in (0, 1):
+            n = len(sums[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(sums[k])], ["view", "at", "v"])
+
+    out = [np.zeros(1 + w) for w in WIDTHS]
+    for r in pool.select("t", "m").mapInArrow(run, "view int, at int, v double").groupBy("view", "at").agg(F.sum("v").alias("v")).collect():
+        out[r["view"]][r["at"]] = r["v"]
+    return [(round(v[0]), v[1:]) for v in out]
+
+
+def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), seen: DataFrame | None = None) -> CoTrained:
+    """Co-train on ``labels`` (doc_id, quality 0 or 1) and on all documents without one; ``seen``: their written ``views``.
+
+    Rows with other values or a null id, and ids that are labelled both ways, are left out. Every fourth labelled row, by the hash, is kept for calibration. Without both
+    classes in each part the model is the labels' rate.
+    """
+    seen = written(views(docs), "views") if seen is None else seen
+    y = F.col("quality").cast("double")
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top"))
+    given = written(given.where("y = top").select("doc_id", "y"), "labels")
+    some = written(given.join(bounded_broadcast(written(seen.select("doc_id").distinct(), "ids")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(spec.labelled), "sample")
+    rows = seen.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").collect()
+    y = np.array([r["y"] for r in rows])
     hold = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
-        prior = np.log(rate / (1 - rate))
-        return CoTrained([np.zeros(x.shape[1]) for x in both], [np.array([prior, 0.0])] * 2, np.array([0.0, 0.5, 0.5]))
-    sets = [[x[~hold], y[~hold], np.ones((~hold).sum())] for x in both]
-    free = np.ones(len(pool[0]), bool)
-    weights = [fit_logistic(*s) for s in sets]
+        return CoTrained([np.zeros(w) for w in WIDTHS], [np.array([np.log(rate / (1 - rate)), 0.0])] * 2, np.array([0.0, 0.5, 0.5]), [])
+    t, m = _unpacked([bytes(r["t"]) for r in rows], [bytes(r["m"]) for r in rows])
+    both = [text_matrix(t).astype(float), m.astype(float)]
+    mine = [x[~hold] for x in both]
+    weights = [fit_logistic(x, y[~hold]) for x in mine]
+    pool, handed = without_ids(seen, given), []
     for _ in range(spec.rounds):
-        handed = []
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(pool[k] @ weights[k], -30, 30)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                pick = np.flatnonzero(free & (sure >= spec.confidence))
-                pick = pick[np.argsort(-sure[pick], kind="stable")][: spec.exchanged]
-                handed.append((1 - k, pick, label))
-        for to, pick, label in handed:
-            x, t, w = sets[to]
-            sets[to] = [np.concatenate((x, pool[to][pick])), np.concatenate((t, np.full(len(pick), label))), np.concatenate((w, np.full(len(pick), 0.5)))]
-            free[pick] = False
-        weights = [fit_logistic(*s) for s in sets]
-        if not any(len(pick) for _, pick, _ in handed):
-            break
+        teachers = [w.copy() for w in weights]
+        for _ in range(spec.steps):
+            got = pool_slopes(pool, teachers, weights, spec.confidence)
+            for k, (n, slope) in enumerate(got):
+                share = spec.pseudo * min(1.0, len(mine[k]) / max(1, n))
+                own, bend = _slope_and_bend(mine[k], y[~hold], weights[k])
+                penalty = _penalty(WIDTHS[k], 1.0)
+                weights[k] = weights[k] - np.linalg.solve(bend * (1 + share * n / len(mine[k])) + np.diag(penalty), own + share * slope + penalty * weights[k])
+        handed.append((got[0][0], got[1][0]))
     kept, held_y = [x[hold] for x in both], y[hold]
     ones = np.ones(len(held_y))
     raw = [np.clip(x @ w, -30, 30) for x, w in zip(kept, weights, strict=True)]
-    calibration = [fit_logistic(np.column_stack((ones, z)), held_y, ones, 1e-2) for z in raw]
+    calibration = [fit_logistic(np.column_stack((ones, z)), held_y, 1e-2) for z in raw]
     odds = [z * c[1] + c[0] for z, c in zip(raw, calibration, strict=True)]
-    return CoTrained(weights, calibration, fit_logistic(np.column_stack((ones, *odds)), held_y, ones, 1.0))
+    return CoTrained(weights, calibration, fit_logistic(np.column_stack((ones, *odds)), held_y, 1.0), handed)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+SCORED = "score double, text_score double, meta_score double"
 
 
-def _views(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-    """Both views of a bounded set of documents, computed by tasks; the last column comes along."""
+def score(docs: DataFrame, model: CoTrained, seen: DataFrame | None = None) -> DataFrame:
+    """``doc_id`` with the combined and both calibrated views' probabilities of good quality, for every document; ``seen``: its written ``views``.
+
+    Null texts are scored as empty ones, texts of any length whole; equal rows get equal scores, each by itself; an empty table gives none. Columns other than
+    doc_id, text, lang, source and n_chars (where it is missing or null, the text's length) are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                t, m = features(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in t.astype(np.float32)]), pa.array([r.tobytes() for r in m.astype(np.float32)]), batch.column(4)], ["doc_id", "t", "m", "y"])
-
-    rows = docs.mapInArrow(run, "doc_id long, t binary, m binary, y double").orderBy("doc_id", "y").collect()
-    view = lambda c, width: np.frombuffer(b"".join(r[c] for r in rows), np.float32).reshape(len(rows), width).astype(float)
-    return view("t", PAIR_BUCKETS + 2), view("m", 10 + LANGS + SOURCES), [r["y"] for r in rows]
-
-
-def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec()) -> CoTrained:
-    """Co-train on ``labels`` (doc_id, quality 0 or 1; other values are left out) and a pool of documents without one."""
-    by_hash = F.xxhash64("doc_id", F.lit(8))
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    given = written(given, "labels")
-    some = given.orderBy(by_hash, "doc_id").limit(spec.labelled)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    others = ids.join(bounded_broadcast(given.select("doc_id")), "doc_id", "left_anti").orderBy(by_hash, "doc_id").limit(spec.unlabelled)
-    chosen = written(some.unionByName(others.withColumn("y", F.lit(None).cast("double"))), "sample")
-    text, meta, y = _views(_rows(docs).join(F.broadcast(chosen), "doc_id"))
-    mine = np.array([v is not None for v in y], bool)
-    pick = lambda m: (text[m], meta[m])
-    return co_train(pick(mine), np.array([v for v in y if v is not None], float), pick(~mine), spec)
-
-
-SCORED = "score double, text_score double, meta_score double"
-
-
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """``doc_id`` with the combined and both calibrated views' probabilities of good quality, for every document. Null texts are scored as empty ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                got = model.scores(features(*(batch.column(i).to_pylist() for i in (1, 2, 3))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in got)], ["doc_id", "score", "text_score", "meta_score"])
+                got = model.scores(_unpacked(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(float)) for x in got)], ["doc_id", "score", "text_score", "meta_score"])
 
-    return _rows(docs).mapInArrow(run, f"doc_id long, {SCORED}")
+    return (views(docs) if seen is None else seen).mapInArrow(run, f"doc_id long, {SCORED}")
 
 
 def keep_good(docs: DataFrame, model: CoTrained, spec: CoTrainSpec = CoTrainSpec()) -> DataFrame:
     """The rows of ``docs`` (all their columns, texts untouched) whose score reaches the threshold; the views are computed where the rows are."""
     schema, names = docs.schema, docs.columns
     place = [names.index(c) for c in ("text", "lang", "source")]
+    length = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                got = model.scores(features(*(batch.column(i).cast(kind).to_pylist() for i, kind in zip(place, (pa.binary(), pa.string(), pa.string()), strict=True))))
-                yield batch.filter(pa.array(got[0] >= spec.threshold))
+                texts, langs, sources = (batch.column(i).cast(kind).to_pylist() for i, kind in zip(place, (pa.binary(), pa.string(), pa.string()), strict=True))
+                sizes = [None] * len(texts) if length is None else batch.column(length).to_pylist()
+                sizes = [len(t.decode()) if s is None and t else s for s, t in zip(sizes, texts, strict=True)]
+                yield batch.filter(pa.array(model.scores(features(texts, langs, sources, sizes))[0] >= spec.threshold))
 
     return docs.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import ann, decontam, lsh_forest, maxent_lm, mixing, packing, pii, quality, secret_scan, url_filter
-from panelforge.llm.common import table
+from panelforge.llm.common import table, written
 from panelforge.llm.oracles import ORACLES
 
 
@@ -54,7 +54,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spec = table(spark, sf_dir, "documents"), quality.CoTrainSpec()
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), spec))
+    seen = written(quality.views(docs), "views")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), spec, seen), seen)
     return scored.withColumn("keep", F.col("score") >= spec.threshold)
 
 

@@ -344,3 +344,24 @@ def test_nearest_in_a_full_block(spark, spread):
         score = x @ x[q]
         score[q] = -np.inf
         assert got[q] == set(np.argsort(-score)[:20].tolist())
+
+
+def test_views_teach_each_other(spark):
+    """Labels that are handed over and their gradients equal a plain computation over the whole pool; ids that are labelled both ways are left out."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["good", "fine", "text"] if k % 2 else ["zz", "qq", "junk!"], rng.integers(5, 60))) for k in range(400)]
+    docs = spark.createDataFrame([(k, t, "en" if k % 2 else "xx", f"s{k % 2}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(k, 1 - k % 2) for k in range(20)], "doc_id long, quality int")
+    spec = quality.CoTrainSpec(confidence=0.75)
+    both = quality.features([t.encode() for t in texts], ["en" if k % 2 else "xx" for k in range(400)], [f"s{k % 2}" for k in range(400)], [len(t) for t in texts])
+    x = [quality.text_matrix(both[0]), both[1]]
+    weights = [rng.normal(size=w) / 4 for w in quality.WIDTHS]
+    pupils = [rng.normal(size=w) / 9 for w in quality.WIDTHS]
+    for k, (n, slope) in enumerate(quality.pool_slopes(quality.views(docs), weights, pupils, 0.6)):
+        p = 1 / (1 + np.exp(-x[1 - k] @ weights[1 - k]))
+        sure = [(i, float(v > 0.5)) for i, v in enumerate(p) if v >= 0.6 or v <= 0.4]
+        want = sum(x[k][i] * (1 / (1 + np.exp(-x[k][i] @ pupils[k])) - label) for i, label in sure)
+        assert n == len(sure) and np.allclose(slope, want, atol=1e-3)
+    model = quality.train(docs, labels, spec)
+    assert len(model.handed) == spec.rounds and min(map(min, model.handed)) > 0
+    assert all((r.score >= 0.5) == (r.doc_id % 2) for r in quality.score(docs, model).collect())
