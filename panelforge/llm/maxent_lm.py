@@ -1,13 +1,14 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The class distribution is a softmax over hashed
-features: the word before, the one before that (a skip feature) and the pair of both. Words of
-one class share its mass by their smoothed counts. Frequent words, at most ``head`` of them, have classes of about equal mass; all other
+log P(word | history) = log P(class | history) + log P(word | class, class before). The class distribution is a softmax over hashed
+features: the word before, the one before that (a skip feature) and the pair of both. Within a class, words have a softmax of
+their smoothed counts and a feature for each pair of a word and the class of the word before it. Frequent words, at most ``head`` of them, have classes of about equal mass; all other
 words belong to one of four classes by their hash: words seen once teach these classes where unknown ones stand.
 
-Training is distributed: tasks sum gradients over all their training tokens, Spark adds them up by feature, and the driver
-applies one update a round to weights of fixed size. The first round starts from class frequencies, where the gradient
-is a table of counts; further ones use the model's own expectations. Word counts cover the whole corpus and stay distributed: only the bounded head
+Training is distributed. For classes, tasks sum gradients over all their training tokens, Spark adds them up by feature, and the driver
+applies one update a round; the number of features grows with the square root of the corpus. The first round starts from class frequencies, where the gradient
+is a table of counts; further ones use the model's own expectations. Within classes, features and their weights are a table that
+grows with the corpus, and every update is a query over it. Word counts cover the whole corpus and stay distributed: only the bounded head
 is sent to the tasks, the tail is joined.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,28 @@ NO_ID = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class LmSpec:
-    """``held``: remainder of crc32(id as text) mod 7 that is not trained on. ``rounds``: gradient rounds after the first."""
+    """``held``: remainder of crc32(id as text) mod 7 that is not trained on. ``rounds``: gradient rounds after the first, of classes; ``inner_rounds``: those of words within classes.
+    ``unigrams`` and ``pairs``: hashed features of a word and of a pair of words (at least; they are set from the number of tokens)."""
 
     held: int = 2
     head: int = 1 << 17
     head_classes: int = 15
     unigrams: int = 1 << 13
     pairs: int = 1 << 14
-    rounds: int = 1
+    rounds: int = 2
+    inner_rounds: int = 3
+    inner_shrink: float = 30.0
+    inner_ridge: float = 3.0
     shrink: float = 20.0
     start_share: float = 0.5
     rate: float = 0.5
     block_words: int = 1 << 20
 
+    def sized(self, tokens: int) -> LmSpec:
+        """With hashed features in proportion to the square root of the number of training tokens."""
+        bits = max(0, int(tokens).bit_length() // 2)
+        return replace(self, unigrams=max(self.unigrams, 1 << bits), pairs=max(self.pairs, 2 << bits))
+
     @property
     def classes(self) -> int:
         return 1 + self.head_classes + 4
@@ -126,7 +136,8 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """What tasks need: the head (sorted hashes, counts, classes), log10 masses of the classes, weights, and the corpus totals."""
+    """What tasks need: the head (sorted hashes, counts, classes), masses of the classes, weights, the corpus totals, and for words within
+    classes the head's weights by class before (``inner``) and the logs of the sums that divide (``norms``, by class and class before)."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -137,6 +148,12 @@ class Model:
     n_types: int
     n_ends: int
     spec: LmSpec
+    inner: np.ndarray | None = None
+    norms: np.ndarray | None = None
+
+    @property
+    def bounds(self) -> int:
+        return 1 + self.spec.head_classes
 
     def look_up(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word of a block, and its count; -1 in the tail."""
@@ -159,6 +176,13 @@ class Model:
         f3 = 1 + 2 * spec.unigrams + (mix64(one ^ (two * np.uint64(3))) % np.uint64(spec.pairs)).astype(np.int64)
         return np.stack((f1, f2, f3))
 
+    def classes_of(self, tokens: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's class and the class before it; an end stands before a document."""
+        y = np.where(tokens >= 0, kinds[np.maximum(tokens, 0)] if len(kinds) else 0, 0)
+        before = np.roll(y, 1)
+        before[starts] = 0
+        return y, before
+
     def log_classes(self, f: np.ndarray) -> np.ndarray:
         z = self.weights[0] + self.weights[f[0]] + self.weights[f[1]] + self.weights[f[2]]
         z -= z.max(1, keepdims=True)
@@ -206,8 +230,53 @@ def _gradient(blocks: DataFrame, model: Model, first: bool) -> np.ndarray:
     return out
 
 
-def train(blocks: DataFrame, counts: DataFrame, spec: LmSpec = LmSpec()) -> tuple[Model, int]:
-    """The model, and the least count of its head: words of at least that count are in it."""
+def pair_counts(blocks: DataFrame, model: Model) -> DataFrame:
+    """(word, kind, before, n): how often each word stands after a word of each class, in training documents; pre-aggregated by block. Ends are left out, as their class has one member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _rows(batches):
+            tokens, owner, starts = b.with_ends()
+            kinds, _ = model.look_up(b)
+            _, before = model.classes_of(tokens, kinds, starts)
+            use = b.trains[owner] & (tokens >= 0)
+            size = model.spec.classes
+            key, n = np.unique(tokens[use] * size + before[use], return_counts=True)
+            word = key // size
+            yield pa.RecordBatch.from_arrays([pa.array(b.words[word].view(np.int64)), pa.array(kinds[word].astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(n)], ["word", "kind", "before", "n"])
+
+    return blocks.mapInArrow(run, "word long, kind int, before int, n long").groupBy("word", "kind", "before").agg(F.sum("n").alias("n"))
+
+
+def train_inner(pairs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """(word, kind, before, weight): weights of the features of words within classes; sets ``model.norms``.
+
+    ``pairs``: a written table of ``pair_counts``. A word's share of its class is (c + 1) exp(weight), divided by the sum over the class; an unknown
+    word has one of its class. Weights start from smoothed counts; each round adds the gradient, observed less expected counts less the penalty's, over its curvature.
+    """
+    spec, size = model.spec, model.spec.classes
+    rows = written(pairs.join(counts, "word").select("word", "kind", "before", "n", (F.col("c") + 1.0).alias("base")), "word-features")
+    met = np.zeros((size, size))
+    for r in rows.groupBy("kind", "before").agg(F.sum("n").alias("n")).collect():
+        met[r["kind"], r["before"]] = r["n"]
+    of = lambda grid: F.array(*map(F.lit, grid.ravel().tolist()))[F.col("kind") * size + F.col("before")]
+    total = of(met)
+    share = F.col("base") / of(np.repeat(model.mass[:, None], size, 1))
+    rows = rows.withColumn("weight", F.log((F.col("n") + spec.inner_shrink * share) / ((total + spec.inner_shrink) * share)))
+    for k in range(spec.inner_rounds + 1):
+        rows = written(rows, "word-features")
+        z = np.repeat(model.mass[:, None], size, 1)
+        for r in rows.groupBy("kind", "before").agg(F.sum(F.col("base") * (F.exp("weight") - 1)).alias("z")).collect():
+            z[r["kind"], r["before"]] += r["z"]
+        model.norms = np.log(np.maximum(z, 1))
+        if k < spec.inner_rounds:
+            p = F.col("base") * F.exp("weight") / of(z)
+            step = spec.rate * (F.col("n") - total * p - spec.inner_ridge * F.col("weight")) / (total * p * (1 - p) + spec.inner_ridge)
+            rows = rows.withColumn("weight", F.col("weight") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step)))
+    return rows.select("word", "kind", "before", "weight")
+
+
+def train(blocks: DataFrame, counts: DataFrame, spec: LmSpec = LmSpec()) -> tuple[Model, DataFrame]:
+    """The model with its head, and the table of all other training words (word, c, weights by class before)."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +296,14 @@ def train(blocks: DataFrame, counts: DataFrame, spec: LmSpec = LmSpec()) -> tupl
     kinds = np.empty(len(c), np.int64)
     kinds[order] = 1 + np.minimum((share * spec.head_classes).astype(np.int64), spec.head_classes - 1)
     tail = {r["k"]: r["m"] for r in counts.where(F.col("c") < least).groupBy(F.shiftrightunsigned("word", 62).alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect()}
+    spec = spec.sized(totals["n"])
     mass = np.zeros(spec.classes)
     mass[0] = n_ends + 1
     mass[1 : 1 + spec.head_classes] = np.bincount(kinds - 1, weights=c + 1.0, minlength=spec.head_classes)
     mass[1 + spec.head_classes :] = [tail.get(k, 0) + 1 for k in range(4)]
     by_word = np.argsort(words)
     n, v = totals["n"] + n_ends, totals["v"] + (n_ends > 0)
-    model = Model(words[by_word], c[by_word], kinds[by_word], np.log10(np.maximum(mass, 1)), np.zeros((spec.features, spec.classes), np.float32), n, v, n_ends, spec)
+    model = Model(words[by_word], c[by_word], kinds[by_word], np.maximum(mass, 1), np.zeros((spec.features, spec.classes), np.float32), n, v, n_ends, spec)
     seen = _gradient(blocks, model, True)
     used = mass > 0
     prior = (seen[0] + 1e-3 * used + 1e-12) / (seen[0].sum() + 1e-3 * used.sum() + 1e-12 * len(used))
@@ -246,10 +316,17 @@ def train(blocks: DataFrame, counts: DataFrame, spec: LmSpec = LmSpec()) -> tupl
         bend = per_feature * prior * (1 - prior)
         weights = weights + spec.rate * (seen - expected) / (bend + spec.shrink)
     model.weights = np.where(used, weights, -60.0).astype(np.float32) if not used.all() else weights.astype(np.float32)
-    return model, least
+    inner = train_inner(written(pair_counts(blocks, model), "pair-counts"), counts, model)
+    grid = np.zeros((len(model.words), spec.classes), np.float32)
+    got = inner.where(F.col("kind") < model.bounds).select("word", "before", "weight").toArrow()  # of the head, so at most its words times the classes
+    if got.num_rows:
+        grid[np.searchsorted(model.words, got.column("word").to_numpy().view(np.uint64)), got.column("before").to_numpy()] = got.column("weight").to_numpy()
+    model.inner = grid
+    rare = inner.where(F.col("kind") >= model.bounds).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("before", "weight"))).alias("weights"))
+    return model, counts.where(F.col("c") < least).join(rare, "word", "left")
 
 
-def score(blocks: DataFrame, counts: DataFrame, model: Model, least: int) -> DataFrame:
+def score(blocks: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
     base_score adds up log10((c + 1) / (N + V + 1)) over its tokens and end, score the model's log10 probabilities. An empty
@@ -263,7 +340,12 @@ def score(blocks: DataFrame, counts: DataFrame, model: Model, least: int) -> Dat
             kinds, c = model.look_up(b)
             inner = tokens >= 0
             at = np.maximum(tokens, 0)
-            y = np.where(inner, kinds[at] if len(kinds) else 0, 0)
+            y, before = model.classes_of(tokens, kinds, starts)
+            if len(model.words) and len(c):
+                row = np.minimum(np.searchsorted(model.words, b.words), len(model.words) - 1)[at]
+                own = np.where(inner & (c[at] >= 0), model.inner[row, before], 0)
+            else:
+                own = np.zeros(len(y))
             count = np.where(inner, c[at] if len(c) else 0, model.n_ends)
             f = model.contexts(b, tokens, starts)
             lp = np.empty(len(y))
@@ -271,28 +353,37 @@ def score(blocks: DataFrame, counts: DataFrame, model: Model, least: int) -> Dat
                 part = slice(k, k + (1 << 17))
                 lp[part] = model.log_classes(f[:, part])[np.arange(len(y[part])), y[part]]
             logs = np.log10(np.maximum(count, 0) + 1.0)
-            sums = [np.add.reduceat(x, starts) for x in (logs, lp / np.log(10) - model.mass[y], (count > 0).astype(np.int64))]
+            sums = [np.add.reduceat(x, starts) for x in (logs, (lp + own - np.where(inner, model.norms[y, before], np.log(model.mass[0]))) / np.log(10), (count > 0).astype(np.int64))]
             n = len(b.ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.ids, mask=b.ids == NO_ID), pa.array(~b.trains), pa.array(b.sizes + 1), *map(pa.array, sums)], ["block", "place", "doc_id", "held_out", "n_tokens", "logs", "model", "known"])
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _rows(batches):
-            _, c = model.look_up(b)
-            rare = np.flatnonzero(c[b.codes] < 0) if len(c) else np.empty(0, np.int64)
-            owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
-            key, times = np.unique((owner[rare] << 32) | b.codes[rare], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b.number)), pa.array((key >> 32).astype(np.int32)), pa.array(b.words[key & 0xFFFFFFFF].view(np.int64)), pa.array(times)], ["block", "place", "word", "times"])
+            kinds, c = model.look_up(b)
+            tokens, owner, starts = b.with_ends()
+            _, before = model.classes_of(tokens, kinds, starts)
+            rare = np.flatnonzero((tokens >= 0) & (c[np.maximum(tokens, 0)] < 0)) if len(c) else np.empty(0, np.int64)
+            size = model.spec.classes
+            key, times = np.unique((owner[rare] * len(b.words) + tokens[rare]) * size + before[rare], return_counts=True)
+            pair, before = key // size, (key % size).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b.number)), pa.array((pair // max(1, len(b.words))).astype(np.int32)), pa.array(b.words[pair % max(1, len(b.words))].view(np.int64)), pa.array(before), pa.array(times)], ["block", "place", "word", "before", "times"])
 
     docs = blocks.mapInArrow(heads, "block long, place int, doc_id long, held_out boolean, n_tokens long, logs double, model double, known long")
-    rare = blocks.mapInArrow(tails, "block long, place int, word long, times long").join(counts.where(F.col("c") < least), "word")
-    rare = rare.groupBy("block", "place").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("seen"))
+    rare = blocks.mapInArrow(tails, "block long, place int, word long, before int, times long").join(tail, "word")
+    weight = F.coalesce(F.try_element_at("weights", F.col("before")), F.lit(0.0)) / np.log(10)
+    rare = rare.groupBy("block", "place").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.col("times") * weight).alias("inner"), F.sum("times").alias("seen"))
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
     base = logs - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))
-    return docs.join(rare, ["block", "place"], "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + logs).alias("score"))
+    return docs.join(rare, ["block", "place"], "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + logs + F.coalesce("inner", F.lit(0.0))).alias("score"))
 
 
 def train_and_score(docs: DataFrame, spec: LmSpec = LmSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of all ``docs`` by a model of those whose id trains (see ``LmSpec.held``).
+
+    Null and empty texts are an end alone; a null id doesn't train and is scored as held out; texts of any length are read whole. Repeated rows train as often as
+    they stand. Words of equal counts at the head's edge are in it or out of it together. Columns other than the id and the text are not looked at; an empty table gives none.
+    """
     blocks = written(encode(docs, spec, id_col, text_col), "token-blocks")
     counts = written(word_counts(blocks), "word-counts")
-    model, least = train(blocks, counts, spec)
-    return score(blocks, counts, model, least)
+    model, tail = train(blocks, counts, spec)
+    return score(blocks, model, written(tail, "tail"))

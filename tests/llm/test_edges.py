@@ -365,3 +365,41 @@ def test_views_teach_each_other(spark):
     model = quality.train(docs, labels, spec)
     assert len(model.handed) == spec.rounds and min(map(min, model.handed)) > 0
     assert all((r.score >= 0.5) == (r.doc_id % 2) for r in quality.score(docs, model).collect())
+
+
+def test_shares_within_classes_add_up(spark, make_docs):
+    """In every class, after every class, the words' probabilities and an unknown word's add up to 1; scores equal a plain sum over the tokens."""
+    from panelforge.llm.common import written
+
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{min(int(x), 90)}" for x in rng.geometric(0.06, 30))) for k in range(120)]
+    spec = maxent_lm.LmSpec(head=25, unigrams=64, pairs=128)
+    blocks = written(maxent_lm.encode(make_docs(rows), spec), "blocks")
+    counts = written(maxent_lm.word_counts(blocks), "counts")
+    model, tail = maxent_lm.train(blocks, counts, spec)
+    rare = [(r.word, r.c, r.weights or {}) for r in tail.collect()]
+    assert 0 < len(model.words) <= 25 and rare
+    kinds = {int(w): (int(k), int(c), model.inner[i]) for i, (w, k, c) in enumerate(zip(model.words, model.kinds, model.counts, strict=True))}
+    for w, c, weights in rare:
+        w &= 2**64 - 1
+        kinds[w] = (model.bounds + (w >> 62), c, np.array([weights.get(k, 0.0) for k in range(spec.classes)]))
+    share = lambda w, k: (kinds[w][1] + 1) * np.exp(kinds[w][2][k]) / np.exp(model.norms[kinds[w][0], k])
+    for kind in range(1, spec.classes):
+        own = [w for w, x in kinds.items() if x[0] == kind]
+        for k in range(spec.classes):
+            if own:
+                assert sum(share(w, k) for w in own) + (np.exp(-model.norms[kind, k]) if kind >= model.bounds else 0) == pytest.approx(1, rel=1e-4)
+    import xxhash
+
+    got = {r.doc_id: r.score for r in maxent_lm.score(blocks, model, written(tail, "tail")).collect()}
+    for i, text in [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2][:10]:
+        hashes = [xxhash.xxh64_intdigest(x.encode()) for x in text.split()]
+        b = maxent_lm.Block({"block": 0, "doc_ids": np.array([i]).tobytes(), "sizes": np.array([len(hashes)]).tobytes(), "trains": np.array([True]).tobytes(), "words": np.unique(np.array(hashes, np.uint64)).tobytes(), "codes": np.unique(np.array(hashes, np.uint64), return_inverse=True)[1].astype(np.int32).tobytes()})
+        tokens, _, starts = b.with_ends()
+        f, before, total = model.contexts(b, tokens, starts), 0, 0.0
+        for t in range(len(tokens)):
+            z = sum(model.weights[f[j, t]] for j in range(3)) + model.weights[0]
+            kind = kinds[hashes[t]][0] if t < len(hashes) else 0
+            total += z[kind] - np.log(np.exp(z).sum()) + (np.log(share(hashes[t], before)) if t < len(hashes) else 0)
+            before = kind
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
