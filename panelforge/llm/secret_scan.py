@@ -3,23 +3,26 @@
 Tokens are runs without white space, tagged outside, begin or inside of a secret. A token's emission adds
 weights of hashed features of its own shape, of its neighbours (two before, one after) and of the file
 (digit density, assignments, length). The field is fitted on a bounded sample of documents whose tags come
-from the fixed patterns, and Viterbi decoding tags every token of every text. Tokens that are outside by more than any
+from the fixed patterns, and on copies of them in which keywords are other words and values other random strings, so that it learns where secrets
+stand and how they look instead of the patterns' own words. Viterbi decoding tags every token of every text. Tokens that are outside by more than any
 transitions could change are fixed first, which is exact, so only the runs between them are decoded.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mix64
+from panelforge.llm.common import mix64, written
 
 
 #: Fixed patterns of the known kinds.
@@ -45,6 +48,7 @@ class CrfSpec:
     rate: float = 0.1
     ridge: float = 0.05
     least: int = 8
+    seed: int = 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -186,24 +190,55 @@ def decode(field: Field, em: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return tags
 
 
-def _tags(text: str) -> tuple[list[str], np.ndarray]:
-    """Tokens of a text and their tags by the fixed patterns' values."""
+def _tags(text: str, values: list[tuple[int, int]] | None = None) -> tuple[list[str], np.ndarray]:
+    """Tokens of a text and their tags by ``values`` (start, end), else by those of the fixed patterns."""
     found = list(TOKEN.finditer(text))
     tags = np.zeros(len(found), np.int8)
     begins, ends = np.array([m.start() for m in found]), np.array([m.end() for m in found])
-    for _, _, end, value in base_spans(text):
+    for value, end in [(v, e) for _, _, e, v in base_spans(text)] if values is None else values:
         hit = np.flatnonzero((begins < end) & (ends > value))
         tags[hit] = INSIDE
         tags[hit[:1]] = BEGIN
     return [m[0] for m in found], tags
 
 
+LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def masked(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
+    """A copy of a text with random words for the keywords and random characters for the values of its secrets, and the values' places in it."""
+    pick = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+    out, values, at, size = [], [], 0, 0
+
+    def put(part: str) -> None:
+        nonlocal size
+        out.append(part)
+        size += len(part)
+
+    for start, kind, end, value in base_spans(text):
+        if start < at:
+            continue
+        put(text[at:start])
+        if kind == 0:
+            word = re.match("[A-Za-z_]+", text[start:value])
+            put(pick(LETTERS, rng.integers(3, 9)) + text[start + word.end() : value])
+        old = text[value:end]
+        alphabet = LETTERS + DIGITS + CAPITALS * (old.lower() != old)
+        values.append((size, size + len(old)))
+        put(pick(alphabet, len(old)))
+        at = end
+    put(text[at:])
+    return "".join(out), values
+
+
 def fit(texts: list[str], spec: CrfSpec) -> Field:
     """Penalised maximum likelihood by Adam; the gradient comes from forward-backward sums over pieces of 64 tokens."""
     own, files, trans = np.zeros((len(OFFSETS), BUCKETS, 3)), np.zeros((FILES, 3)), np.zeros((3, 3))
     words, tags, sizes, kinds = [], [], [], []
-    for text in texts:
-        w, y = _tags(text)
+    rng = np.random.default_rng(spec.seed)
+    copies = [masked(t, rng) for t in texts if base_spans(t)]
+    for text, values in [*((t, None) for t in texts), *copies]:
+        w, y = _tags(text, values)
         for at in range(0, len(w), 64):
             words += w[at : at + 64]
             tags.append(y[at : at + 64])
@@ -271,11 +306,18 @@ def fit(texts: list[str], spec: CrfSpec) -> Field:
 
 
 def train(docs: DataFrame, spec: CrfSpec = CrfSpec(), id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """The field fitted on a bounded sample of ``docs``, the first by a hash of id and text.
+
+    Null, empty and longer texts are left out of the sample, and equal rows are in it once; without any known secret, as in an empty table, the field tags nothing.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(F.length("text").between(1, spec.longest))
     hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|(?-i)[0-9a-f]{16}")
-    keyed = rows.select(F.xxhash64("doc_id", F.lit(4)).alias("h"), "text", hit.alias("hit"))
-    parts = [keyed.where(F.col("hit") == want).orderBy("h", "text").limit(n) for want, n in ((True, spec.positives), (False, spec.negatives))]
-    return fit([r["text"] for part in parts for r in part.select("text").collect()], spec)
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    first = F.row_number().over(W.partitionBy("hit").orderBy("h"))
+    chosen = rows.select("h", hit.alias("hit")).withColumn("n", first).where((F.col("n") <= spec.positives) & (F.col("hit") | (F.col("n") <= spec.negatives)))
+    chosen = written(chosen.select("h", "hit"), "sample").distinct()
+    found = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy(F.desc("hit"), "h").select("text").collect()
+    return fit([r["text"] for r in found], spec)
 
 
 SPANS = "array<struct<s:int,k:int,kind:string,e:int>>"
@@ -284,6 +326,7 @@ SPANS = "array<struct<s:int,k:int,kind:string,e:int>>"
 def extra_spans(text: str, tags: np.ndarray, base: list, spec: CrfSpec) -> list[tuple[int, int]]:
     """Tagged runs of a text, without quotes and closing punctuation, that touch no span of a known kind."""
     found, out = list(TOKEN.finditer(text)), []
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
     i = 0
     while i < len(tags):
         if tags[i]:
@@ -295,7 +338,8 @@ def extra_spans(text: str, tags: np.ndarray, base: list, spec: CrfSpec) -> list[
                 start += 1
             while start < end and text[end - 1] in "\"'`)]}>,;.!?":
                 end -= 1
-            if end - start >= spec.least and not any(s < end and e > start for s, _, e, _ in base):
+            before = bisect_left(starts, end)
+            if end - start >= spec.least and not (before and reach[before - 1] > start):
                 out.append((start, end))
             i = j
         else:
@@ -306,7 +350,8 @@ def extra_spans(text: str, tags: np.ndarray, base: list, spec: CrfSpec) -> list[
 def scan(docs: DataFrame, field: Field, spec: CrfSpec = CrfSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, extra): spans (start s, kind, end e, code points) of the fixed patterns and of the field, for every row.
 
-    A null or empty text has none; long texts are read whole; equal rows get equal spans; other columns are not looked at.
+    A null or empty text has none; long texts are read whole; equal rows get equal spans; an empty table gives none; other columns are not looked at.
+    Of equally good tag sequences one with more outside tokens is taken. Spans of two kinds at one start stand in the order of the kinds.
     """
     weights = (field.own, field.files, field.trans)
 

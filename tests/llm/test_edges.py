@@ -403,3 +403,38 @@ def test_shares_within_classes_add_up(spark, make_docs):
             total += z[kind] - np.log(np.exp(z).sum()) + (np.log(share(hashes[t], before)) if t < len(hashes) else 0)
             before = kind
         assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_decoding_equals_plain_viterbi():
+    """Fixing tokens that no transition can change leaves the best sequence's score as it is."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        sizes = rng.integers(1, 12, 5)
+        em = np.concatenate([rng.normal(size=(n, 3)) * 3 + [3, 0, 0] for n in sizes]).astype(np.float32)
+        field = secret_scan.Field(np.zeros((4, 1, 3)), np.zeros((1, 3)), rng.normal(size=(3, 3)).astype(np.float32))
+        tags, at = secret_scan.decode(field, em, sizes), 0
+        for n in sizes:
+            e, y = em[at : at + n], tags[at : at + n]
+            value = lambda y, e=e: sum(e[i, t] for i, t in enumerate(y)) + sum(field.trans[a, b] for a, b in zip([0, *y], [*y, 0], strict=True))
+            best = {0: field.trans[0, 0] + e[0, 0], 1: field.trans[0, 1] + e[0, 1], 2: field.trans[0, 2] + e[0, 2]}
+            for i in range(1, n):
+                best = {t: max(best[s] + field.trans[s, t] for s in best) + e[i, t] for t in range(3)}
+            assert value(y.tolist()) == pytest.approx(max(best[t] + field.trans[t, 0] for t in best), abs=1e-3)
+            at += n
+
+
+def test_secrets_outside_the_patterns(make_docs):
+    """The field finds values under names that no pattern has; texts without any stay clean."""
+    import random
+
+    rng = random.Random(9)
+    code = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = [(k, f"{prose(20)} {rng.choice(['password', 'secret', 'token', 'api_key'])} = {code(24)} {prose(20)}" if k % 2 else prose(41)) for k in range(300)]
+    fresh = [(1000 + k, f"{prose(20)} {word()} = {code(24)} {prose(20)}") for k in range(50)]
+    clean = [(2000 + k, prose(40)) for k in range(50)] + [(2100, "x" * 300_000), (2101, "ab1" * 100_000)]
+    docs = make_docs(rows)
+    got = {r.doc_id: [f[x.s : x.e] for x in r.extra] for r, f in ((r, dict(fresh + clean)[r.doc_id]) for r in secret_scan.scan(make_docs(fresh + clean), secret_scan.train(docs)).collect())}
+    assert sum(got[i] == [t.split(" = ")[1].split()[0]] for i, t in fresh) >= 45
+    assert sum(bool(got[i]) for i, _ in clean[:50]) <= 2
