@@ -240,6 +240,8 @@ def fit(texts: list[str], spec: CrfSpec) -> Field:
     for text, values in [*((t, None) for t in texts), *copies]:
         w, y = _tags(text, values)
         for at in range(0, len(w), 64):
+            if values is not None and not y[at : at + 64].any():
+                continue  # of a copy only the parts that differ
             words += w[at : at + 64]
             tags.append(y[at : at + 64])
             sizes.append(len(tags[-1]))
