@@ -291,15 +291,15 @@ def near_duplicates(docs: DataFrame, spec: ForestSpec = ForestSpec(), id_col: st
     Columns other than the id and the text are not looked at.
     """
     sigs = written(signatures(docs, spec, id_col, text_col), "signatures")
-    sets = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
-    reps = written(sets.select("set_key", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "representatives")
+    sets = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"), F.count("*").alias("copies"))
+    reps = written(sets.select("set_key", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "representatives")
     near = written(near_rows(forest_rows(reps.where(F.col("n") >= spec.least_linked()), spec), spec), "near")
     pairs = written(candidate_pairs(near), "candidates")
     links = confirm(pairs, docs, spec, id_col, text_col)
     parts = written(connected_components(links), "components")
     parts = join_crowded(near, parts, docs, spec, id_col, text_col).select(F.col("id").alias("rep"), "component")
-    found = join_one(reps.select("set_key", F.col("id").alias("rep")), written(parts, "roots"), "rep", left=True).select("set_key", F.coalesce("component", "rep").alias("root"))
-    moved = written(found.select("set_key", "root"), "set-roots")
+    found = join_one(reps.select("set_key", "copies", F.col("id").alias("rep")), written(parts, "roots"), "rep", left=True).withColumn("root", F.coalesce("component", "rep"))
+    moved = written(found.where("copies > 1 or root != rep").select("set_key", "root"), "set-roots")  # every other document is its own root
     out = join_one(sigs.select("doc_id", "n_shingles", "set_key"), moved, "set_key", left=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
