@@ -38,3 +38,11 @@ def research_identity(panels: list[DataFrame], listed: DataFrame, security: str
         out = out.join(panel.select(security).distinct(), security, "left_semi")
     dates = listed.groupBy(security).agg(F.min("list_date").alias("_from"))
     return out.where(F.col(security).cast("string").rlike("^[0-9]{6}$")).join(dates, security).where(F.col(time) >= F.col("_from")).select(time, security)
+
+
+def contract_audit(df: DataFrame, flags: list[str], time: str = "timestamp", security: str = "security") -> DataFrame:
+    """One row of counts of a joined panel: rows, dates, securities, and for each flag its cells and its dates; nulls count as false."""
+    counts = [F.count("*").alias("cells"), F.countDistinct(time).alias("dates"), F.countDistinct(security).alias("securities")]
+    for c in flags:
+        counts += [F.count_if(_true(F.col(c))).alias(f"{c}_cells"), F.countDistinct(F.when(_true(F.col(c)), F.col(time))).alias(f"{c}_dates")]
+    return df.agg(*counts)

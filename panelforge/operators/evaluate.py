@@ -84,3 +84,40 @@ def incremental_ic(df: DataFrame, signal: str, references: list[str], label: str
 
     rows = df.select(time, signal, *references, label).dropna()
     return rows.groupBy(time).applyInPandas(run, f"{time} {df.schema[time].dataType.simpleString()}, n long, rank_ic double")
+
+
+def descriptive_buckets(df: DataFrame, signal: str, label: str, n_buckets: int = 5, least: int = 2, time: str = "timestamp") -> DataFrame:
+    """(timestamp, bucket, mean_label, n) by average ranks, so that equal values share a bucket and a bucket may be empty; dates with fewer than ``least`` rows or one value have none."""
+    rows = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select(time, signal, label)
+    w = W.partitionBy(time)
+    rows = rows.withColumn("_r", stats.average_rank(F.col(signal), time)).withColumn("_n", F.count("*").over(w)).withColumn("_varies", F.min(signal).over(w) != F.max(signal).over(w))
+    place = F.least(F.greatest(F.ceil(F.col("_r") * n_buckets / F.col("_n")), F.lit(1)), F.lit(n_buckets)).cast("int")
+    return rows.where((F.col("_n") >= least) & F.col("_varies")).groupBy(time, place.alias("bucket")).agg(F.avg(label).alias("mean_label"), F.count("*").alias("n"))
+
+
+def rank_autocorrelation(df: DataFrame, signal: str, time: str = "timestamp", security: str = "security") -> DataFrame:
+    """(timestamp, n, autocorrelation): rank correlation with the date before, ranked anew over the securities with both values; fewer than two have none. Needs a dense grid."""
+    pairs = df.select(time, security, F.col(signal).alias("_x"), F.lag(signal).over(W.partitionBy(security).orderBy(time)).alias("_y")).where("_x is not null and _y is not null")
+    ranked = pairs.select(time, stats.average_rank(F.col("_x"), time).alias("_a"), stats.average_rank(F.col("_y"), time).alias("_b"))
+    return ranked.groupBy(time).agg(F.count("*").alias("n"), stats.safe_corr(F.col("_a"), F.col("_b")).alias("autocorrelation"))
+
+
+def reference_correlations(df: DataFrame, signal: str, references: list[str], time: str = "timestamp") -> DataFrame:
+    """(reference, correlation, n_dates): mean over dates of the rank correlation with each reference, ranked over the rows with both; all references in one pass."""
+    long = df.select(time, signal, *references).unpivot([time, signal], references, "reference", "_y").where(F.col(signal).isNotNull() & F.col("_y").isNotNull())
+    ranked = long.select("reference", time, stats.average_rank(F.col(signal), "reference", time).alias("_a"), stats.average_rank(F.col("_y"), "reference", time).alias("_b"))
+    dates = ranked.groupBy("reference", time).agg(stats.safe_corr(F.col("_a"), F.col("_b")).alias("_c"))
+    return dates.groupBy("reference").agg(F.avg("_c").alias("correlation"), F.count("_c").alias("n_dates"))
+
+
+#: Units of the summary's metrics.
+UNITS = {"mean_rank_ic": "correlation", "std_rank_ic": "correlation", "rank_ic_ir": "ratio", "positive_ratio": "share", "mean_coverage": "share"}
+
+
+def metric_metadata(summary: DataFrame, least: int) -> DataFrame:
+    """(metric, value, unit, sample_count, status) of a ``summary``: ``ok``, ``insufficient_samples`` below ``least`` dates, or ``undefined`` without a value."""
+    n = summary.where("metric = 'sample_count'").select(F.col("value").cast("long").alias("sample_count"))
+    unit = F.coalesce(*(F.when(F.col("metric") == m, u) for m, u in UNITS.items()))
+    rows = summary.where("metric != 'sample_count'").crossJoin(n)  # one row
+    status = F.when(F.col("sample_count") < least, "insufficient_samples").when(F.col("value").isNull(), "undefined").otherwise("ok")
+    return rows.select("metric", "value", unit.alias("unit"), "sample_count", status.alias("status"))

@@ -59,3 +59,39 @@ def execution_windows(signals: DataFrame, calendar: DataFrame, delay: int = 1) -
     entry, leave = axis.toDF("signal", "entry"), axis.toDF("next_signal", "exit")
     out = named.join(entry, "signal", "left").join(leave, "next_signal", "left")
     return out.select("signal", "entry", "next_signal", "exit", F.coalesce(F.col("entry") < F.col("exit"), F.lit(False)).alias("complete"))
+
+
+#: What makes an execution-aware return invalid.
+INVALID = tuple(f"{end}_{what}" for what in ("open_invalid", "adjustment_invalid", "amount_invalid", "suspended") for end in ("entry", "exit"))
+
+
+def execution_returns(windows: DataFrame, panel: DataFrame) -> DataFrame:
+    """(signal, security, value, valid, and the flags of ``INVALID``): adjusted open-to-open returns of each holding interval, for every security of the panel.
+
+    ``windows``: (signal, entry, exit), a session axis. ``panel``: (timestamp, security, open, adjustment, amount, suspended). Prices, adjustments and amounts at both
+    ends must be finite and positive, and no end suspended; a missing row fails all but the suspension. A return that isn't finite is invalid too.
+    """
+    names = panel.select("security").distinct()
+    cells = names.crossJoin(windows.select("signal", "entry", "exit"))  # the grid asked for
+    good = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    for end in ("entry", "exit"):
+        side = panel.select(F.col("timestamp").alias(end), "security", *(F.col(c).alias(f"{end}_{c}") for c in ("open", "adjustment", "amount")), F.coalesce("suspended", F.lit(False)).alias(f"{end}_suspended"))
+        cells = cells.join(side, [end, "security"], "left")
+        cells = cells.withColumns({f"{end}_{c}_invalid": ~good(f"{end}_{c}") for c in ("open", "adjustment", "amount")} | {f"{end}_suspended": F.coalesce(f"{end}_suspended", F.lit(False))})
+    value = F.try_divide(F.col("exit_open") * F.col("exit_adjustment"), F.col("entry_open") * F.col("entry_adjustment")) - 1
+    broken = F.greatest(*(F.col(c).cast("int") for c in INVALID)) == 1
+    cells = cells.withColumn("value", F.when(~broken & (F.abs(value) < float("inf")), value)).withColumn("nonfinite_return", ~broken & F.col("value").isNull())
+    changed = ~F.col("entry_adjustment_invalid") & ~F.col("exit_adjustment_invalid") & (F.col("entry_adjustment") != F.col("exit_adjustment"))
+    return cells.select("signal", "security", "value", F.col("value").isNotNull().alias("valid"), *INVALID, F.coalesce(changed, F.lit(False)).alias("adjustment_changed"), "nonfinite_return")
+
+
+def label_diagnostics(returns: DataFrame, universe: DataFrame) -> DataFrame:
+    """(signal, scope, valid, invalid, and a count for each flag) over the securities of ``universe`` (signal, security) on each signal date."""
+    rows = returns.join(universe.select("signal", "security").distinct(), ["signal", "security"], "left_semi")
+    flags = [*INVALID, "adjustment_changed", "nonfinite_return"]
+    return rows.groupBy("signal").agg(F.count("*").alias("scope"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), *(F.count_if(c).alias(c) for c in flags))
+
+
+def windows_between(windows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Windows whose whole interval from entry to exit lies between ``start`` and ``end``."""
+    return windows.where((F.col("entry") >= start) & (F.col("exit") <= end))

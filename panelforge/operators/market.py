@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.sources.shared import saved
+
 
 def visible_as_of(df: DataFrame, as_of: Column, effective: str = "effective_at", known: str = "known_at") -> DataFrame:
     return df.where((F.col(effective) <= as_of) & (F.col(known) <= as_of))
@@ -67,10 +69,32 @@ def mask_lookup(grid: DataFrame, mask: DataFrame, on: list[str], flag: str) -> D
 
 
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, ancestor) closure of a lineage graph by a recursive query; cycles end because rows are distinct."""
-    edges.createOrReplaceTempView("_lineage_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(node, ancestor, hops) AS (
-            SELECT {child}, {parent}, 1 FROM _lineage_edges
-            UNION ALL SELECT up.node, e.{parent}, up.hops + 1 FROM up JOIN _lineage_edges e ON e.{child} = up.ancestor WHERE up.hops < 32)
-        SELECT DISTINCT node, ancestor FROM up""")
+    """(node, ancestor) closure of a lineage graph of any depth: each round joins the closure with itself, so rounds grow with the logarithm of the depth, until nothing is new; paths
+    that meet again, and cycles, are one row each."""
+    known = saved(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct())
+    n = known.count()
+    while True:
+        step = known.join(known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select("node", F.col("_up").alias("ancestor"))
+        wider = saved(known.union(step).distinct())
+        more = wider.count()
+        if more == n:
+            return wider
+        known, n = wider, more
+
+
+def lineage_depth(nodes: DataFrame, edges: DataFrame, key: str = "node", child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, depth, status): 0 for nodes without a parent, else 1 more than the deepest parent. ``missing_parent``: a parent is unknown or has no depth; ``cycle``: what never gets one."""
+    links = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
+    waiting = saved(nodes.select(F.col(key).alias("node")).distinct().join(links.select(F.col("_c").alias("node")).distinct().withColumn("_has", F.lit(True)), "node", "left"))
+    depth = saved(waiting.where("_has is null").select("node", F.lit(0).alias("depth")))
+    known = waiting.select("node")
+    lost = saved(links.join(known, F.col("_p") == F.col("node"), "left_anti").select(F.col("_c").alias("node")).distinct())
+    while True:
+        met = links.join(depth, F.col("_p") == F.col("node"), "left").groupBy("_c").agg(F.count("*").alias("_n"), F.count("depth").alias("_d"), (F.max("depth") + 1).alias("depth"))
+        fresh = saved(met.where("_n = _d").select(F.col("_c").alias("node"), "depth").join(known, "node", "left_semi").join(depth, "node", "left_anti"))
+        if not fresh.limit(1).count():
+            break
+        depth = saved(depth.union(fresh))
+    below = ancestors(edges, child, parent).join(lost.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").union(lost).distinct().withColumn("_lost", F.lit(True))
+    status = F.when(F.col("depth").isNotNull(), "ok").when(F.col("_lost"), "missing_parent").otherwise("cycle")
+    return known.join(depth, "node", "left").join(below, "node", "left").select("node", "depth", status.alias("status"))

@@ -43,11 +43,41 @@ def upper_p(z: Column) -> Column:
 
     @F.pandas_udf("double")
     def tail(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: 1.0 if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2)))
+        x = s.to_numpy(float, na_value=np.nan) / math.sqrt(2)
+        return pd.Series(np.where(np.isnan(x), 1.0, 0.5 * _erfc(np.nan_to_num(x))))
 
     return tail(z)
 
 
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of an array, to about 1e-15: a series for small arguments, a continued fraction for large ones."""
+    a = np.abs(x)
+    small = np.minimum(a, 2.5)
+    term = total = small.copy()
+    for n in range(1, 60):
+        term = -term * small * small / n
+        total = total + term / (2 * n + 1)
+    large = np.maximum(a, 2.5)
+    rest = large.copy()
+    for n in range(80, 0, -1):
+        rest = large + (n / 2) / rest
+    tail = np.where(a <= 2.5, 1 - 2 / math.sqrt(math.pi) * total, np.exp(-large * large) / (math.sqrt(math.pi) * rest))
+    return np.where(x >= 0, tail, 2 - tail)
+
+
+def family_significance(family: DataFrame, values: DataFrame, least: int, lags: int, candidate: str = "candidate", value: str = "value", time: str = "timestamp") -> DataFrame:
+    """(candidate, status, n, mean, z, p, q) for the whole declared ``family`` (candidate, sign): values are taken in the declared direction, and candidates that
+    are missing, have fewer than ``least`` values or no positive variance count with p = 1. Values of candidates outside the family are an error when rows are read.
+    """
+    known = values.join(family.select(candidate, F.col("sign").alias("_sign")), candidate, "left")
+    sign = F.coalesce(F.col("_sign"), F.raise_error(F.concat(F.lit("outside_family:"), F.col(candidate).cast("string"))).cast("int"))
+    tested = newey_west(known.select(candidate, time, (F.col(value) * sign).alias("_v")), "_v", candidate, time, lags)
+    out = family.select(candidate).join(tested, candidate, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when(F.col("n") == 0, "missing").when(F.col("n") < least, "insufficient_observations").when(F.col("z").isNull(), "degenerate").otherwise("tested")
+    out = out.withColumn("status", status).withColumn("z", F.when(F.col("status") == "tested", F.col("z"))).withColumn("p", upper_p(F.col("z")))
+    return benjamini_hochberg(out, "p", candidate).select(candidate, "status", "n", "mean", "z", "p", "q")
+
+
 def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int | None, seed: int) -> DataFrame:
     """(series, p): circular block bootstrap of the mean under no effect; each series draws from its own seeded stream, so partitions don't matter.
 

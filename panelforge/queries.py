@@ -758,3 +758,6 @@ def _panel_of_reviews(spark: SparkSession, sf: str) -> DataFrame:
     says = lambda test, yes: part.withColumn("decision", F.when(test, yes).otherwise("no"))
     k = F.col("candidate_id")
     return shortlist.panel(part.select("candidate_id"), says(k % 2 == 0, "approve"), says(k % 5 != 0, "allow"), says(k % 3 != 0, "select"), 10)
+
+
+from panelforge import queries_data  # noqa: E402, F401  (registers its queries here)
