@@ -15,7 +15,7 @@ BROADCAST_ROWS = 2_000_000
 #: Rows of one key from which a join treats it apart.
 HOT_ROWS = 100_000
 #: Words whose hash a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _own_folders: dict[str, str] = {}
 

@@ -34,6 +34,7 @@ CLASS[33:127], CLASS[39], CLASS[48:58], CLASS[[9, 10, 11, 12, 13, 32]] = 3, 4, 2
 CLASS[[*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]] = 1
 LOWER = np.arange(257, dtype=np.uint64)
 LOWER[[*range(65, 91), *range(192, 215), *range(216, 223)]] += np.uint64(32)
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -89,6 +90,7 @@ class UnitEncoder:
         self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
         self.chars, self.char_at, self.char_n = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.head, self.next = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = array("I"), []
@@ -117,8 +119,9 @@ class UnitEncoder:
         began = len(self.chars) + np.cumsum(sizes) - sizes
         self.chars = np.concatenate((self.chars, lower[_runs(at[new], sizes)]))
         to = np.searchsorted(self.keys, keys[new])
-        every = ((self.keys, keys[new]), (self.first, firsts), (self.count, counts), (self.char_at, began), (self.char_n, sizes))
-        self.keys, self.first, self.count, self.char_at, self.char_n = (np.insert(a, to, b) for a, b in every)
+        heads = _eight(lower, at[new], sizes), _eight(lower, np.where(sizes > 8, at[new] + 8, 0), np.maximum(sizes - 8, 0))
+        every = ((self.keys, keys[new]), (self.first, firsts), (self.count, counts), (self.char_at, began), (self.char_n, sizes), (self.head, heads[0]), (self.next, heads[1]))
+        self.keys, self.first, self.count, self.char_at, self.char_n, self.head, self.next = (np.insert(a, to, b) for a, b in every)
         return np.searchsorted(self.keys, keys)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -149,7 +152,7 @@ class UnitEncoder:
             self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, pow(BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
         low = LOWER[small]
         sums = np.concatenate(([np.uint64(0)], np.cumsum((low + np.uint64(1)) * self.power[:n], dtype=np.uint64)))
-        low = low.astype(np.uint8)  # units of plain texts have no code points beyond 255
+        low = np.append(low.astype(np.uint8), np.zeros(16, np.uint8))  # units of plain texts have no code points beyond 255
         keys = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         place = self._places(distinct, starts[at], ends[at], text, low)[back]
@@ -169,13 +172,14 @@ class UnitEncoder:
         return out
 
     def _others(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """The units whose characters aren't those of the remembered unit at ``place``."""
+        """The units whose characters aren't those of the remembered unit at ``place``: the first 16 are compared as two numbers, further ones one by one."""
         sizes = ends - starts
-        differ = self.char_n[place] != sizes
-        same = np.flatnonzero(~differ)
-        wrong = np.flatnonzero(self.chars[_runs(self.char_at[place[same]], sizes[same])] != lower[_runs(starts[same], sizes[same])])
-        if len(wrong):
-            differ[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+        differ = (self.char_n[place] != sizes) | (self.head[place] != _eight(lower, starts, sizes))
+        longer = np.flatnonzero((sizes > 8) & ~differ)
+        differ[longer] = self.next[place[longer]] != _eight(lower, starts[longer] + 8, sizes[longer] - 8)
+        longer = longer[(sizes[longer] > 16) & ~differ[longer]]
+        wrong = np.flatnonzero(self.chars[_runs(self.char_at[place[longer]], sizes[longer])] != lower[_runs(starts[longer], sizes[longer])])
+        differ[longer[np.searchsorted(np.cumsum(sizes[longer]), wrong, side="right")]] = True
         return np.flatnonzero(differ)
 
     def _each(self, units: list[str]) -> list[np.ndarray]:
@@ -183,6 +187,12 @@ class UnitEncoder:
         return np.split(ids, np.cumsum(counts)[:-1]) if units else []
 
 
+def _eight(chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Up to eight characters from each start as one number."""
+    got = np.lib.stride_tricks.sliding_window_view(chars, 8)[starts].view("<u8").ravel()
+    return got & FIRST_BYTES[np.minimum(sizes, 8)]
+
+
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... for ``count`` places, one run after the other."""
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
