@@ -31,7 +31,7 @@ NO_ID = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class LmSpec:
-    """``held``: remainder of crc32(id as text) mod 7 that is not trained on. ``rounds``: gradient rounds after the first, of classes; ``inner_rounds``: those of words within classes.
+    """``held``: remainder of crc32(id as text) mod 7 that is not trained on. ``rounds``: gradient rounds after the first, of classes; ``inner_rounds``: those of words within classes, whose features are of words seen ``inner_least`` times or more.
     ``unigrams`` and ``pairs``: hashed features of a word and of a pair of words (at least; they are set from the number of tokens)."""
 
     held: int = 2
@@ -39,8 +39,9 @@ class LmSpec:
     head_classes: int = 15
     unigrams: int = 1 << 13
     pairs: int = 1 << 14
-    rounds: int = 2
-    inner_rounds: int = 3
+    rounds: int = 1
+    inner_rounds: int = 2
+    inner_least: int = 2
     inner_shrink: float = 30.0
     inner_ridge: float = 3.0
     shrink: float = 20.0
@@ -254,25 +255,25 @@ def train_inner(pairs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     word has one of its class. Weights start from smoothed counts; each round adds the gradient, observed less expected counts less the penalty's, over its curvature.
     """
     spec, size = model.spec, model.spec.classes
-    rows = written(pairs.join(counts, "word").select("word", "kind", "before", "n", (F.col("c") + 1.0).alias("base")), "word-features")
+    several = counts.where(F.col("c") >= spec.inner_least)
+    rows = written(pairs.join(several, "word").select("word", "kind", "before", "n", (F.col("c") + 1.0).alias("base")), "word-features")
     met = np.zeros((size, size))
-    for r in rows.groupBy("kind", "before").agg(F.sum("n").alias("n")).collect():
+    for r in pairs.groupBy("kind", "before").agg(F.sum("n").alias("n")).collect():
         met[r["kind"], r["before"]] = r["n"]
-    of = lambda grid: F.array(*map(F.lit, grid.ravel().tolist()))[F.col("kind") * size + F.col("before")]
-    total = of(met)
-    share = F.col("base") / of(np.repeat(model.mass[:, None], size, 1))
-    rows = rows.withColumn("weight", F.log((F.col("n") + spec.inner_shrink * share) / ((total + spec.inner_shrink) * share)))
-    for k in range(spec.inner_rounds + 1):
-        rows = written(rows, "word-features")
-        z = np.repeat(model.mass[:, None], size, 1)
-        for r in rows.groupBy("kind", "before").agg(F.sum(F.col("base") * (F.exp("weight") - 1)).alias("z")).collect():
+    of = lambda grid: F.lit(grid.ravel().tolist())[F.col("kind") * size + F.col("before")]
+    mass = np.repeat(model.mass[:, None], size, 1)
+    share = F.col("base") / of(mass)
+    made = rows.withColumn("total", of(met)).withColumn("weight", F.log((F.col("n") + spec.inner_shrink * share) / ((F.col("total") + spec.inner_shrink) * share)))
+    for k in range(spec.inner_rounds + 1):  # weights follow from the counts and the rounds' sums, so rounds write nothing
+        z = mass.copy()
+        for r in made.groupBy("kind", "before").agg(F.sum(F.col("base") * (F.exp("weight") - 1)).alias("z")).collect():
             z[r["kind"], r["before"]] += r["z"]
         model.norms = np.log(np.maximum(z, 1))
         if k < spec.inner_rounds:
             p = F.col("base") * F.exp("weight") / of(z)
-            step = spec.rate * (F.col("n") - total * p - spec.inner_ridge * F.col("weight")) / (total * p * (1 - p) + spec.inner_ridge)
-            rows = rows.withColumn("weight", F.col("weight") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step)))
-    return rows.select("word", "kind", "before", "weight")
+            step = spec.rate * (F.col("n") - F.col("total") * p - spec.inner_ridge * F.col("weight")) / (F.col("total") * p * (1 - p) + spec.inner_ridge)
+            made = made.withColumn("weight", F.col("weight") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step)))
+    return written(made.select("word", "kind", "before", "weight"), "word-weights")
 
 
 def train(blocks: DataFrame, counts: DataFrame, spec: LmSpec = LmSpec()) -> tuple[Model, DataFrame]:
