@@ -181,7 +181,7 @@ def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.nda
 def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), seen: DataFrame | None = None) -> CoTrained:
     """Co-train on ``labels`` (doc_id, quality 0 or 1) and on all documents without one; ``seen``: their written ``views``.
 
-    Rows with other values or a null id, and ids that are labelled both ways, are left out. Every fourth labelled row, by the hash, is kept for calibration. Without both
+    Rows with other values or a null id, and ids that are labelled both ways, are left out. Every fourth row of each label, by the hash, is kept for calibration. Without both
     classes in each part the model is the labels' rate.
     """
     seen = written(views(docs), "views") if seen is None else seen
@@ -191,7 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(),
     some = written(given.join(bounded_broadcast(written(seen.select("doc_id").distinct(), "ids")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(spec.labelled), "sample")
     rows = seen.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").collect()
     y = np.array([r["y"] for r in rows])
-    hold = np.arange(len(y)) % 4 == 3
+    place = np.zeros(len(y), int)
+    for label in (0, 1):
+        place[y == label] = np.arange((y == label).sum())
+    hold = place % 4 == 1
     if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
         return CoTrained([np.zeros(w) for w in WIDTHS], [np.array([np.log(rate / (1 - rate)), 0.0])] * 2, np.array([0.0, 0.5, 0.5]), [])
