@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.operators.sessions import GROUP_CELLS, in_sessions, largest_grid
+from panelforge.sources.shared import saved
+
 TOLERANCE = 1e-7
 
 
@@ -58,10 +61,11 @@ def risk_projection(
     return rows.groupBy(time).applyInPandas(project, f"{time} {kinds[time]}, {security} {kinds[security]}, weight double")
 
 
-def turnover_ramp(df: DataFrame, most: float, portfolio: str = "portfolio_id", time: str = "timestamp", security: str = "security") -> DataFrame:
+def turnover_ramp(df: DataFrame, most: float, portfolio: str = "portfolio_id", time: str = "timestamp", security: str = "security", group_cells: int = GROUP_CELLS) -> DataFrame:
     """Moves towards each date's target weights by at most ``most`` one-way turnover (half the absolute change).
 
     A date starts from the weights reached on the one before, so a portfolio is one ordered run; portfolios run in parallel. A missing weight is 0.
+    If a portfolio has more than ``group_cells`` cells, all are stepped date by date, with each date spread over its securities; both ways give the same, up to the order of sums.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,10 +78,27 @@ def turnover_ramp(df: DataFrame, most: float, portfolio: str = "portfolio_id", t
         long = pd.DataFrame(out, index=target.index, columns=target.columns).stack().rename("weight").reset_index()
         return long.assign(**{portfolio: pdf[portfolio].iloc[0]})[[portfolio, time, security, "weight"]]
 
+    if largest_grid(df, portfolio, time, security) > group_cells:
+        return _ramp_stepped(df, most, portfolio, time, security)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.groupBy(portfolio).applyInPandas(run, f"{portfolio} {kinds[portfolio]}, {time} {kinds[time]}, {security} {kinds[security]}, weight double")
 
 
+def _ramp_stepped(df: DataFrame, most: float, portfolio: str, time: str, security: str) -> DataFrame:
+    zero, columns = F.lit(0.0), [portfolio, time, security, "weight"]
+
+    def step(rows: DataFrame, hint, k: int, path: str) -> DataFrame:
+        gap = F.coalesce("weight", zero) - F.col("now")
+        sums = rows.groupBy(portfolio).agg(F.max(time).alias("_day"), (F.sum(F.abs(gap)) / 2).alias("_t")).where("_day IS NOT NULL")
+        reached = F.when(F.col("_t") <= most, F.coalesce("weight", zero)).otherwise(F.col("now") + most / F.col("_t") * gap)
+        return saved(rows.join(hint(sums), portfolio).select(portfolio, F.col("_day").alias(time), security, reached.alias("weight")), path).select(portfolio, security, F.col("weight").alias("now"))
+
+    paths = in_sessions(df, portfolio, time, security, ["weight"], {"now": zero}, step)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{c} {'double' if c == 'weight' else kinds[c]}" for c in columns)
+    return df.sparkSession.read.schema(schema).parquet(*paths)
+
+
 def broken_conditions(df: DataFrame, gross: float, net: float, cap: float, turnover: float, time: str = "timestamp", security: str = "security") -> DataFrame:
     """(timestamp, code): dates whose weights break the gross, net, single-weight or turnover limit by more than the tolerance. None for a sound portfolio."""
     by = W.partitionBy(security).orderBy(time)

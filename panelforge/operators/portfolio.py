@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelforge.operators.sessions import GROUP_CELLS, in_sessions, largest_grid
+from panelforge.sources.shared import saved
+
 
 def top_quantile(df: DataFrame, score: str, fraction: float, gross: float = 1.0, net: float = 0.0, min_names: int = 1, time: str = "timestamp", security: str = "security") -> DataFrame:
     """Equal weights for the best and worst ``fraction`` of a date's scored names; ties go by security."""
@@ -73,10 +76,11 @@ def trade_cost(notional: Column, is_sell: Column, participation: Column, volatil
 NAV = "portfolio_id long, timestamp date, gross_nav double, net_nav double, cost double, n_fills long"
 
 
-def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, participation: float = 0.1, cost_bps: float = 5.0) -> DataFrame:
+def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, participation: float = 0.1, cost_bps: float = 5.0, group_cells: int = GROUP_CELLS) -> DataFrame:
     """NAV by session from (portfolio_id, timestamp, security, weight, price, amount).
 
-    Path dependent, so each portfolio is one ordered run; portfolios run in parallel. Orders of a session follow the weights of the session before
+    Path dependent, so each portfolio is one ordered run; portfolios run in parallel. If one has more than ``group_cells`` cells, all are stepped session by session,
+    with each session spread over its securities; both ways give the same, up to the order of sums. Orders of a session follow the weights of the session before
     and fill at its price, at most ``participation`` of the prior session's amount, in whole lots towards zero. gross - net is the cost paid.
     """
 
@@ -103,9 +107,38 @@ def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, partici
             out.append((pdf["portfolio_id"].iloc[0], day, gross, gross - paid, paid, fills))
         return pd.DataFrame(out, columns=["portfolio_id", "timestamp", "gross_nav", "net_nav", "cost", "n_fills"])
 
+    if largest_grid(targets, "portfolio_id", "timestamp", "security") > group_cells:
+        return _stepped(targets, capital, lot, participation, cost_bps)
     return targets.groupBy("portfolio_id").applyInPandas(run, NAV)
 
 
+def _stepped(targets: DataFrame, capital: float, lot: float, participation: float, cost_bps: float) -> DataFrame:
+    """``backtest`` with holdings as a table: a session is a join of it with the session's rows, and two sums by portfolio."""
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    purse = [saved(targets.select("portfolio_id").distinct().withColumns({"cash": F.lit(float(capital)), "paid": zero}))]
+
+    def step(rows: DataFrame, hint, k: int, path: str) -> DataFrame:
+        rows = rows.withColumn("mark", F.coalesce("price", "mark"))
+        sums = rows.groupBy("portfolio_id").agg(F.max("timestamp").alias("_day"), F.sum(F.col("held") * F.coalesce("mark", zero)).alias("_value"), F.max(F.coalesce(F.abs("w") == np.inf, F.lit(False))).alias("_bad"))
+        known = sums.where("_day IS NOT NULL").join(hint(purse[0].select("portfolio_id", "cash", "paid")), "portfolio_id").withColumn("_nav", F.col("cash") + F.col("_value")).select("portfolio_id", "_day", "_nav", "_bad")
+        can = (F.col("price") > 0) & (F.col("price") < np.inf) & ~F.col("_bad") & F.lit(k > 1)
+        room = F.coalesce(F.col("a") * participation, zero) / F.col("price")
+        change = F.least(F.greatest(F.col("w") * F.col("_nav") / F.col("price") - F.col("held"), -room), room) / lot
+        moved = rows.join(hint(known), "portfolio_id").withColumn("change", F.coalesce(F.when(can, (change - change % 1) * lot), zero))
+        state = saved(moved.select("portfolio_id", "security", (F.col("held") + F.col("change")).alias("held"), "mark", F.coalesce("weight", zero).alias("w"), F.col("amount").alias("a"), "change", "price", F.col("_day").alias("timestamp")))
+        spent = F.col("change") * F.coalesce("price", zero)
+        done = state.groupBy("portfolio_id", "timestamp").agg(
+            F.sum(spent).alias("_spent"), (F.sum(F.abs(spent)) * cost_bps / 1e4).alias("_cost"), F.count_if(F.col("change") != 0).alias("n_fills"), F.sum(F.col("held") * F.coalesce("mark", zero)).alias("_value")
+        )
+        cash, paid = F.col("cash") - F.col("_spent"), F.col("paid") + F.col("_cost")
+        purse[0] = saved(done.join(hint(purse[0].select("portfolio_id", "cash", "paid")), "portfolio_id").select("portfolio_id", "timestamp", (cash + F.col("_value")).alias("gross_nav"), (cash + F.col("_value") - paid).alias("net_nav"), paid.alias("paid"), cash.alias("cash"), "n_fills"), path)
+        return state.drop("change", "price", "timestamp")
+
+    start = {"held": zero, "mark": none, "w": none, "a": none}
+    paths = in_sessions(targets, "portfolio_id", "timestamp", "security", ["weight", "price", "amount"], start, step)
+    return targets.sparkSession.read.schema(purse[0].schema).parquet(*paths).withColumnRenamed("paid", "cost").select(*(c.split()[0] for c in NAV.split(", ")))
+
+
 def performance(nav: DataFrame, column: str = "net_nav", periods: float = 12.0, keys: tuple[str, ...] = ("portfolio_id",)) -> DataFrame:
     """Growth, volatility, Sharpe and worst drawdown by portfolio."""
     by = W.partitionBy(*keys).orderBy("timestamp")

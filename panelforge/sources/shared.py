@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back, so that its lineage ends there; in local mode without the setting a temporary folder stands in."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; in local mode without the setting a temporary folder stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="panelforge-"))
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (at ``path``, or a new one) and read back, so that its lineage ends there."""
+    path = path or shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
