@@ -106,7 +106,7 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         n = len(self.ids)
         self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
-        self.places = np.frombuffer(row["places"], np.int32).reshape(-1, n)
+        self.places = np.frombuffer(row["places"], np.int32).reshape(-1, n).astype(np.intp)
         self.sorted = np.frombuffer(row["projected"], np.float32).reshape(-1, n)
         self.spread = np.frombuffer(row["spread"], np.float64)
         self.top = row["top"]
@@ -124,21 +124,26 @@ class Block:
     def collisions(self, centres: np.ndarray, spec: CollisionSpec) -> np.ndarray:
         """For some queries at once, how often each vector lies in a window around their centres, over all projections and rounds: a row for each query.
 
-        Windows are runs of a sorted array, so their number over a place is a running sum of openings and closings.
+        Windows around one centre are nested runs of a sorted array, so their number is filled in from the widest to the
+        narrowest and read at each vector's place. Sums of bytes go to wider ones before they can overflow.
         """
-        n, q = len(self.ids), len(centres)
-        total = np.zeros((n, q), np.uint16)
-        half = np.array(spec.widths)
-        column = np.repeat(np.arange(q), len(half))
-        edges = np.empty((n + 1, q), np.int8)
+        n, q, half = len(self.ids), len(centres), np.sort(spec.widths)
+        total, part = np.zeros((q, n), np.uint16), np.zeros((q, n), np.uint8)
+        inside, read = np.empty(n, np.uint8), np.empty(n, np.uint8)
+        held = 255 // len(half)
         for i, (values, place, sd) in enumerate(zip(self.sorted, self.places, self.spread, strict=True)):
             c = centres[:, i, None]
-            edges[:] = 0
-            np.add.at(edges, (np.searchsorted(values, (c - half * sd).astype(np.float32).ravel()), column), 1)
-            np.add.at(edges, (np.searchsorted(values, (c + half * sd).astype(np.float32).ravel(), side="right"), column), -1)
-            np.cumsum(edges, axis=0, dtype=np.int8, out=edges)
-            total += edges[place].view(np.uint8)
-        return np.ascontiguousarray(total.T)
+            first = np.searchsorted(values, (c - half * sd).astype(np.float32)).tolist()
+            last = np.searchsorted(values, (c + half * sd).astype(np.float32), side="right").tolist()
+            for j in range(q):
+                inside[:] = 0
+                for k in range(len(half) - 1, -1, -1):
+                    inside[first[j][k] : last[j][k]] = len(half) - k
+                part[j] += np.take(inside, place, out=read, mode="clip")
+            if i % held == held - 1 or i == len(self.places) - 1:
+                total += part
+                part[:] = 0
+        return total
 
     def nearest(self, queries: np.ndarray, lengths: np.ndarray, directions: np.ndarray, best: Best, spec: CollisionSpec) -> None:
         """Bring to ``best`` all vectors of the block that are among the nearest of a query; ``directions``: queries of length 1 in the projections' basis."""
