@@ -30,9 +30,19 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], at: str, since:
 
 
 def state_at(events: DataFrame, dates: DataFrame, key: str, date: str = "date") -> DataFrame:
-    """Status of each instrument on each date: the latest event by (effective, known) among those in effect and known. ``dates`` is a session axis (broadcast by Spark when small)."""
-    seen = events.join(dates, (F.col("effective_at") <= F.col(date)) & (F.col("known_at") <= F.col(date)))
-    return seen.groupBy(key, date).agg(F.max_by("status", F.struct("effective_at", "known_at", "status")).alias("status"))
+    """Status of each instrument on each date: the latest event by (effective, known) among those in effect and known; none, no row.
+
+    An event counts from the later of its two times. Events and asked dates (a grid, which the result is a part of) are put in one order for each key
+    and the latest event is carried along: one shuffle, no range join.
+    """
+    kind = dates.schema[date].dataType
+    axis = dates.agg(F.array_distinct(F.collect_list(date)).alias("_axis"))  # one row of sessions
+    grid = events.select(key).distinct().join(F.broadcast(axis)).select(key, F.explode("_axis").alias("_t"), F.lit(1).alias("_asked"))
+    event = F.struct("effective_at", "known_at", "status")
+    seen = events.where("effective_at is not null and known_at is not null").select(key, F.greatest("effective_at", "known_at").cast(kind).alias("_t"), F.lit(0).alias("_asked"), event.alias("_event"))
+    last = F.max("_event").over(W.partitionBy(key).orderBy("_t", "_asked").rowsBetween(W.unboundedPreceding, 0))
+    rows = seen.unionByName(grid, allowMissingColumns=True).withColumn("_event", last)
+    return rows.where("_asked = 1 and _event is not null").select(key, F.col("_t").alias(date), F.col("_event.status").alias("status"))
 
 
 def daily_bars(df: DataFrame, price: str, volume: str, by: str, time: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -258,7 +258,7 @@ def _asof(spark: SparkSession, sf: str) -> DataFrame:
 def _state(spark: SparkSession, sf: str) -> DataFrame:
     events = known_events(spark, sf).withColumn("status", F.when(F.col("event_type") == "error", "INACTIVE").otherwise("ACTIVE"))
     dates = spark.sql("SELECT explode(transform(sequence(date'2024-01-05', date'2024-01-31', interval 5 days), d -> cast(d as timestamp_ntz))) AS date")
-    return market.state_at(events, F.broadcast(dates), "user_id").select("user_id", F.col("date").cast("date").alias("date"), "status")
+    return market.state_at(events, dates, "user_id").select("user_id", F.col("date").cast("date").alias("date"), "status")
 
 
 @query(
@@ -760,4 +760,4 @@ def _panel_of_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return shortlist.panel(part.select("candidate_id"), says(k % 2 == 0, "approve"), says(k % 5 != 0, "allow"), says(k % 3 != 0, "select"), 10)
 
 
-from panelforge import queries_data  # noqa: E402, F401  (registers its queries here)
+from panelforge import queries_candidates, queries_data  # noqa: E402, F401  (they register their queries here)
