@@ -38,11 +38,16 @@ def sample_kurt(x: Column, w: WindowSpec | None = None, constant_value: float =
     return F.when(n >= 4, F.when(constant, constant_value).otherwise(((n + 1) * over(F.kurtosis(x), w) + 6) * (n - 1) / ((n - 2) * (n - 3))))
 
 
+def rank_and_ties(x: Column, *by: str | Column) -> tuple[Column, Column]:
+    """Average-tie rank of ``x`` (1 is the smallest) among the rows of its group, all of which have a value, and how many others equal it. Both come from one order."""
+    ties = F.count("*").over(W.partitionBy(*by, x)) - 1
+    return F.rank().over(W.partitionBy(*by).orderBy(x)) + ties / 2, ties
+
+
 def average_rank(x: Column, *by: str, among: Column | None = None) -> Column:
     """Average-tie rank of ``x`` (1 is the smallest) in its group, among rows with a value and, if given, ``among``."""
     in_it = x.isNotNull() if among is None else x.isNotNull() & F.coalesce(among, F.lit(False))
-    group = W.partitionBy(*by, in_it)
-    return F.when(in_it, F.rank().over(group.orderBy(x)) + (F.count("*").over(W.partitionBy(*by, in_it, x)) - 1) / 2)
+    return F.when(in_it, rank_and_ties(x, *by, in_it)[0])
 
 
 def percent_rank(x: Column, *by: str, among: Column | None = None) -> Column:

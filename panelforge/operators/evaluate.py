@@ -22,13 +22,13 @@ def per_date(df: DataFrame, signal: str, label: str, least: int = 2, time: str =
     """(timestamp, n, coverage, ic, rank_ic, dispersion, tie_rate): ranks are taken anew on rows with both values."""
     valid = F.col(signal).isNotNull() & F.col(label).isNotNull()
     rows = df.select(time, signal, label, valid.alias("_ok"))
-    ranked = rows.withColumn("_rs", stats.average_rank(F.col(signal), time, among=F.col("_ok"))).withColumn("_rl", stats.average_rank(F.col(label), time, among=F.col("_ok")))
-    ranked = ranked.withColumn("_same", F.when(F.col("_ok"), F.count("*").over(W.partitionBy(time, "_ok", signal))))
+    (rs, ties), (rl, _) = (stats.rank_and_ties(F.col(c), time, "_ok") for c in (signal, label))  # one shuffle, and one order for each value
+    ranked = rows.select("*", F.when(F.col("_ok"), rs).alias("_rs"), F.when(F.col("_ok"), ties).alias("_ties"), F.when(F.col("_ok"), rl).alias("_rl"))
     s, y = F.when(F.col("_ok"), F.col(signal)), F.when(F.col("_ok"), F.col(label))
     n = F.count(F.when(F.col("_ok"), 1))
     return ranked.groupBy(time).agg(
         n.alias("n"), F.try_divide(n.cast("double"), F.count(signal)).alias("coverage"), stats.safe_corr(s, y, least=least).alias("ic"), stats.safe_corr(F.col("_rs"), F.col("_rl"), least=least).alias("rank_ic"),
-        F.stddev_pop(s).alias("dispersion"), F.try_divide(F.sum(F.col("_same") - 1).cast("double"), n * (n - 1)).alias("tie_rate"),
+        F.stddev_pop(s).alias("dispersion"), F.try_divide(F.sum("_ties").cast("double"), n * (n - 1)).alias("tie_rate"),
     )
 
 
@@ -63,7 +63,7 @@ def pair_correlations(df: DataFrame, factors: list[str], time: str = "timestamp"
 def ic_decay(df: DataFrame, signal: str, labels: list[str], least: int = 2, time: str = "timestamp") -> DataFrame:
     """(horizon, rank_ic, n_dates): mean rank IC of the signal against each label column, all horizons in one pass."""
     long = df.select(time, signal, *labels).unpivot([time, signal], labels, "horizon", "_y").where(F.col(signal).isNotNull() & F.col("_y").isNotNull())
-    ranked = long.select("horizon", time, stats.average_rank(F.col(signal), time, "horizon").alias("_a"), stats.average_rank(F.col("_y"), time, "horizon").alias("_b"))
+    ranked = long.select("horizon", time, stats.rank_and_ties(F.col(signal), time, "horizon")[0].alias("_a"), stats.rank_and_ties(F.col("_y"), time, "horizon")[0].alias("_b"))
     dates = ranked.groupBy("horizon", time).agg(stats.safe_corr(F.col("_a"), F.col("_b"), least=least).alias("_ic"))
     return dates.groupBy("horizon").agg(F.avg("_ic").alias("rank_ic"), F.count("_ic").alias("n_dates"))
 
@@ -90,7 +90,7 @@ def descriptive_buckets(df: DataFrame, signal: str, label: str, n_buckets: int =
     """(timestamp, bucket, mean_label, n) by average ranks, so that equal values share a bucket and a bucket may be empty; dates with fewer than ``least`` rows or one value have none."""
     rows = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select(time, signal, label)
     w = W.partitionBy(time)
-    rows = rows.withColumn("_r", stats.average_rank(F.col(signal), time)).withColumn("_n", F.count("*").over(w)).withColumn("_varies", F.min(signal).over(w) != F.max(signal).over(w))
+    rows = rows.withColumn("_r", stats.rank_and_ties(F.col(signal), time)[0]).withColumn("_n", F.count("*").over(w)).withColumn("_varies", F.min(signal).over(w) != F.max(signal).over(w))
     place = F.least(F.greatest(F.ceil(F.col("_r") * n_buckets / F.col("_n")), F.lit(1)), F.lit(n_buckets)).cast("int")
     return rows.where((F.col("_n") >= least) & F.col("_varies")).groupBy(time, place.alias("bucket")).agg(F.avg(label).alias("mean_label"), F.count("*").alias("n"))
 
@@ -98,14 +98,14 @@ def descriptive_buckets(df: DataFrame, signal: str, label: str, n_buckets: int =
 def rank_autocorrelation(df: DataFrame, signal: str, time: str = "timestamp", security: str = "security") -> DataFrame:
     """(timestamp, n, autocorrelation): rank correlation with the date before, ranked anew over the securities with both values; fewer than two have none. Needs a dense grid."""
     pairs = df.select(time, security, F.col(signal).alias("_x"), F.lag(signal).over(W.partitionBy(security).orderBy(time)).alias("_y")).where("_x is not null and _y is not null")
-    ranked = pairs.select(time, stats.average_rank(F.col("_x"), time).alias("_a"), stats.average_rank(F.col("_y"), time).alias("_b"))
+    ranked = pairs.select(time, stats.rank_and_ties(F.col("_x"), time)[0].alias("_a"), stats.rank_and_ties(F.col("_y"), time)[0].alias("_b"))
     return ranked.groupBy(time).agg(F.count("*").alias("n"), stats.safe_corr(F.col("_a"), F.col("_b")).alias("autocorrelation"))
 
 
 def reference_correlations(df: DataFrame, signal: str, references: list[str], time: str = "timestamp") -> DataFrame:
     """(reference, correlation, n_dates): mean over dates of the rank correlation with each reference, ranked over the rows with both; all references in one pass."""
     long = df.select(time, signal, *references).unpivot([time, signal], references, "reference", "_y").where(F.col(signal).isNotNull() & F.col("_y").isNotNull())
-    ranked = long.select("reference", time, stats.average_rank(F.col(signal), "reference", time).alias("_a"), stats.average_rank(F.col("_y"), "reference", time).alias("_b"))
+    ranked = long.select("reference", time, stats.rank_and_ties(F.col(signal), "reference", time)[0].alias("_a"), stats.rank_and_ties(F.col("_y"), "reference", time)[0].alias("_b"))
     dates = ranked.groupBy("reference", time).agg(stats.safe_corr(F.col("_a"), F.col("_b")).alias("_c"))
     return dates.groupBy("reference").agg(F.avg("_c").alias("correlation"), F.count("_c").alias("n_dates"))
 
