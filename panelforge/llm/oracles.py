@@ -66,4 +66,22 @@ prefix AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, sourc
 SELECT doc_id, domain, lang, source, epoch, tokens FROM prefix WHERE ahead < remaining
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_mixing": OP3}
+#: crc32 by the table of its polynomial, over the bytes of each distinct word.
+_WORDS = f"""regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+OP11 = f"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS words FROM documents),
+g AS (SELECT {_WORDS} AS words FROM benchmark),
+dw AS (SELECT n, unnest(words) AS w FROM d), gw AS (SELECT unnest(words) AS w FROM g),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM gw)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM gw JOIN b USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM gw) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT n, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN gain USING (bucket) GROUP BY n),
+scored AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (n)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= most THEN r END AS rank FROM ranked
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op3_mixing": OP3, "op11_resampling": OP11}

@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters over whole tables."""
+"""The queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import ann, decontam, lsh_forest, maxent_lm, mixing, packing, pii, quality, secret_scan, url_filter
+from panelforge.llm import alignment, ann, decontam, importance, lsh_forest, maxent_lm, mixing, packing, pii, quality, secret_scan, sequences, url_filter
 from panelforge.llm.common import table, written
 from panelforge.llm.oracles import ORACLES
 
@@ -69,6 +69,20 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), lsh_forest.ForestSpec(words=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_collision_search, op3_mixing, op4_crf_secrets, op5_maxent_lm, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), importance.ResampleSpec(run=1, buckets=10_000, percent=10, least_words=20, seed=2024))
+
+
+def op12_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = sequences.CutSpec(public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
+    return sequences.read_pieces(sequences.write_sequences(table(spark, sf_dir, "documents"), spec))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.AlignSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+OPERATORS = (op1_url_filter, op2_collision_search, op3_mixing, op4_crf_secrets, op5_maxent_lm, op6_contextual_pii, op7_packing, op8_cotraining, op9_decontamination, op10_lsh_forest, op11_resampling, op12_sequences, op13_alignment)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 __all__ = ["ORACLES", "QUERIES"]
