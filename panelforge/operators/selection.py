@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
+from panelforge.operators import skyline
 
 #: Drawn values that a bootstrap holds at once.
 BATCH_CELLS = 1 << 18
@@ -111,12 +112,8 @@ def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: in
 
 
 def frontier(df: DataFrame, name: str, maximise: list[str], minimise: list[str], epsilon: float = 0.0) -> DataFrame:
-    """Candidates that no other one dominates: no worse within ``epsilon`` in every objective, better by more in one. Candidates are few."""
-    other = df.select(F.col(name).alias("_other"), *(F.col(c).alias(f"_o_{c}") for c in (*maximise, *minimise)))
-    gain = [F.col(f"_o_{c}") - F.col(c) for c in maximise] + [F.col(c) - F.col(f"_o_{c}") for c in minimise]
-    no_worse = reduce(lambda a, b: a & b, [g >= -epsilon for g in gain])
-    better = reduce(lambda a, b: a | b, [g > epsilon for g in gain])
-    return df.join(other, (F.col(name) != F.col("_other")) & no_worse & better, "left_anti")
+    """Candidates that no other one dominates: no worse within ``epsilon`` in every objective, better by more in one. ``name`` identifies a candidate; equal candidates don't dominate each other, and one with a null or NaN objective neither dominates nor is dominated."""
+    return skyline.unbeaten(df, df, maximise, minimise, epsilon, True)
 
 
 def failed_gates(tests: dict[str, Column]) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import skyline
+
 
 def panel(proposed: DataFrame, critic: DataFrame, risk: DataFrame, arbiter: DataFrame, n: int, name: str = "candidate_id") -> DataFrame:
     """(candidate, priority): the first ``n`` candidates approved, allowed and selected, by falling priority and id. A risk block can't be overruled."""
@@ -17,10 +17,9 @@ def panel(proposed: DataFrame, critic: DataFrame, risk: DataFrame, arbiter: Data
 
 
 def progressed(new: DataFrame, old: DataFrame, name: str, maximise: list[str], minimise: list[str], epsilon: float = 0.0) -> DataFrame:
-    """Members of ``new`` that no member of ``old`` is, equals or dominates within ``epsilon``. Both are frontiers, which are few rows."""
-    was = old.select(F.col(name).alias("_n"), *(F.col(c).alias(f"_o_{c}") for c in (*maximise, *minimise)))
-    gain = [F.col(f"_o_{c}") - F.col(c) for c in maximise] + [F.col(c) - F.col(f"_o_{c}") for c in minimise]
-    return new.join(was, (F.col(name) == F.col("_n")) | reduce(lambda a, b: a & b, [g >= -epsilon for g in gain]), "left_anti")
+    """Members of ``new`` that no member of ``old`` is (by ``name``), equals or dominates within ``epsilon``. A member with a null or NaN objective equals and dominates none."""
+    fresh = new.join(old.select(F.col(name).alias("_old_name")), F.col(name) == F.col("_old_name"), "left_anti")
+    return skyline.unbeaten(fresh, old, maximise, minimise, epsilon, False)
 
 
 def diverse(frontier: DataFrame, correlations: DataFrame, campaign: str, name: str, maximise: list[str], minimise: list[str], capacity: int, limit: float) -> DataFrame:
