@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
 from panelforge.operators import skyline
+from panelforge.sources.shared import saved
 
-#: Drawn values that a bootstrap holds at once.
+#: Drawn blocks that a bootstrap holds at once, and trials of a row.
 BATCH_CELLS = 1 << 18
+TRIALS = 4096
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
@@ -79,36 +83,66 @@ def family_significance(family: DataFrame, values: DataFrame, least: int, lags:
     return benjamini_hochberg(out, "p", candidate).select(candidate, "status", "n", "mean", "z", "p", "q")
 
 
+def draw_starts(key: int, first: int, trials: int, blocks: int, n: int) -> np.ndarray:
+    """Starts below ``n`` of the blocks of trials ``first`` on: each comes from its own counter (trial and block), so that any range of trials can be drawn anywhere."""
+    counter = (np.arange(first, first + trials, dtype=np.uint64)[:, None] * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = counter + np.uint64(key)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) * 2.0**-53 * n).astype(np.int64)
+
+
+def stream_key(seed: int, name: object) -> int:
+    """The key of a series' stream."""
+    return int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big")
+
+
+def bootstrap_hits(x: np.ndarray, block: int, key: int, first: int, trials: int) -> int:
+    """In how many of the trials the mean of the drawn blocks of ``x`` less its mean reaches that mean. A block's sum is a difference of two running sums, so a draw costs its blocks, not its values."""
+    n, mean = len(x), x.mean()
+    full, rest = n // block, n % block
+    sums = np.concatenate(([0.0], np.cumsum(np.resize(x - mean, n + block))))
+    place = np.arange(n)
+    whole, part = sums[place + block] - sums[place], sums[place + rest] - sums[place]
+    hits, batch = 0, max(1, BATCH_CELLS // (full + (rest > 0)))
+    for at in range(first, first + trials, batch):
+        starts = draw_starts(key, at, min(batch, first + trials - at), full + (rest > 0), n)
+        total = whole[starts[:, :full]].sum(axis=1)
+        if rest:
+            total = total + part[starts[:, full]]
+        hits += int((total / n >= mean).sum())
+    return hits
+
+
 def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int | None, seed: int) -> DataFrame:
-    """(series, p): circular block bootstrap of the mean under no effect; each series draws from its own seeded stream, so partitions don't matter.
+    """(series, p): circular block bootstrap of the mean under no effect. A series' trials are drawn by number from its own keyed stream, so how they are dealt out doesn't matter.
 
     A family needs max(2000, 20 for each series) trials, for the least p to survive the correction over all series: fewer are refused, None takes that number.
+    Null values are left out; a series of fewer than two has p = 1. Ranges of trials are rows of their own, and only their hits are merged.
     """
-    rows = df.select(series, time, value)
-    least = max(2000, 20 * rows.select(series).distinct().count())
+    held = F.transform(F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("x"))))), lambda r: r["x"])
+    rows = saved(df.groupBy(series).agg(held.alias("_x")))
+    least = max(2000, 20 * rows.count())
     if trials is None:
         trials = least
     if trials < least:
         raise ValueError(f"block bootstrap of this family needs {least} trials, not {trials}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(time)[value].dropna().to_numpy(float)
-        name = pdf[series].iloc[0]
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big"))
-        n = len(x)
-        if n < 2:
-            return pd.DataFrame({series: [name], "p": [1.0]})
-        mean, hits = x.mean(), 0
-        around, batch = np.resize(x - mean, n + block), max(1, BATCH_CELLS // n)
-        for at in range(0, trials, batch):
-            starts = rng.integers(0, n, (min(batch, trials - at), -(-n // block)))
-            places = (starts[:, :, None] + np.arange(block)).reshape(len(starts), -1)[:, :n]
-            hits += int((around[places].mean(1) >= mean).sum())
-        return pd.DataFrame({series: [name], "p": [(1 + hits) / (trials + 1)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(2)
+            hits = [
+                bootstrap_hits(values[k].values.to_numpy(), block, stream_key(seed, name), first, min(TRIALS, trials - first))
+                for k, (name, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64())], [series, "_hits"])
 
     kind = df.schema[series].dataType.simpleString()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: rows are few, but the work isn't
-    return rows.repartition(parts, series).groupBy(series).applyInPandas(run, f"{series} {kind}, p double")
+    ranges = rows.where(F.size("_x") > 1).select(series, F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(TRIALS))).alias("_first"), "_x").repartition(parts, series, "_first")
+    counted = ranges.mapInArrow(run, f"{series} {kind}, _hits long").groupBy(series).agg(((1 + F.sum("_hits")) / F.lit(trials + 1)).alias("p"))
+    return counted.unionByName(rows.where(F.size("_x") < 2).select(series, F.lit(1.0).alias("p")))
 
 
 def frontier(df: DataFrame, name: str, maximise: list[str], minimise: list[str], epsilon: float = 0.0) -> DataFrame:
