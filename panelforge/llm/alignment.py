@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import written
-from panelforge.llm.tokens import ByteLevel, Pieces, made
+from panelforge.llm.tokens import ByteLevel, Pieces, forget, made
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class AlignSpec:
 
     a: str
     b: str
-    stripes: int = 128
+    stripes: int = 256
     block_links: int = 1 << 19
 
 
@@ -135,13 +135,26 @@ def _by_stripe(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "codes", "counts", "cuts").mapInArrow(run, "stripe int, block long, codes binary, counts binary")
 
 
+def _size(spec: AlignSpec) -> tuple[int, int]:
+    """Rows and columns of a stripe's matrix."""
+    a, b = ByteLevel(spec.a, True).tokenizer.get_vocab_size(), len(Pieces(spec.b).pieces)
+    return -(-b // spec.stripes), a
+
+
+def _few(batch: pa.RecordBatch, columns: int) -> Iterator[list]:
+    """The rows of a batch, of which only some are unpacked at a time."""
+    for at in range(0, batch.num_rows, 128):
+        part = batch.slice(at, 128)
+        yield list(zip(*(part.column(c).to_pylist() for c in range(columns)), strict=True))
+
+
 class Matrix:
     """The dense counts of the stripe at hand; for the next stripe the cells that were used are emptied."""
 
-    def __init__(self, spec: AlignSpec):
-        sides = made(Sides, spec.a, spec.b)
-        self.wide = len(sides.a_bytes)
-        self.cells = np.zeros(-(-len(sides.b_bytes) // spec.stripes) * self.wide, np.int64)
+    def __init__(self, rows: int, wide: int):
+        forget()
+        self.wide = wide
+        self.cells = np.zeros(rows * wide, np.int64)
         self.stripe: int | None = None
 
     def add(self, codes: bytes, counts: bytes) -> None:
@@ -154,11 +167,11 @@ class Matrix:
         return self.cells.reshape(-1, self.wide).max(axis=1)
 
 
-def pair_counts(pairs: DataFrame, spec: AlignSpec) -> DataFrame:
+def pair_counts(pairs: DataFrame, size: tuple[int, int]) -> DataFrame:
     """A written table (stripe, codes, counts) of all id pairs' counts, in rows of at most a million pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matrix(spec)
+        m = Matrix(*size)
 
         def totals() -> Iterator[pa.RecordBatch]:
             used = m.used()
@@ -168,7 +181,7 @@ def pair_counts(pairs: DataFrame, spec: AlignSpec) -> DataFrame:
             m.cells[used] = 0
 
         for batch in batches:
-            for stripe, codes, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for stripe, codes, counts in (row for rows in _few(batch, 3) for row in rows):
                 if stripe != m.stripe:
                     yield from totals()
                     m.stripe = stripe
@@ -179,14 +192,14 @@ def pair_counts(pairs: DataFrame, spec: AlignSpec) -> DataFrame:
     return written(dealt.mapInArrow(run, "stripe int, codes binary, counts binary"), "pair-counts")
 
 
-def _scored_pairs(pairs: DataFrame, counts: DataFrame, spec: AlignSpec) -> DataFrame:
+def _scored_pairs(pairs: DataFrame, counts: DataFrame, size: tuple[int, int]) -> DataFrame:
     """(block, stripe, total, best) of the dictionaries' parts; a stripe's counts come before its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, best = Matrix(spec), None
-        for batch in batches:
-            blocks, stripes, totals, bests = [], [], [], []
-            for stripe, block, codes, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        m, best = Matrix(*size), None
+        for rows in (rows for batch in batches for rows in _few(batch, 4)):
+            out = []
+            for stripe, block, codes, n in rows:
                 if stripe != m.stripe:
                     m.cells[m.used()] = 0
                     m.stripe, best = stripe, None
@@ -196,11 +209,10 @@ def _scored_pairs(pairs: DataFrame, counts: DataFrame, spec: AlignSpec) -> DataF
                 best = m.best() if best is None else best
                 at = np.frombuffer(codes, "<i4")
                 total = m.cells[at]
-                blocks.append(block)
-                stripes.append(stripe)
-                totals.append(total.tobytes())
-                bests.append((total == best[at // m.wide]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(stripes, pa.int32()), pa.array(totals, pa.binary()), pa.array(bests, pa.binary())], ["block", "stripe", "total", "best"])
+                out.append((block, stripe, total.tobytes(), (total == best[at // m.wide]).tobytes()))
+            if out:
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["block", "stripe", "total", "best"])
 
     no_block = counts.select("stripe", F.lit(None).cast("long").alias("block"), "codes", "counts")
     both = no_block.unionByName(pairs.withColumn("counts", F.lit(None).cast("binary")))
@@ -216,10 +228,12 @@ def align(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_col: st
     """
     blocks = write_blocks(docs, spec, id_col, text_col)
     pairs = _by_stripe(blocks)
-    scored = _scored_pairs(pairs, pair_counts(pairs, spec), spec)
+    size = _size(spec)
+    scored = _scored_pairs(pairs, pair_counts(pairs, size), size)
     kept = ["doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         totals: list[bytes] = []
         bests: list[bytes] = []
         for batch in batches:

@@ -210,3 +210,8 @@ def made(kind: type, *args):
     if (kind, args) not in _made:
         _made[kind, args] = kind(*args)
     return _made[kind, args]
+
+
+def forget() -> None:
+    """Gives back the memory of a worker's objects, for tasks of later stages that need none."""
+    _made.clear()
