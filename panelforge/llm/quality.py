@@ -1,10 +1,10 @@
 """Quality scores by co-training.
 
 Two logistic classifiers see different views of a document: its text (a hashed byte-pair profile, repeats, lines and
-word forms) and its page metadata (language, source, length). In each round every view labels all unlabelled documents it
-is confident of, and the other view learns from them: tasks add up gradients over the whole pool, Spark adds up tasks, and
-the driver, which holds the labelled rows (a bounded number), makes a step. The views are then calibrated on labelled documents kept
-apart, and their calibrated log-odds are combined.
+word forms) and its page metadata (language, source, length, eighths of octaves of the length). In each round every view labels
+the unlabelled documents it is sure of, and in any case those of each class it is most confident of, and the other view learns from them: tasks add up gradients over the whole pool, Spark adds up tasks, and
+the driver, which holds the labelled rows (a bounded number), makes a step. Labels that make a view worse on labelled documents kept
+apart, by more than the error of that measure, are taken back. The views are then calibrated on those documents, and their calibrated log-odds are combined.
 """
 
 from __future__ import annotations
@@ -21,19 +21,23 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import bounded_broadcast, without_ids, written
 
-PAIR_BUCKETS, FORMS, LANGS, SOURCES = 256, 9, 8, 16
-WIDTHS = (1 + PAIR_BUCKETS + FORMS, 4 + LANGS + SOURCES)
+PAIR_BUCKETS, FORMS, LANGS, SOURCES, LENGTHS = 256, 9, 8, 16, 128
+WIDTHS = (1 + PAIR_BUCKETS + FORMS, 4 + LANGS + SOURCES + LENGTHS)
+#: Log-odds are counted in so many steps a unit, from -30 to 30.
+STEPS = 64
 
 
 @dataclass(frozen=True)
 class CoTrainSpec:
     """``labelled`` bounds the labelled rows that are fitted on (by a hash of the id); the unlabelled pool is every document without a label. ``confidence``:
-    from which a view's label is handed over. ``pseudo``: weight of all handed labels against all given ones, at most. ``steps``: passes over the pool in a round."""
+    from which a view's label is always handed over. ``quota``: the share of the pool that a view hands over in any case, the most confident of each class in the labels' ratio.
+    ``pseudo``: weight of all handed labels against all given ones, at most. ``steps``: passes over the pool in a round, after one that finds the quotas' bounds."""
 
     labelled: int = 8000
     rounds: int = 2
     steps: int = 2
     confidence: float = 0.97
+    quota: float = 0.1
     pseudo: float = 0.5
     threshold: float = 0.3
 
@@ -65,7 +69,9 @@ def features(texts: list[bytes | None], langs: list[str | None], sources: list[s
     short = np.array([sum(len(x) < 2 for x in w) / max(1, len(w)) for w in words])
     forms = (again, np.log1p(n_words) / 10, np.log1p(sizes / n_lines) / 10, distinct, variety, variety * np.log1p(n_words) / 10, np.log1p(longest) / 5, short, sizes / np.maximum(n_words, 1) / 10)
     size = np.log1p(np.array([max(0, x or 0) for x in lengths], float)) / 10
-    place = np.zeros((n, LANGS + SOURCES))
+    place = np.zeros((n, LANGS + SOURCES + LENGTHS))
+    octave = np.floor(8 * np.log2(np.array([max(0, x or 0) for x in lengths], float) + 1)).astype(int)
+    place[np.arange(n), LANGS + SOURCES + np.minimum(octave, LENGTHS - 1)] = 1
     place[np.arange(n), [_bucket(x, LANGS) for x in langs]] = 0.3
     place[np.arange(n), [LANGS + _bucket(x, SOURCES) for x in sources]] = 0.3
     text = np.concatenate((pairs, np.column_stack(forms).astype(np.float32).view(np.uint8).reshape(n, -1)), 1)
@@ -106,14 +112,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
+def learned(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, slope: np.ndarray, spec: CoTrainSpec) -> np.ndarray:
+    """A Newton step on the labelled rows and on ``n`` handed labels, whose gradients sum up to ``slope``."""
+    share = spec.pseudo * min(1.0, len(x) / max(1, n))
+    own, bend = _slope_and_bend(x, y, w)
+    penalty = _penalty(len(w), 1.0)
+    return w - np.linalg.solve(bend * (1 + share * n / len(x)) + np.diag(penalty), own + share * slope + penalty * w)
+
+
+def calibrated(x: list[np.ndarray], y: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view the offset and slope that make its log-odds fit the labels."""
+    return [fit_logistic(np.column_stack((np.ones(len(y)), np.clip(v @ w, -30, 30))), y, 1e-2) for v, w in zip(x, weights, strict=True)]
+
+
+def worse(x: np.ndarray, y: np.ndarray, new: np.ndarray, old: np.ndarray) -> bool:
+    """Whether the log loss of ``new`` weights is above that of ``old`` ones by more than the standard error of the difference."""
+    one, other = (np.logaddexp(0, z) - y * z for z in (np.clip(x @ w, -30, 30) for w in (new, old)))
+    return bool((one - other).mean() > (one - other).std() / np.sqrt(len(y)))
+
+
 @dataclass
 class CoTrained:
-    """Weights of both views, their calibrations (slope, offset), the weights that combine them, and how many labels each view was handed in each round."""
+    """Weights of both views, their calibrations (offset, slope), the weights that combine them, how many labels each view was handed in each round, and whether it kept what it learned."""
 
     views: list[np.ndarray]
     calibration: list[np.ndarray]
     combine: np.ndarray
     handed: list[tuple[int, int]]
+    kept: list[tuple[bool, bool]]
 
     def scores(self, both: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined and both views' probabilities for the rows of ``features``."""
@@ -145,18 +171,58 @@ def _unpacked(t: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(t), np.uint8).reshape(len(t), -1), np.frombuffer(b"".join(m), np.float32).reshape(len(m), -1)
 
 
-def handed_over(x: list[np.ndarray], teachers: list[np.ndarray], confidence: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each view as a pupil: which rows the other view is confident of, and the labels it gives them."""
+def limits_of(confidence: float) -> list[tuple[float, float]]:
+    """Log-odds up to which and from which either view hands over."""
+    z = float(np.log(confidence / (1 - confidence)))
+    return [(-z, z)] * 2
+
+
+def handed_over(x: list[np.ndarray], teachers: list[np.ndarray], limits: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view as a pupil: which rows the other view is confident of, by that view's limits, and the labels it gives them. Where both limits hold, the label is by the nearer end."""
     out = []
     for pupil in (0, 1):
-        p = sigmoid(x[1 - pupil] @ teachers[1 - pupil])
-        pick = np.flatnonzero((p >= confidence) | (p <= 1 - confidence))
-        out.append((pick, (p[pick] > 0.5).astype(float)))
+        z, (low, high) = x[1 - pupil] @ teachers[1 - pupil], limits[1 - pupil]
+        pick = np.flatnonzero((z <= low) | (z >= high))
+        out.append((pick, (z[pick] >= high).astype(float)))
     return out
 
 
-def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.ndarray], confidence: float) -> list[tuple[int, np.ndarray]]:
-    """For each view, the number of labels it is handed over the whole pool, and the sum of their gradients."""
+def pool_limits(pool: DataFrame, teachers: list[np.ndarray], calibration: list[np.ndarray], rate: float, spec: CoTrainSpec) -> list[tuple[float, float]]:
+    """For each view the log-odds up to which and from which it hands over, counted over the whole pool in fixed steps: all rows that it is sure of by its ``calibration`` (offset, slope), and in any case its quota of each class by the labels' ``rate`` of 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 60 * STEPS + 1), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                t, m = _unpacked(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for k, x in enumerate((text_matrix(t), m)):
+                    counts[k] += np.bincount(_step(x @ teachers[k]), minlength=counts.shape[1])
+        view, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[view, at])], ["view", "at", "n"])
+
+    counts = np.zeros((2, 60 * STEPS + 1), np.int64)
+    for r in pool.select("t", "m").mapInArrow(run, "view int, at int, n long").groupBy("view", "at").agg(F.sum("n").alias("n")).collect():  # at most a row a step
+        counts[r["view"], r["at"]] = r["n"]
+    sure = limits_of(spec.confidence)[0][1]
+    out = []
+    for n, (offset, slope) in zip(counts, calibration, strict=True):
+        upto, total = np.cumsum(n), n.sum()
+        low = np.searchsorted(upto, max(1, spec.quota * (1 - rate) * total))  # the first step that fills the quota
+        high = max(low + 1, np.searchsorted(upto, total - max(1, spec.quota * rate * total), side="right"))
+        low, high = (low + 1) / STEPS - 30, high / STEPS - 30
+        if slope > 0:
+            low, high = max(low, (-sure - offset) / slope), min(high, (sure - offset) / slope)
+        out.append((low, high))
+    return out
+
+
+def _step(z: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(z, -30, 30) + 30) * STEPS).astype(np.int64)
+
+
+def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.ndarray], confidence: float | list[tuple[float, float]]) -> list[tuple[int, np.ndarray]]:
+    """For each view, the number of labels it is handed over the whole pool, and the sum of their gradients. ``confidence``: one probability for both views, or both views' limits."""
+    limits = limits_of(confidence) if isinstance(confidence, float) else confidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(1 + w) for w in WIDTHS]
@@ -164,7 +230,7 @@ def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.nda
             if batch.num_rows:
                 t, m = _unpacked(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 x = [text_matrix(t), m]
-                for k, (pick, y) in enumerate(handed_over(x, teachers, confidence)):
+                for k, (pick, y) in enumerate(handed_over(x, teachers, limits)):
                     own = x[k][pick]
                     sums[k][0] += len(pick)
                     sums[k][1:] += own.T @ (sigmoid(own @ pupils[k]) - y)
@@ -197,28 +263,28 @@ def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(),
     hold = place % 4 == 1
     if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
-        return CoTrained([np.zeros(w) for w in WIDTHS], [np.array([np.log(rate / (1 - rate)), 0.0])] * 2, np.array([0.0, 0.5, 0.5]), [])
+        return CoTrained([np.zeros(w) for w in WIDTHS], [np.array([np.log(rate / (1 - rate)), 0.0])] * 2, np.array([0.0, 0.5, 0.5]), [], [])
     t, m = _unpacked([bytes(r["t"]) for r in rows], [bytes(r["m"]) for r in rows])
     both = [text_matrix(t).astype(float), m.astype(float)]
     mine = [x[~hold] for x in both]
     weights = [fit_logistic(x, y[~hold]) for x in mine]
-    pool, handed = without_ids(seen, given), []
+    held, held_y = [x[hold] for x in both], y[hold]
+    pool, handed, kept = without_ids(seen, given), [], []
     for _ in range(spec.rounds):
         teachers = [w.copy() for w in weights]
+        limits = pool_limits(pool, teachers, calibrated(held, held_y, teachers), float(y[~hold].mean()), spec)
         for _ in range(spec.steps):
-            got = pool_slopes(pool, teachers, weights, spec.confidence)
+            got = pool_slopes(pool, teachers, weights, limits)
             for k, (n, slope) in enumerate(got):
-                share = spec.pseudo * min(1.0, len(mine[k]) / max(1, n))
-                own, bend = _slope_and_bend(mine[k], y[~hold], weights[k])
-                penalty = _penalty(WIDTHS[k], 1.0)
-                weights[k] = weights[k] - np.linalg.solve(bend * (1 + share * n / len(mine[k])) + np.diag(penalty), own + share * slope + penalty * weights[k])
+                weights[k] = learned(mine[k], y[~hold], weights[k], n, slope, spec)
+        better = [not worse(x, held_y, w, old) for x, w, old in zip(held, weights, teachers, strict=True)]
+        weights = [w if ok else old for w, old, ok in zip(weights, teachers, better, strict=True)]
         handed.append((got[0][0], got[1][0]))
-    kept, held_y = [x[hold] for x in both], y[hold]
+        kept.append((better[0], better[1]))
+    calibration = calibrated(held, held_y, weights)
+    odds = [np.clip(x @ w, -30, 30) * c[1] + c[0] for x, w, c in zip(held, weights, calibration, strict=True)]
     ones = np.ones(len(held_y))
-    raw = [np.clip(x @ w, -30, 30) for x, w in zip(kept, weights, strict=True)]
-    calibration = [fit_logistic(np.column_stack((ones, z)), held_y, 1e-2) for z in raw]
-    odds = [z * c[1] + c[0] for z, c in zip(raw, calibration, strict=True)]
-    return CoTrained(weights, calibration, fit_logistic(np.column_stack((ones, *odds)), held_y, 1.0), handed)
+    return CoTrained(weights, calibration, fit_logistic(np.column_stack((ones, *odds)), held_y, 1.0), handed, kept)
 
 
 SCORED = "score double, text_score double, meta_score double"
