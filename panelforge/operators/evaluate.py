@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
+from panelforge.operators.postprocess import residual
 
 
 def bucket(x: Column, n_buckets: int, valid: Column, time: str = "timestamp", security: str = "security") -> Column:
@@ -71,19 +70,14 @@ def ic_decay(df: DataFrame, signal: str, labels: list[str], least: int = 2, time
 def incremental_ic(df: DataFrame, signal: str, references: list[str], label: str, least: int = 2, time: str = "timestamp") -> DataFrame:
     """(timestamp, n, rank_ic): rank correlation with the label of what a least-squares fit on the references leaves of the signal.
 
-    Over rows with every value; dates with fewer than ``least`` or references + 2 rows, or with nothing left, have none. One group is a date's cross-section.
+    Over rows with every value; dates with fewer than ``least`` or references + 2 rows, or with nothing left (less than 1e-10 of the signal's size), have none.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, design = pdf[signal].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[references].to_numpy(float)])
-        rest = s - design @ np.linalg.lstsq(design, s, rcond=None)[0]
-        a, b = pd.Series(rest).rank(), pdf[label].reset_index(drop=True).rank()
-        if len(s) < max(least, len(references) + 2) or rest.std() <= np.finfo(float).eps * max(1.0, np.abs(s).max()) * 32 or b.nunique() < 2:
-            return pd.DataFrame({time: pdf[time].iloc[:0], "n": [], "rank_ic": []})
-        return pd.DataFrame({time: [pdf[time].iloc[0]], "n": [len(s)], "rank_ic": [float(np.corrcoef(a, b)[0, 1])]})
-
     rows = df.select(time, signal, *references, label).dropna()
-    return rows.groupBy(time).applyInPandas(run, f"{time} {df.schema[time].dataType.simpleString()}, n long, rank_ic double")
+    left = residual(rows, signal, references, 0.0, max(least, len(references) + 2), time).where(F.col("_rest").isNotNull())
+    ranked = left.select(time, signal, "_rest", stats.rank_and_ties(F.col("_rest"), time)[0].alias("_a"), stats.rank_and_ties(F.col(label), time)[0].alias("_b"))
+    some = F.stddev_pop("_rest") > 1e-10 * F.greatest(F.lit(1.0), F.max(F.abs(signal)))
+    out = ranked.groupBy(time).agg(F.count("*").alias("n"), stats.safe_corr(F.col("_a"), F.col("_b")).alias("rank_ic"), some.alias("_some"))
+    return out.where(F.col("_some") & F.col("rank_ic").isNotNull()).drop("_some")
 
 
 def descriptive_buckets(df: DataFrame, signal: str, label: str, n_buckets: int = 5, least: int = 2, time: str = "timestamp") -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from panelforge.functions import stats
+from panelforge.sources.panels import AXIS_ROWS
+from panelforge.sources.shared import saved
 
 #: Fixed local-time windows, in minutes of the day, both ends included.
 CLOCK = {"full_day": (570, 900), "open30": (570, 600), "midday30": (660, 690), "postlunch30": (780, 810), "close30": (870, 900), "close60": (840, 900)}
@@ -42,35 +50,94 @@ def neutralize(df: DataFrame, col: str, exposure: str, time: str = "timestamp")
     return df.withColumn(col, F.when(F.count(F.when(both, 1)).over(w) > 2, rest))
 
 
-def neutralize_many(df: DataFrame, col: str, exposures: list[str], ridge: float = 0.0, time: str = "timestamp", security: str = "security") -> DataFrame:
-    """Residuals on several exposures: a date's cross-section is one group, solved by a pseudo-inverse; the ridge spares the intercept."""
+def residual(df: DataFrame, col: str, exposures: list[str], ridge: float, least: int, time: str = "timestamp") -> DataFrame:
+    """What a least-squares fit on the exposures and an intercept leaves of ``col`` by date, over the rows where all are finite; null on dates with fewer than ``least`` of them.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.Series(np.nan, index=pdf.index)
-        ok = np.isfinite(pdf[[col, *exposures]].to_numpy(float)).all(1)
-        if ok.sum() > len(exposures) + 1:
-            x = np.column_stack((np.ones(ok.sum()), pdf.loc[ok, exposures].to_numpy(float)))
-            y = pdf.loc[ok, col].to_numpy(float)
-            penalty = np.diag([0.0, *[ridge] * len(exposures)])
-            out[ok] = y - x @ (np.linalg.pinv(x.T @ x + penalty) @ (x.T @ y) if ridge else np.linalg.pinv(x) @ y)
-        return pd.DataFrame({time: pdf[time], security: pdf[security], "_rest": out.astype(object).where(out.notna(), None).astype(float)})
+    Covariances of each date merge over tasks; a date's small system is solved by a pseudo-inverse (the ridge spares the intercept). Gives ``df`` with ``_rest``: the
+    dates' coefficients are broadcast behind a count and applied as a dot product.
+    """
+    every = [col, *exposures]
+    whole = reduce(lambda a, b: a & b, [stats.finite(F.col(c).cast("double")).isNotNull() for c in every])
+    x = {c: F.when(whole, F.col(c).cast("double")) for c in every}
+    cov = [F.covar_pop(x[a], x[b]) for a in exposures for b in every]
+    sums = df.groupBy(time).agg(F.count(F.when(whole, 1)).alias("_n"), F.array(*(F.avg(x[c]) for c in every)).alias("_mean"), F.array(*cov).alias("_cov")).where(F.col("_n") >= least)
+    k = len(exposures)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rest = df.select(time, security, col, *exposures).groupBy(time).applyInPandas(solve, f"{time} {kinds[time]}, {security} {kinds[security]}, _rest double")
-    return df.drop(col).join(rest, [time, security], "left").withColumnRenamed("_rest", col).withColumn(col, stats.finite(F.col(col)))
+    @F.pandas_udf("array<double>")
+    def solve(n: pd.Series, cov: pd.Series) -> pd.Series:
+        out = []
+        for rows, flat in zip(n, cov, strict=True):
+            c = rows * np.asarray(flat, float).reshape(k, k + 1)
+            a = c[:, 1:] + ridge * np.eye(k)
+            scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+            out.append(np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (c[:, 0] / scale) / scale)
+        return pd.Series(out)
 
+    fits = saved(sums.select(F.col(time).alias("_date"), "_mean", solve("_n", "_cov").alias("_fit")))
+    fits = F.broadcast(fits) if fits.count() <= AXIS_ROWS else fits
+    rest = F.col(col) - F.col("_mean")[0] - sum((F.col("_fit")[i] * (F.col(c) - F.col("_mean")[i + 1]) for i, c in enumerate(exposures)), F.lit(0.0))
+    return df.join(fits, F.col(time) == F.col("_date"), "left").withColumn("_rest", F.when(whole, stats.finite(rest))).drop("_date", "_mean", "_fit")
 
-def ewm(df: DataFrame, col: str, span: int, time: str = "timestamp", security: str = "security") -> DataFrame:
-    """Exponential mean with weight 2 / (span + 1); gaps decay the old weight; null before ``span`` values."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        made = pdf[col].astype(float).ewm(span=span, adjust=False, min_periods=span).mean()
-        return pdf[[time, security]].assign(_ewm=made)
+def neutralize_many(df: DataFrame, col: str, exposures: list[str], ridge: float = 0.0, time: str = "timestamp") -> DataFrame:
+    """Residuals on several exposures by date; null where a value isn't finite or fewer than two more rows than exposures are whole."""
+    return residual(df, col, exposures, ridge, len(exposures) + 2, time).withColumn(col, F.col("_rest")).drop("_rest")
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    out = df.select(time, security, col).groupBy(security).applyInPandas(run, f"{time} {kinds[time]}, {security} {kinds[security]}, _ewm double")
-    return df.join(out, [time, security], "left").withColumn("ewm", stats.finite(F.col("_ewm"))).drop("_ewm")
+
+def ewm(df: DataFrame, col: str, span: int, time: str = "timestamp", security: str = "security") -> DataFrame:
+    """Exponential mean with weight 2 / (span + 1); gaps decay the old weight; null before ``span`` values. Nulls and NaN are gaps.
+
+    Rows are sorted in ranges of security and time, so that a long security is spread over tasks. A chunk of one security's rows is first taken by itself, with what it would
+    keep of an earlier mean; then the chunks' ends, a row for each, are folded in order, and each row adds what it keeps of the mean before its chunk.
+    """
+    alpha = 2.0 / (span + 1)
+    kept = [F.col(c) for c in df.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            names, x = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(float)
+            cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, int)
+            made = []
+            for s, e in zip(cuts, np.append(cuts[1:], len(names)), strict=True):
+                part, number = x[s:e], number + 1
+                at = np.flatnonzero(~np.isnan(part))
+                old = (1 - alpha) ** np.diff(at)
+                decay = np.full(e - s, np.nan)
+                decay[at] = np.cumprod(np.append(np.ones(min(1, len(at))), old / (old + alpha)))
+                place = np.arange(1, e - s + 1)
+                made.append((np.full(e - s, number), place, pd.Series(part).ewm(alpha=alpha, adjust=False).mean().to_numpy(), pd.Series(decay).ffill().to_numpy(), np.cumsum(~np.isnan(part))))
+            if made:
+                columns = [pa.array(np.concatenate(c), from_pandas=True) for c in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_chunk", "_place", "_fresh", "_decay", "_seen"])
+
+    schema = StructType([*df.schema.fields, StructField("_name", LongType()), StructField("_x", DoubleType()), StructField("_chunk", LongType()), StructField("_place", LongType()), StructField("_fresh", DoubleType()), StructField("_decay", DoubleType()), StructField("_seen", LongType())])
+    # a hash tells neighbours apart within a batch, as rows come in order of the security itself
+    ranged = df.select(*kept, F.xxhash64(security).alias("_name"), F.col(col).cast("double").alias("_x")).repartitionByRange(F.col(security), F.col(time)).sortWithinPartitions(security, time)
+    rows = saved(ranged.mapInArrow(run, schema))
+    value = F.when(F.col("_x").isNotNull() & ~F.isnan("_x"), F.col("_place"))
+    ends = rows.groupBy("_chunk").agg(
+        F.first(security).alias("_security"), F.min(time).alias("_from"), F.max("_place").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"), F.max("_seen").alias("seen"),
+        F.min_by("_x", value).alias("x"), F.max_by("_fresh", "_place").alias("fresh"), F.max_by("_decay", "_place").alias("decay"),
+    )
+    before = W.partitionBy("_security").orderBy("_from", "_chunk").rowsBetween(W.unboundedPreceding, -1)
+    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("seen"))
+
+    def met(m: Column, gap: Column, first: Column, x: Column) -> Column:
+        """The mean at a chunk's first value, after ``gap`` rows without one."""
+        old = F.pow(F.lit(1 - alpha), (gap + first).cast("double"))
+        return F.when(m.isNull(), x).otherwise((old * m + alpha * x) / (old + alpha))
+
+    def fold(state: Column, c: Column) -> Column:
+        end = c["fresh"] + c["decay"] * (met(state["m"], state["gap"], c["first"], c["x"]) - c["x"])
+        none = c["first"].isNull()
+        return F.struct(F.when(none, state["m"]).otherwise(end).alias("m"), F.when(none, state["gap"] + c["n"]).otherwise(c["n"] - c["last"]).alias("gap"), (state["seen"] + c["seen"]).alias("seen"))
+
+    listed = F.collect_list(F.struct("n", "first", "last", "seen", "x", "fresh", "decay")).over(before)
+    carried = saved(ends.withColumn("_c", F.aggregate(listed, start, fold)).select("_chunk", met(F.col("_c.m"), F.col("_c.gap"), F.col("first"), F.col("x")).alias("_met"), F.col("x").alias("_first_x"), F.col("_c.m").alias("_m"), F.col("_c.seen").alias("_before")))
+    carried = F.broadcast(carried) if carried.count() <= AXIS_ROWS else carried
+    mean = F.when(F.col("_seen") > 0, F.col("_fresh") + F.col("_decay") * (F.col("_met") - F.col("_first_x"))).otherwise(F.col("_m"))
+    return rows.join(carried, "_chunk").select(*df.columns, F.when(F.col("_before") + F.col("_seen") >= span, stats.finite(mean)).alias("ewm"))
 
 
 def daily(df: DataFrame, col: str, window: str, reducer: str, time: str = "timestamp", security: str = "security") -> DataFrame:
