@@ -78,33 +78,50 @@ def mask_lookup(grid: DataFrame, mask: DataFrame, on: list[str], flag: str) -> D
     return grid.join(mask.select(*on, flag), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, ancestor) closure of a lineage graph of any depth: each round joins the closure with itself, so rounds grow with the logarithm of the depth, until nothing is new; paths
-    that meet again, and cycles, are one row each."""
-    known = saved(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct())
-    n = known.count()
-    while True:
-        step = known.join(known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up")), "ancestor").select("node", F.col("_up").alias("ancestor"))
-        wider = saved(known.union(step).distinct())
-        more = wider.count()
-        if more == n:
-            return wider
-        known, n = wider, more
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor) of the nodes in ``of`` (its first column; None: all) in a lineage graph of any depth. Paths that meet again, and cycles, are one row each.
+
+    A round climbs one edge from the pairs that the last round found, and keeps what no earlier round has, so only new pairs are joined, and only from the nodes that are asked for.
+    """
+    links = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct()
+    links = saved(links)
+    first = links if of is None else links.join(of.select(F.col(of.columns[0]).alias("_c")).distinct(), "_c", "left_semi")
+    fresh = saved(first.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor")))
+    known = fresh
+    while fresh.limit(1).count():
+        up = fresh.join(links, F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor")).distinct()
+        fresh = saved(up.join(known, ["node", "ancestor"], "left_anti"))
+        known = known.unionByName(fresh)
+    return known
+
+
+def closing_edges(edges: DataFrame, new: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``new`` edges with ``closes``: whether each by itself would close a cycle in the graph of ``edges``, as its child is its parent or above it. Only what is above the new parents is visited; an edge with a null end closes none."""
+    above = ancestors(edges, child, parent, of=new.where(F.col(parent).isNotNull()).select(parent)).select(F.col("node").alias(parent), F.col("ancestor").alias(child), F.lit(True).alias("_met"))
+    met = F.coalesce("_met", F.col(child) == F.col(parent), F.lit(False))
+    return new.join(above, [child, parent], "left").select(*new.columns, met.alias("closes"))
 
 
 def lineage_depth(nodes: DataFrame, edges: DataFrame, key: str = "node", child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, depth, status): 0 for nodes without a parent, else 1 more than the deepest parent. ``missing_parent``: a parent is unknown or has no depth; ``cycle``: what never gets one."""
-    links = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
-    waiting = saved(nodes.select(F.col(key).alias("node")).distinct().join(links.select(F.col("_c").alias("node")).distinct().withColumn("_has", F.lit(True)), "node", "left"))
-    depth = saved(waiting.where("_has is null").select("node", F.lit(0).alias("depth")))
-    known = waiting.select("node")
-    lost = saved(links.join(known, F.col("_p") == F.col("node"), "left_anti").select(F.col("_c").alias("node")).distinct())
-    while True:
-        met = links.join(depth, F.col("_p") == F.col("node"), "left").groupBy("_c").agg(F.count("*").alias("_n"), F.count("depth").alias("_d"), (F.max("depth") + 1).alias("depth"))
-        fresh = saved(met.where("_n = _d").select(F.col("_c").alias("node"), "depth").join(known, "node", "left_semi").join(depth, "node", "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        depth = saved(depth.union(fresh))
-    below = ancestors(edges, child, parent).join(lost.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").union(lost).distinct().withColumn("_lost", F.lit(True))
+    """(node, depth, status): 0 for nodes without a parent, else 1 more than the deepest parent. ``missing_parent``: a parent is unknown or has no depth; ``cycle``: what never gets one.
+
+    A round passes on only the nodes that the last one settled: their children count arrived parents, and are settled once all have arrived. What lies below a missing parent spreads in the same way.
+    """
+    known = saved(nodes.select(F.col(key).alias("node")).distinct())
+    links = saved(edges.select(F.col(child).alias("node"), F.col(parent).alias("_p")))
+    needed = saved(links.groupBy("node").agg(F.count("*").alias("_n")).join(known, "node", "left_semi"))
+    fresh = saved(known.join(needed, "node", "left_anti").select("node", F.lit(0).alias("depth")))
+    depth, arrived = fresh, None
+    while fresh.limit(1).count():
+        came = saved(links.join(fresh.withColumnRenamed("node", "_p"), "_p").groupBy("node").agg(F.count("*").alias("_n"), F.max("depth").alias("_top")))
+        arrived = came if arrived is None else arrived.unionByName(came)
+        touched = arrived.join(came.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("_n").alias("_n"), (F.max("_top") + 1).alias("depth"))
+        fresh = saved(touched.join(needed, ["node", "_n"]).select("node", "depth"))
+        depth = depth.unionByName(fresh)
+    lost = saved(links.join(known, F.col("_p") == known["node"], "left_anti").select("node").distinct())
+    fresh = lost
+    while fresh.limit(1).count():
+        fresh = saved(links.join(fresh.withColumnRenamed("node", "_p"), "_p", "left_semi").select("node").distinct().join(lost, "node", "left_anti"))
+        lost = lost.unionByName(fresh)
     status = F.when(F.col("depth").isNotNull(), "ok").when(F.col("_lost"), "missing_parent").otherwise("cycle")
-    return known.join(depth, "node", "left").join(below, "node", "left").select("node", "depth", status.alias("status"))
+    return known.join(depth, "node", "left").join(lost.withColumn("_lost", F.lit(True)), "node", "left").select("node", "depth", status.alias("status"))

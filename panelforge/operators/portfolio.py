@@ -33,20 +33,24 @@ def rank_weights(df: DataFrame, score: str, gross: float = 1.0, net: float = 0.0
 
 
 def capped_simplex(df: DataFrame, weight: str, cap: float, budget: float = 1.0, time: str = "timestamp", security: str = "security") -> DataFrame:
-    """Nearest weights in [0, cap] that sum to the budget, by bisection of the shift; a date's cross-section is one group."""
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[weight].fillna(0).to_numpy(float)
-        if cap * len(x) < budget - 1e-12:
-            raise ValueError("the cap is too small for the budget")
-        lo, hi = x.min() - cap - 1, x.max() + 1
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.clip(x - mid, 0, cap).sum() > budget else (lo, mid)
-        return pdf[[time, security]].assign(weight=np.clip(x - (lo + hi) / 2, 0, cap))
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(time).applyInPandas(project, f"{time} {kinds[time]}, {security} {kinds[security]}, weight double")
+    """Nearest weights in [0, cap] that sum to the budget: each is the given one less a shift of its date, cut to the bounds. Null weights count as 0; a cap too small for the budget is an error when rows are read.
+
+    As the shift falls, a weight starts to grow at its own value and stops a cap below it. Between these points the sum is linear, so running sums over a date's points in falling order give the exact shift.
+    """
+    x = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    grows, stops = F.struct(F.lit(0).alias("stop"), x.alias("t")), F.struct(F.lit(1).alias("stop"), (x - cap).alias("t"))
+    points = df.select(time, security, x.alias("_x"), F.explode(F.array(grows, stops)).alias("_p")).select(time, security, "_x", F.col("_p.stop").alias("_stop"), F.col("_p.t").alias("_t"))
+    falling = W.partitionBy(time).orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, 0)
+    growing, whole = F.sum(1 - 2 * F.col("_stop")).over(falling), F.sum("_stop").over(falling)
+    total = F.sum((1 - 2 * F.col("_stop")) * F.col("_x")).over(falling) + cap * whole  # less the shift for each that grows
+    summed = points.withColumns({"_n": growing, "_sum": total})
+    date = W.partitionBy(time)
+    reached = F.col("_sum") - F.col("_n") * F.col("_t") <= budget
+    at = F.min_by(F.struct("_t", "_n", "_sum"), F.when(reached, F.col("_t"))).over(date)
+    shift = F.when(at["_n"] > 0, (at["_sum"] - budget) / at["_n"]).otherwise(at["_t"])
+    fits = F.when(cap * F.count("*").over(date) / 2 < budget - 1e-12, F.raise_error(F.lit("the cap is too small for the budget")).cast("double")).otherwise(shift)
+    out = summed.withColumn("_shift", fits).where("_stop = 0")
+    return out.select(time, security, F.least(F.greatest(F.col("_x") - F.col("_shift"), F.lit(0.0)), F.lit(float(cap))).alias("weight"))
 
 
 def one_way_turnover(df: DataFrame, time: str = "timestamp", security: str = "security") -> DataFrame:

@@ -45,36 +45,44 @@ def permutation_test(df: DataFrame, signal: str, label: str, trials: int, seed:
     return out.select("observed", F.size("_null").alias("trials"), F.when(F.col("observed").isNotNull() & (F.size("_null") > 0), (1 + beyond) / (F.size("_null") + 1)).alias("p"))
 
 
+def _opened_and_closed(fills: DataFrame, calendar: DataFrame, portfolio: str, security: str, time: str, order: str) -> DataFrame:
+    """Fills with their session ``_k`` (``_last``: the last one) and the shares they close of the position before them and open anew."""
+    axis = calendar.select(time).distinct().withColumn("_k", F.row_number().over(W.orderBy(time)) - 1)  # one row for each session
+    axis = axis.withColumn("_last", F.max("_k").over(W.partitionBy()))
+    rows = fills.join(axis, time).select(portfolio, security, "_k", "_last", order, F.coalesce(F.col("shares").cast("double"), F.lit(0.0)).alias("_q"))
+    before = W.partitionBy(portfolio, security).orderBy("_k", order).rowsBetween(W.unboundedPreceding, -1)
+    held = rows.withColumn("_held", F.coalesce(F.sum("_q").over(before), F.lit(0.0)))
+    closed = F.when(F.signum("_q") * F.signum("_held") < 0, F.least(F.abs("_q"), F.abs("_held"))).otherwise(0.0)
+    return held.withColumn("_closed", closed).withColumn("_opened", F.abs("_q") - F.col("_closed"))
+
+
 def holding_sessions(fills: DataFrame, calendar: DataFrame, portfolio: str = "portfolio_id", security: str = "security", time: str = "timestamp", order: str = "fill_id") -> DataFrame:
     """(portfolio, sessions): average age of shares from first in to first out; lots still open count up to the last session.
 
-    ``fills`` holds signed ``shares``; fills outside the calendar are left out. Lots are kept for each portfolio and security, which is one group.
+    ``fills`` holds signed ``shares``; fills outside the calendar are left out, null shares are none. Each opened share is closed once or is open at the end, so the ages add up to the
+    closing sessions less the opening ones, whichever share meets which; ``matched_lots`` has the pairs.
     """
-    axis = calendar.select(time).distinct().withColumn("_k", F.row_number().over(W.orderBy(time)) - 1)  # one row for each session
-    last = axis.agg(F.max("_k").alias("_last"))
-    rows = fills.join(axis, time).crossJoin(F.broadcast(last)).select(portfolio, security, "_k", "_last", order, F.col("shares").cast("double").alias("shares"))  # one row on the right
+    rows = _opened_and_closed(fills, calendar, portfolio, security, time, order)
+    age = F.sum(F.col("_closed") * F.col("_k") - F.col("_opened") * F.col("_k") + (F.col("_opened") - F.col("_closed")) * F.col("_last"))
+    return rows.groupBy(portfolio).agg(F.try_divide(age, F.sum("_opened")).alias("sessions"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lots, age, closed = [], 0.0, 0.0
-        pdf = pdf.sort_values(["_k", order])
-        head = 0
-        for k, q in zip(pdf["_k"], pdf["shares"].fillna(0.0)):
-            while q and head < len(lots) and (q > 0) != (lots[head][0] > 0):
-                part = min(abs(q), abs(lots[head][0]))
-                age, closed = age + part * (k - lots[head][1]), closed + part
-                lots[head][0] -= np.sign(lots[head][0]) * part
-                q -= np.sign(q) * part
-                head += abs(lots[head][0]) < 1e-12
-            if abs(q) >= 1e-12:
-                lots.append([q, k])
-        final = pdf["_last"].iloc[0]
-        age += sum(abs(q) * (final - k) for q, k in lots[head:])
-        closed += sum(abs(q) for q, _ in lots[head:])
-        return pd.DataFrame({portfolio: [pdf[portfolio].iloc[0]], "age": [age], "closed": [closed]})
-
-    kind = fills.schema[portfolio].dataType.simpleString()
-    parts = rows.groupBy(portfolio, security).applyInPandas(run, f"{portfolio} {kind}, age double, closed double")
-    return parts.groupBy(portfolio).agg(F.try_divide(F.sum("age"), F.sum("closed")).alias("sessions"))
+
+def matched_lots(fills: DataFrame, calendar: DataFrame, portfolio: str = "portfolio_id", security: str = "security", time: str = "timestamp", order: str = "fill_id") -> DataFrame:
+    """(portfolio, security, opened, closed, shares): shares by the sessions (numbered from 0) in which they were opened and closed, first in first out; ``closed`` is null for open ones.
+
+    Opened and closed shares are intervals of two running sums. All ends in one order cut them into parts, and a part belongs to the first interval of either sum that reaches its end, so one ordered pass matches them.
+    """
+    rows = _opened_and_closed(fills, calendar, portfolio, security, time, order)
+    upto = W.partitionBy(portfolio, security).orderBy("_k", order).rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.withColumns({"_o": F.sum("_opened").over(upto), "_c": F.sum("_closed").over(upto)})
+    opens = summed.where("_opened > 0").select(portfolio, security, F.col("_o").alias("_end"), F.col("_k").alias("_open"), F.lit(None).cast("int").alias("_close"))
+    closes = summed.where("_closed > 0").select(portfolio, security, F.col("_c").alias("_end"), F.lit(None).cast("int").alias("_open"), F.col("_k").alias("_close"))
+    ends = opens.unionByName(closes).groupBy(portfolio, security, "_end").agg(F.min("_open").alias("_open"), F.min("_close").alias("_close"))
+    by = W.partitionBy(portfolio, security).orderBy("_end")
+    later = by.rowsBetween(0, W.unboundedFollowing)
+    part = F.col("_end") - F.coalesce(F.lag("_end").over(by), F.lit(0.0))
+    made = ends.select(portfolio, security, F.first("_open", ignorenulls=True).over(later).alias("opened"), F.first("_close", ignorenulls=True).over(later).alias("closed"), part.alias("shares"))
+    return made.where("shares > 1e-12").groupBy(portfolio, security, "opened", "closed").agg(F.sum("shares").alias("shares"))
 
 
 def fill_ratio(orders: DataFrame, portfolio: str = "portfolio_id") -> DataFrame:

@@ -163,7 +163,13 @@ def _neutral(spark: SparkSession, sf: str) -> DataFrame:
     return shown(postprocess.neutralize(supplier_month(spark, sf), "returns", "volume"), "returns")
 
 
-@query("b6_neutralize_many")
+@query(
+    "b6_neutralize_many",
+    f"""{PANEL_SQL}, v AS (SELECT *, coalesce(isfinite(returns) AND isfinite(volume) AND isfinite(close), false) AS ok FROM g),
+    s AS (SELECT ts, avg(returns) AS my, avg(volume) AS m1, avg(close) AS m2, count(*) * var_pop(volume) + 0.1 AS a, count(*) * var_pop(close) + 0.1 AS d, count(*) * covar_pop(volume, close) AS b,
+        count(*) * covar_pop(returns, volume) AS p, count(*) * covar_pop(returns, close) AS q FROM v WHERE ok GROUP BY ts HAVING count(*) >= 4)
+    SELECT ts, security, round(CASE WHEN ok THEN returns - my - ((d * p - b * q) * (volume - m1) + (a * q - b * p) * (close - m2)) / (a * d - b * b) END, 8) AS returns FROM v LEFT JOIN s USING (ts)""",
+)
 def _neutral_many(spark: SparkSession, sf: str) -> DataFrame:
     return shown(postprocess.neutralize_many(supplier_month(spark, sf), "returns", ["volume", "close"], ridge=0.1), "returns")
 
@@ -271,6 +277,20 @@ def _lineage(spark: SparkSession, sf: str) -> DataFrame:
     return market.ancestors(edges)
 
 
+@query(
+    "k13_cycle_check",
+    """WITH RECURSIVE edges AS (SELECT CAST(p_partkey AS BIGINT) AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent FROM part WHERE p_partkey >= 3),
+    up AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT up.node, e.parent FROM up JOIN edges e ON e.child = up.ancestor),
+    new AS (SELECT CAST(floor(p_partkey / 9) AS BIGINT) + p_partkey % 2 AS child, p_partkey AS parent FROM part WHERE p_partkey % 7 = 0)
+    SELECT child, parent, child = parent OR node IS NOT NULL AS closes FROM new LEFT JOIN up ON node = parent AND ancestor = child""",
+)
+def _cycles(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("p_partkey").cast("long")
+    part = table(spark, sf, "part")
+    edges = part.where("p_partkey >= 3").select(p.alias("child"), F.floor(p / 3).alias("parent"))
+    return market.closing_edges(edges, part.where("p_partkey % 7 = 0").select((F.floor(p / 9) + p % 2).alias("child"), p.alias("parent")))
+
+
 @query("e17_active", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _active(spark: SparkSession, sf: str) -> DataFrame:
     revoked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -426,7 +446,13 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     return shown(portfolio.rank_weights(supplier_month(spark, sf), "returns"), "weight")
 
 
-@query("h3_capped")
+@query(
+    "h3_capped",
+    f"""{PANEL_SQL}, p AS (SELECT ts, security, returns AS x, unnest([0, 1]) AS stop FROM g WHERE returns IS NOT NULL), e AS (SELECT *, x - stop * 0.25 AS t FROM p),
+    s AS (SELECT *, sum(1 - 2 * stop) OVER w AS n, sum((1 - 2 * stop) * x + 0.25 * stop) OVER w AS s FROM e WINDOW w AS (PARTITION BY ts ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    a AS (SELECT ts, arg_min(CASE WHEN n > 0 THEN (s - 1) / n ELSE t END, t) AS shift FROM s WHERE s - n * t <= 1 GROUP BY ts)
+    SELECT ts, security, round(least(greatest(x - shift, 0), 0.25), 8) AS weight FROM p JOIN a USING (ts) WHERE stop = 0""",
+)
 def _capped(spark: SparkSession, sf: str) -> DataFrame:
     return shown(portfolio.capped_simplex(supplier_month(spark, sf).where("returns is not null"), "returns", cap=0.25), "weight")
 
@@ -649,12 +675,31 @@ def _fills(spark: SparkSession, sf: str) -> DataFrame:
     return items.select((F.col("l_suppkey") % 3).alias("portfolio_id"), F.col("l_partkey").alias("security"), F.trunc("l_shipdate", "MM").alias("timestamp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id"), signed.alias("shares"))
 
 
-@query("f21_holding")
+FILLS_SQL = """WITH f AS (SELECT l_suppkey % 3 AS portfolio_id, l_partkey AS security, date_trunc('month', l_shipdate) AS ts, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q FROM lineitem),
+k AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () - 1 AS last FROM (SELECT DISTINCT ts FROM f)),
+h AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY portfolio_id, security ORDER BY k, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM f JOIN k USING (ts)),
+c AS (SELECT *, CASE WHEN sign(q) * sign(held) < 0 THEN least(abs(q), abs(held)) ELSE 0 END AS closed FROM h)"""
+
+
+@query("f21_holding", f"{FILLS_SQL} SELECT portfolio_id, round(sum(closed * k - (abs(q) - closed) * k + (abs(q) - 2 * closed) * last) / sum(abs(q) - closed), 8) AS sessions FROM c GROUP BY 1")
 def _holding(spark: SparkSession, sf: str) -> DataFrame:
     fills = _fills(spark, sf)
     return robustness.holding_sessions(fills, fills.select("timestamp")).select("portfolio_id", F.round("sessions", 8).alias("sessions"))
 
 
+# the SQL numbers every single share
+@query(
+    "f21_lots",
+    f"""{FILLS_SQL}, t AS (SELECT *, abs(q) - closed AS opened, sum(closed) OVER w AS c, sum(abs(q) - closed) OVER w AS o FROM c WINDOW w AS (PARTITION BY portfolio_id, security ORDER BY k, id ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT portfolio_id, security, k AS opened, unnest(range((o - opened)::BIGINT, o::BIGINT)) AS i FROM t WHERE opened > 0),
+    b AS (SELECT portfolio_id, security, k AS closed, unnest(range((c - closed)::BIGINT, c::BIGINT)) AS i FROM t WHERE closed > 0)
+    SELECT portfolio_id, security, opened, closed, count(*)::DOUBLE AS shares FROM a LEFT JOIN b USING (portfolio_id, security, i) GROUP BY ALL""",
+)
+def _lots(spark: SparkSession, sf: str) -> DataFrame:
+    fills = _fills(spark, sf)
+    return robustness.matched_lots(fills, fills.select("timestamp"))
+
+
 @query("f22_fill_ratio", "SELECT l_suppkey % 3 AS portfolio_id, round(sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity END) / nullif(sum(l_quantity), 0), 8) AS fill_ratio FROM lineitem GROUP BY 1")
 def _fill_ratio(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("l_quantity").cast("double")
