@@ -27,10 +27,14 @@ class Budget:
     window: int = 252
     fields: int = 8
     operations: int = 2048
+    state_bytes: int = 16 << 20
+    flops: int = 4096
 
 
 @dataclass
 class Complexity:
+    """``operations`` and ``flops`` are by cell, ``state_bytes`` by security."""
+
     nodes: int = 0
     calls: int = 0
     depth: int = 0
@@ -38,8 +42,18 @@ class Complexity:
     fields: set[str] = field(default_factory=set)
     operations: int = 0
 
+    @property
+    def state_bytes(self) -> int:
+        """A double for each field and row of the longest window."""
+        return self.window * max(1, len(self.fields)) * 8
+
+    @property
+    def flops(self) -> int:
+        return self.operations
+
     def over(self, b: Budget) -> list[str]:
-        pairs = [("nodes", self.nodes, b.nodes), ("depth", self.depth, b.depth), ("window", self.window, b.window), ("fields", len(self.fields), b.fields), ("operations", self.operations, b.operations)]
+        pairs = [("nodes", self.nodes, b.nodes), ("depth", self.depth, b.depth), ("window", self.window, b.window), ("fields", len(self.fields), b.fields)]
+        pairs += [("operations", self.operations, b.operations), ("state_bytes", self.state_bytes, b.state_bytes), ("flops", self.flops, b.flops)]
         return [f"budget_exceeded:{n}:{v}>{most}" for n, v, most in pairs if v > most]
 
 
@@ -110,7 +124,7 @@ def parse(text: str, fields: set[str], budget: Budget = Budget(), extended: bool
 
 
 def measure(text: str) -> Complexity:
-    """Nodes, calls, depth, longest window, fields, and the sum of windows (twice for those of second order)."""
+    """Nodes, calls, depth, longest window, fields, and the sum over calls of their windows, 1 without one (twice for operators of second order)."""
     out = Complexity()
     known = _table(True)
 
@@ -124,12 +138,11 @@ def measure(text: str) -> Complexity:
             name = node.func.id
             out.calls += 1
             out.depth = max(out.depth, depth + 1)
-            place = known.get(name, (0, None))[1]
-            if place is not None and place < len(node.args) and isinstance(node.args[place], ast.Constant):
-                n = node.args[place].value
-                if isinstance(n, int):
-                    out.window = max(out.window, n)
-                    out.operations += n * (2 if name in ("TsCorr", "TsSkew", "TsKurt") else 1)
+            arity, place = known.get(name, (0, None))
+            window = node.args[place].value if place is not None and place < len(node.args) and isinstance(node.args[place], ast.Constant) else 1
+            if arity and isinstance(window, int):
+                out.window = max(out.window, window if place is not None else 0)
+                out.operations += max(1, window) * (2 if name in ("TsCorr", "TsSkew", "TsKurt") else 1)
             for a in node.args:
                 visit(a, depth + 1)
             return

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import stats
 from panelforge.operators import constraints, contract, evaluate, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
-from panelforge.plans import dsl
 from panelforge.plans.compile import compile_formulas
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
 
@@ -112,20 +111,6 @@ def _masks(spark: SparkSession, sf: str) -> DataFrame:
     return shown(compile_formulas(view, {"value": "CsRank(IfElse(Less(returns, 0), Mul(returns, returns), 0))"}, FIELDS, hist="hist", xs="xs"), "value")
 
 
-RULED = ("CsRank(TsMean(returns, 3))", "returns.__class__", "__import__(1)", "TsMean(returns, 0)", "Add(next_return, 1)", "Add(returns, amount)", "Add(amount, returns)")
-
-
-@query("a18_validation")
-def _validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts, reasons, complexity and semantic hashes of a list of formulas (computed on the driver, as the language is)."""
-    rows = []
-    for text in RULED:
-        why = dsl.reasons_against(text, FIELDS)
-        c = dsl.measure(text) if not why else dsl.Complexity()
-        rows.append((text, not why, ";".join(why), c.nodes, c.depth, c.window, dsl.semantic_hash(text) if not why else None))
-    return spark.createDataFrame(rows, "formula string, accepted boolean, reasons string, nodes int, depth int, window int, hash string")
-
-
 # --- factor post-processing
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from panelforge.operators import candidates
 from panelforge.queries import QUERIES, query
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
-from panelforge.sources.synthetic import synthetic_panel
 
 #: Users' events as histories of factors.
 STATE_SQL = "SELECT user_id AS factor, event_id AS seq, CASE event_type WHEN 'signup' THEN 'registered' WHEN 'purchase' THEN 'validated' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'deprecated' ELSE 'unknown' END AS state FROM events"
@@ -102,6 +101,3 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 def _universe_audit(spark: SparkSession, sf: str) -> DataFrame:
     targets, master, fast = _universe(spark, sf)
     return candidates.universe_audit(candidates.clean_universe(targets, master, fast), master, fast)
-
-
-QUERIES["c15_synthetic"] = lambda spark, sf: synthetic_panel(spark)
