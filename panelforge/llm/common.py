@@ -67,15 +67,25 @@ def join_one(many: DataFrame, one: DataFrame, key: str, left: bool = False) -> D
     return out.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True) if left else out
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it (whatever the case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids`` (a written table of distinct keys); a null key stays."""
-    other = ids.select(F.col(ids.columns[0]).alias("_drop_key"))
-    return docs.join(bounded_broadcast(other), docs[key] == F.col("_drop_key"), "left_anti")
+    name = free_name(docs, "_drop_key")
+    other = ids.select(F.col(ids.columns[0]).alias(name))
+    return docs.join(bounded_broadcast(other), F.col(key) == F.col(name), "left_anti")
 
 
 def with_places(docs: DataFrame, *names: str) -> DataFrame:
-    """``docs``, read from Parquet, with each row's place under two ``names``: a hash of its file's path and its number there. Any later read gives the same."""
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    """``docs``, read from Parquet, with each row's place under two ``names``: a hash of its file's path and its number there. Any later read gives the same. A column of its own named _metadata doesn't hide the place."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].alias(names[1]))
 
 
 class WordHashes(dict):

@@ -39,9 +39,9 @@ class LmSpec:
     head_classes: int = 15
     unigrams: int = 1 << 13
     pairs: int = 1 << 14
-    rounds: int = 1
-    inner_rounds: int = 2
-    inner_least: int = 2
+    rounds: int = 2
+    inner_rounds: int = 3
+    inner_least: int = 1
     inner_shrink: float = 30.0
     inner_ridge: float = 3.0
     shrink: float = 20.0

@@ -247,7 +247,7 @@ def pool_slopes(pool: DataFrame, teachers: list[np.ndarray], pupils: list[np.nda
 def train(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), seen: DataFrame | None = None) -> CoTrained:
     """Co-train on ``labels`` (doc_id, quality 0 or 1) and on all documents without one; ``seen``: their written ``views``.
 
-    Rows with other values or a null id, and ids that are labelled both ways, are left out. Every fourth row of each label, by the hash, is kept for calibration. Without both
+    Rows with other values or a null id, and ids that are labelled both ways, are left out. An empty table of documents or labels gives one rate for all. Every fourth row of each label, by the hash, is kept for calibration. Without both
     classes in each part the model is the labels' rate.
     """
     seen = written(views(docs), "views") if seen is None else seen
@@ -307,8 +307,12 @@ def score(docs: DataFrame, model: CoTrained, seen: DataFrame | None = None) -> D
 
 
 def keep_good(docs: DataFrame, model: CoTrained, spec: CoTrainSpec = CoTrainSpec()) -> DataFrame:
-    """The rows of ``docs`` (all their columns, texts untouched) whose score reaches the threshold; the views are computed where the rows are."""
-    schema, names = docs.schema, docs.columns
+    """The rows of ``docs`` (all their columns, texts untouched) whose score reaches the threshold; the views are computed where the rows are.
+
+    Each row is judged by itself: null texts as empty ones, long texts whole, equal rows (ties) alike. An empty table stays empty; other columns pass through, whatever their names.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names with dots can't be passed to tasks
     place = [names.index(c) for c in ("text", "lang", "source")]
     length = names.index("n_chars") if "n_chars" in names else None
 
@@ -321,4 +325,4 @@ def keep_good(docs: DataFrame, model: CoTrained, spec: CoTrainSpec = CoTrainSpec
                 sizes = [len(t.decode()) if s is None and t else s for s, t in zip(sizes, texts, strict=True)]
                 yield batch.filter(pa.array(model.scores(features(texts, langs, sources, sizes))[0] >= spec.threshold))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
