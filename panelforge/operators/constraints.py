@@ -65,7 +65,7 @@ def turnover_ramp(df: DataFrame, most: float, portfolio: str = "portfolio_id", t
     """Moves towards each date's target weights by at most ``most`` one-way turnover (half the absolute change).
 
     A date starts from the weights reached on the one before, so a portfolio is one ordered run; portfolios run in parallel. A missing weight is 0.
-    If a portfolio has more than ``group_cells`` cells, all are stepped date by date, with each date spread over its securities; both ways give the same, up to the order of sums, but for rows of a null portfolio or security, which stepping leaves out.
+    If a portfolio has more than ``group_cells`` cells, all are stepped date by date, with each date spread over its securities; both ways give the same, up to the order of sums. Rows of a null portfolio or security are left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,6 +78,7 @@ def turnover_ramp(df: DataFrame, most: float, portfolio: str = "portfolio_id", t
         long = pd.DataFrame(out, index=target.index, columns=target.columns).stack().rename("weight").reset_index()
         return long.assign(**{portfolio: pdf[portfolio].iloc[0]})[[portfolio, time, security, "weight"]]
 
+    df = df.where(F.col(portfolio).isNotNull() & F.col(security).isNotNull())
     if largest_grid(df, portfolio, time, security) > group_cells:
         return _ramp_stepped(df, most, portfolio, time, security)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}

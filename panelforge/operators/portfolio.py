@@ -84,7 +84,7 @@ def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, partici
     """NAV by session from (portfolio_id, timestamp, security, weight, price, amount).
 
     Path dependent, so each portfolio is one ordered run; portfolios run in parallel. If one has more than ``group_cells`` cells, all are stepped session by session,
-    with each session spread over its securities; both ways give the same, up to the order of sums, but for rows of a null portfolio or security, which stepping leaves out. Orders of a session follow the weights of the session before
+    with each session spread over its securities; both ways give the same, up to the order of sums. Rows of a null portfolio or security are left out. Orders of a session follow the weights of the session before
     and fill at its price, at most ``participation`` of the prior session's amount, in whole lots towards zero. gross - net is the cost paid.
     """
 
@@ -111,6 +111,7 @@ def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, partici
             out.append((pdf["portfolio_id"].iloc[0], day, gross, gross - paid, paid, fills))
         return pd.DataFrame(out, columns=["portfolio_id", "timestamp", "gross_nav", "net_nav", "cost", "n_fills"])
 
+    targets = targets.where("portfolio_id is not null and security is not null")
     if largest_grid(targets, "portfolio_id", "timestamp", "security") > group_cells:
         return _stepped(targets, capital, lot, participation, cost_bps)
     return targets.groupBy("portfolio_id").applyInPandas(run, NAV)
