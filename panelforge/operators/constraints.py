@@ -12,29 +12,57 @@ from panelforge.operators.sessions import GROUP_CELLS, in_sessions, largest_grid
 from panelforge.sources.shared import saved
 
 TOLERANCE = 1e-7
+#: To which the conditions of the nearest weights hold.
+EXACT = 1e-11
 
 
-def nearest(start: np.ndarray, exposures: np.ndarray, limits: np.ndarray, net: float, low: float, high: float, rounds: int = 20_000) -> np.ndarray:
-    """Nearest weights in the box with the given sum and ``abs(exposures @ w) <= limits``, by Dykstra's alternating projections."""
-    size = (exposures**2).sum(1)
+def nearest(start: np.ndarray, exposures: np.ndarray, limits: np.ndarray, net: float, low: float, high: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest weights in the box with the given sum and ``abs(exposures @ w) <= limits``, and the multipliers of the sum, of the upper limits and of the lower ones.
 
-    def slab(w: np.ndarray, k: int) -> np.ndarray:
-        value = exposures[k] @ w
-        return w - (value - np.clip(value, -limits[k], limits[k])) / size[k] * exposures[k] if size[k] else w
-
-    steps = [lambda w: w - (w.sum() - net) / len(w), *(lambda w, k=k: slab(w, k) for k in range(len(limits))), lambda w: np.clip(w, low, high)]
-    w, kept = start.astype(float), [np.zeros(len(start)) for _ in steps]
+    Weights follow from a multiplier for the sum and two for each exposure, none of the latter below 0: the start less the multipliers' exposures, cut to the box. The multipliers
+    are found by Newton steps on those that aren't held at 0, each step as long as it raises the dual value. The result meets all optimality conditions to ``EXACT``. Limits that no weights meet
+    are proven so by multipliers whose exposures no point of the box can balance; running out of ``rounds`` without either is an error of its own.
+    """
+    sides = np.vstack((np.ones(len(start)), exposures, -exposures))
+    bound = np.concatenate(([net], limits, limits))
+    free = np.arange(len(bound)) == 0
+    scale = np.maximum(1.0, np.abs(sides).max(axis=1, initial=0.0))  # rows of different sizes count alike
+    sides, bound = sides / scale[:, None], bound / scale
+
+    def at(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        w = np.clip(start - sides.T @ m, low, high)
+        excess = sides @ w - bound
+        return w, excess, float(((w - start) ** 2).sum() / 2 + m @ excess)
+
+    m = np.zeros(len(bound))
+    w, excess, value = at(m)
     for _ in range(rounds):
-        before = w
-        for k, step in enumerate(steps):
-            moved = step(w + kept[k])
-            kept[k] = w + kept[k] - moved
-            w = moved
-        if np.abs(w - before).max() < 1e-13 and abs(w.sum() - net) < TOLERANCE:
-            break
-    if abs(w.sum() - net) > TOLERANCE or (np.abs(exposures @ w) > limits + TOLERANCE).any():
-        raise ValueError("no weights meet the risk limits")
-    return w
+        if np.abs(np.where(free | (m > 0), excess, np.maximum(excess, 0))).max() <= EXACT:
+            return w, m / scale
+        if _unmet(sides, bound, m, low, high):
+            raise ValueError("no weights meet the risk limits")
+        use = free | (m > 0) | (excess > 0)
+        part = sides[use][:, (w > low) & (w < high)]
+        step = np.zeros(len(m))
+        step[use] = np.linalg.solve(part @ part.T + 1e-12 * max(1, len(start)) * np.eye(use.sum()), excess[use])
+        length = 1.0
+        while True:
+            tried = np.where(free, m + length * step, np.maximum(m + length * step, 0))
+            new = at(tried)
+            if new[2] >= value + 1e-4 * excess @ (tried - m) or length < 1e-18:
+                break
+            length /= 2
+        m, (w, excess, value) = tried, new
+    raise RuntimeError("the risk projection did not converge")
+
+
+def _unmet(sides: np.ndarray, bound: np.ndarray, m: np.ndarray, low: float, high: float) -> bool:
+    """Whether multipliers prove that no point of the box meets all sides: their sum of sides is above their sum of bounds everywhere."""
+    if np.abs(m).max() < 1e3:
+        return False
+    y = m / np.abs(m).max()
+    c = sides.T @ y
+    return bool(np.where(c > 0, low * c, high * c).sum() > y @ bound + 1e-9)
 
 
 def risk_projection(
@@ -52,7 +80,7 @@ def risk_projection(
         late = any((pdf[c].isna() | (pd.to_datetime(pdf[c]) > pd.to_datetime(pdf[time]))).any() for c in known.values())
         if late or not np.isfinite(x).all():
             raise ValueError("an exposure is missing or not known at the signal")
-        w = nearest(pdf[weight].to_numpy(float), x, np.array([limits[n] for n in names]), net, 0.0 if long_only else -cap, cap)
+        w = nearest(pdf[weight].to_numpy(float), x, np.array([limits[n] for n in names]), net, 0.0 if long_only else -cap, cap)[0]
         w *= min(1.0, gross / max(np.abs(w).sum(), 1e-300))
         return pdf[[time, security]].assign(weight=w)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelforge.operators import evaluate, market, portfolio, postprocess, robustness
+from panelforge.operators import constraints, evaluate, market, portfolio, postprocess, robustness
 
 
 @pytest.mark.parametrize("ridge", [0.0, 0.3])
@@ -146,3 +146,34 @@ def test_edges_that_close_cycles(spark):
     some = spark.createDataFrame([(1,), (41,), (99,)], "n int")
     pairs = {tuple(r) for r in market.ancestors(spark.createDataFrame(edges, schema), of=some).collect()}
     assert pairs == {(n, a) for n in (1, 41) for a in above(n)}
+
+
+def conditions(w, m, start, exposures, limits, net, low, high):
+    """The largest breach of the optimality conditions: the weights are the start less the multipliers' pull, cut to the box; limits hold, multipliers are not negative, and only tight limits have one."""
+    room = np.concatenate((limits - exposures @ w, limits + exposures @ w))
+    pull = m[0] + (m[1 : 1 + len(limits)] - m[1 + len(limits) :]) @ exposures
+    return max(np.abs(w - np.clip(start - pull, low, high)).max(), abs(w.sum() - net), -room.min(), -m[1:].min(), np.minimum(room, m[1:]).max())
+
+
+def test_risk_projection_meets_its_conditions():
+    """Random portfolios with one to three exposures, some tight; infeasible limits are told apart from too few rounds."""
+    rng = np.random.default_rng(12)
+    proven = 0
+    for k in range(150):
+        n, many = int(rng.integers(4, 40)), int(rng.integers(1, 4))
+        exposures, start = rng.normal(size=(many, n)) * 10.0 ** rng.integers(-1, 3), rng.normal(size=n) / n
+        limits, cap = np.abs(exposures @ start) * rng.choice([0.0, 0.2, 0.8, 2.0], many), float(rng.choice([0.05, 0.2, 1.0]))
+        low, net = (0.0, 1.0) if k % 3 == 0 else (-cap, 0.0)
+        args = (start, exposures, limits, net, low, cap)
+        try:
+            w, m = constraints.nearest(*args)
+        except ValueError:
+            proven += 1
+            assert cap * n < net or low == 0.0  # a net of 0 is always met by no weights at all
+            continue
+        assert conditions(w, m, *args) < 1e-8
+    assert proven
+    with pytest.raises(ValueError, match="no weights"):
+        constraints.nearest(np.zeros(5), np.ones((1, 5)), np.array([0.1]), 1.0, -1.0, 1.0)
+    with pytest.raises(RuntimeError, match="converge"):
+        constraints.nearest(rng.normal(size=30), rng.normal(size=(2, 30)), np.array([0.01, 0.01]), 0.0, -0.5, 0.5, rounds=1)

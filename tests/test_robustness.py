@@ -9,10 +9,10 @@ from panelforge.operators import constraints, robustness, selection, shortlist
 def test_projection_is_the_nearest_feasible_point():
     rng = np.random.default_rng(1)
     start, x = rng.normal(size=12) / 5, rng.normal(size=(2, 12))
-    made = constraints.nearest(start, x, np.array([0.05, 0.1]), 0.0, -0.3, 0.3)
+    made = constraints.nearest(start, x, np.array([0.05, 0.1]), 0.0, -0.3, 0.3)[0]
     assert abs(made.sum()) < 1e-7 and np.abs(made).max() <= 0.3 + 1e-12 and (np.abs(x @ made) <= np.array([0.05, 0.1]) + 1e-7).all()
     for _ in range(20):  # the nearest point of a convex set: no feasible point lies beyond it as seen from the start
-        other = constraints.nearest(rng.normal(size=12) / 5, x, np.array([0.05, 0.1]), 0.0, -0.3, 0.3)
+        other = constraints.nearest(rng.normal(size=12) / 5, x, np.array([0.05, 0.1]), 0.0, -0.3, 0.3)[0]
         assert (start - made) @ (other - made) < 1e-6
     with pytest.raises(ValueError):
         constraints.nearest(start, x, np.array([0.05, 0.1]), 10.0, -0.3, 0.3)
