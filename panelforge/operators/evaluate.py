@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from panelforge.functions import stats
 from panelforge.operators.postprocess import residual
@@ -59,6 +62,78 @@ def pair_correlations(df: DataFrame, factors: list[str], time: str = "timestamp"
     return long.select(time, F.substring_index("pair", "|", 1).alias("left"), F.substring_index("pair", "|", -1).alias("right"), "corr")
 
 
+def pair_diagnostics(df: DataFrame, factors: list[str], domains: list[str] | None = None, least: int = 2, time: str = "timestamp") -> DataFrame:
+    """(timestamp, left, right, common_domain, common, coverage, pearson, spearman) of every pair of factor columns.
+
+    ``domains``: a boolean column for each factor (null counts as false; without them all rows are inside). A pair's figures are over its common rows: inside both domains, both values finite; ranks are taken among them.
+    Correlations are null for fewer than ``least`` rows or a constant side. A date's cross-section is one group, whose counts and Pearson sums are a few matrix products for all pairs, and each factor is sorted once.
+    """
+    names = [f"_x{k}" for k in range(len(factors))]
+    flags = [f"_d{k}" for k in range(len(factors))]
+    inside = [F.coalesce(F.col(c), F.lit(False)) for c in domains] if domains else [F.lit(True)] * len(factors)
+    rows = df.select(F.col(time), *(F.col(c).cast("double").alias(n) for c, n in zip(factors, names, strict=True)), *(c.alias(n) for c, n in zip(inside, flags, strict=True)))
+    schema = StructType([df.schema[time], *(StructField(n, StringType()) for n in ("left", "right")), *(StructField(n, LongType()) for n in ("common_domain", "common")), *(StructField(n, DoubleType()) for n in ("coverage", "pearson", "spearman"))])
+
+    def run(group: pa.Table) -> pa.Table:
+        x = np.column_stack([group.column(n).to_numpy().astype(float) for n in names])
+        domain = np.column_stack([group.column(n).to_numpy().astype(bool) for n in flags])
+        held = domain & np.isfinite(x)
+        left, right = np.triu_indices(len(names), 1)
+        both, counts = (m.T.astype(float) @ m for m in (domain, held))
+        n = counts[left, right]
+        enough = n >= least
+        x = np.where(held, x, 0.0)
+        size = np.maximum(np.abs(x).max(axis=0), 1e-300)
+        x = x / size
+        x = np.where(held, x - x.sum(axis=0) / np.maximum(held.sum(axis=0), 1), 0.0)
+        products, sums, squares = x.T @ x, x.T @ held, (x * x).T @ held
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = products[left, right] - sums[left, right] * sums[right, left] / n
+            spread = [squares[a, b] - sums[a, b] ** 2 / n for a, b in ((left, right), (right, left))]
+            pearson = np.where(enough & (spread[0] > 1e-14 * n) & (spread[1] > 1e-14 * n), cov / np.sqrt(spread[0] * spread[1]), np.nan)
+        ranks = [_Ranks(x[:, k], held[:, k]) for k in range(len(names))]
+        spearman = np.array([_corr(ranks[a].among(held[:, b]), ranks[b].among(held[:, a])) if ok else np.nan for a, b, ok in zip(left, right, enough, strict=True)])
+        domains_n = both[left, right]
+        columns = [pa.array([factors[k] for k in side]) for side in (left, right)] + [pa.array(v.astype(np.int64)) for v in (domains_n, n)]
+        columns += [pa.array(v, from_pandas=True) for v in (np.divide(n, domains_n, out=np.full(len(n), np.nan), where=domains_n > 0), pearson, spearman)]
+        return pa.Table.from_arrays([group.column(time).take(pa.array(np.zeros(len(left), np.int64))), *columns], [time, *schema.names[1:]])
+
+    return rows.groupBy(time).applyInArrow(run, schema)
+
+
+class _Ranks:
+    """A factor's values in order, from which ranks with ties among any of its rows follow by running counts."""
+
+    def __init__(self, x: np.ndarray, held: np.ndarray):
+        rows = np.flatnonzero(held)
+        self.rows = rows[np.argsort(x[rows], kind="stable")]
+        values = x[self.rows]
+        self.first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+        self.size, self.total = np.diff(np.append(self.first, len(values))), len(x)
+
+    def among(self, other: np.ndarray) -> np.ndarray:
+        """Average-tie ranks of the rows that ``other`` holds too, in the rows' own order."""
+        shared = other[self.rows]
+        if not shared.any():
+            return np.empty(0)
+        n = np.add.reduceat(shared.astype(np.int64), self.first)
+        rank = np.full(self.total, np.nan)
+        rank[self.rows[shared]] = np.repeat(np.cumsum(n) - n + (n + 1) / 2, self.size)[shared]
+        return rank[~np.isnan(rank)]
+
+
+def _corr(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a - a.mean(), b - b.mean()
+    scale = np.sqrt((a @ a) * (b @ b))
+    return float(a @ b / scale) if scale > 0 else np.nan
+
+
+def with_quantiles(dates: DataFrame, buckets: DataFrame, n_buckets: int = 5, time: str = "timestamp") -> DataFrame:
+    """``per_date`` rows with each descriptive bucket's mean label (q1, q2, ...) and ``spread``, the last less the first; null where a bucket is empty."""
+    means = buckets.groupBy(time).agg(*(F.max(F.when(F.col("bucket") == k, F.col("mean_label"))).alias(f"q{k}") for k in range(1, n_buckets + 1)))
+    return dates.join(means, time, "left").withColumn("spread", F.col(f"q{n_buckets}") - F.col("q1"))
+
+
 def ic_decay(df: DataFrame, signal: str, labels: list[str], least: int = 2, time: str = "timestamp") -> DataFrame:
     """(horizon, rank_ic, n_dates): mean rank IC of the signal against each label column, all horizons in one pass."""
     long = df.select(time, signal, *labels).unpivot([time, signal], labels, "horizon", "_y").where(F.col(signal).isNotNull() & F.col("_y").isNotNull())

@@ -621,6 +621,38 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- incremental value, limits, robustness, contracts and shortlists
 
+PAIRED = {"returns": "true", "volume": "security % 7 != 0", "close": "security % 5 != 1", "amount": "volume > 40"}
+
+
+@query(
+    "f13_diagnostics",
+    f"""{PANEL_SQL}, l AS ({" UNION ALL ".join(f"SELECT ts, security, '{c}' AS f, {k} AS i, {c}::DOUBLE AS v, coalesce({d}, false) AS d FROM g" for k, (c, d) in enumerate(PAIRED.items()))}),
+    j AS (SELECT a.ts, a.f AS "left", b.f AS "right", a.d AND b.d AS dom, coalesce(a.d AND b.d AND isfinite(a.v) AND isfinite(b.v), false) AS ok, a.v AS x, b.v AS y FROM l a JOIN l b USING (ts, security) WHERE a.i < b.i),
+    r AS (SELECT *, CASE WHEN ok THEN x END AS p, CASE WHEN ok THEN y END AS q, CASE WHEN ok THEN rank() OVER (PARTITION BY ts, "left", "right", ok ORDER BY x) + (count(*) OVER (PARTITION BY ts, "left", "right", ok, x) - 1) / 2.0 END AS a,
+        CASE WHEN ok THEN rank() OVER (PARTITION BY ts, "left", "right", ok ORDER BY y) + (count(*) OVER (PARTITION BY ts, "left", "right", ok, y) - 1) / 2.0 END AS b FROM j),
+    s AS (SELECT ts, "left", "right", count(*) FILTER (dom) AS common_domain, count(*) FILTER (ok) AS common, CASE WHEN count(*) FILTER (ok) >= 3 AND min(p) < max(p) AND min(q) < max(q) THEN corr(p, q) END AS pearson,
+        CASE WHEN count(*) FILTER (ok) >= 3 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS spearman FROM r GROUP BY ALL)
+    SELECT ts, "left", "right", common_domain, common, round(common / nullif(common_domain, 0), 8) AS coverage, round(pearson, 7) AS pearson, round(spearman, 8) AS spearman FROM s""",
+)
+def _pair_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    df = supplier_month(spark, sf).withColumns({f"in_{c}": F.expr(d) for c, d in PAIRED.items()})
+    made = evaluate.pair_diagnostics(df, list(PAIRED), [f"in_{c}" for c in PAIRED], least=3)
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "left", "right", "common_domain", "common", F.round("coverage", 8).alias("coverage"), F.round("pearson", 7).alias("pearson"), F.round("spearman", 8).alias("spearman"))
+
+
+@query(
+    "f12_quantiles",
+    f"""{RANKED_SQL}, v5 AS (SELECT ts, s, y, rank() OVER (PARTITION BY ts ORDER BY s) + (count(*) OVER (PARTITION BY ts, s) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY ts) AS n, min(s) OVER (PARTITION BY ts) < max(s) OVER (PARTITION BY ts) AS varies FROM v WHERE ok),
+    b AS (SELECT ts, least(greatest(ceil(r * 5 / n), 1), 5) AS bucket, avg(y) AS m FROM v5 WHERE n >= 5 AND varies GROUP BY 1, 2),
+    q AS (SELECT ts, {", ".join(f"max(m) FILTER (bucket = {k}) AS q{k}" for k in range(1, 6))} FROM b GROUP BY 1), d AS (SELECT ts, count(*) FILTER (ok) AS n FROM v GROUP BY 1)
+    SELECT ts, n, {", ".join(f"round(q{k}, 8) AS q{k}" for k in range(1, 6))}, round(q5 - q1, 8) AS spread FROM d LEFT JOIN q USING (ts)""",
+)
+def _quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    df = labelled(spark, sf)
+    made = evaluate.with_quantiles(evaluate.per_date(df, "returns", "label"), evaluate.descriptive_buckets(df, "returns", "label", 5, least=5))
+    return made.select(F.col("timestamp").cast("date").alias("ts"), "n", *(F.round(c, 8).alias(c) for c in ("q1", "q2", "q3", "q4", "q5", "spread")))
+
+
 NEXT_SQL = f"{PANEL_SQL}, z AS (SELECT ts, security, returns AS s, amount AS x, " + ", ".join(f"CASE WHEN lead(close, 1) OVER {W_TS} > 0 AND lead(close, {1 + h}) OVER {W_TS} > 0 THEN lead(close, {1 + h}) OVER {W_TS} / lead(close, 1) OVER {W_TS} - 1 END AS y{h}" for h in (1, 2, 3)) + " FROM g)"
 SAFE_IC = "CASE WHEN count(*) >= {} AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END"
 

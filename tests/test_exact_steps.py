@@ -177,3 +177,34 @@ def test_risk_projection_meets_its_conditions():
         constraints.nearest(np.zeros(5), np.ones((1, 5)), np.array([0.1]), 1.0, -1.0, 1.0)
     with pytest.raises(RuntimeError, match="converge"):
         constraints.nearest(rng.normal(size=30), rng.normal(size=(2, 30)), np.array([0.01, 0.01]), 0.0, -0.5, 0.5, rounds=1)
+
+
+def test_pairs_of_fifty_factors(spark):
+    """Against ranks and correlations pair by pair: domains, gaps, ties, a constant factor, one that isn't finite, a date with one row."""
+    rng = np.random.default_rng(21)
+    n, wide = 40, 50
+    x = rng.normal(size=(2, n, wide)).round(1) * 10.0 ** rng.integers(-3, 6, wide)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, :, 7], x[0, :, 8] = 3.0, np.nan
+    x[1, 0, 9] = np.inf
+    inside = rng.random((2, n, 2)) < 0.8
+    rows = [(d, *(None if np.isnan(v) else float(v) for v in x[d, k]), bool(inside[d, k, 0]), bool(inside[d, k, 1]) if k else None) for d in range(2) for k in range(n)] + [(2, *map(float, range(wide)), True, True)]
+    columns = [f"f{k}" for k in range(wide)]
+    df = spark.createDataFrame(rows, f"timestamp int, {', '.join(f'{c} double' for c in columns)}, a boolean, b boolean").repartition(3)
+    domains = ["a" if k % 2 else "b" for k in range(wide)]
+    out = evaluate.pair_diagnostics(df, columns, domains, least=3).collect()
+    assert len(out) == 3 * wide * (wide - 1) // 2
+    inside[:, 0, 1] = False
+    for r in out:
+        i, j = int(r.left[1:]), int(r.right[1:])
+        if r.timestamp == 2:
+            assert (r.common_domain, r.common, r.coverage, r.pearson, r.spearman) == (1, 1, 1.0, None, None)
+            continue
+        a, b, dom = x[r.timestamp, :, i], x[r.timestamp, :, j], inside[r.timestamp, :, 1 - i % 2] & inside[r.timestamp, :, 1 - j % 2]
+        ok = dom & np.isfinite(a) & np.isfinite(b)
+        assert (r.common_domain, r.common, r.coverage) == (dom.sum(), ok.sum(), pytest.approx(ok.sum() / dom.sum()))
+        if ok.sum() < 3 or np.ptp(a[ok]) == 0 or np.ptp(b[ok]) == 0:
+            assert r.pearson is None and r.spearman is None
+        else:
+            assert r.pearson == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-9)
+            assert r.spearman == pytest.approx(np.corrcoef(pd.Series(a[ok]).rank(), pd.Series(b[ok]).rank())[0, 1], abs=1e-9)
