@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import constraints, contract, evaluate, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
+from panelforge.operators import constraints, contract, evaluate, intervals, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
 from panelforge.plans.compile import compile_formulas
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
 
@@ -276,6 +276,20 @@ def _cycles(spark: SparkSession, sf: str) -> DataFrame:
     return market.closing_edges(edges, part.where("p_partkey % 7 = 0").select((F.floor(p / 9) + p % 2).alias("child"), p.alias("parent")))
 
 
+@query(
+    "e8_overlaps",
+    """WITH s AS (SELECT l_suppkey AS security, l_returnflag AS flag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
+    SELECT l.security, l.a // 30 AS part, count(*) AS n, CAST(sum(least(l.b, r.b) - greatest(l.a, r.a)) AS BIGINT) AS days FROM s l JOIN s r ON l.security = r.security AND l.a <= r.b AND r.a <= l.b WHERE l.flag = 'N' AND r.flag = 'R' GROUP BY 1, 2""",
+)
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
+    items = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("security"), "l_returnflag", day.alias("a"), (day + F.col("l_quantity").cast("long")).alias("b"))
+    kept, returned = (items.where(F.col("l_returnflag") == flag).drop("l_returnflag") for flag in "NR")
+    met = intervals.overlaps(kept, returned.toDF("security", "c", "d"), ("a", "b"), ("c", "d"), ["security"])
+    shared = F.least("b", "d") - F.greatest("a", "c")
+    return met.groupBy("security", F.floor(F.col("a") / 30).alias("part")).agg(F.count("*").alias("n"), F.sum(shared).alias("days"))
+
+
 @query("e17_active", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _active(spark: SparkSession, sf: str) -> DataFrame:
     revoked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelforge.operators import constraints, evaluate, market, portfolio, postprocess, robustness
+from panelforge.operators import constraints, evaluate, intervals, market, portfolio, postprocess, robustness
 
 
 @pytest.mark.parametrize("ridge", [0.0, 0.3])
@@ -208,3 +208,27 @@ def test_pairs_of_fifty_factors(spark):
         else:
             assert r.pearson == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-9)
             assert r.spearman == pytest.approx(np.corrcoef(pd.Series(a[ok]).rank(), pd.Series(b[ok]).rank())[0, 1], abs=1e-9)
+
+
+def test_overlaps_are_those_of_all_pairs(spark):
+    """Points, intervals of very different lengths, negative ends, touching and repeated ones, nulls and reversed ends; with and without a key; no nested loop."""
+    rng = np.random.default_rng(31)
+
+    def rows(n):
+        starts, lengths = rng.integers(-500, 500, n), rng.choice([0, 1, 2, 3, 7, 8, 60, 900], n)
+        made = [(int(rng.integers(2)), int(s), int(s + e)) for s, e in zip(starts, lengths, strict=True)]
+        return [*made, made[0], (0, None, 3), (1, 4, None), (0, 9, 8), (None, 0, 9), (0, -1, -1), (0, 0, 0)]
+
+    left, right = rows(120), rows(90)
+    a, b = spark.createDataFrame(left, "k int, s long, e long"), spark.createDataFrame(right, "k int, s2 long, e2 long")
+
+    def meet(x, y):
+        return None not in (*x[1:], *y[1:]) and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and y[1] <= x[2]
+
+    made = intervals.overlaps(a, b, ("s", "e"), ("s2", "e2"), ["k"])
+    plan = made._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and made.columns == ["k", "s", "e", "s2", "e2"]
+    assert sorted(map(tuple, made.collect())) == sorted((*x, *y[1:]) for x in left for y in right if x[0] is not None and x[0] == y[0] and meet(x, y))
+    free = intervals.overlaps(a.drop("k"), b.drop("k"), ("s", "e"), ("s2", "e2"))
+    assert sorted(map(tuple, free.collect())) == sorted((*x[1:], *y[1:]) for x in left for y in right if meet(x, y))
+    assert intervals.overlaps(a.where("k > 5"), b, ("s", "e"), ("s2", "e2"), ["k"]).count() == 0
