@@ -12,7 +12,7 @@ import numpy as np
 from panelforge.llm.common import mix64
 
 #: Slots of a Python worker's cache; a unit that falls on another's slot takes its place.
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Bytes of a unit that a slot holds; longer units are encoded each time they come.
 WIDTH = 24
 #: The character put between texts; texts that hold it are encoded whole.
