@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import finite
+from panelforge.sources.shared import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,8 @@ AXIS_ROWS = 100_000
 
 
 def densify(cells: DataFrame, time: str = "timestamp", security: str = "security") -> DataFrame:
-    """Every session for every security, with nulls where there is no cell. The session axis repeats for each security, which is the panel's size by definition."""
+    """Every session for every security, with nulls where there is no cell. The session axis repeats for each security, which is the panel's size by definition. ``cells`` are written first, as both axes and the grid read them."""
+    cells = saved(cells)
     times, names = cells.select(time).distinct(), cells.select(security).distinct()
     axis = times.agg(F.sort_array(F.collect_set(time)).alias("_axis")) if times.count() <= AXIS_ROWS else None
     grid = names.join(F.broadcast(axis)).select(security, F.explode("_axis").alias(time)) if axis is not None else names.join(times)
