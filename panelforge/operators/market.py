@@ -53,14 +53,18 @@ def daily_bars(df: DataFrame, price: str, volume: str, by: str, time: str = "ts"
     )
 
 
-def quality_report(df: DataFrame, keys: list[str], field: str, low: float, high: float, error_missing: float = 0.25, warn_missing: float = 0.05) -> DataFrame:
-    """(code, severity, field, n): issues of one numeric field in a single aggregation; an error quarantines the table."""
-    x = F.col(field).cast("double")
+def quality_report(df: DataFrame, keys: list[str], field: str, low: float, high: float, error_missing: float = 0.25, warn_missing: float = 0.05, applicable: str | None = None) -> DataFrame:
+    """(code, severity, field, n): issues of one numeric field in a single aggregation; an error quarantines the table.
+
+    ``applicable``: a boolean column (null: false) of the rows in which the field means something; missing shares, infinities and bounds are theirs alone.
+    """
+    applies = F.coalesce(F.col(applicable), F.lit(False)) if applicable else F.lit(True)
+    x = F.when(applies, F.col(field).cast("double"))
     infinite = F.abs(x) == float("inf")
-    absent = x.isNull() | F.isnan(x)
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(absent.cast("long")).alias("_absent"), F.sum(F.coalesce(infinite, F.lit(False)).cast("long")).alias("_inf"), F.sum((x < low).cast("long")).alias("_low"), F.sum(((x > high) & ~infinite & ~F.isnan(x)).cast("long")).alias("_high"))
-    total = groups.agg(F.sum("_n").alias("rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("dup"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in ("_absent", "_inf", "_low", "_high")))
-    ratio = F.col("absent") / F.col("rows")
+    absent = applies & (x.isNull() | F.isnan(x))
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(applies).alias("_applies"), F.sum(absent.cast("long")).alias("_absent"), F.sum(F.coalesce(infinite, F.lit(False)).cast("long")).alias("_inf"), F.sum((x < low).cast("long")).alias("_low"), F.sum(((x > high) & ~infinite & ~F.isnan(x)).cast("long")).alias("_high"))
+    total = groups.agg(F.coalesce(F.sum("_applies"), F.lit(0)).alias("rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("dup"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in ("_absent", "_inf", "_low", "_high")))
+    ratio = F.coalesce(F.try_divide("absent", "rows"), F.lit(0.0))
     issue = lambda code, severity, n, when: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field"), n.alias("n")))
     issues = [
         issue("duplicate_timestamp_security", "error", F.col("dup"), F.col("dup") > 0),

@@ -104,6 +104,27 @@ def marginal_contribution(df: DataFrame, base: str, candidate: str, by: str, per
     return out
 
 
+def marginal_admission(df: DataFrame, base: str, candidate: str, by: str, time: str = "timestamp", periods: float = 252.0, least_residual: float = 0.0, least_ratio: float = 0.0) -> DataFrame:
+    """``marginal_contribution`` with the candidate's metrics less the base's over the same rows, and ``admitted``: whether the residual return and the gain in information ratio both pass their bounds.
+
+    ``return_delta``: of mean returns a year; ``ratio_delta``: of information ratios (null where a side doesn't vary); ``drawdown_delta``: of the worst falls of compounded returns from their peak.
+    A return of -1 or less ends its side's figures. What is undefined admits none.
+    """
+    both = df.where(F.col(base).isNotNull() & F.col(candidate).isNotNull()).select(by, time, base, candidate)
+    upto = W.partitionBy(by).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    rows = both
+    for k, c in enumerate((base, candidate)):
+        grown = F.sum(F.when(F.col(c) > -1, F.log1p(c))).over(upto)
+        rows = rows.withColumn(f"_g{k}", F.when(F.min(c).over(upto) > -1, grown)).withColumn(f"_fall{k}", F.exp(F.col(f"_g{k}") - F.greatest(F.max(f"_g{k}").over(upto), F.lit(0.0))) - 1)
+    year = [F.avg(c) * periods for c in (base, candidate)]
+    ratio = [F.when(F.min(c) != F.max(c), F.avg(c) / F.stddev_samp(c) * periods**0.5) for c in (base, candidate)]
+    fall = [F.when(F.count(f"_fall{k}") == F.count("*"), F.min(f"_fall{k}")) for k in (0, 1)]
+    deltas = rows.groupBy(by).agg((year[1] - year[0]).alias("return_delta"), (ratio[1] - ratio[0]).alias("ratio_delta"), (fall[1] - fall[0]).alias("drawdown_delta"))
+    out = marginal_contribution(both, base, candidate, by, periods).join(deltas, by)
+    passes = (F.col("residual_annual") > least_residual) & (F.col("ratio_delta") > least_ratio)
+    return out.withColumn("admitted", F.coalesce(passes, F.lit(False)))
+
+
 def capital_and_delay(targets: DataFrame, capital: float, capitals: list[float], delays: list[int]) -> DataFrame:
     """NAVs of the base run, of each other capital and of each delay of the weights in sessions, with ``scenario`` and ``value``. Scenarios are a handful."""
     by = W.partitionBy("portfolio_id", "security").orderBy("timestamp")

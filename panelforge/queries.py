@@ -6,13 +6,14 @@ Panels come from the driver's tables (see ``sources.panels``). Values are rounde
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import constraints, contract, evaluate, intervals, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
+from panelforge.operators import constraints, contract, evaluate, frames, intervals, labels, market, portfolio, postprocess, records, robustness, selection, shortlist
 from panelforge.plans.compile import compile_formulas
 from panelforge.sources.panels import PANEL_SQL, supplier_month, table
 
@@ -170,6 +171,35 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return postprocess.daily(ticks, "value", "close60", "mean").select("timestamp", "security", F.round("value", 8).alias("value"))
 
 
+CLOCK_SQL = "SELECT user_id AS security, ts, value, CAST(ts AS DATE) AS day FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN {} AND {}"
+
+
+@query(
+    "b8_windows",
+    " UNION ALL ".join(
+        f"(WITH d AS ({CLOCK_SQL.format(*bounds)}), last AS (SELECT day, max(ts) AS timestamp FROM d GROUP BY day) SELECT '{name}' AS clock, timestamp, security, round(sum(value), 6) AS value FROM d JOIN last USING (day) GROUP BY timestamp, security)"
+        for name, bounds in postprocess.CLOCK.items()
+    ),
+)
+def _clocks(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = table(spark, sf, "events").select(F.col("ts").alias("timestamp"), F.col("user_id").alias("security"), "value")
+    made = [postprocess.daily(ticks, "value", name, "sum").select(F.lit(name).alias("clock"), "timestamp", "security", F.round("value", 6).alias("value")) for name in postprocess.CLOCK]
+    return reduce(DataFrame.unionByName, made)
+
+
+@query(
+    "b9_reducers",
+    f"""WITH d AS ({CLOCK_SQL.format(*postprocess.CLOCK["full_day"])}), last AS (SELECT day, max(ts) AS timestamp FROM d GROUP BY day)
+    SELECT timestamp, security, round(max_by(value, ts), 6) AS last, round(avg(value), 6) AS mean, round(sum(value), 6) AS sum, round(stddev_pop(value), 6) AS std,
+        round(CASE WHEN count(*) >= 3 THEN CASE WHEN min(value) = max(value) THEN 0 ELSE skewness(value) END END, 6) AS skew, round(CASE WHEN count(*) >= 4 THEN CASE WHEN min(value) = max(value) THEN 0 ELSE kurtosis(value) END END, 6) AS kurt
+    FROM d JOIN last USING (day) GROUP BY timestamp, security""",
+)
+def _reducers(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = table(spark, sf, "events").select(F.col("ts").alias("timestamp"), F.col("user_id").alias("security"), "value")
+    made = [postprocess.daily(ticks, "value", "full_day", name).select("timestamp", "security", F.round("value", 6).alias(name)) for name in ("last", "mean", "sum", "std", "skew", "kurt")]
+    return reduce(lambda a, b: a.join(b, ["timestamp", "security"]), made)
+
+
 @query(
     "b10_ewm",
     f"""{PANEL_SQL}, n AS (SELECT *, row_number() OVER {W_TS} AS k FROM g), r AS (
@@ -212,6 +242,17 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return market.quality_report(supplier_month(spark, sf), ["timestamp", "security"], "returns", -0.5, 0.5, warn_missing=0.01)
 
 
+@query(
+    "d1d_applicable",
+    f"""{PANEL_SQL}, t AS (SELECT count(*) AS n, count(*) - count(returns) AS absent, count(*) FILTER (returns < -0.4) AS low, count(*) FILTER (returns > 0.4) AS high FROM g WHERE volume > 20)
+    SELECT * FROM (SELECT 'missing_values' AS code, 'warning' AS severity, 'returns' AS field, absent AS n FROM t WHERE absent / n > 0.001 AND absent / n <= 0.25 UNION ALL SELECT 'excessive_missing_values', 'error', 'returns', absent FROM t WHERE absent / n > 0.25
+    UNION ALL SELECT 'value_below_minimum', 'error', 'returns', low FROM t WHERE low > 0 UNION ALL SELECT 'value_above_maximum', 'error', 'returns', high FROM t WHERE high > 0)""",
+)
+def _applicable(spark: SparkSession, sf: str) -> DataFrame:
+    df = supplier_month(spark, sf).withColumn("traded", F.col("volume") > 20)
+    return market.quality_report(df, ["timestamp", "security"], "returns", -0.4, 0.4, warn_missing=0.001, applicable="traded")
+
+
 @query("d4_session", "SELECT event_id FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 690 OR hour(ts) * 60 + minute(ts) BETWEEN 780 AND 900")
 def _session(spark: SparkSession, sf: str) -> DataFrame:
     minute = stats.session_minutes(F.col("ts"))
@@ -290,6 +331,17 @@ def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy("security", F.floor(F.col("a") / 30).alias("part")).agg(F.count("*").alias("n"), F.sum(shared).alias("days"))
 
 
+@query(
+    "l_compared",
+    """WITH a AS (SELECT DISTINCT l_suppkey AS security, year(l_shipdate) AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS security, year(l_shipdate) AS y FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
+    SELECT *, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'left' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+)
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    kept = [items.where(test).select(F.col("l_suppkey").alias("security"), F.year("l_shipdate").cast("long").alias("y")) for test in ("l_returnflag = 'R'", "l_returnflag = 'N' AND l_quantity > 45")]
+    return frames.compared(*kept)
+
+
 @query("e17_active", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _active(spark: SparkSession, sf: str) -> DataFrame:
     revoked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -750,6 +802,21 @@ def _marginal(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("security", "n", *(F.round(c, 6).alias(c) for c in ("beta", "residual_annual", "corr")))
 
 
+@query(
+    "f23_admission",
+    f"""{PANEL_SQL}, m AS (SELECT ts, security, returns AS y, avg(returns) OVER (PARTITION BY ts) AS x FROM g), v AS (SELECT * FROM m WHERE y IS NOT NULL AND x IS NOT NULL),
+    w AS (SELECT *, exp(gx - greatest(max(gx) OVER u, 0)) - 1 AS fx, exp(gy - greatest(max(gy) OVER u, 0)) - 1 AS fy FROM (SELECT *, CASE WHEN min(x) OVER u > -1 THEN sum(CASE WHEN x > -1 THEN ln(1 + x) END) OVER u END AS gx,
+        CASE WHEN min(y) OVER u > -1 THEN sum(CASE WHEN y > -1 THEN ln(1 + y) END) OVER u END AS gy FROM v WINDOW u AS (PARTITION BY security ORDER BY ts ROWS UNBOUNDED PRECEDING)) WINDOW u AS (PARTITION BY security ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT security, (avg(y) - avg(x)) * 252 AS return_delta, CASE WHEN min(y) < max(y) AND min(x) < max(x) THEN (avg(y) / stddev_samp(y) - avg(x) / stddev_samp(x)) * sqrt(252) END AS ratio_delta,
+        CASE WHEN count(fx) = count(*) AND count(fy) = count(*) THEN min(fy) - min(fx) END AS drawdown_delta, CASE WHEN count(*) >= 3 THEN regr_intercept(y, x) * 252 END AS residual FROM w GROUP BY security)
+    SELECT security, round(return_delta, 6) AS return_delta, round(ratio_delta, 6) AS ratio_delta, round(drawdown_delta, 6) AS drawdown_delta, coalesce(residual > 1 AND ratio_delta > -1, false) AS admitted FROM a""",
+)
+def _admission(spark: SparkSession, sf: str) -> DataFrame:
+    rows = supplier_month(spark, sf).withColumn("base", F.avg("returns").over(W.partitionBy("timestamp")))
+    made = robustness.marginal_admission(rows, "base", "returns", "security", least_residual=1.0, least_ratio=-1.0)
+    return made.select("security", *(F.round(c, 6).alias(c) for c in ("return_delta", "ratio_delta", "drawdown_delta")), "admitted")
+
+
 def _exposed(spark: SparkSession, sf: str) -> DataFrame:
     weights = portfolio.rank_weights(supplier_month(spark, sf), "returns")
     return weights.withColumn("size", (F.col("security") % 7 - 3).cast("double"))

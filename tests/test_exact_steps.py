@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelforge.operators import constraints, evaluate, intervals, market, portfolio, postprocess, robustness
+from panelforge.operators import constraints, evaluate, frames, intervals, market, portfolio, postprocess, robustness
 
 
 @pytest.mark.parametrize("ridge", [0.0, 0.3])
@@ -232,3 +232,35 @@ def test_overlaps_are_those_of_all_pairs(spark):
     free = intervals.overlaps(a.drop("k"), b.drop("k"), ("s", "e"), ("s2", "e2"))
     assert sorted(map(tuple, free.collect())) == sorted((*x[1:], *y[1:]) for x in left for y in right if meet(x, y))
     assert intervals.overlaps(a.where("k > 5"), b, ("s", "e"), ("s2", "e2"), ["k"]).count() == 0
+
+
+def test_compared_tables(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([("x", 1), (None, 2), (None, 2), ("w", 4)], "v string, k int")
+    assert sorted(map(tuple, frames.compared(a, b).collect())) == [(1, "x", "both"), (2, None, "both"), (3, "z", "left"), (4, "w", "right")]
+
+
+def test_admission(spark):
+    """A candidate that adds return of its own is admitted; a copy, a constant, one that loses all and one with two rows aren't."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0.001, 0.01, 60)
+    made = {"good": base * 0.2 + rng.normal(0.002, 0.002, 60), "copy": base, "flat": np.full(60, 0.001), "lost": np.append(np.full(59, 0.02), -1.0), "short": base[:2] * 2}
+    rows = [(name, t, float(base[t]), float(v)) for name, y in made.items() for t, v in enumerate(y)] + [("good", 99, None, 5.0), ("good", 98, 5.0, None)]
+    got = {r.c: r for r in robustness.marginal_admission(spark.createDataFrame(rows, "c string, t int, x double, y double"), "x", "y", "c", "t").collect()}
+    assert {name for name, r in got.items() if r.admitted} == {"good"}
+    y, fall = made["good"], []
+    for x in (base, y):
+        nav = np.cumprod(1 + x)
+        fall.append((nav / np.maximum(np.maximum.accumulate(nav), 1) - 1).min())
+    ratio = [x.mean() / x.std(ddof=1) * 252**0.5 for x in (base, y)]
+    assert (got["good"].n, got["good"].drawdown_delta, got["good"].ratio_delta) == (60, pytest.approx(fall[1] - fall[0]), pytest.approx(ratio[1] - ratio[0]))
+    assert got["flat"].ratio_delta is None and got["lost"].drawdown_delta is None and got["short"].residual_annual is None
+
+
+def test_quality_of_applicable_rows(spark):
+    rows = [(k, "a", None if k < 5 else float(k), k >= 4) for k in range(10)] + [(20, "a", float("inf"), False), (21, "a", None, None)]
+    df = spark.createDataFrame(rows, "timestamp int, security string, v double, used boolean")
+    found = {r.code: r.n for r in market.quality_report(df, ["timestamp", "security"], "v", 0.0, 8.5, applicable="used").collect()}
+    assert found == {"missing_values": 1, "value_above_maximum": 1}
+    assert {r.code for r in market.quality_report(df, ["timestamp", "security"], "v", 0.0, 8.5).collect()} == {"excessive_missing_values", "infinite_numeric_value", "value_above_maximum"}
+    assert market.quality_report(df.where("used is null"), ["timestamp", "security"], "v", 0.0, 1.0, applicable="used").count() == 0
