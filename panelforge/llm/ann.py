@@ -214,10 +214,10 @@ def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, spec: Collis
 def search(vectors: DataFrame, is_query: str, spec: CollisionSpec = CollisionSpec(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that meets the SQL condition ``is_query`` on id, its ``k`` nearest other rows.
 
-    All rows are indexed and searched; queries go to all blocks in blocks of bounded size. Nearness is the inner product in
+    All rows are indexed and searched; queries go to all blocks in blocks of bounded size, one after the other. Nearness is the inner product in
     double precision, ties go to the smaller id. Vectors that aren't usable, and those of another length than the one of the smallest usable
     id, take no part; with fewer candidates than ``k`` all are returned, with none nothing. Repeated rows are candidates each by itself,
-    but no row with the query's id is.
+    but no row with the query's id is. Columns other than the id and the vector are not looked at.
     """
     rows = usable(vectors, id_col, vec_col)
     first = rows.agg(F.min_by(F.size("v"), "id").alias("dim")).first()
@@ -235,7 +235,7 @@ def search(vectors: DataFrame, is_query: str, spec: CollisionSpec = CollisionSpe
         if got.num_rows:
             ids = got.column("id").to_numpy()
             matrix = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(-1, dim)
-            found.append(_search(index, ids, matrix, spec))
+            found.append(written(_search(index, ids, matrix, spec), "nearest"))  # so that one block of queries at a time is on the driver
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
