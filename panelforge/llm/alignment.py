@@ -115,6 +115,8 @@ def write_blocks(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_
                     number, held, n = number + 1, [], 0
         if held:
             yield flush()
+        held = []
+        forget()  # idle workers would keep their tokenizers while later stages run
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(run, BLOCKS), "aligned")
