@@ -24,9 +24,9 @@ TRIALS = 4096
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
-    """Adds q: null p-values count as 1. A family is one table of candidates, so its windows are small."""
+    """Adds q: null p-values count as 1. A family is one table of candidates. The least of all larger p is a running minimum from the largest p down: a frame that reaches to the end is added up anew for each row, in quadratic time."""
     rows = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))).withColumn("_raw", stats.benjamini_hochberg(F.col("_p"), F.col(name), *by))
-    tail = W.partitionBy(*by).orderBy("_p", name).rowsBetween(0, W.unboundedFollowing)
+    tail = W.partitionBy(*by).orderBy(F.desc("_p"), F.desc(name)).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("q", F.min("_raw").over(tail)).drop("_p", "_raw")
 
 
