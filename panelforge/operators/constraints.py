@@ -122,7 +122,7 @@ def _ramp_stepped(df: DataFrame, most: float, portfolio: str, time: str, securit
         reached = F.when(F.col("_t") <= most, F.coalesce("weight", zero)).otherwise(F.col("now") + most / F.col("_t") * gap)
         return saved(rows.join(hint(sums), portfolio).select(portfolio, F.col("_day").alias(time), security, reached.alias("weight")), path).select(portfolio, security, F.col("weight").alias("now"))
 
-    paths = in_sessions(df, portfolio, time, security, ["weight"], {"now": zero}, step)
+    paths = in_sessions(saved(df.select(*columns)), portfolio, time, security, ["weight"], {"now": zero}, step)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {'double' if c == 'weight' else kinds[c]}" for c in columns)
     return df.sparkSession.read.schema(schema).parquet(*paths)

@@ -80,11 +80,11 @@ def trade_cost(notional: Column, is_sell: Column, participation: Column, volatil
 NAV = "portfolio_id long, timestamp date, gross_nav double, net_nav double, cost double, n_fills long"
 
 
-def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, participation: float = 0.1, cost_bps: float = 5.0, group_cells: int = GROUP_CELLS) -> DataFrame:
+def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, participation: float = 0.1, cost_bps: float = 5.0, group_cells: int | None = GROUP_CELLS) -> DataFrame:
     """NAV by session from (portfolio_id, timestamp, security, weight, price, amount).
 
     Path dependent, so each portfolio is one ordered run; portfolios run in parallel. If one has more than ``group_cells`` cells, all are stepped session by session,
-    with each session spread over its securities; both ways give the same, up to the order of sums. Rows of a null portfolio or security are left out. Orders of a session follow the weights of the session before
+    with each session spread over its securities; both ways give the same, up to the order of sums. Rows of a null portfolio or security are left out. Without ``group_cells`` nothing is counted or stepped. Orders of a session follow the weights of the session before
     and fill at its price, at most ``participation`` of the prior session's amount, in whole lots towards zero. gross - net is the cost paid.
     """
 
@@ -112,15 +112,16 @@ def backtest(targets: DataFrame, capital: float = 1e6, lot: float = 1.0, partici
         return pd.DataFrame(out, columns=["portfolio_id", "timestamp", "gross_nav", "net_nav", "cost", "n_fills"])
 
     targets = targets.where("portfolio_id is not null and security is not null")
-    if largest_grid(targets, "portfolio_id", "timestamp", "security") > group_cells:
-        return _stepped(targets, capital, lot, participation, cost_bps)
+    if group_cells is not None and largest_grid(targets, "portfolio_id", "timestamp", "security") > group_cells:
+        return stepped(targets, F.lit(float(capital)), lot, participation, cost_bps)
     return targets.groupBy("portfolio_id").applyInPandas(run, NAV)
 
 
-def _stepped(targets: DataFrame, capital: float, lot: float, participation: float, cost_bps: float) -> DataFrame:
-    """``backtest`` with holdings as a table: a session is a join of it with the session's rows, and two sums by portfolio."""
+def stepped(targets: DataFrame, capital: Column, lot: float = 1.0, participation: float = 0.1, cost_bps: float = 5.0) -> DataFrame:
+    """``backtest`` with holdings as a table: a session is a join of it with the session's rows, and two sums by portfolio. ``capital`` may depend on the portfolio, whose id may be of any type."""
     none, zero = F.lit(None).cast("double"), F.lit(0.0)
-    purse = [saved(targets.select("portfolio_id").distinct().withColumns({"cash": F.lit(float(capital)), "paid": zero}))]
+    targets = saved(targets.select("portfolio_id", "timestamp", "security", "weight", "price", "amount"))
+    purse = [saved(targets.select("portfolio_id").distinct().withColumns({"cash": capital, "paid": zero}))]
 
     def step(rows: DataFrame, hint, k: int, path: str) -> DataFrame:
         rows = rows.withColumn("mark", F.coalesce("price", "mark"))

@@ -50,5 +50,6 @@ def in_sessions(df: DataFrame, group: str, time: str, security: str, values: lis
     state, out = saved(df.select(*keys).distinct().select(*keys, *(c.alias(n) for n, c in start.items()))), []
     for k in range(1, last + 1):
         out.append(shared_path(spark))
-        state = step(state.join(rows.where(F.col("_k") == k).drop("_k"), keys, "left"), hint, k, out[-1])
+        session = rows.where(F.col("_k") == k).drop("_k").hint("merge")  # small in its file: else it would go to the driver and out to all, in each session
+        state = step(state.join(session, keys, "left"), hint, k, out[-1])
     return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import constraints, portfolio
+from panelforge.operators import constraints, portfolio, robustness, sessions
 
 SCHEMA = "portfolio_id long, timestamp date, security long, weight double, price double, amount double"
 
@@ -59,3 +59,24 @@ def test_repeated_cells_and_empty_tables(spark):
         portfolio.backtest(df.unionAll(df.where("portfolio_id = 1 AND security = 0").limit(1)), group_cells=0).collect()
     assert portfolio.backtest(df.where("security > 99")).count() == 0
     assert constraints.turnover_ramp(df.where("security > 99"), 0.2).count() == 0
+
+
+def test_sessions_are_not_sent_to_the_driver(spark):
+    """A session's rows meet the state by a shuffle, however small they are."""
+    plans = []
+
+    def step(rows, hint, k, path):
+        plans.append(rows._jdf.queryExecution().sparkPlan().toString())
+        return sessions.saved(rows.select("portfolio_id", "security", "held"), path)
+
+    sessions.in_sessions(cells(spark), "portfolio_id", "timestamp", "security", ["weight"], {"held": F.lit(0.0)}, step)
+    assert len(plans) == 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_scenarios_by_sessions(spark):
+    """All scenarios stepped together give what each gives as one group, in one run over the sessions."""
+    df = cells(spark)
+    whole, stepped = ({(r["scenario"], r["value"], r["portfolio_id"], r["timestamp"]): [r["gross_nav"], r["net_nav"], r["cost"], r["n_fills"]] for r in robustness.capital_and_delay(df, 1e6, [1e5, 1e8], [1, 3], n).collect()} for n in (10**6, 0))
+    assert whole.keys() == stepped.keys() and len(whole) == 45
+    for key, values in whole.items():
+        assert stepped[key] == pytest.approx(values, rel=1e-9)
