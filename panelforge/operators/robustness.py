@@ -12,7 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators.portfolio import backtest, performance
+from panelforge.operators.portfolio import backtest, performance, stepped
+from panelforge.operators.sessions import GROUP_CELLS, largest_grid
+from panelforge.sources.panels import AXIS_ROWS
+from panelforge.sources.shared import saved
+
+#: Shuffled signals that a date holds at once, in cells.
+TRIAL_CELLS = 1 << 20
+#: Fills of a task that matches lots, on average.
+TASK_FILLS = 250_000
 
 
 def permutation_test(df: DataFrame, signal: str, label: str, trials: int, seed: int, least: int = 5, time: str = "timestamp", security: str = "security") -> DataFrame:
@@ -49,7 +57,10 @@ def _opened_and_closed(fills: DataFrame, calendar: DataFrame, portfolio: str, se
     """Fills with their session ``_k`` (``_last``: the last one) and the shares they close of the position before them and open anew."""
     axis = calendar.select(time).distinct().withColumn("_k", F.row_number().over(W.orderBy(time)) - 1)  # one row for each session
     axis = axis.withColumn("_last", F.max("_k").over(W.partitionBy()))
-    rows = fills.join(axis, time).select(portfolio, security, "_k", "_last", order, F.coalesce(F.col("shares").cast("double"), F.lit(0.0)).alias("_q"))
+    axis = saved(axis)
+    short = F.broadcast(axis) if axis.count() <= AXIS_ROWS else axis  # else fills would be dealt out by their few sessions
+    rows = fills.join(short, time).select(portfolio, security, "_k", "_last", order, F.coalesce(F.col("shares").cast("double"), F.lit(0.0)).alias("_q"))
+    rows = rows.repartition(1 + fills.count() // TASK_FILLS, portfolio, security)  # so that a task's sorts don't grow with the table
     before = W.partitionBy(portfolio, security).orderBy("_k", order).rowsBetween(W.unboundedPreceding, -1)
     held = rows.withColumn("_held", F.coalesce(F.sum("_q").over(before), F.lit(0.0)))
     closed = F.when(F.signum("_q") * F.signum("_held") < 0, F.least(F.abs("_q"), F.abs("_held"))).otherwise(0.0)
@@ -75,13 +86,15 @@ def matched_lots(fills: DataFrame, calendar: DataFrame, portfolio: str = "portfo
     rows = _opened_and_closed(fills, calendar, portfolio, security, time, order)
     upto = W.partitionBy(portfolio, security).orderBy("_k", order).rowsBetween(W.unboundedPreceding, 0)
     summed = rows.withColumns({"_o": F.sum("_opened").over(upto), "_c": F.sum("_closed").over(upto)})
-    opens = summed.where("_opened > 0").select(portfolio, security, F.col("_o").alias("_end"), F.col("_k").alias("_open"), F.lit(None).cast("int").alias("_close"))
-    closes = summed.where("_closed > 0").select(portfolio, security, F.col("_c").alias("_end"), F.lit(None).cast("int").alias("_open"), F.col("_k").alias("_close"))
-    ends = opens.unionByName(closes).groupBy(portfolio, security, "_end").agg(F.min("_open").alias("_open"), F.min("_close").alias("_close"))
-    by = W.partitionBy(portfolio, security).orderBy("_end")
-    later = by.rowsBetween(0, W.unboundedFollowing)
-    part = F.col("_end") - F.coalesce(F.lag("_end").over(by), F.lit(0.0))
-    made = ends.select(portfolio, security, F.first("_open", ignorenulls=True).over(later).alias("opened"), F.first("_close", ignorenulls=True).over(later).alias("closed"), part.alias("shares"))
+    none = F.lit(None).cast("int")
+    opens = F.when(F.col("_opened") > 0, F.struct(F.col("_o").alias("_end"), F.col("_k").alias("_open"), none.alias("_close")))
+    closes = F.when(F.col("_closed") > 0, F.struct(F.col("_c").alias("_end"), none.alias("_open"), F.col("_k").alias("_close")))
+    each = summed.select(portfolio, security, F.inline(F.array_compact(F.array(opens, closes))))
+    ends = each.groupBy(portfolio, security, "_end").agg(F.min("_open").alias("_open"), F.min("_close").alias("_close"))
+    falling = W.partitionBy(portfolio, security).orderBy(F.desc("_end"))
+    later = falling.rowsBetween(W.unboundedPreceding, 0)  # this end and those above it, nearest last
+    part = F.col("_end") - F.coalesce(F.lead("_end").over(falling), F.lit(0.0))
+    made = ends.select(portfolio, security, F.last("_open", ignorenulls=True).over(later).alias("opened"), F.last("_close", ignorenulls=True).over(later).alias("closed"), part.alias("shares"))
     return made.where("shares > 1e-12").groupBy(portfolio, security, "opened", "closed").agg(F.sum("shares").alias("shares"))
 
 
