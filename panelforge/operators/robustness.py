@@ -38,11 +38,20 @@ def permutation_test(df: DataFrame, signal: str, label: str, trials: int, seed:
         ok = np.isfinite(y)
         if ok.sum() < least:
             return pd.DataFrame({"trial": pd.Series(dtype="int32"), "ic": pd.Series(dtype=float)})
-        drawn = np.column_stack([s, rng.permuted(np.repeat(s[:, None], trials, 1), axis=0)])[ok]
-        a, b = pd.DataFrame(drawn).rank().to_numpy(), pd.Series(y[ok]).rank().to_numpy()
-        a, b = a - a.mean(0), b - b.mean()
-        scale = np.sqrt((a**2).sum(0) * (b**2).sum())
-        return pd.DataFrame({"trial": np.arange(trials + 1), "ic": np.where(scale > 0, b @ a / np.where(scale > 0, scale, 1), np.nan)})
+        b = pd.Series(y[ok]).rank().to_numpy()
+        b -= b.mean()
+        ics, size = np.empty(trials + 1), (b**2).sum()
+        width = max(1, TRIAL_CELLS // len(s))
+        for at in range(0, trials + 1, width):  # the stream goes on from one part to the next, so their width doesn't matter
+            n = min(width, trials + 1 - at)
+            drawn = np.repeat(s[:, None], n, 1)
+            own = int(at == 0)  # the first column is the signal itself
+            drawn[:, own:] = rng.permuted(drawn[:, own:], axis=0)
+            a = pd.DataFrame(drawn[ok]).rank().to_numpy()
+            a -= a.mean(0)
+            scale = np.sqrt((a**2).sum(0) * size)
+            ics[at : at + n] = np.where(scale > 0, b @ a / np.where(scale > 0, scale, 1), np.nan)
+        return pd.DataFrame({"trial": np.arange(trials + 1), "ic": ics})
 
     rows = df.where(F.col(signal).isNotNull() & ~F.isnan(signal)).select(time, security, signal, label)
     means = rows.groupBy(time).applyInPandas(run, "trial int, ic double").groupBy("trial").agg(F.avg(stats.finite(F.col("ic"))).alias("ic")).where("ic is not null")
