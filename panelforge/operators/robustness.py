@@ -147,13 +147,28 @@ def marginal_admission(df: DataFrame, base: str, candidate: str, by: str, time:
     return out.withColumn("admitted", F.coalesce(passes, F.lit(False)))
 
 
-def capital_and_delay(targets: DataFrame, capital: float, capitals: list[float], delays: list[int]) -> DataFrame:
-    """NAVs of the base run, of each other capital and of each delay of the weights in sessions, with ``scenario`` and ``value``. Scenarios are a handful."""
+def capital_and_delay(targets: DataFrame, capital: float, capitals: list[float], delays: list[int], group_cells: int = GROUP_CELLS) -> DataFrame:
+    """NAVs of the base run, of each other capital and of each delay of the weights in sessions, with ``scenario`` and ``value``. Scenarios are a handful.
+
+    Portfolios of more than ``group_cells`` cells are stepped, all scenarios together: each step's scenarios are portfolios of their own.
+    """
     by = W.partitionBy("portfolio_id", "security").orderBy("timestamp")
-    runs = [("base", capital, backtest(targets, capital))]
-    runs += [("capital", float(c), backtest(targets, c)) for c in capitals]
-    runs += [("delay", float(d), backtest(targets.withColumn("weight", F.lag("weight", d, 0.0).over(by)), capital)) for d in delays]
-    return reduce(DataFrame.unionByName, [nav.withColumns({"scenario": F.lit(name), "value": F.lit(value)}) for name, value, nav in runs])
+    runs = [("base", capital, capital, targets)]
+    runs += [("capital", float(c), c, targets) for c in capitals]
+    runs += [("delay", float(d), capital, targets.withColumn("weight", F.lag("weight", d, 0.0).over(by))) for d in delays]
+    sound = targets.where("portfolio_id is not null and security is not null")
+    if largest_grid(sound, "portfolio_id", "timestamp", "security") <= group_cells:
+        navs = [(name, value, backtest(df, money, group_cells=None)) for name, value, money, df in runs]
+        return reduce(DataFrame.unionByName, [nav.withColumns({"scenario": F.lit(name), "value": F.lit(value)}) for name, value, nav in navs])
+    lagged = {f"_w{k}": F.lag("weight", d, 0.0).over(by) for k, d in enumerate(delays)}
+    weights = [F.col("weight")] * (1 + len(capitals)) + [F.col(c) for c in lagged]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("run"), w.alias("weight")) for k, w in enumerate(weights))))
+    dealt = sound.withColumns(lagged).withColumn("_run", each)
+    dealt = dealt.select(F.struct(F.col("_run.run").alias("run"), "portfolio_id").alias("portfolio_id"), "timestamp", "security", F.col("_run.weight").alias("weight"), "price", "amount")
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("portfolio_id.run") + 1)
+    nav = stepped(dealt, of([float(r[2]) for r in runs]))
+    told = nav.withColumns({"scenario": of([r[0] for r in runs]), "value": of([float(r[1]) for r in runs])})
+    return told.withColumn("portfolio_id", F.col("portfolio_id.portfolio_id"))
 
 
 def regime_slices(nav: DataFrame, regimes: DataFrame, column: str = "net_nav", periods: float = 12.0) -> DataFrame:
