@@ -2,6 +2,8 @@
 
 Documents are aligned in blocks: each block keeps its documents' links as places in its dictionary of distinct
 id pairs, so that only dictionaries are shuffled. Pairs are dealt by stripes of the B id (id modulo the number of stripes).
+A block is written as many small rows (a document or a piece of a long one, a stripe's part of the dictionary), as Spark
+reads Parquet by numbers of rows, whatever their size.
 A stripe's task adds its pairs' counts into one dense matrix of B id by A id; a second pass, with counts and pairs
 dealt alike, reads each pair's count and whether it is its row's highest, and sends both back to the block.
 """
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ class AlignSpec:
     b: str
     stripes: int = 256
     block_links: int = 1 << 19
+    row_links: int = 1 << 12
 
 
 class Sides:
@@ -80,11 +84,44 @@ class Sides:
         return link_a, link_b, links, groups, hashes
 
 
-BLOCKS = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, link_at array<int>, codes array<int>, counts array<int>, cuts array<int>"
+BLOCKS = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, link_at binary, codes binary, counts binary"
+#: Texts that are aligned at a time: so many, and no more once they hold so many bytes.
+PART_TEXTS, PART_BYTES = 128, 1 << 20
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by their bytes of each place, as the upper ones are mostly zeros and compress well."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch, a part at a time."""
+    begin = size = 0
+    for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        size += n or 0
+        if k + 1 - begin == PART_TEXTS or size >= PART_BYTES or k + 1 == batch.num_rows:
+            yield batch.slice(begin, k + 1 - begin)
+            begin, size = k + 1, 0
+
+
+def _rows(block: int, columns: dict[str, list]) -> pa.RecordBatch:
+    """Rows of a block with some of the columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    n = len(columns["place"])
+    names, types = zip(*map(str.split, BLOCKS.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [block if name == "block" else None] * n), kinds[kind]) for name, kind in zip(names, types, strict=True)], names)
 
 
 def write_blocks(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table of blocks: documents with their digests, each link's place in the block's dictionary, and the dictionary, ascending by stripe and place in the stripe's matrix (``cuts``: where stripes begin)."""
+    """A written table of the rows of blocks.
+
+    A row with ``codes`` has what the block's dictionary holds of the stripe ``place``: places in the stripe's matrix, ascending, and counts. A row with ``link_at`` has the
+    places in the dictionary of at most ``row_links`` of a document's links; its ``place`` goes on from the number of stripes, and a document's last row has its digests.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, number = made(Sides, spec.a, spec.b), TaskContext.get().partitionId() << 32
@@ -93,28 +130,32 @@ def write_blocks(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_
         held: list[tuple] = []
         n = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             a, b, links, groups, hashes, names, n_a, n_b = ([x for h in held for x in h[k]] if k in (4, 5) else np.concatenate([h[k] for h in held]) for k in range(8))
             keys = (b % spec.stripes * rows + b // spec.stripes) * wide + a
             distinct, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
             size = rows * wide
             cuts = np.searchsorted(distinct, np.arange(spec.stripes + 1) * size)
-            kinds = {"doc_ids": (names, pa.int64()), "n_a": (n_a, pa.int64()), "n_b": (n_b, pa.int64()), "n_groups": (groups, pa.int64()), "n_links": (links, pa.int64()), "groups_sha256": (hashes, pa.string())}
-            kinds |= {"link_at": (at, pa.int32()), "codes": (distinct % size, pa.int32()), "counts": (counts, pa.int32()), "cuts": (cuts, pa.int32())}
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in kinds.values()]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["block", *kinds])
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            packed = {k: [x[cuts[s] : cuts[s + 1]].astype(t).tobytes() for s in used] for k, x, t in (("codes", distinct % size, "<i4"), ("counts", counts, "<i8"))}
+            if used:
+                yield _rows(number, {"place": used, **packed})
+            digests = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), (names, n_a.tolist(), n_b.tolist(), groups.tolist(), links.tolist(), hashes), strict=True))
+            pieces = [(k, np.array_split(x, range(spec.row_links, len(x), spec.row_links))) for k, x in enumerate(np.split(at, np.cumsum(links)[:-1]))]
+            owner = [None if x is not own[-1] else k for k, own in pieces for x in own]
+            of_last = {name: [None if k is None else x[k] for k in owner] for name, x in digests.items()}
+            yield _rows(number, {"place": list(range(spec.stripes, spec.stripes + len(owner))), "link_at": [_planes(x) for _, own in pieces for x in own], **of_last})
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 128):
-                part = batch.slice(begin, 128)
+            for part in _parts(batch):
                 got = sides.encode(part.column(1).to_pylist())
                 held.append((*sides.align(got), part.column(0).to_pylist(), np.array([len(g[0]) for g in got]), np.array([len(g[1]) for g in got])))
                 n += len(held[-1][0])
                 if n >= spec.block_links:
-                    yield flush()
+                    yield from flush()
                     number, held, n = number + 1, [], 0
         if held:
-            yield flush()
+            yield from flush()
         held = []
         forget()  # idle workers would keep their tokenizers while later stages run
 
@@ -122,21 +163,6 @@ def write_blocks(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_
     return written(rows.mapInArrow(run, BLOCKS), "aligned")
 
 
-def _by_stripe(blocks: DataFrame) -> DataFrame:
-    """(stripe, block, codes, counts): the dictionaries' parts, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = batch.column(0)[k].as_py()
-                codes, counts, cuts = (batch.column(c)[k].values.to_numpy() for c in (1, 2, 3))
-                used = np.flatnonzero(np.diff(cuts))
-                packed = [[x[cuts[s] : cuts[s + 1]].astype(t).tobytes() for s in used.tolist()] for x, t in ((codes, "<i4"), (counts, "<i8"))]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([block] * len(used), pa.int64()), *(pa.array(p, pa.binary()) for p in packed)], ["stripe", "block", "codes", "counts"])
-
-    return blocks.select("block", "codes", "counts", "cuts").mapInArrow(run, "stripe int, block long, codes binary, counts binary")
-
-
 def _size(spec: AlignSpec) -> tuple[int, int]:
     """Rows and columns of a stripe's matrix."""
     a, b = ByteLevel(spec.a, True).tokenizer.get_vocab_size(), len(Pieces(spec.b).pieces)
@@ -229,31 +255,38 @@ def align(docs: DataFrame, spec: AlignSpec, id_col: str = "doc_id", text_col: st
     stand, under null ids too. An empty table gives no rows. Other columns are not looked at.
     """
     blocks = write_blocks(docs, spec, id_col, text_col)
-    pairs = _by_stripe(blocks)
+    pairs = blocks.where("codes is not null").select(F.col("place").alias("stripe"), "block", "codes", "counts")
     size = _size(spec)
     scored = _scored_pairs(pairs, pair_counts(pairs, size), size)
-    kept = ["doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_at"]
+    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        totals: list[bytes] = []
-        bests: list[bytes] = []
+        at_hand, scores = None, [[], []]  # of a block: its bests and totals, first by stripe, then joined
+        sums = [0, 0]  # of a document, up to its last row
         for batch in batches:
-            for k in range(batch.num_rows):
-                if batch.column(1)[k].is_valid:
-                    totals.append(batch.column(2)[k].as_py())
-                    bests.append(batch.column(3)[k].as_py())
+            lasts, made_sums = [], []
+            for k, (block, total, best, link_at, n_links) in enumerate(zip(*(batch.column(c) for c in ("block", "total", "best", "link_at", "n_links")), strict=True)):
+                if (block := block.as_py()) != at_hand:
+                    at_hand, scores = block, [[], []]
+                if total.is_valid:
+                    scores[0].append(best.as_py())
+                    scores[1].append(total.as_py())
                     continue
-                row = {name: batch.column(4 + c)[k].values for c, name in enumerate(kept)}
-                at, ends = row["link_at"].to_numpy(), np.cumsum(row["n_links"].to_numpy())
-                sums = []
-                for parts, kind in ((bests, "u1"), (totals, "<i8")):
-                    of_links = np.cumsum(np.frombuffer(b"".join(parts), kind)[at], dtype=np.int64)
-                    sums.append(pa.array(np.diff(np.concatenate(([0], of_links))[ends], prepend=0)))
-                totals, bests = [], []
-                yield pa.RecordBatch.from_arrays([row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], *sums, row["groups_sha256"]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    # a block's scores come in the order of its dictionary, then the block itself
-    both = scored.unionByName(blocks.select("block", *kept), allowMissingColumns=True)
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("stripe").asc_nulls_last())
+                if isinstance(scores[0], list):
+                    scores = [np.frombuffer(b"".join(x), kind) for x, kind in zip(scores, ("u1", "<i8"), strict=True)]
+                at = _of_planes(link_at.as_py())
+                sums = [s + int(x[at].sum()) for s, x in zip(sums, scores, strict=True)]
+                if n_links.is_valid:
+                    lasts.append(k)
+                    made_sums.append(sums)
+                    sums = [0, 0]
+            if lasts:
+                own = [batch.column(name).take(pa.array(lasts)) for name in kept]
+                yield pa.RecordBatch.from_arrays([*own[:-1], *(pa.array(x, pa.int64()) for x in zip(*made_sums, strict=True)), own[-1]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    # a block's scores come in the order of its dictionary, then its documents
+    each = blocks.where("link_at is not null").select("block", "place", *kept, "link_at")
+    both = scored.withColumnRenamed("stripe", "place").unionByName(each, allowMissingColumns=True)
+    dealt = both.repartition("block").sortWithinPartitions("block", "place")
     return dealt.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

@@ -213,3 +213,14 @@ def test_alignment_edges(spark, make_docs, sides):
     got = alignment.align(make_docs(rows).repartition(3), spec).collect()
     assert sorted(([*r] for r in got), key=str) == plain_alignment(rows, *sides[1:])
     assert alignment.align(make_docs([]), spec).collect() == []
+
+
+def test_alignment_rows_are_small(spark, make_docs, sides):
+    """No row of the written blocks holds more than a row's links or a stripe's pairs, and long texts in several rows give the same figures."""
+    rows = [(1, " ".join(f"word{k}" for k in range(700))), (None, "One. two"), (2, None), (3, "a b " * 900)]
+    spec = alignment.AlignSpec(BYTE, PIECE, stripes=64, block_links=1000, row_links=50)
+    written = alignment.write_blocks(make_docs(rows).repartition(1), spec).collect()
+    assert max(len(r.link_at or b"") for r in written) == 4 * 50 and sum(len(r.link_at or b"") for r in written) == 4 * sum(r.n_links or 0 for r in written)
+    assert all(r.place < 64 and len(r.counts) == 2 * len(r.codes) for r in written if r.codes is not None)
+    got = alignment.align(make_docs(rows).repartition(2), spec).collect()
+    assert sorted(([*r] for r in got), key=str) == plain_alignment(rows, *sides[1:])
