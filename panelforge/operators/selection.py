@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +18,11 @@ from panelforge.functions import stats
 from panelforge.operators import skyline
 from panelforge.sources.shared import saved
 
-#: Drawn blocks that a bootstrap holds at once, and trials of a row.
-BATCH_CELLS = 1 << 18
-TRIALS = 4096
+#: Drawn blocks that a bootstrap holds at once (so few that they stay in a core's cache), and trials of a row.
+BATCH_CELLS = 1 << 16
+TRIALS = 1 << 16
+#: A counter's step and the factors that scramble it.
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
@@ -83,14 +85,37 @@ def family_significance(family: DataFrame, values: DataFrame, least: int, lags:
     return benjamini_hochberg(out, "p", candidate).select(candidate, "status", "n", "mean", "z", "p", "q")
 
 
-def draw_starts(key: int, first: int, trials: int, blocks: int, n: int) -> np.ndarray:
-    """Starts below ``n`` of the blocks of trials ``first`` on: each comes from its own counter (trial and block), so that any range of trials can be drawn anywhere."""
-    counter = (np.arange(first, first + trials, dtype=np.uint64)[:, None] * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def _place(high: np.ndarray, n: int) -> np.ndarray:
+    """The place below ``n`` that the upper 53 bits of a scrambled counter stand for."""
+    return (high.astype(float) * 2.0**-53 * n).astype(np.int64)
+
+
+def _starts(key: int, trials: np.ndarray, blocks: int, n: int) -> np.ndarray:
+    counter = (trials[:, None] * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64) + np.uint64(1)) * STEP
     x = counter + np.uint64(key)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(float) * 2.0**-53 * n).astype(np.int64)
+    return _place(x >> np.uint64(11), n)
+
+
+def draw_starts(key: int, first: int, trials: int, blocks: int, n: int) -> np.ndarray:
+    """Starts below ``n`` of the blocks of trials ``first`` on: each comes from its own counter (trial and block), so that any range of trials can be drawn anywhere."""
+    return _starts(key, np.arange(first, first + trials, dtype=np.uint64), blocks, n)
+
+
+@lru_cache(maxsize=64)
+def _by_upper_bits(n: int) -> np.ndarray:
+    """For each upper 16 bits of a scrambled counter the start that they alone decide, else ``n``."""
+    low = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+    start, last = _place(low, n), _place(low + np.uint64((1 << 37) - 1), n)
+    return np.where(start == last, start, n)
+
+
+@lru_cache(maxsize=64)
+def _steps(trials: int, blocks: int) -> np.ndarray:
+    """The counters of trials from 0 on."""
+    return np.arange(1, trials * blocks + 1, dtype=np.uint64).reshape(trials, blocks) * STEP
 
 
 def stream_key(seed: int, name: object) -> int:
@@ -99,20 +124,41 @@ def stream_key(seed: int, name: object) -> int:
 
 
 def bootstrap_hits(x: np.ndarray, block: int, key: int, first: int, trials: int) -> int:
-    """In how many of the trials the mean of the drawn blocks of ``x`` less its mean reaches that mean. A block's sum is a difference of two running sums, so a draw costs its blocks, not its values."""
+    """In how many of the trials the mean of the drawn blocks of ``x`` less its mean reaches that mean. A block's sum is a difference of two running sums, so a draw costs its blocks, not its values.
+
+    The starts are those of ``draw_starts``. Their upper bits mostly decide them, so sums are looked up by these; a trial with a draw that they leave open has a sum of NaN and is drawn by its starts.
+    """
     n, mean = len(x), x.mean()
     full, rest = n // block, n % block
+    blocks = full + (rest > 0)
     sums = np.concatenate(([0.0], np.cumsum(np.resize(x - mean, n + block))))
     place = np.arange(n)
     whole, part = sums[place + block] - sums[place], sums[place + rest] - sums[place]
-    hits, batch = 0, max(1, BATCH_CELLS // (full + (rest > 0)))
+    of_bits = _by_upper_bits(n)
+    whole_of, part_of = np.append(whole, np.nan)[of_bits], np.append(part, np.nan)[of_bits]
+    hits, left, batch = 0, [], max(1, BATCH_CELLS // blocks)
+    x, shifted = np.empty((2, batch, blocks), np.uint64)
+    drawn = np.empty((batch, blocks))
     for at in range(first, first + trials, batch):
-        starts = draw_starts(key, at, min(batch, first + trials - at), full + (rest > 0), n)
+        np.add(_steps(batch, blocks), np.uint64((key + at * blocks * int(STEP)) % 2**64), out=x)
+        for bits, factor in zip((30, 27), MIX, strict=True):
+            np.right_shift(x, np.uint64(bits), out=shifted)
+            np.bitwise_xor(x, shifted, out=x)
+            np.multiply(x, factor, out=x)
+        upper = np.right_shift(x, np.uint64(48), out=shifted).view(np.int64)[: first + trials - at]
+        total = np.take(whole_of, upper, out=drawn[: len(upper)], mode="clip")[:, :full].sum(axis=1)
+        if rest:
+            total += part_of[upper[:, full]]
+        hits += np.count_nonzero(total / n >= mean)
+        left.append(np.flatnonzero(np.isnan(total)) + at)
+    open_ = np.concatenate(left).astype(np.uint64)
+    for at in range(0, len(open_), batch):
+        starts = _starts(key, open_[at : at + batch], blocks, n)
         total = whole[starts[:, :full]].sum(axis=1)
         if rest:
-            total = total + part[starts[:, full]]
-        hits += int((total / n >= mean).sum())
-    return hits
+            total += part[starts[:, full]]
+        hits += np.count_nonzero(total / n >= mean)
+    return int(hits)
 
 
 def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int | None, seed: int) -> DataFrame:

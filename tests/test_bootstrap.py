@@ -40,3 +40,17 @@ def test_starts_are_even():
     assert np.abs(np.bincount(starts.ravel(), minlength=7) / starts.size - 1 / 7).max() < 0.005
     assert np.abs(np.corrcoef(starts.T) - np.eye(5)).max() < 0.03
     assert (selection.draw_starts(5, 100, 50, 3, 9) == selection.draw_starts(5, 0, 150, 3, 9)[100:]).all()
+
+
+@pytest.mark.parametrize("n", [2, 83, 5000])
+def test_few_trials_need_their_starts(monkeypatch, n):
+    """Hits are those of the drawn starts, though of a short series hardly any trial has its starts drawn one by one."""
+    x, asked, own = np.random.default_rng(n).normal(0.1, 1, n), [], selection._starts
+    starts = selection.draw_starts(7, 11, 3000, -(-n // 5), n)
+    count, sums = n // 5, np.concatenate(([0.0], np.cumsum(np.resize(x - x.mean(), n + 5))))
+    drawn = (sums[starts[:, :count] + 5] - sums[starts[:, :count]]).sum(axis=1)
+    if n % 5:
+        drawn += sums[starts[:, count] + n % 5] - sums[starts[:, count]]
+    monkeypatch.setattr(selection, "_starts", lambda key, trials, *rest: asked.append(len(trials)) or own(key, trials, *rest))
+    assert selection.bootstrap_hits(x, 5, 7, 11, 3000) == (drawn / n >= x.mean()).sum()
+    assert n > 100 or sum(asked) < 3000 / 20
