@@ -21,15 +21,41 @@ from panelforge.sources.shared import saved
 #: Drawn blocks that a bootstrap holds at once (so few that they stay in a core's cache), and trials of a row.
 BATCH_CELLS = 1 << 16
 TRIALS = 1 << 16
+#: Rows of a range of p-values.
+RANGE_ROWS = 250_000
 #: A counter's step and the factors that scramble it.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str, *by: str) -> DataFrame:
-    """Adds q: null p-values count as 1. A family is one table of candidates. The least of all larger p is a running minimum from the largest p down: a frame that reaches to the end is added up anew for each row, in quadratic time."""
-    rows = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))).withColumn("_raw", stats.benjamini_hochberg(F.col("_p"), F.col(name), *by))
-    tail = W.partitionBy(*by).orderBy(F.desc("_p"), F.desc(name)).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("q", F.min("_raw").over(tail)).drop("_p", "_raw")
+    """Adds q: null p-values count as 1. A family is one table of candidates. The least of all larger p is a running minimum from the largest p down: a frame that reaches to the end is added up anew for each row, in quadratic time.
+
+    Beyond ``4 * RANGE_ROWS`` rows a family isn't one group: rows are dealt out by ranges of families and p, and ranks and minima go on from the range before by a row for each range and family.
+    """
+    rows = saved(df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))))
+    n = rows.count()
+    if n <= 4 * RANGE_ROWS:
+        tail = W.partitionBy(*by).orderBy(F.desc("_p"), F.desc(name)).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumn("_raw", stats.benjamini_hochberg(F.col("_p"), F.col(name), *by)).withColumn("q", F.min("_raw").over(tail)).drop("_p", "_raw")
+    # written, as another run might cut the ranges elsewhere
+    dealt = saved(rows.repartitionByRange(-(-n // RANGE_ROWS), *by, "_p", name).withColumn("_range", F.spark_partition_id()))
+
+    def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+        other = ranges.select(*(F.col(c).alias(f"_of_{c}") for c in (*by, "_range")), *(c for c in ranges.columns if c not in (*by, "_range")))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_range")))
+        return rows.join(other, same).drop(*(f"_of_{c}" for c in (*by, "_range")))
+
+    family, group = W.partitionBy(*by), W.partitionBy(*by, "_range")
+    before = family.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    places = sizes.select(*by, "_range", F.sum("_n").over(family).alias("_m"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(group.orderBy("_p", name))
+    raw = with_ranges(dealt, places).withColumn("_raw", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / rank))
+    falling = group.orderBy(F.desc("_p"), F.desc(name)).rowsBetween(W.unboundedPreceding, 0)
+    ranked = saved(raw.withColumn("_low", F.min("_raw").over(falling)).drop("_m", "_before", "_p"))
+    above = family.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    lows = ranked.groupBy(*by, "_range").agg(F.min("_raw").alias("_least")).select(*by, "_range", F.min("_least").over(above).alias("_above"))
+    return with_ranges(ranked, lows).withColumn("q", F.least("_low", "_above")).drop("_range", "_raw", "_low", "_above")
 
 
 def newey_west(df: DataFrame, value: str, series: str, time: str, lags: int) -> DataFrame:

@@ -33,6 +33,22 @@ def test_q_values_are_running_minima(spark):
             assert got[own[k - 1][1]] == pytest.approx(least, abs=1e-15)
 
 
+@pytest.mark.parametrize("by", [("family",), ()])
+def test_large_families_are_spread(spark, monkeypatch, by):
+    """Ranges of p give the q-values of whole families: ties, nulls, a null family, many small ones, ranges that cut families."""
+    rng = np.random.default_rng(5)
+    family = [None, *range(40)]
+    rows = [(int(k), family[int(rng.integers(0, 41))] if k % 2 else 3, None if k % 17 == 0 else float(rng.integers(0, 60)) / 300) for k in range(900)]
+    df = spark.createDataFrame(rows, "name int, family int, p double").repartition(6)
+    whole = selection.benjamini_hochberg(df, "p", "name", *by)
+    monkeypatch.setattr(selection, "RANGE_ROWS", 70)
+    spread = selection.benjamini_hochberg(df, "p", "name", *by)
+    assert spread.dtypes == whole.dtypes and FORWARD not in plan(spread)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, whole.collect()))
+    windows = [line for line in plan(spread).splitlines() if "Window [" in line]
+    assert windows and all("_range#" in line and "_p#" not in line for line in windows)  # ranges of p only, and not p itself, are put in one order for a family
+
+
 def test_a_campaign_has_no_forward_frame(spark):
     attempts = spark.createDataFrame([(1, k % 7, k, k, None if k == 3 else k / 20) for k in range(15)], "family int, candidate int, attempt int, attempt_id int, p double")
     df = records.campaign_tests(attempts, "family", "candidate")
