@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +18,14 @@ from panelforge.functions import stats
 from panelforge.operators import skyline
 from panelforge.sources.shared import saved
 
-#: Drawn blocks that a bootstrap holds at once (so few that they stay in a core's cache), and trials of a row.
-BATCH_CELLS = 1 << 16
-TRIALS = 1 << 16
+#: Sums (series times trials) or starts that a bootstrap holds at once (so few that they stay in a core's cache), and values or counts.
+BATCH_CELLS = 510 * 1008
+COUNT_CELLS = 1 << 22
+#: Trials of a row, and series of a task.
+TRIALS = 1 << 21
+TASK_SERIES = 4096
+#: Trials for which a series keeps its order of the common starts, as a power of two.
+ORDER_BITS = 16
 #: Rows of a range of p-values.
 RANGE_ROWS = 250_000
 #: A counter's step and the factors that scramble it.
@@ -111,91 +116,164 @@ def family_significance(family: DataFrame, values: DataFrame, least: int, lags:
     return benjamini_hochberg(out, "p", candidate).select(candidate, "status", "n", "mean", "z", "p", "q")
 
 
-def _place(high: np.ndarray, n: int) -> np.ndarray:
-    """The place below ``n`` that the upper 53 bits of a scrambled counter stand for."""
-    return (high.astype(float) * 2.0**-53 * n).astype(np.int64)
+def _scrambled(counter: np.ndarray) -> np.ndarray:
+    x = (counter ^ (counter >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
 
 
-def _starts(key: int, trials: np.ndarray, blocks: int, n: int) -> np.ndarray:
-    counter = (trials[:, None] * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64) + np.uint64(1)) * STEP
-    x = counter + np.uint64(key)
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    x ^= x >> np.uint64(31)
-    return _place(x >> np.uint64(11), n)
+def _common_starts(stream: int, trials: np.ndarray, blocks: int, n: int) -> np.ndarray:
+    """Starts below ``n`` by trial and block, each from its own counter in the stream."""
+    starts, width = np.empty((len(trials), blocks), np.int64), max(1, BATCH_CELLS // blocks)
+    for at in range(0, len(trials), width):
+        counter = (trials[at : at + width, None] * np.uint64(blocks) + np.arange(blocks, dtype=np.uint64) + np.uint64(1)) * STEP
+        starts[at : at + width] = (_scrambled(counter + np.uint64(stream)) >> np.uint64(11)).astype(float) * 2.0**-53 * n
+    return starts
 
 
-def draw_starts(key: int, first: int, trials: int, blocks: int, n: int) -> np.ndarray:
-    """Starts below ``n`` of the blocks of trials ``first`` on: each comes from its own counter (trial and block), so that any range of trials can be drawn anywhere."""
-    return _starts(key, np.arange(first, first + trials, dtype=np.uint64), blocks, n)
+def _orders(keys: np.ndarray, epoch: int, n: int) -> np.ndarray:
+    """Each key's own order of the ``n`` starts for the trials of an epoch, every order being as likely."""
+    counter = (np.arange(n, dtype=np.uint64) + np.uint64(epoch * n + 1)) * STEP
+    return np.argsort(_scrambled(counter + keys[:, None]), axis=1)
+
 
+def _starts(key: int, trials: np.ndarray, blocks: int, n: int) -> np.ndarray:
+    stream, own = divmod(key, 1 << 64)
+    starts, epochs = _common_starts(stream, trials, blocks, n), trials >> np.uint64(ORDER_BITS)
+    for epoch in np.unique(epochs):
+        starts[epochs == epoch] = _orders(np.array([own], np.uint64), int(epoch), n)[0][starts[epochs == epoch]]
+    return starts
 
-@lru_cache(maxsize=64)
-def _by_upper_bits(n: int) -> np.ndarray:
-    """For each upper 16 bits of a scrambled counter the start that they alone decide, else ``n``."""
-    low = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
-    start, last = _place(low, n), _place(low + np.uint64((1 << 37) - 1), n)
-    return np.where(start == last, start, n)
 
+def draw_starts(key: int, first: int, trials: int, blocks: int, n: int) -> np.ndarray:
+    """Starts below ``n`` of the blocks of trials ``first`` on, each by its trial and block alone, so that any range of trials can be drawn anywhere.
 
-@lru_cache(maxsize=64)
-def _steps(trials: int, blocks: int) -> np.ndarray:
-    """The counters of trials from 0 on."""
-    return np.arange(1, trials * blocks + 1, dtype=np.uint64).reshape(trials, blocks) * STEP
+    The key's upper part names a stream of starts that a family has in common; its lower part is a series' own and puts the ``n`` starts in an order of its own, a new one for every 2^16 trials.
+    So a series' starts are even and independent from trial to trial, and a family's trials are drawn once: what series have in common is only which of a trial's blocks are the same one.
+    """
+    return _starts(key, np.arange(first, first + trials, dtype=np.uint64), blocks, n)
 
 
 def stream_key(seed: int, name: object) -> int:
-    """The key of a series' stream."""
-    return int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big")
+    """The key of a series' stream: the seed's 64 bits, then the series' own."""
+    parts = (hashlib.sha256(text.encode()).digest()[:8] for text in (f"{seed}", f"{seed}:{name}"))
+    return int.from_bytes(b"".join(parts), "big")
 
 
 def bootstrap_hits(x: np.ndarray, block: int, key: int, first: int, trials: int) -> int:
-    """In how many of the trials the mean of the drawn blocks of ``x`` less its mean reaches that mean. A block's sum is a difference of two running sums, so a draw costs its blocks, not its values.
+    """``family_hits`` of one series."""
+    return int(family_hits(x[None, :], block, [key], first, trials)[0])
+
+
+def family_hits(x: np.ndarray, block: int, keys: list[int], first: int, trials: int) -> np.ndarray:
+    """In how many of the trials the mean of the drawn blocks of a row of ``x`` less its mean reaches that mean. The starts are those of ``draw_starts`` with the row's key; the keys are of one seed.
 
-    The starts are those of ``draw_starts``. Their upper bits mostly decide them, so sums are looked up by these; a trial with a draw that they leave open has a sum of NaN and is drawn by its starts.
+    A block's sum is a difference of two running sums. How often each start occurs in a trial is counted once for all rows, and a product of these counts with the rows' block sums, each in its row's
+    order, adds up all trials of all rows. It is taken in single precision: what its rounding could decide is added up anew in double precision. Trials go by their last, shorter block, whose sum
+    lowers the bound that the others have to reach.
     """
-    n, mean = len(x), x.mean()
-    full, rest = n // block, n % block
-    blocks = full + (rest > 0)
-    sums = np.concatenate(([0.0], np.cumsum(np.resize(x - mean, n + block))))
-    place = np.arange(n)
-    whole, part = sums[place + block] - sums[place], sums[place + rest] - sums[place]
-    of_bits = _by_upper_bits(n)
-    whole_of, part_of = np.append(whole, np.nan)[of_bits], np.append(part, np.nan)[of_bits]
-    hits, left, batch = 0, [], max(1, BATCH_CELLS // blocks)
-    x, shifted = np.empty((2, batch, blocks), np.uint64)
-    drawn = np.empty((batch, blocks))
-    for at in range(first, first + trials, batch):
-        np.add(_steps(batch, blocks), np.uint64((key + at * blocks * int(STEP)) % 2**64), out=x)
-        for bits, factor in zip((30, 27), MIX, strict=True):
-            np.right_shift(x, np.uint64(bits), out=shifted)
-            np.bitwise_xor(x, shifted, out=x)
-            np.multiply(x, factor, out=x)
-        upper = np.right_shift(x, np.uint64(48), out=shifted).view(np.int64)[: first + trials - at]
-        total = np.take(whole_of, upper, out=drawn[: len(upper)], mode="clip")[:, :full].sum(axis=1)
-        if rest:
-            total += part_of[upper[:, full]]
-        hits += np.count_nonzero(total / n >= mean)
-        left.append(np.flatnonzero(np.isnan(total)) + at)
-    open_ = np.concatenate(left).astype(np.uint64)
-    for at in range(0, len(open_), batch):
-        starts = _starts(key, open_[at : at + batch], blocks, n)
-        total = whole[starts[:, :full]].sum(axis=1)
-        if rest:
-            total += part[starts[:, full]]
-        hits += np.count_nonzero(total / n >= mean)
-    return int(hits)
+    n, mean = x.shape[1], x.mean(axis=1)
+    full, rest = divmod(n, block)
+    blocks, place = full + (rest > 0), np.arange(n)
+    sums = np.zeros((len(x), n + block + 1))
+    np.cumsum((x - mean[:, None])[:, np.arange(n + block) % n], axis=1, out=sums[:, 1:])
+    whole, part = sums[:, place + block] - sums[:, place], sums[:, place + rest] - sums[:, place]
+    hits = np.zeros(len(x), np.int64)
+    flat = ~(whole.any(axis=1) | part.any(axis=1))  # all sums are 0
+    hits[flat] = np.where(mean[flat] <= 0, trials, 0)
+    live = np.flatnonzero(~flat)
+    if not len(live):
+        return hits
+    mean, whole, part = mean[live], whole[live], part[live]
+    stream, own = keys[0] >> 64, np.array([keys[k] % (1 << 64) for k in live], np.uint64)
+    few = n > 64 * max(full, 1)  # counts would be nearly all zeros
+    held = max(1, BATCH_CELLS // (blocks * len(live)) if few else COUNT_CELLS // blocks)
+    found = np.zeros(len(live), np.int64)
+    at, end = first, first + trials
+    while at < end:
+        epoch = at >> ORDER_BITS
+        orders, stop = _orders(own, epoch, n), min(end, (epoch + 1) << ORDER_BITS)
+        wholes, parts = np.take_along_axis(whole, orders, 1), np.take_along_axis(part, orders, 1)
+        for begin in range(at, stop, held):
+            starts = _common_starts(stream, np.arange(begin, min(begin + held, stop), dtype=np.uint64), blocks, n)
+            if few:
+                found += _exact_hits(wholes, parts, mean, starts, full, *np.divmod(np.arange(len(live) * len(starts)), len(starts)))
+            else:
+                found += _counted_hits(wholes, parts, mean, starts, full)
+        at = stop
+    hits[live] = found
+    return hits
+
+
+def _counted_hits(wholes: np.ndarray, parts: np.ndarray, mean: np.ndarray, starts: np.ndarray, full: int) -> np.ndarray:
+    """Hits by row of trials of one epoch: sums less their bounds from the counts' product, and those near 0 left to ``_exact_hits``. Hits of 255 trials at a time are added up as bytes, eight rows in a word."""
+    size, n = wholes.shape
+    padded = -(-size // 8) * 8
+    width = min(padded, 1008)  # not a power of two, whose rows would meet in a core's cache
+    height = max(1, min(BATCH_CELLS // width, COUNT_CELLS // n))
+    scale = np.abs(wholes).max(axis=1, keepdims=True)
+    scale[~(scale > 0)] = 1.0
+    reach = full + 2  # no sum gets there, nor need a bound lie beyond
+    margin = (full + 4) * (full + reach) * 2.0**-24  # a term is rounded as a factor, as a product and at most ``full`` times as it is added
+    factors, bounds = np.zeros((padded, n + min(n, height)), np.float32), np.full((padded, n), -reach, np.float32)
+    factors[:size, :n] = wholes / scale
+    bounds[:size] = -np.clip(((mean * n)[:, None] - parts) / scale, -reach, reach)
+    last = starts[:, full] if starts.shape[1] > full else np.zeros(len(starts), np.int64)
+    by_last = np.argsort(last, kind="stable")  # so that few bounds are factors at once
+    starts, last = starts[by_last], last[by_last]
+    found, open_ = np.zeros(padded, np.int64), []
+    total, flags = np.empty(height * width, np.float32), np.empty((2, height * width), bool)
+    for at in range(0, len(starts), height):
+        of = last[at : at + height]
+        new = np.append(True, of[1:] != of[:-1])
+        drawn, k = np.column_stack((starts[at : at + height, :full], n - 1 + np.cumsum(new))), n + np.count_nonzero(new)
+        factors[:, n:k] = bounds[:, of[new]]
+        cells = np.arange(len(drawn))[:, None] * k + drawn
+        counts = np.bincount(cells.ravel(), minlength=len(drawn) * k).reshape(-1, k).astype(np.float32)
+        for row in range(0, padded, width):
+            rows = slice(row, min(row + width, padded))
+            shape = (len(drawn), rows.stop - row)
+            sums, sure, maybe = (a[: shape[0] * shape[1]].reshape(shape) for a in (total, *flags))
+            np.matmul(counts, factors[rows, :k].T, out=sums)
+            np.greater_equal(sums, margin, out=sure)
+            np.greater_equal(sums, -margin, out=maybe)
+            words = sure.view(np.uint64)
+            for a in range(0, len(words), 255):
+                found[rows] += words[a : a + 255].sum(axis=0).view(np.uint8)
+            differ = np.flatnonzero(words != maybe.view(np.uint64))
+            if len(differ):
+                trial, own = np.divmod((differ[:, None] * 8 + np.arange(8)).ravel(), shape[1])
+                undecided = sure[trial, own] != maybe[trial, own]
+                open_.append((own[undecided] + row, trial[undecided] + at))
+        if open_ and (len(open_) >= 64 or at + height >= len(starts)):
+            found[:size] += _exact_hits(wholes, parts, mean, starts, full, *map(np.concatenate, zip(*open_, strict=True)))
+            open_ = []
+    return found[:size]
+
+
+def _exact_hits(wholes: np.ndarray, parts: np.ndarray, mean: np.ndarray, starts: np.ndarray, full: int, rows: np.ndarray, trials: np.ndarray) -> np.ndarray:
+    """Hits by row among the pairs of a row and a trial, added up in double precision."""
+    n, found = wholes.shape[1], np.zeros(len(wholes), np.int64)
+    width = max(1, BATCH_CELLS // starts.shape[1])
+    for at in range(0, len(rows), width):
+        k, drawn = rows[at : at + width], starts[trials[at : at + width]]
+        total = wholes[k[:, None], drawn[:, :full]].sum(axis=1)
+        if drawn.shape[1] > full:
+            total += parts[k, drawn[:, full]]
+        found += np.bincount(k[total / n >= mean[k]], minlength=len(found))
+    return found
 
 
 def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: int, trials: int | None, seed: int) -> DataFrame:
-    """(series, p): circular block bootstrap of the mean under no effect. A series' trials are drawn by number from its own keyed stream, so how they are dealt out doesn't matter.
+    """(series, p): circular block bootstrap of the mean under no effect. A series' trials are drawn by number with its own key (``draw_starts``), so how they are dealt out doesn't matter.
 
     A family needs max(2000, 20 for each series) trials, for the least p to survive the correction over all series: fewer are refused, None takes that number.
-    Null values are left out; a series of fewer than two has p = 1. Ranges of trials are rows of their own, and only their hits are merged.
+    Null values are left out; a series of fewer than two has p = 1. Ranges of trials are rows of their own, and only their hits are merged. A task has series of few lengths, as those of one length share their draws.
     """
     held = F.transform(F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("x"))))), lambda r: r["x"])
     rows = saved(df.groupBy(series).agg(held.alias("_x")))
-    least = max(2000, 20 * rows.count())
+    count = rows.count()
+    least = max(2000, 20 * count)
     if trials is None:
         trials = least
     if trials < least:
@@ -203,16 +281,20 @@ def block_bootstrap(df: DataFrame, value: str, series: str, time: str, block: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2)
-            hits = [
-                bootstrap_hits(values[k].values.to_numpy(), block, stream_key(seed, name), first, min(TRIALS, trials - first))
-                for k, (name, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            ]
+            names, values, alike = batch.column(0).to_pylist(), batch.column(2), {}
+            hits = np.zeros(len(names), np.int64)
+            for k, (first, n) in enumerate(zip(batch.column(1).to_pylist(), values.value_lengths().to_pylist(), strict=True)):
+                alike.setdefault((first, n), []).append(k)
+            for (first, n), places in alike.items():
+                size = max(1, COUNT_CELLS // n)
+                for own in (places[at : at + size] for at in range(0, len(places), size)):
+                    x = np.stack([values[k].values.to_numpy() for k in own])
+                    hits[own] = family_hits(x, block, [stream_key(seed, names[k]) for k in own], first, min(TRIALS, trials - first))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64())], [series, "_hits"])
 
     kind = df.schema[series].dataType.simpleString()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: rows are few, but the work isn't
-    ranges = rows.where(F.size("_x") > 1).select(series, F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(TRIALS))).alias("_first"), "_x").repartition(parts, series, "_first")
+    parts = -(-count // TASK_SERIES) * -(-trials // TRIALS) or 1
+    ranges = rows.where(F.size("_x") > 1).select(series, F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.lit(TRIALS))).alias("_first"), "_x").repartitionByRange(parts, "_first", F.size("_x"), series)
     counted = ranges.mapInArrow(run, f"{series} {kind}, _hits long").groupBy(series).agg(((1 + F.sum("_hits")) / F.lit(trials + 1)).alias("p"))
     return counted.unionByName(rows.where(F.size("_x") < 2).select(series, F.lit(1.0).alias("p")))
 

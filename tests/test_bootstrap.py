@@ -54,3 +54,50 @@ def test_few_trials_need_their_starts(monkeypatch, n):
     monkeypatch.setattr(selection, "_starts", lambda key, trials, *rest: asked.append(len(trials)) or own(key, trials, *rest))
     assert selection.bootstrap_hits(x, 5, 7, 11, 3000) == (drawn / n >= x.mean()).sum()
     assert n > 100 or sum(asked) < 3000 / 20
+
+
+@pytest.mark.parametrize("n, block", [(16, 5), (16, 4), (83, 5), (9, 20), (2000, 1900)])
+def test_hits_of_a_family_are_those_of_each_series(monkeypatch, n, block):
+    """Sums that only equal the bound, series of zeros and constants, far means, NaN; trials from within an epoch over several, in parts of any size; a family's trials are drawn once."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate((rng.normal(0.1, 1, (21, n)), rng.integers(-2, 3, (9, n)), np.zeros((1, n)), np.full((1, n), -3.0), rng.normal(1e6, 1, (1, n)), rng.normal(0, 1, (1, n)) * 1e-30))
+    x[25:30] += np.round(x[25:30].mean(axis=1, keepdims=True)) - x[25:30].mean(axis=1, keepdims=True)
+    keys, drawn, own = [selection.stream_key(3, k) for k in range(len(x))], [], selection._common_starts
+    monkeypatch.setattr(selection, "ORDER_BITS", 9)
+    full, rest = divmod(n, block)
+    want = []
+    for row, key in zip(x, keys, strict=True):
+        starts, sums = selection.draw_starts(key, 300, 1500, -(-n // block), n), np.concatenate(([0.0], np.cumsum(np.resize(row - row.mean(), n + block))))
+        total = (sums[starts[:, :full] + block] - sums[starts[:, :full]]).sum(axis=1)
+        if rest:
+            total += sums[starts[:, full] + rest] - sums[starts[:, full]]
+        want.append(np.count_nonzero(total / n >= row.mean()))
+    monkeypatch.setattr(selection, "_common_starts", lambda stream, trials, *args: drawn.append(len(trials)) or own(stream, trials, *args))
+    assert selection.family_hits(x, block, keys, 300, 1500).tolist() == want
+    assert sum(drawn) == 1500
+    monkeypatch.setattr(selection, "BATCH_CELLS", 700)
+    monkeypatch.setattr(selection, "COUNT_CELLS", 40 * n)
+    assert selection.family_hits(x, block, keys, 300, 1500).tolist() == want
+    hole = np.where(np.arange(n) == 1, np.nan, x[:1])
+    assert selection.family_hits(np.concatenate((x[:1], hole)), block, keys[:2], 300, 1500).tolist() == [want[0], 0]
+
+
+@pytest.mark.parametrize("trials", [1000, 200_000])
+def test_copies_of_a_series_err_on_their_own(trials):
+    """The draws that a family has in common leave the errors of its series unrelated: hits of copies under other keys spread as those of separate draws do."""
+    x = np.random.default_rng(2).normal(0.1, 1, 40)
+    hits = selection.family_hits(np.tile(x, (600, 1)), 5, [selection.stream_key(8, k) for k in range(600)], 0, trials)
+    p = hits.mean() / trials
+    assert 0.05 < p < 0.95 and 0.8 < hits.var() / (trials * p * (1 - p)) < 1.25
+
+
+def test_tasks_have_few_series_and_ranges(spark, monkeypatch):
+    """Series of several lengths on as many tasks as they ask for give the p-values of one task."""
+    rows = [(k, t, float(v)) for k in range(30) for t, v in enumerate(np.random.default_rng(k).normal(0.1, 1, 10 + k % 3))]
+    df = spark.createDataFrame(rows, "security int, t int, x double")
+    whole = sorted(map(tuple, selection.block_bootstrap(df, "x", "security", "t", 5, None, 1).collect()))
+    monkeypatch.setattr(selection, "TASK_SERIES", 7)
+    monkeypatch.setattr(selection, "TRIALS", 700)
+    dealt = selection.block_bootstrap(df, "x", "security", "t", 5, None, 1)
+    assert ", 15" in next(line for line in dealt._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line)
+    assert sorted(map(tuple, dealt.collect())) == whole
